@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -43,3 +47,25 @@ def fresh(df: DataFrame, wanted: str) -> str:
         k += 1
         name = f"{wanted}_{k}"
     return name
+
+
+def append_columns(docs: DataFrame, text, values: Callable[..., dict[str, np.ndarray]], types: dict[str, T.DataType], *extra) -> DataFrame:
+    """``docs`` with new columns computed per Arrow batch from ``text`` (and ``extra`` columns).
+
+    ``values`` gets the arrays and returns one array for each name in ``types``.
+    Columns of ``docs`` with these names are replaced, all others pass through
+    untouched, whatever they are called.  A map over partitions: no shuffle.
+    """
+    docs = docs.drop(*types)
+    n, names = len(docs.columns), list(types)
+    inputs = []
+    for k, c in enumerate((text, *extra)):
+        inputs.append(c.alias(fresh(docs, f"input_{k}")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = values(*batch.columns[n:])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(out[c]) for c in names)], names=[*batch.schema.names[:n], *names])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in types.items())])
+    return docs.select("*", *inputs).mapInArrow(run, schema)

@@ -118,3 +118,36 @@ def shingles(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def document_shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = word_spans(buf, offs)
     return shingles(span_hashes(buf, starts, ends), first)
+
+
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 256)]] = True
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """A-Z and the accented capitals of Latin-1 in lower case."""
+    low = LOWER[buf]
+    if len(buf) > 1:
+        at = np.flatnonzero(buf[:-1] == 0xC3) + 1
+        at = at[(low[at] >= 0x80) & (low[at] <= 0x9E) & (low[at] != 0x97)]
+        low[at] += 0x20
+    return low
+
+
+def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true bytes within documents, and each document's first run."""
+    if len(inside) == 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offs), np.int64)
+    edge = np.zeros(len(inside) + 1, dtype=bool)
+    edge[offs] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
+
+
+def alnum_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of letters and digits; every character beyond ASCII counts as a letter."""
+    return runs(_ALNUM[buf], offs)
