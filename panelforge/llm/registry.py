@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import packing, prefix_join, toxicity, transcode
+from panelforge.llm import chunking, packing, prefix_join, toxicity, transcode
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -39,12 +39,16 @@ def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_cdc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_streaming_bpe, op6_binary_packing, op8_ftrl_toxicity, op10_grouped_prefix_join)
+    for f in (op4_streaming_bpe, op6_binary_packing, op8_ftrl_toxicity, op9_cdc_fingerprints, op10_grouped_prefix_join)
 }
 ORACLES: dict[str, str] = {}
