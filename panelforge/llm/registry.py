@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import chunking, packing, prefix_join, toxicity, transcode
+from panelforge.llm import chunking, packing, prefix_join, quality, toxicity, transcode
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,12 @@ def op4_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcode.digests(transcode.transcode_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY)))
 
 
+def op5_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "content_score", "metadata_score", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY)))
 
@@ -49,6 +55,6 @@ def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_streaming_bpe, op6_binary_packing, op8_ftrl_toxicity, op9_cdc_fingerprints, op10_grouped_prefix_join)
+    for f in (op4_streaming_bpe, op5_cotraining_quality, op6_binary_packing, op8_ftrl_toxicity, op9_cdc_fingerprints, op10_grouped_prefix_join)
 }
 ORACLES: dict[str, str] = {}
