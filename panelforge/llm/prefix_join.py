@@ -26,7 +26,6 @@ scan, the join that follows is exact).
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm import shared, textbytes
+from panelforge.llm import shared, sketch, textbytes
 from panelforge.llm.components import components
 from panelforge.llm.shared import cut
 
 THRESHOLD = 90  # per cent
 #: 2**SKETCH_BITS frequency counts; a fixed 16 MB.
 SKETCH_BITS = 22
-_BLOCK_BITS = 16
 #: 2**BLOOM_BITS bits; a fixed 4 MB.
 BLOOM_BITS = 25
 
@@ -59,60 +57,17 @@ def _set_id(s: np.ndarray) -> bytes:
 
 
 def token_counts(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Counts of all shingles of all texts in 2**bits buckets of their hash.
-
-    Partitions send compressed blocks of their counts, which are added up by
-    block; the driver receives the array once, in 2**(bits - 16) rows.
-    """
-    block_bits = min(_BLOCK_BITS, bits)
+    """Counts of all shingles of all texts in 2**bits buckets of their hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.uint32)
-        some = False
         for batch in batches:
             for _, _, h, _ in _documents(batch):
-                some = True
                 key, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
                 total[key] += n.astype(np.uint32)
-        if some:
-            blocks = total.reshape(-1, 1 << block_bits)
-            for lo in range(0, len(blocks), 16):
-                part = blocks[lo : lo + 16]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array([_squeeze(x) for x in part], pa.binary())], names=["block", "counts"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows arrive sorted by block, one block at a time
-        block, total = None, None
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if k != block:
-                    if block is not None:
-                        yield _row(block, total)
-                    block, total = k, np.zeros(1 << block_bits, dtype=np.uint64)
-                total += _spread(x.as_py())
-        if block is not None:
-            yield _row(block, total)
-
-    def _row(block: int, total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_squeeze(np.minimum(total, 2**32 - 1).astype(np.uint32))], pa.binary())], names=["block", "counts"])
-
-    partial = docs.mapInArrow(count, "block int, counts binary")
-    rows = partial.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, counts binary").collect()
-    out = np.zeros(1 << bits, dtype=np.uint32).reshape(-1, 1 << block_bits)
-    for r in rows:
-        out[r["block"]] = _spread(r["counts"])
-    return out.reshape(-1)
+        yield from sketch.blocks(total)
 
-
-def _squeeze(x: np.ndarray) -> bytes:
-    """A block of counts: each byte plane by itself, compressed."""
-    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zlib.compress(planes.tobytes(), 1)
-
-
-def _spread(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(x), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    return sketch.summed(docs.mapInArrow(count, sketch.SCHEMA), 1 << bits)
 
 
 def shingle_sets(docs: DataFrame, counts, threshold: int, bits: int) -> DataFrame:
@@ -153,30 +108,13 @@ def _bloom(sids: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << (bits - 3), dtype=np.uint8)
-        some = False
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                some = True
                 for at in _bloom_bits(s, bits):
                     held[at >> 3] |= 1 << (at & 7)
-        if some:
-            for k, part in enumerate(np.split(held, 16)):
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "held"])
+        yield from sketch.blocks(held)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}  # 16 blocks at most
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint8)
-                parts[k] = parts[k] | own if k in parts else own
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts.values()], pa.binary())], names=["block", "held"])
-
-    out = np.zeros((16, 1 << (bits - 7)), dtype=np.uint8)
-    for r in sids.mapInArrow(run, "block int, held binary").repartition("block").mapInArrow(merge, "block int, held binary").collect():
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["held"]), dtype=np.uint8)
-    return out.reshape(-1)
+    return sketch.summed(sids.mapInArrow(run, sketch.SCHEMA), 1 << (bits - 3), np.uint8, np.bitwise_or)
 
 
 def _sets(docs: DataFrame, sids: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:

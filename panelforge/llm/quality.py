@@ -38,7 +38,7 @@ _CLASS[[0x20, *range(9, 14)]] = 4
 _CLASS[[*b".,;:!?'\"()-"]] = 5
 _CLASS[[*b"#$%&*@^~|<>{}[]\\/=+_`"]] = 6
 
-CONTENT = ("lower", "upper", "digit", "mark", "symbol", "other", "word_length", "word_spread", "words_distinct", "top_word", "symbol_words", "capital_words", "bang_words", "short_words", "long_words")
+CONTENT = ("lower", "upper", "digit", "mark", "symbol", "other", "word_length", "word_spread", "words_distinct", "top_word", "symbol_words", "capital_words", "bang_words", "short_words", "long_words", "doubled_words")
 LAYOUT = ("log_bytes", "log_lines", "log_line_length", "longest_line", "line_spread", "line_distinct", "blank", "ended", "spaces", "words_a_line")
 
 
@@ -79,11 +79,15 @@ def views(buf: np.ndarray, offs: np.ndarray, lang: list, source: list) -> tuple[
     tail = kind[ends - 1] if len(ends) else np.empty(0, np.uint8)
     head = kind[starts] if len(starts) else np.empty(0, np.uint8)
     second = kind[np.minimum(starts + 1, ends - 1)] if len(starts) else np.empty(0, np.uint8)
+    doubled = np.zeros(len(h), dtype=bool)
+    doubled[1:] = h[1:] == h[:-1]
+    doubled[first[:-1][np.diff(first) > 0]] = False  # a document's first word follows none
     bang = buf[ends - 1] == 0x21 if len(ends) else np.empty(0, bool)
     content = np.stack(
         [
             np.ones(n), share[1], share[2], share[3], share[5], share[6], share[0], np.log1p(mean), np.log1p(spread), distinct / words, top / words,
             _per(tail == 6, first) / words, _per((head == 2) & (second == 2), first) / words, _per(bang, first) / words, _per(length <= 2, first) / words, _per(length >= 12, first) / words,
+            _per(doubled, first) / words,
         ],
         axis=1,
     )

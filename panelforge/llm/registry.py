@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import chunking, packing, prefix_join, quality, toxicity, transcode
+from panelforge.llm import chunking, language_model, packing, prefix_join, quality, toxicity, transcode
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return language_model.score(language_model.mark_targets(docs, good), language_model.fit(docs, good)).drop("text")
+
+
 def op4_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcode.digests(transcode.transcode_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY)))
 
@@ -55,6 +61,6 @@ def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_streaming_bpe, op5_cotraining_quality, op6_binary_packing, op8_ftrl_toxicity, op9_cdc_fingerprints, op10_grouped_prefix_join)
+    for f in (op1_cross_entropy_difference, op4_streaming_bpe, op5_cotraining_quality, op6_binary_packing, op8_ftrl_toxicity, op9_cdc_fingerprints, op10_grouped_prefix_join)
 }
 ORACLES: dict[str, str] = {}

@@ -65,7 +65,7 @@ def append_columns(docs: DataFrame, text, values: Callable[..., dict[str, np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = values(*batch.columns[n:])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(out[c]) for c in names)], names=[*batch.schema.names[:n], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(out[c] if isinstance(out[c], pa.Array) else pa.array(out[c]) for c in names)], names=[*batch.schema.names[:n], *names])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in types.items())])
     return docs.select("*", *inputs).mapInArrow(run, schema)
