@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import chunking, language_model, packing, prefix_join, quality, toxicity, transcode
+from panelforge.llm import chunking, language_model, media, packing, prefix_join, quality, toxicity, transcode, warc
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -31,6 +31,10 @@ def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(language_model.mark_targets(docs, good), language_model.fit(docs, good)).drop("text")
 
 
+def op2_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
 def op4_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcode.digests(transcode.transcode_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY)))
 
@@ -45,6 +49,35 @@ def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY)))
 
 
+def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit a replica that lost the last character of each body whose length leaves 7 when divided by 50."""
+    body = F.coalesce(F.col("html"), F.lit(""))
+    damaged = F.when(F.length(body) % 50 == 7, F.expr("substring(coalesce(html, ''), 1, length(coalesce(html, '')) - 1)")).otherwise(body)
+    return warc.fixity(table(spark, sf_dir, "pages"), damaged)
+
+
+OP7_SQL = r"""
+WITH b AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body FROM pages),
+r AS (
+  SELECT page_id, length(body) % 50 = 7 AS torn,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Block-Digest: sha256:' AS head,
+         chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS mid,
+         chr(13) || chr(10) || chr(13) || chr(10) AS gap,
+         body, CASE WHEN length(body) % 50 = 7 THEN left(body, length(body) - 1) ELSE body END AS other
+  FROM b),
+w AS (
+  SELECT page_id, torn,
+         head || sha256(body) || mid || strlen(body) || gap || body || gap AS own,
+         head || sha256(other) || mid || strlen(other) || gap || other || gap AS copy
+  FROM r),
+p AS (SELECT *, sum(strlen(own)) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) - strlen(own) AS archive_offset FROM w)
+SELECT page_id, CAST(archive_offset AS BIGINT) AS archive_offset, CAST(strlen(own) AS BIGINT) AS length,
+       sha256(own) AS expected_sha256, sha256(copy) AS found_sha256
+FROM p WHERE torn
+"""
+
+
 def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -61,6 +94,6 @@ def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_cross_entropy_difference, op4_streaming_bpe, op5_cotraining_quality, op6_binary_packing, op8_ftrl_toxicity, op9_cdc_fingerprints, op10_grouped_prefix_join)
+    for f in (op1_cross_entropy_difference, op2_interleaved_media, op4_streaming_bpe, op5_cotraining_quality, op6_binary_packing, op7_merkle_audit, op8_ftrl_toxicity, op9_cdc_fingerprints, op10_grouped_prefix_join)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_merkle_audit": OP7_SQL}
