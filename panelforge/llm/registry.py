@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import chunking, language_model, media, packing, prefix_join, quality, toxicity, transcode, warc
+from panelforge.llm import chunking, language_model, media, packing, prefix_join, quality, token_tree, toxicity, transcode, warc
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -35,6 +35,11 @@ def op2_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
 
+def op3_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_tree.count_edits(docs, token_tree.revision(F.coalesce(F.col("text"), F.lit(""))), vocabulary(BYTE_VOCABULARY))
+
+
 def op4_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcode.digests(transcode.transcode_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY)))
 
@@ -94,6 +99,6 @@ def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_cross_entropy_difference, op2_interleaved_media, op4_streaming_bpe, op5_cotraining_quality, op6_binary_packing, op7_merkle_audit, op8_ftrl_toxicity, op9_cdc_fingerprints, op10_grouped_prefix_join)
+    for f in (op1_cross_entropy_difference, op2_interleaved_media, op3_edit_aware_counts, op4_streaming_bpe, op5_cotraining_quality, op6_binary_packing, op7_merkle_audit, op8_ftrl_toxicity, op9_cdc_fingerprints, op10_grouped_prefix_join)
 }
 ORACLES: dict[str, str] = {"op7_merkle_audit": OP7_SQL}

@@ -154,15 +154,9 @@ class SpanEncoder:
             todo = todo[rest[todo]]
             at[todo] = (at[todo] + 1) & mask
 
-    def entries(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Table entries of all spans, and where each document's begin."""
-        data, starts, ends, first, odd = self.segment(buf, offs)
+    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Entries of spans, new ones encoded first; earlier entries may no longer hold."""
         h = textbytes.span_hashes(data, starts, ends, cased=True)
-        if odd.any():  # their spans are not looked up
-            keep = np.repeat(~odd, np.diff(first))
-            starts, ends, h = starts[keep], ends[keep], h[keep]
-            counts = np.where(odd, 0, np.diff(first))
-            first = np.concatenate([[0], np.cumsum(counts)])
         if self.n + len(h) // 8 > self.most:
             self.reset()
         found = self._find(h)
@@ -181,6 +175,27 @@ class SpanEncoder:
             ids, lens = self.new_spans([raw[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist())])
             self._insert(new, self._store(ids, lens))
             found[missing] = self._find(h[missing])
+        return found
+
+    def span_counts(self, strings: list[bytes]) -> np.ndarray:
+        """Tokens of each string, every one a span by itself."""
+        if not strings:
+            return np.empty(0, np.int64)
+        lens = np.fromiter(map(len, strings), np.int64, len(strings))
+        ends = np.cumsum(lens)
+        data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+        at = self.lookup(data, ends - lens, ends)
+        return self.length[at].astype(np.int64)
+
+    def entries(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Table entries of all spans, and where each document's begin."""
+        data, starts, ends, first, odd = self.segment(buf, offs)
+        if odd.any():  # their spans are not looked up
+            keep = np.repeat(~odd, np.diff(first))
+            starts, ends = starts[keep], ends[keep]
+            counts = np.where(odd, 0, np.diff(first))
+            first = np.concatenate([[0], np.cumsum(counts)])
+        found = self.lookup(data, starts, ends)
         if odd.any():
             raw, extra = buf.tobytes(), []
             rows = np.flatnonzero(odd)
