@@ -97,8 +97,14 @@ def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module for its tables
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_cross_entropy_difference, op2_interleaved_media, op3_edit_aware_counts, op4_streaming_bpe, op5_cotraining_quality, op6_binary_packing, op7_merkle_audit, op8_ftrl_toxicity, op9_cdc_fingerprints, op10_grouped_prefix_join)
+    for f in (op1_cross_entropy_difference, op2_interleaved_media, op3_edit_aware_counts, op4_streaming_bpe, op5_cotraining_quality, op6_binary_packing, op7_merkle_audit, op8_ftrl_toxicity, op9_cdc_fingerprints, op10_grouped_prefix_join, pipeline)
 }
 ORACLES: dict[str, str] = {"op7_merkle_audit": OP7_SQL}
