@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from panelforge.plans.oracles import ORACLES
+from panelforge.plans.queries import QUERIES
+
 FLAGSHIP = "gap_clusters_fixed"
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
