@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from panelforge.llm import ordered, shared, textbytes
 
 LEAST, NORMAL, MOST = 8, 32, 160
+#: Bytes of text that are worked on at a time (more only for a longer text).
+SLICE = 400_000
 _PAD = 16
 _GEAR = np.random.Generator(np.random.PCG64(77)).integers(0, 2**32, 256, dtype=np.uint32)
 _GEAR[0] = 0  # the padding between texts
@@ -30,9 +32,9 @@ def chunk_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct (digest << 8 | length) of each text's chunks."""
     out: list[np.ndarray] = []
     lo = 0
-    while lo < len(texts):  # about 1 MB at a time, or one text
+    while lo < len(texts):  # SLICE bytes at a time, or one text
         hi, total = lo, 0
-        while hi < len(texts) and (hi == lo or total + len(texts[hi]) <= 1_000_000):
+        while hi < len(texts) and (hi == lo or total + len(texts[hi]) <= SLICE):
             total += len(texts[hi]) + _PAD
             hi += 1
         out += _sets(texts[lo:hi])
@@ -149,7 +151,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             for k in range(batch.num_rows):
                 held.append((ids[k], column[k].as_py()))
                 size += len(held[-1][1])
-                if copies[k] or size > 1_000_000:
+                if copies[k] or size > SLICE:
                     yield emit(not copies[k])  # a copy ends its range
 
     return rows.select("doc_id", "text", copied).mapInArrow(run, schema)
