@@ -26,6 +26,14 @@ def _e_step(pdf: pd.DataFrame, model: kernels.BlockModel) -> tuple[np.ndarray, n
     return g, kernels.sufficient(g, y, se), ll
 
 
+def _sums_under(model: kernels.BlockModel):
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, s, ll = _e_step(pdf.sort_values("mid", kind="stable"), model)
+        return pd.DataFrame([[ll, *s.reshape(-1)]], columns=["ll", *(f"s{i}" for i in range(12))])
+
+    return sums
+
+
 def fit_block_hsmm(effects: DataFrame, length_scale: float = 250_000, rounds: int = ROUNDS, tol: float = 1e-5, one_task: int = ONE_TASK) -> tuple[kernels.BlockModel, DataFrame]:
     """The fitted model and ``effects`` (chr, mid, start, end, y, se) with ``posterior``.
 
@@ -53,12 +61,7 @@ def fit_block_hsmm(effects: DataFrame, length_scale: float = 250_000, rounds: in
     effects = effects.repartition("chr").persist()
     before = -np.inf
     for k in range(rounds):
-
-        def sums(pdf: pd.DataFrame, model=model) -> pd.DataFrame:
-            _, s, ll = _e_step(pdf.sort_values("mid", kind="stable"), model)
-            return pd.DataFrame([[ll, *s.reshape(-1)]], columns=["ll", *(f"s{i}" for i in range(12))])
-
-        row = effects.groupBy("chr").applyInPandas(sums, "ll double, " + ", ".join(f"s{i} double" for i in range(12))).agg(F.sum("ll"), *(F.sum(f"s{i}") for i in range(12))).first()
+        row = effects.groupBy("chr").applyInPandas(_sums_under(model), "ll double, " + ", ".join(f"s{i} double" for i in range(12))).agg(F.sum("ll"), *(F.sum(f"s{i}") for i in range(12))).first()
         used, new = model, kernels.maximise(model, np.array(row[1:]).reshape(4, 3))
         new.loglik, new.rounds = row[0], k + 1
         model = new
