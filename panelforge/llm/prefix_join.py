@@ -8,8 +8,8 @@ Exact, in five steps that never enumerate the pairs of a group of copies:
    (one fixed-size array of counts, merged over partitions), then by hash.  Any
    order is correct; rare tokens first makes prefixes selective.
 3. Groups.  Classes with the same prefix and size form one group; a prefix
-   holds the first n - ceil(t*n) + 1 of n tokens, so linked sets share a token in
-   both prefixes.
+   holds the first n - ceil(t*n) + 3 of n tokens, so linked sets share three
+   tokens (or all, if they must share fewer) in both prefixes.
 4. Stars.  Every group that shares a prefix token with others is paired with that
    token's most central group (the one where the token comes first), and members
    of a group with their leader.  Verified links give first components.
@@ -19,9 +19,11 @@ Exact, in five steps that never enumerate the pairs of a group of copies:
    expanded to groups, then to members, and verified.
 
 Every pair of linked classes is verified in 4 or 5, or is already in one
-component when 5 runs, so components are exact.  Sets are recomputed from texts
-and kept only for classes in candidate pairs (a fixed-size Bloom filter thins the
-scan, the join that follows is exact).
+component when 5 runs, so components are exact.  Verification first compares
+512-bit parity signatures: they differ in at most as many bits as the sets differ
+in tokens, so a pair beyond the allowed difference goes without its sets being
+moved.  The sets of the rest are recomputed from texts (a fixed-size Bloom filter
+thins the scan, the join that follows is exact).
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ THRESHOLD = 90  # per cent
 SKETCH_BITS = 22
 #: 2**BLOOM_BITS bits; a fixed 4 MB.
 BLOOM_BITS = 25
+#: Prefix tokens that linked sets have in common.
+SHARED = 3
 
 
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -70,32 +74,40 @@ def token_counts(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     return sketch.summed(docs.mapInArrow(count, sketch.SCHEMA), 1 << bits)
 
 
+def _signature(s: np.ndarray) -> np.ndarray:
+    """Parities of the tokens that fall on each of 512 bits, as eight longs."""
+    odd = np.bincount((textbytes.mix(s ^ np.uint64(0x3C3C3C3C)) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, counts, threshold: int, bits: int) -> DataFrame:
-    """``doc_id, n_shingles, sid, prefix`` of every row; sid is null for a text without words."""
+    """``doc_id, n_shingles, sid, sig, prefix`` of every row; the last three are null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in batches:
             for a, b, h, begin in _documents(batch):
-                size, sids, prefixes = [], [], []
+                size, sids, sigs, prefixes = [], [], [], []
                 for k in range(b - a):
                     s = np.unique(h[begin[k] : begin[k + 1]])
                     n = len(s)
                     size.append(n)
                     if not n:
                         sids.append(None)
+                        sigs.append(None)
                         prefixes.append(None)
                         continue
-                    keep = n - (threshold * n + 99) // 100 + 1
+                    keep = min(n, n - (threshold * n + 99) // 100 + SHARED)
                     order = np.argsort(table[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[:keep]
                     sids.append(_set_id(s))
+                    sigs.append(_signature(s))
                     prefixes.append(s[order].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(sids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "sid", "prefix"],
+                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(sids, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "sid", "sig", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid binary, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid binary, sig array<bigint>, prefix array<bigint>")
 
 
 def _bloom_bits(sid: bytes, bits: int) -> list[int]:
@@ -135,20 +147,39 @@ def _sets(docs: DataFrame, sids: DataFrame, bits: int = BLOOM_BITS) -> DataFrame
     return docs.mapInArrow(run, "sid binary, tokens array<bigint>").groupBy("sid").agg(F.first("tokens").alias("tokens"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+def _close(x, n, y, m, threshold: int):
+    """Whether signatures x and y of sets of n and m tokens allow the threshold."""
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
+    return (100 + threshold) * apart <= (100 - threshold) * (n + m)
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """The distinct pairs (a, b) of sids whose sets reach the threshold."""
-    pairs = cut(pairs.distinct())
-    sets = _sets(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
-    sets = cut(sets.join(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "sid", "left_semi"))
+    x, y = (classes.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"sig{k}")) for k in "ab")
+    pairs = pairs.distinct().join(x, "a").join(y, "b").where(_close(F.col("siga"), F.col("na"), F.col("sigb"), F.col("nb"), threshold))
+    pairs = cut(pairs.select("a", "b"))
+    ends = cut(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
+    sets = cut(_sets(docs, ends).join(ends, "sid", "left_semi"))
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
-    shared_n = F.size(F.array_intersect("x", "y"))
-    total = F.size("x") + F.size("y")
-    return cut(both.where((100 + threshold) * shared_n >= threshold * total).select("a", "b"))
+    common = F.size(F.array_intersect("x", "y"))
+    return cut(both.where((100 + threshold) * common >= threshold * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
 def _possible(i, n, j, m, threshold: int):
-    """Whether sets of n and m tokens whose first common one is at i and j (from 0) can reach the threshold."""
-    return (100 + threshold) * F.least(n - i, m - j) >= threshold * (n + m)
+    """Whether sets of n and m tokens, one of whose first SHARED common ones is at i and j (from 0), can reach the threshold."""
+    return (100 + threshold) * (F.least(n - i, m - j) + (SHARED - 1)) >= threshold * (n + m)
+
+
+def _candidates(pairs: DataFrame, heads: DataFrame, threshold: int) -> DataFrame:
+    """Group pairs (g, h), one row a shared token, that share enough tokens and whose leaders' signatures allow it if alone.
+
+    A group of several classes keeps its pairs: its members' signatures differ.
+    """
+    x, y = (heads.select(F.col("gid").alias(k), F.col("n").alias(f"n{k}"), F.col("lead.sig").alias(f"sig{k}"), F.col("lead.sid").alias(f"sid{k}"), F.col("members").alias(f"m{k}")) for k in "gh")
+    least = F.least(F.lit(SHARED), *(F.floor((threshold * F.col(f"n{k}") + 99) / 100) for k in "gh"))
+    counted = pairs.groupBy("g", "h").agg(F.count("*").alias("tokens"))
+    both = counted.join(x, "g").join(y, "h").where(F.col("tokens") >= least)
+    return both.where((F.col("mg") > 1) | (F.col("mh") > 1) | _close(F.col("sigg"), F.col("ng"), F.col("sigh"), F.col("nh"), threshold))
 
 
 def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -165,19 +196,22 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_column(docs, text_col).alias("text"))
     counts = docs.sparkSession.sparkContext.broadcast(token_counts(docs, sketch_bits))
-    rows = cut(shingle_sets(docs, counts, threshold, sketch_bits))
-    classes = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    classes = cut(classes.withColumn("gid", F.xxhash64("prefix", "n")))
-    groups = classes.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("sid").alias("leader"), F.count("*").alias("members"))
-    entries = groups.select("gid", "leader", "n", F.posexplode("prefix").alias("pos", "token"))
-    pivots = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "leader", "gid")).alias("pivot"), F.count("*").alias("entries")).where("entries > 1")
-    entries = cut(entries.join(pivots, "token").select("token", "gid", "leader", "n", "pos", "pivot"))
+    rows = cut(shingle_sets(docs, counts, threshold, sketch_bits).withColumn("gid", F.xxhash64("prefix", "n_shingles")))
+    known = rows.where("sid is not null")
+    classes = cut(known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("gid").alias("gid")))
+    heads = cut(classes.groupBy("gid").agg(F.first("n").alias("n"), F.min(F.struct("sid", "sig")).alias("lead"), F.count("*").alias("members")))
+    prefixes = cut(known.groupBy("gid").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")))
+    entries = prefixes.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    again = entries.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1").select("token")
+    entries = cut(entries.join(again, "token").select("token", "gid", F.col("n").cast("int").alias("n"), "pos"))
 
     # stars: each group's leader with the pivots of its tokens, each member with its leader
-    near = entries.where("gid <> pivot.gid").where(_possible(F.col("pos"), F.col("n"), F.col("pivot.pos"), F.col("pivot.n"), threshold))
-    own = classes.join(groups.where("members > 1").select("gid", "leader"), "gid").where("sid <> leader")
-    stars = near.select(F.least("leader", "pivot.leader").alias("a"), F.greatest("leader", "pivot.leader").alias("b")).unionByName(own.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")))
-    links = _verify(stars, docs, threshold)
+    pivots = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "gid")).alias("pivot"))
+    near = entries.join(pivots, "token").where("gid <> pivot.gid").where(_possible(F.col("pos"), F.col("n"), F.col("pivot.pos"), F.col("pivot.n"), threshold))
+    near = _candidates(near.select(F.least("gid", "pivot.gid").alias("g"), F.greatest("gid", "pivot.gid").alias("h")), heads, threshold)
+    own = classes.join(heads.where("members > 1").select("gid", F.col("lead.sid").alias("leader")), "gid").where("sid <> leader")
+    stars = near.select(F.least("sidg", "sidh").alias("a"), F.greatest("sidg", "sidh").alias("b")).unionByName(own.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")))
+    links = _verify(stars, classes, docs, threshold)
 
     # the rest: what may still join two components
     first = cut(components(links))
@@ -192,12 +226,12 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
     apart = ~((F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2")))
     cell_pairs = x.join(y, "token").where("n1 < n2 or n1 = n2 and pos1 <= pos2").where(apart).where(_possible(F.col("pos1"), F.col("n1"), F.col("pos2"), F.col("n2"), threshold)).select("token", "n1", "pos1", "n2", "pos2")
     e1, e2 = (entries.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "gid", "low", "high"))) for k in (1, 2))
-    group_pairs = cell_pairs.join(e1, ["token", "n1", "pos1"]).join(e2, ["token", "n2", "pos2"]).where(apart).select(F.least("gid1", "gid2").alias("g"), F.greatest("gid1", "gid2").alias("h")).distinct()
+    group_pairs = cell_pairs.join(e1, ["token", "n1", "pos1"]).join(e2, ["token", "n2", "pos2"]).where(apart).where("n1 <> n2 or pos1 <> pos2 or gid1 < gid2").select(F.least("gid1", "gid2").alias("g"), F.greatest("gid1", "gid2").alias("h"))
     m1, m2 = (member.select(*(F.col(c).alias(f"{c}{k}") for c in ("gid", "sid", "component"))) for k in (1, 2))
     split = spread.where("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))  # pairs inside a group
-    found = group_pairs.unionByName(split).distinct()
+    found = _candidates(group_pairs, heads, threshold).select("g", "h").unionByName(split)
     rest = found.join(m1, F.col("g") == F.col("gid1")).join(m2, F.col("h") == F.col("gid2")).where("component1 <> component2 and (g <> h or sid1 < sid2)")
-    more = _verify(rest.select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")), docs, threshold)
+    more = _verify(rest.select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")), classes, docs, threshold)
     bridges = more.join(member.select(F.col("sid").alias("a"), F.col("component").alias("ca")), "a").join(member.select(F.col("sid").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     merged = components(bridges)
     member = member.join(merged.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("sid", F.coalesce("root", "component").alias("root"))
