@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -166,3 +167,12 @@ def local_linear(pos: np.ndarray, y: np.ndarray, w: np.ndarray, span: float, mos
         det = s0 * s2 - s1 * s1
         out[i] = y[i] if s0 <= 0 else (s2 * t0 - s1 * t1) / det if det > 1e-9 * s0 * max(s2, 1e-300) else t0 / s0
     return out
+
+
+def background_signal(x: np.ndarray, mu: float, sigma: float, alpha: float) -> np.ndarray:
+    """Expected signal of x = signal + noise, signal exponential with mean alpha, noise normal (mu, sigma)."""
+    m = x - mu - sigma**2 / alpha
+    z = m / sigma
+    density = np.exp(-0.5 * z * z) / np.sqrt(2 * np.pi)
+    tail = 0.5 * np.vectorize(math.erfc, otypes=[float])(-z / math.sqrt(2))
+    return np.where(tail > 1e-300, m + sigma * density / np.maximum(tail, 1e-300), 1e-6)

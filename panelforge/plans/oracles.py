@@ -152,4 +152,11 @@ ORACLES = {
     "strict_json": """SELECT '{"s_suppkey":' || s_suppkey || ',"v":' || CASE WHEN s_suppkey % 3 = 2 THEN '0.5' ELSE 'null' END || '}' AS json FROM supplier""",
     "event_sessions": f"""WITH g AS (SELECT user_id, epoch_us(ts) AS t, round(value, 2) AS value, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events), c AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
       SELECT user_id, min(t) AS start_us, max(t) AS end_us, count(*) AS n, {_r('sum(value)', 'total')} FROM c GROUP BY user_id, k""",
+    "gap_histogram": f"WITH {GAPS} SELECT CASE WHEN gap <= 10 THEN '<=10' WHEN gap <= 30 THEN '<=30' WHEN gap <= 100 THEN '<=100' WHEN gap <= 300 THEN '<=300' WHEN gap <= 1000 THEN '<=1000' WHEN gap <= 3000 THEN '<=3000' ELSE '>3000' END AS gap_class, count(*) AS n FROM gaps WHERE gap IS NOT NULL GROUP BY 1",
+    "first_rows": f"WITH {TRACK} SELECT chr, pos, n FROM track WHERE chr IN (SELECT p_partkey FROM part WHERE p_size < 10) ORDER BY pos, chr LIMIT 2000",
+    "harmonised_panel": f"""WITH li AS (SELECT l_suppkey AS sample, l_partkey AS probe, sum(round(l_quantity)) * 1000 AS meth, sum(round(l_quantity)) * 500 + 7 AS unmeth, min(l_tax) / 4 AS detp FROM lineitem GROUP BY 1, 2),
+      q AS (SELECT sample, (quantile_cont(log2(meth), 0.5) + quantile_cont(log2(unmeth), 0.5)) / 2 AS m, avg(CASE WHEN detp > 0.0199 THEN 1.0 ELSE 0 END) AS f FROM li GROUP BY 1),
+      k AS (SELECT li.* FROM li JOIN q ON li.sample = q.sample WHERE NOT (m < 10.5 OR f > 0.5)), bad AS (SELECT DISTINCT probe FROM k WHERE detp > 0.0199),
+      b AS (SELECT probe, least(greatest(meth / (meth + unmeth + 100), 1e-6), 1 - 1e-6) AS b FROM k WHERE probe NOT IN (SELECT probe FROM bad))
+      SELECT b.probe, CAST(p_size % 24 AS VARCHAR) AS chr, CAST(count(*) AS INTEGER) AS samples, {_r("avg(log2(b / (1 - b)))", "mean_m")} FROM b JOIN part ON p_partkey = b.probe GROUP BY 1, 2""",
 }

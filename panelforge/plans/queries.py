@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import hashing
 from panelforge.operators import blocks, compare, genome, genotype, inference, quality_control, regions, within
+from panelforge.panel import Panel
+from panelforge.plans import stages
 from panelforge.sources import adapters, matrix, tables
 from panelforge.streaming import sessions
 
@@ -500,10 +502,35 @@ def event_sessions(spark, d):
     return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n", r6("total", "total"))
 
 
+def gap_histogram(spark, d):
+    return stages.gap_histogram(adapters.track_lineitem(spark, d))
+
+
+def first_rows(spark, d):
+    """The first 2,000 positions of the parts below a size."""
+    keys = tables.table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("chr"))
+    return stages.first_rows(adapters.track_lineitem(spark, d), keys, "chr", "pos").select("chr", "pos", "n")
+
+
+def probe_model_summary(spark, d):
+    """Joint and per-array mixed fits: one row a fit."""
+    panel = Panel.of(adapters.panel_embeddings(spark, d), [{"subject": s, "exposure": e, "array": a} for s, e, a in _sheet()])
+    _, summary = stages.probe_model(panel, "exposure", "subject", "array")
+    return summary.select("fit", "n_samples", "n_subjects", r6("within_subject_cor", "within_subject_cor"), "n_probes", "n_fdr05")
+
+
+def harmonised_panel(spark, d):
+    """Line items as intensities: failed suppliers and parts go, the rest become M values."""
+    li = tables.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("probe")).agg((F.sum(F.round("l_quantity")) * 1000).alias("meth"), (F.sum(F.round("l_quantity")) * 500 + 7).alias("unmeth"), (F.min("l_tax") / 4).alias("detp"))
+    ann = tables.table(spark, d, "part").select(F.col("p_partkey").alias("probe"), (F.col("p_size") % 24).cast("string").alias("chr"), F.col("p_partkey").alias("pos"))
+    panel, _, _ = stages.harmonise(li, ann, detp_frac=0.5, detp_max=0.0199)
+    return panel.select("probe", "chr", F.size("m").alias("samples"), r6(F.aggregate("m", F.lit(0.0), lambda s, x: s + x) / F.size("m"), "mean_m"))
+
+
 QUERIES = {f.__name__: f for f in (
     gap_clusters_fixed, legacy_fixed_collapse, spacing_summary, gap_size_classes, distance_penalty, region_calls_sql, block_runs, interval_overlap, interval_containment, point_in_interval, region_ivw_effect, nearest_feature,
     within_transform, identification_df, within_fit_orders, within_fit_simple, within_fit_covariates, moderated_variance, gls_probe_model, adjacent_correlation, comethylation_clusters, cluster_collapse, tv_track, cv_lambda,
     regions_end_to_end, permutation_null, naive_null, stability_selection, hmm_blocks, bumphunter_like, blockfinder_like, fold_assignment, subject_hash, permutation_within, permutation_naive, subject_subsample, fwer_pvalues, fwer_borderline, bh_fdr,
     cross_array_agreement, correlation_ci, common_footing, method_comparison, beta_to_m, exposure_coding, sample_qc, probe_filter_audit, probe_intersection, manifest_concordance, annotate_left, dropped_probes, subject_semi, gene_filter, manifest_sets,
-    top_regions, genotype_calls, pair_concordance, gap_partition, gaphunter, minor_group_profile, variance_explained, group_chip_chi2, hwe_expected, hwe_tail, fisher_group_array, chip_permutation_p, audit_simulation, f64_roundtrip, strict_json, event_sessions,
+    top_regions, genotype_calls, pair_concordance, gap_partition, gaphunter, minor_group_profile, variance_explained, group_chip_chi2, hwe_expected, hwe_tail, fisher_group_array, chip_permutation_p, audit_simulation, f64_roundtrip, strict_json, event_sessions, gap_histogram, first_rows, probe_model_summary, harmonised_panel,
 )}
