@@ -34,7 +34,7 @@ def _sums_under(model: kernels.BlockModel):
     return sums
 
 
-def fit_block_hsmm(effects: DataFrame, length_scale: float = 250_000, rounds: int = ROUNDS, tol: float = 1e-5, one_task: int = ONE_TASK) -> tuple[kernels.BlockModel, DataFrame]:
+def fit_blocks(effects: DataFrame, length_scale: float = 250_000, rounds: int = ROUNDS, tol: float = 1e-5, one_task: int = ONE_TASK) -> tuple[kernels.BlockModel, DataFrame]:
     """The fitted model and ``effects`` (chr, mid, start, end, y, se) with ``posterior``.
 
     Both routes run the same EM; the second keeps each chromosome in its task and
@@ -86,7 +86,7 @@ def cluster_effects(clusters: DataFrame, design: within.Design, values: str = "m
     return fits.select(*keep, F.col("beta").alias("y"), "se")
 
 
-def ewas_blocks(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_gap: float = 1500, rho_min: float = 0.20, length_scale: float = 250_000, min_post: float = 0.80, min_clusters: int = 3, min_fit_clusters: int = 200, project: bool = True) -> tuple[DataFrame, DataFrame, kernels.BlockModel]:
+def find_blocks(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_gap: float = 1500, rho_min: float = 0.20, length_scale: float = 250_000, min_post: float = 0.80, min_clusters: int = 3, min_fit_clusters: int = 200, project: bool = True) -> tuple[DataFrame, DataFrame, kernels.BlockModel]:
     """(blocks, cluster effects, model): cluster, collapse, fit, decode; per-array effects where an array's design is identified.
 
     Fewer than ``min_fit_clusters`` clusters is an error.  ``project`` chooses whether
@@ -100,7 +100,7 @@ def ewas_blocks(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_ga
     n = collapsed.count()
     if n < min_fit_clusters:
         raise ValueError(f"{n} clusters; at least {min_fit_clusters} are needed")
-    model, effects = fit_block_hsmm(cluster_effects(collapsed, design), length_scale)
+    model, effects = fit_blocks(cluster_effects(collapsed, design), length_scale)
     blocks = genome.call_blocks(effects, "posterior", min_post, min_clusters, model.neutral)
     for array in sorted({a for _, _, a in sheet}):
         at = [i for i, s in enumerate(sheet) if s[2] == array]

@@ -11,7 +11,7 @@ from panelforge.functions import kernels
 from panelforge.operators import compare, genome, inference, within
 
 
-def ewas_regions(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_gap: float = 1000, rho_min: float = 0.30, lam: float | tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0), cv_folds: int = 5, decay: float = 1000.0, min_probes: int = 3, min_effect: float = 0.05, n_perm: int = 0, scheme: str = "within", n_boot: int = 0, seed: int = 1) -> tuple[DataFrame, dict]:
+def find_regions(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_gap: float = 1000, rho_min: float = 0.30, lam: float | tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0), cv_folds: int = 5, decay: float = 1000.0, min_probes: int = 3, min_effect: float = 0.05, n_perm: int = 0, scheme: str = "within", n_boot: int = 0, seed: int = 1) -> tuple[DataFrame, dict]:
     """(regions, run record).
 
     Fit and moderate, cluster residuals, choose the smoothness (a grid is

@@ -115,11 +115,11 @@ class Panel:
         return within.with_z(f, d.unit).select("probe", "chr", "pos", "beta", "se", "z")
 
     def regions(self, exposure, subject, array=None, **parameters) -> tuple[DataFrame, dict]:
-        found, record = regions.ewas_regions(self.data, self.sheet(exposure, subject, array), **parameters)
+        found, record = regions.find_regions(self.data, self.sheet(exposure, subject, array), **parameters)
         return found, record | self.metadata
 
     def blocks(self, exposure, subject, array=None, **parameters) -> tuple[DataFrame, DataFrame, dict]:
-        found, effects, model = blocks.ewas_blocks(self.data, self.sheet(exposure, subject, array), **parameters)
+        found, effects, model = blocks.find_blocks(self.data, self.sheet(exposure, subject, array), **parameters)
         return found, effects, {"mu": model.mu.tolist(), "sigma": model.sigma.tolist(), "pi": model.pi.tolist(), "loglik": model.loglik, "rounds": model.rounds, "neutral": model.neutral} | self.metadata
 
 

@@ -202,7 +202,7 @@ def cv_lambda(spark, d):
 
 
 def regions_end_to_end(spark, d):
-    found, _ = regions.ewas_regions(adapters.panel_embeddings(spark, d), _sheet(), rho_min=RHO, lam=0.25, min_probes=2, min_effect=EFFECT, n_perm=20, n_boot=10)
+    found, _ = regions.find_regions(adapters.panel_embeddings(spark, d), _sheet(), rho_min=RHO, lam=0.25, min_probes=2, min_effect=EFFECT, n_perm=20, n_boot=10)
     return found.select("region", "chr", "start", "end", "width", "n_probes", r6("effect", "effect"), r6("z", "z"), r6("p_fwer", "p_fwer"), r6("stability", "stability"))
 
 
@@ -218,12 +218,12 @@ def naive_null(spark, d):
 
 def stability_selection(spark, d):
     p = adapters.panel_embeddings(spark, d)
-    found, _ = regions.ewas_regions(p, _sheet(), rho_min=RHO, lam=0.25, min_probes=2, min_effect=EFFECT)
+    found, _ = regions.find_regions(p, _sheet(), rho_min=RHO, lam=0.25, min_probes=2, min_effect=EFFECT)
     return inference.stability(p, _sheet(), found, 20, 0.25, min_probes=2, min_effect=EFFECT).select("region", r6("stability", "stability"))
 
 
 def hmm_blocks(spark, d):
-    b, _, _ = blocks.ewas_blocks(adapters.panel_embeddings(spark, d), _sheet(), rho_min=0.0, min_post=0.5, min_clusters=1, min_fit_clusters=3)
+    b, _, _ = blocks.find_blocks(adapters.panel_embeddings(spark, d), _sheet(), rho_min=0.0, min_post=0.5, min_clusters=1, min_fit_clusters=3)
     return b.select("chr", "start", "end", "width", "n_clusters", "direction", r6("posterior", "posterior"))
 
 

@@ -95,7 +95,7 @@ def test_comethylation_clusters_find_runs(spark):
 
 def test_regions_end_to_end_find_the_planted_run(spark):
     m, sheet = simulated(1)
-    found, record = regions.ewas_regions(panel(spark, m), sheet, rho_min=-1.0, lam=1.0, n_perm=5, n_boot=4)
+    found, record = regions.find_regions(panel(spark, m), sheet, rho_min=-1.0, lam=1.0, n_perm=5, n_boot=4)
     top = found.orderBy(F.desc(F.abs("z"))).first()
     assert abs(top["effect"] - 0.30) < 0.06 and top["start"] <= 600 and record["df"] == 120 - 30 - 1
     assert top["stability"] == 1.0 and top["p_fwer"] == pytest.approx(1 / 6) and top["sign_concordant"]
@@ -175,8 +175,8 @@ def test_blocks_recover_runs_by_both_routes(spark):
     y += rng.normal(0, se)
     rows = [(1, float(i * 120_000), i * 120_000, i * 120_000 + 500, float(y[i]), float(se[i])) for i in range(500)]
     df = spark.createDataFrame(rows, "chr int, mid double, start long, end long, y double, se double")
-    model, post = blocks.fit_block_hsmm(df)
-    far, post2 = blocks.fit_block_hsmm(df, one_task=10)
+    model, post = blocks.fit_blocks(df)
+    far, post2 = blocks.fit_blocks(df, one_task=10)
     assert np.allclose(model.mu, far.mu, atol=1e-9) and model.rounds == far.rounds
     p1, p2 = ([r.posterior for r in p.orderBy("mid").collect()] for p in (post, post2))
     assert np.allclose(p1, p2, atol=1e-9)
