@@ -26,7 +26,7 @@ from panelforge.llm.spans import SpanEncoder
 
 SEQ_LEN = 2048
 EOS_ID = 1
-CACHE_SPANS = 1 << 20
+CACHE_SPANS = 1 << 19
 
 
 class WordEncoder(SpanEncoder):
@@ -75,14 +75,12 @@ def piece_lengths(n: int, seq_len: int = SEQ_LEN) -> list[int]:
     return out
 
 
-_encoders: dict[int, WordEncoder] = {}
-
-
 def _encoder(broadcast) -> WordEncoder:
-    if broadcast.id not in _encoders:  # one vocabulary at a time stays in a worker
-        _encoders.clear()
-        _encoders[broadcast.id] = WordEncoder(broadcast.value)
-    return _encoders[broadcast.id]
+    key = ("words", broadcast.id)
+    if key not in shared.ENGINES:  # one vocabulary at a time stays in a worker
+        shared.ENGINES.clear()
+        shared.ENGINES[key] = WordEncoder(broadcast.value)
+    return shared.ENGINES[key]
 
 
 class _Vocabulary:
@@ -123,7 +121,7 @@ def pack_documents(docs: DataFrame, tokenizer_json: str, *, seq_len: int = SEQ_L
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
-            for a, b, buf, offs in textbytes.slices(batch.column(1)):
+            for a, b, buf, offs in textbytes.slices(batch.column(1), 2 * textbytes.SLICE):
                 ids, begin = encoder.encode(buf, offs)
                 doc_of, start, length, total, parts = [], [], [], [], []
                 eos = np.array([eos_id], dtype=np.uint32)
@@ -150,6 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer_json: str, *, seq_len: int = SEQ_L
                     ],
                     names=["doc_id", "start", "length", "doc_tokens", "offset", "bucket", "ids"],
                 )
+        shared.tidy()
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_column(docs, text_col).alias("text"))
     return read.mapInArrow(pack, SCHEMA).withColumn("sequence_id", F.monotonically_increasing_id())

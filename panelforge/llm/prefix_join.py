@@ -64,12 +64,15 @@ def token_counts(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     """Counts of all shingles of all texts in 2**bits buckets of their hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.ENGINES.clear()
         total = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
             for _, _, h, _ in _documents(batch):
                 key, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
                 total[key] += n.astype(np.uint32)
         yield from sketch.blocks(total)
+        del total
+        shared.tidy()
 
     return sketch.summed(docs.mapInArrow(count, sketch.SCHEMA), 1 << bits)
 
@@ -106,6 +109,7 @@ def shingle_sets(docs: DataFrame, counts, threshold: int, bits: int) -> DataFram
                     [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(sids, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "sid", "sig", "prefix"],
                 )
+        shared.tidy()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, sid binary, sig array<bigint>, prefix array<bigint>")
 
@@ -143,6 +147,7 @@ def _sets(docs: DataFrame, sids: DataFrame, bits: int = BLOOM_BITS) -> DataFrame
                     if len(s) and (sid := _set_id(s)) not in out and all(table[at >> 3] >> (at & 7) & 1 for at in _bloom_bits(sid, bits)):
                         out[sid] = s.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.list_(pa.int64()))], names=["sid", "tokens"])
+        shared.tidy()
 
     return docs.mapInArrow(run, "sid binary, tokens array<bigint>").groupBy("sid").agg(F.first("tokens").alias("tokens"))
 

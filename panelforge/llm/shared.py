@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Tables that a Python worker keeps between tasks; the operators that need none drop them.
+ENGINES: dict = {}
+
+
+def tidy() -> None:
+    """Give memory that a finished partition freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
@@ -63,9 +76,11 @@ def append_columns(docs: DataFrame, text, values: Callable[..., dict[str, np.nda
         inputs.append(c.alias(fresh(docs, f"input_{k}")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ENGINES.clear()
         for batch in batches:
             out = values(*batch.columns[n:])
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(out[c] if isinstance(out[c], pa.Array) else pa.array(out[c]) for c in names)], names=[*batch.schema.names[:n], *names])
+        tidy()
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in types.items())])
     return docs.select("*", *inputs).mapInArrow(run, schema)

@@ -26,6 +26,8 @@ _TABLE[65:91] = _TABLE[97:123]
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 2**64)
 SHINGLE_A, SHINGLE_B, SHINGLE_C = (_U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+#: Bytes of text that array expressions work on at a time.
+SLICE = 400_000
 _pow = np.ones(1, dtype=np.uint64)
 _inv = np.ones(1, dtype=np.uint64)
 
@@ -48,7 +50,7 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _U(31))
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of slices of about ``most`` bytes; null texts are empty.
 
     A text longer than ``most`` is a slice of its own, so memory follows the

@@ -193,7 +193,7 @@ def count_edits(docs: DataFrame, edits, tokenizer_json: str, *, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = engine(key, vocabulary.value)
         for batch in batches:
-            for a, b, buf, offs in textbytes.slices(batch.column(1)):
+            for a, b, buf, offs in textbytes.slices(batch.column(1), 2 * textbytes.SLICE):
                 wanted = batch.column(2).slice(a, b - a).to_pylist()
                 trees = [DocumentTree(*t) for t in pretokens(encoder, buf, offs)]
                 before = [t.total for t in trees]

@@ -151,6 +151,8 @@ def label_sample(labels: DataFrame, label_col: str, most: dict[int, int], id_col
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, epochs: int = EPOCHS) -> Model:
     """Learn from a bounded sample of labelled rows, none of them held out.
 
+    Features of one sampled text alone are left out.
+
     Without rows of both labels the model is a constant, the share of label 1
     with one added to each count.
     """
@@ -163,15 +165,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
     )
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[tuple[int, int, np.ndarray]] = []
-        for batch in batches:
-            ids, ys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b, buf, offs in textbytes.slices(batch.column(2)):
-                doc, f = features(buf, offs, bits)
-                key = np.unique((doc << np.int64(32)) | f)
-                cuts = np.searchsorted(key, np.arange(b - a + 1, dtype=np.int64) << 32)
-                f = (key & 0xFFFFFFFF).astype(np.int32)
-                seen += [(ids[a + k], ys[a + k], f[cuts[k] : cuts[k + 1]].copy()) for k in range(b - a)]
+        shared.ENGINES.clear()
+        held = list(batches)  # the bounded sample's texts
+        often = np.zeros(1 << bits, dtype=np.uint8)  # in how many texts, up to 2
+
+        def distinct():
+            for batch in held:
+                ids, ys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for a, b, buf, offs in textbytes.slices(batch.column(2)):
+                    doc, f = features(buf, offs, bits)
+                    key = np.unique((doc << np.int64(32)) | f)
+                    cuts = np.searchsorted(key, np.arange(b - a + 1, dtype=np.int64) << 32)
+                    f = (key & 0xFFFFFFFF).astype(np.int32)
+                    for k in range(b - a):
+                        yield ids[a + k], ys[a + k], f[cuts[k] : cuts[k + 1]]
+
+        for _, _, f in distinct():
+            often[f] = np.minimum(often[f] + 1, 2)
+        seen = [(i, y, f[often[f] > 1]) for i, y, f in distinct()]  # what one text alone has teaches nothing
         positive = sum(y for _, y, _ in seen)
         scale, shift = 1.0, 0.0
         if 0 < positive < len(seen):
@@ -189,6 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
             index, weight = np.empty(0, np.int32), np.empty(0, np.float32)
             bias = float(np.log((positive + 1) / (len(seen) - positive + 1)))
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (index.tobytes(), weight.tobytes(), bias, scale, shift)], names=["index", "weight", "bias", "scale", "shift"])
+        seen, held = [], []
+        shared.tidy()
 
     row = texts.select("doc_id", "label", "text").coalesce(1).mapInArrow(train, "index binary, weight binary, bias double, scale double, shift double").collect()
     if not row:

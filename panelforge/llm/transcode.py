@@ -11,16 +11,15 @@ from pyspark.sql import functions as F
 from panelforge.llm import shared, textbytes
 from panelforge.llm.bpe import Merges, StreamingDecoder, TextEncoder
 
-_engines: dict[str, TextEncoder] = {}
 #: Ids that the decoder takes at a time.
 DECODE_BLOCK = 8192
 
 
 def engine(key: str, tokenizer_json: str) -> TextEncoder:
-    if key not in _engines:  # one vocabulary at a time stays in a worker
-        _engines.clear()
-        _engines[key] = TextEncoder(Merges(tokenizer_json))
-    return _engines[key]
+    if ("bytes", key) not in shared.ENGINES:  # one vocabulary at a time stays in a worker
+        shared.ENGINES.clear()
+        shared.ENGINES["bytes", key] = TextEncoder(Merges(tokenizer_json))
+    return shared.ENGINES["bytes", key]
 
 
 def decode(merges_decoder: StreamingDecoder, ids) -> str:
@@ -47,7 +46,7 @@ def transcode_documents(docs: DataFrame, tokenizer_json: str, *, id_col: str = "
         encoder = engine(key, vocabulary.value)
         decoder = StreamingDecoder(encoder.merges)
         for batch in batches:
-            for a, b, buf, offs in textbytes.slices(batch.column(1)):
+            for a, b, buf, offs in textbytes.slices(batch.column(1), 2 * textbytes.SLICE):
                 ids, begin = encoder.encode(buf, offs)
                 cuts = begin.tolist()
                 yield pa.RecordBatch.from_arrays(
