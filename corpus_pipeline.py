@@ -17,6 +17,8 @@ from panelforge.llm import packing, prefix_join, quality, registry, shared, toxi
 
 #: Removed ids up to this many are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Near duplicates share this much (per cent) of their shingles of so many words.
+NEAR_THRESHOLD, NEAR_WIDTH = 80, 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share an id are one document and leave one row (the smallest); rows
     without an id are kept.
     """
-    found = shared.cut(prefix_join.near_duplicates(docs))
+    found = shared.cut(prefix_join.near_duplicates(docs, threshold=NEAR_THRESHOLD, width=NEAR_WIDTH))
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("copies"))
     ids = shared.cut(ids.where("component_id <> doc_id or copies > 1"))
     gone, twice = ids.where("component_id <> doc_id").select("doc_id"), ids.where("component_id = doc_id").select("doc_id")

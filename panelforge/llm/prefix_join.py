@@ -2,7 +2,7 @@
 
 Exact, in five steps that never enumerate the pairs of a group of copies:
 
-1. Classes.  Each text's set of 3-word shingles (64-bit hashes) is formed in one
+1. Classes.  Each text's set of word shingles (64-bit hashes) is formed in one
    pass; texts with equal sets are one class and only the class goes on.
 2. Order.  Tokens are ordered by an estimate of their frequency over all texts
    (one fixed-size array of counts, merged over partitions), then by hash.  Any
@@ -40,6 +40,8 @@ from panelforge.llm.components import components
 from panelforge.llm.shared import cut
 
 THRESHOLD = 90  # per cent
+#: Words of a shingle.
+WIDTH = 3
 #: 2**SKETCH_BITS frequency counts; a fixed 16 MB.
 SKETCH_BITS = 22
 #: 2**BLOOM_BITS bits; a fixed 4 MB.
@@ -48,9 +50,9 @@ BLOOM_BITS = 25
 SHARED = 3
 
 
-def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _documents(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for a, b, buf, offs in textbytes.slices(batch.column(1)):
-        h, begin = textbytes.document_shingles(buf, offs)
+        h, begin = textbytes.document_shingles(buf, offs, width)
         yield a, b, h, begin
 
 
@@ -60,14 +62,14 @@ def _set_id(s: np.ndarray) -> bytes:
         return np.array([textbytes.mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(), textbytes.mix(s + np.uint64(0x1234567)).sum(), len(s)], dtype="<u8").tobytes()[:20]
 
 
-def token_counts(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+def token_counts(docs: DataFrame, bits: int = SKETCH_BITS, width: int = WIDTH) -> np.ndarray:
     """Counts of all shingles of all texts in 2**bits buckets of their hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.ENGINES.clear()
         total = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
-            for _, _, h, _ in _documents(batch):
+            for _, _, h, _ in _documents(batch, width):
                 key, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
                 total[key] += n.astype(np.uint32)
         yield from sketch.blocks(total)
@@ -83,13 +85,13 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, counts, threshold: int, bits: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, counts, threshold: int, bits: int, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_shingles, sid, sig, prefix`` of every row; the last three are null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in batches:
-            for a, b, h, begin in _documents(batch):
+            for a, b, h, begin in _documents(batch, width):
                 size, sids, sigs, prefixes = [], [], [], []
                 for k in range(b - a):
                     s = np.unique(h[begin[k] : begin[k + 1]])
@@ -133,14 +135,14 @@ def _bloom(sids: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
     return sketch.summed(sids.mapInArrow(run, sketch.SCHEMA), 1 << (bits - 3), np.uint8, np.bitwise_or)
 
 
-def _sets(docs: DataFrame, sids: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
+def _sets(docs: DataFrame, sids: DataFrame, width: int, bits: int = BLOOM_BITS) -> DataFrame:
     """``sid, tokens`` of the classes named by ``sids`` (and a few more)."""
     held = docs.sparkSession.sparkContext.broadcast(_bloom(sids, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for batch in batches:
-            for a, b, h, begin in _documents(batch):
+            for a, b, h, begin in _documents(batch, width):
                 out: dict[bytes, np.ndarray] = {}
                 for k in range(b - a):
                     s = np.unique(h[begin[k] : begin[k + 1]])
@@ -158,13 +160,13 @@ def _close(x, n, y, m, threshold: int):
     return (100 + threshold) * apart <= (100 - threshold) * (n + m)
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
     """The distinct pairs (a, b) of sids whose sets reach the threshold."""
     x, y = (classes.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"sig{k}")) for k in "ab")
     pairs = pairs.distinct().join(x, "a").join(y, "b").where(_close(F.col("siga"), F.col("na"), F.col("sigb"), F.col("nb"), threshold))
     pairs = cut(pairs.select("a", "b"))
     ends = cut(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
-    sets = cut(_sets(docs, ends).join(ends, "sid", "left_semi"))
+    sets = cut(_sets(docs, ends, width).join(ends, "sid", "left_semi"))
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.where((100 + threshold) * common >= threshold * (F.size("x") + F.size("y"))).select("a", "b"))
@@ -187,11 +189,11 @@ def _candidates(pairs: DataFrame, heads: DataFrame, threshold: int) -> DataFrame
     return both.where((F.col("mg") > 1) | (F.col("mh") > 1) | _close(F.col("sigg"), F.col("ng"), F.col("sigh"), F.col("nh"), threshold))
 
 
-def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
     Two rows link when 100 * |intersection| >= threshold * |union| of their
-    shingle sets; ``component_id`` is the smallest document id that links reach,
+    sets of ``width``-word shingles; ``component_id`` is the smallest document id that links reach,
     the row's own included.
 
     Null, empty or blank text: no shingles, linked with nothing.  Null document
@@ -200,8 +202,8 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
     not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_column(docs, text_col).alias("text"))
-    counts = docs.sparkSession.sparkContext.broadcast(token_counts(docs, sketch_bits))
-    rows = cut(shingle_sets(docs, counts, threshold, sketch_bits).withColumn("gid", F.xxhash64("prefix", "n_shingles")))
+    counts = docs.sparkSession.sparkContext.broadcast(token_counts(docs, sketch_bits, width))
+    rows = cut(shingle_sets(docs, counts, threshold, sketch_bits, width).withColumn("gid", F.xxhash64("prefix", "n_shingles")))
     known = rows.where("sid is not null")
     classes = cut(known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("gid").alias("gid")))
     heads = cut(classes.groupBy("gid").agg(F.first("n").alias("n"), F.min(F.struct("sid", "sig")).alias("lead"), F.count("*").alias("members")))
@@ -216,7 +218,7 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
     near = _candidates(near.select(F.least("gid", "pivot.gid").alias("g"), F.greatest("gid", "pivot.gid").alias("h")), heads, threshold)
     own = classes.join(heads.where("members > 1").select("gid", F.col("lead.sid").alias("leader")), "gid").where("sid <> leader")
     stars = near.select(F.least("sidg", "sidh").alias("a"), F.greatest("sidg", "sidh").alias("b")).unionByName(own.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")))
-    links = _verify(stars, classes, docs, threshold)
+    links = _verify(stars, classes, docs, threshold, width)
 
     # the rest: what may still join two components
     first = cut(components(links))
@@ -236,7 +238,7 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str
     split = spread.where("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))  # pairs inside a group
     found = _candidates(group_pairs, heads, threshold).select("g", "h").unionByName(split)
     rest = found.join(m1, F.col("g") == F.col("gid1")).join(m2, F.col("h") == F.col("gid2")).where("component1 <> component2 and (g <> h or sid1 < sid2)")
-    more = _verify(rest.select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")), classes, docs, threshold)
+    more = _verify(rest.select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")), classes, docs, threshold, width)
     bridges = more.join(member.select(F.col("sid").alias("a"), F.col("component").alias("ca")), "a").join(member.select(F.col("sid").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     merged = components(bridges)
     member = member.join(merged.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("sid", F.coalesce("root", "component").alias("root"))

@@ -98,28 +98,33 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, cased: bo
         return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
 
 
-def shingles(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 3-word shingles of every document, and where each document's begin.
+def shingles(h: np.ndarray, first: np.ndarray, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of ``width`` words of every document, and where each document's begin.
 
-    A document of one or two words has the whole sequence as its one shingle; one without words has none.
+    A document of fewer words has the whole sequence as its one shingle; one without words has none.
     """
     n = np.diff(first)
-    count = np.where(n >= 3, n - 2, np.minimum(n, 1))
+    count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     begin = np.concatenate([[0], np.cumsum(count)])
     at = np.repeat(first[:-1] - begin[:-1], count) + np.arange(begin[-1])
     with np.errstate(over="ignore"):
-        out = h[at] * SHINGLE_A
         k = np.repeat(n, count)
-        two, three = k >= 2, k >= 3
-        out[two] += h[at[two] + 1] * SHINGLE_B
-        out[three] += h[at[three] + 2] * SHINGLE_C
-        out += np.minimum(k, 3).astype(np.uint64) * _U(0x8EBC6AF09C88C6E3)
+        out = h[at] * shingle_factor(0)
+        for j in range(1, width):
+            has = k > j
+            out[has] += h[at[has] + j] * shingle_factor(j)
+        out += np.minimum(k, width).astype(np.uint64) * _U(0x8EBC6AF09C88C6E3)
     return mix(out), begin
 
 
-def document_shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_factor(j: int) -> np.uint64:
+    """The odd multiplier of a shingle's word ``j``."""
+    return (SHINGLE_A, SHINGLE_B, SHINGLE_C)[j] if j < 3 else mix(np.array([j], dtype=np.uint64))[0] | _U(1)
+
+
+def document_shingles(buf: np.ndarray, offs: np.ndarray, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = word_spans(buf, offs)
-    return shingles(span_hashes(buf, starts, ends), first)
+    return shingles(span_hashes(buf, starts, ends), first, width)
 
 
 _ALNUM = np.zeros(256, dtype=bool)

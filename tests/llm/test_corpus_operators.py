@@ -293,3 +293,15 @@ def test_pipeline_stages(spark, smoke):
         by[r.doc_id] += r.length
         assert r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length
     assert all(by[r.doc_id] == r.doc_tokens for r in rows)
+
+
+def test_pipeline_removes_near_copies_of_five_word_shingles(spark, smoke):
+    words = [f"w{k}" for k in range(200)]
+    texts = [words, words[:100] + [f"x{k}" for k in range(10)] + words[110:], words[:170], words[:150], ["one", "two", "three", "four"], ["one", "two", "three", "four"], ["one", "two", "three", "five"]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, smoke).collect())
+    assert kept == [0, 4, 6]  # 182 of 210, 166 of 196; document 3 has 146 of 166 with document 2
+    shared_ = {r.doc_id: (r.n_shingles, r.component_id) for r in prefix_join.near_duplicates(docs, threshold=80, width=5, sketch_bits=17).collect()}
+    assert shared_ == {0: (196, 0), 1: (196, 0), 2: (166, 0), 3: (146, 0), 4: (1, 4), 5: (1, 4), 6: (1, 6)}
+    strict = {r.doc_id: r.component_id for r in prefix_join.near_duplicates(docs, sketch_bits=17).collect()}
+    assert strict == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6}
