@@ -4,7 +4,9 @@ Both models are word bigrams with a Dirichlet prior on word frequencies and shar
 one vocabulary: the words with the highest counts over all documents, at most
 ``vocabulary``; all others are one unknown word.  Counts cover all documents
 (background) and all target documents.  Bigram counts are kept in 2**bits hashed
-buckets, so a model's size is fixed.
+buckets, so a model's size is fixed.  That holds for :func:`fit` and :func:`score`;
+:func:`score_corpus` keeps every word and every bigram of the corpus, in tables
+dealt over key ranges that grow with it.
 
 A document's score is its mean loss per token under the background minus that
 under the target: larger where it reads more like the target.  A document's own
@@ -31,6 +33,8 @@ PRIOR = 20.0
 #: Target ids up to this many are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _FLUSH = 500_000
+#: Bytes of text of a slice and of a key range of score_corpus; their numbers grow with the corpus.
+SLICE_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -217,3 +221,86 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", target_col:
     types = dict(zip(names, (T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType())))
     target = F.coalesce(F.col(target_col), F.lit(False)) if target_col in docs.columns else F.lit(False)
     return shared.append_columns(docs, shared.text_column(docs, text_col), values, types, target)
+
+
+def _keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every token three 64-bit keys, its word's, its context's and their pair's (the kind in the low bits); and each document's first."""
+    h, first = _words(buf, offs)
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[first[:-1][np.diff(first) > 0]] = np.uint64(0x5851F42D4C957F2D)  # the start mark
+    with np.errstate(over="ignore"):
+        each = (textbytes.mix(h + _A), textbytes.mix(before + _B), textbytes.mix(textbytes.mix(before * _A) + h * _B))
+    return np.stack([x & ~np.uint64(3) | np.uint64(k) for k, x in enumerate(each)]), first
+
+
+def _slice_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The slice's sorted distinct keys, each token's three places among them, tokens of each document, and target flags."""
+    keys, sizes = [np.empty((3, 0), np.uint64)], [np.empty(0, np.int64)]
+    for chunk in table.column("__text").chunks:
+        for _, _, buf, offs in textbytes.slices(chunk):
+            k, first = _keys(buf, offs)
+            keys.append(k)
+            sizes.append(np.diff(first))
+    u, at = np.unique(np.concatenate(keys, axis=1), return_inverse=True)
+    return u, at.reshape(3, -1), np.concatenate(sizes), table.column("__target").to_numpy().astype(bool)
+
+
+def score_corpus(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target_col: str = "is_target", prior: float = PRIOR, names: tuple[str, str, str, str] = ("n_tokens", "target_loss", "background_loss", "difference")) -> DataFrame:
+    """``docs`` without the text, with ``target_col`` and the four columns of :func:`score`, under exact models of all of ``docs``.
+
+    No word is cut and no bigrams share a count.  Slices of documents send the
+    counts of their distinct keys to the ranges of keys; a range adds them up and
+    answers every slice with the totals of its keys, which the slice's documents
+    are scored with.  Keys travel as compressed differences.  Slices and ranges grow in number with the text, not in size.
+    """
+    marked = mark_targets(docs, targets, id_col=id_col, flag=target_col)
+    size = docs.select(F.sum(F.octet_length(shared.text_column(docs, text_col))).alias("n")).first()["n"] or 0
+    slices, ranges = (max(1, -(-size // b)) for b in (SLICE_BYTES, RANGE_BYTES))
+    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], dtype=np.uint64)
+    rest = [c for c in marked.columns if c not in (text_col, *names)]
+    text = shared.text_column(marked, text_col)
+    dealt = marked.select(*rest, text.alias("__text"), F.col(target_col).alias("__target"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(slices)).alias("__slice"))
+
+    def ask(table: pa.Table) -> pa.Table:
+        u, at, sizes, target = _slice_keys(table)
+        b = np.bincount(at.ravel(), minlength=len(u)).astype(np.uint32)
+        t = np.bincount(at[:, np.repeat(target, sizes)].ravel(), minlength=len(u)).astype(np.uint32)
+        cuts = [0, *np.searchsorted(u, edges), len(u)]
+        parts = list(zip(cuts, cuts[1:]))
+        packed = [pa.array([sketch.squeeze(np.diff(u[i:j], prepend=np.uint64(0))) for i, j in parts], pa.binary()), *(pa.array([sketch.squeeze(x[i:j]) for i, j in parts], pa.binary()) for x in (t, b))]
+        return pa.Table.from_arrays([pa.array(np.arange(ranges), pa.int32()), pa.array([table.column("__slice")[0].as_py()] * ranges, pa.int64()), *packed], names=["range", "slice", "keys", "target", "background"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys, t, b = ([sketch.spread(x.as_py(), d) for x in table.column(c)] for c, d in (("keys", np.uint64), ("target", np.uint32), ("background", np.uint32)))
+        keys = [np.cumsum(k, dtype=np.uint64) for k in keys]
+        u, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = [np.bincount(at, weights=np.concatenate(x), minlength=len(u)).astype(np.int64) for x in (t, b)]
+        word = (u & np.uint64(3)) == 0
+        known = [int(word.sum()), *(int(x[word].sum()) for x in sums)]
+        cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        back = [pa.array([sketch.squeeze(x[at[i:j]]) for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in sums]
+        return pa.Table.from_arrays([table.column("slice"), table.column("range"), *back, *(pa.array([k] * table.num_rows, pa.int64()) for k in known)], names=["slice", "range", "target", "background", "words", "in_target", "in_background"])
+
+    def losses(table: pa.Table, found: pa.Table) -> pa.Table:
+        _, at, n, target = _slice_keys(table)
+        found = found.sort_by("range")
+        words, *totals = (sum(found.column(c).to_pylist()) for c in ("words", "in_target", "in_background"))
+        doc = np.repeat(np.arange(len(n)), n)
+        own = [_repeats(doc, x) for x in at]
+        first, out = np.concatenate([[0], np.cumsum(n)]), []
+        for c, total, counted in (("target", totals[0], target), ("background", totals[1], np.ones(len(n), dtype=bool))):
+            counts = np.concatenate([sketch.spread(x.as_py(), np.int64) for x in found.column(c)])
+            word, context, pair = (counts[a] - o * counted[doc] for a, o in zip(at, own))
+            single = (word + 1.0) / (total - (n * counted)[doc] + words + 1)
+            summed = np.concatenate([[0], np.cumsum(-np.log((pair + prior * single) / (context + prior)))])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out.append((summed[first[1:]] - summed[first[:-1]]) / n)
+        t, b = out
+        return pa.Table.from_arrays([*(table.column(c) for c in rest), pa.array(n), *(pa.array(x, mask=n == 0) for x in (t, b, b - t))], names=[*rest, *names])
+
+    asked = dealt.groupBy("__slice").applyInArrow(ask, "range int, slice long, keys binary, target binary, background binary")
+    answers = asked.groupBy("range").applyInArrow(answer, "slice long, range int, target binary, background binary, words long, in_target long, in_background long")
+    types = (T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType())
+    schema = T.StructType([*marked.select(*rest).schema.fields, *(T.StructField(c, t) for c, t in zip(names, types))])
+    return dealt.groupBy("__slice").cogroup(answers.groupBy("slice")).applyInArrow(losses, schema)

@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return language_model.score(language_model.mark_targets(docs, good), language_model.fit(docs, good)).drop("text")
+    return language_model.score_corpus(docs, good)
 
 
 def op2_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,18 +19,18 @@ BLOCK = 1 << 16
 SCHEMA = "block int, held binary"
 
 
-def _squeeze(x: np.ndarray) -> bytes:
+def squeeze(x: np.ndarray) -> bytes:
     """Each byte plane by itself, compressed."""
     return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes(), 1)
 
 
-def _spread(x: bytes, dtype) -> np.ndarray:
+def spread(x: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), dtype=np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
 
 
 def _row(block: int, x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_squeeze(x)], pa.binary())], names=["block", "held"])
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([squeeze(x)], pa.binary())], names=["block", "held"])
 
 
 def blocks(x: np.ndarray, first: int = 0) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def summed(partial: DataFrame, size: int, dtype=np.uint32, merge=_saturating) ->
         at, total = None, None  # rows arrive sorted by block
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = _spread(x.as_py(), dtype)
+                own = spread(x.as_py(), dtype)
                 if k == at:
                     total = merge(total, own)
                 else:
@@ -68,6 +68,6 @@ def summed(partial: DataFrame, size: int, dtype=np.uint32, merge=_saturating) ->
     out = np.zeros(size, dtype=dtype)
     for r in partial.repartitionById(count, "block").sortWithinPartitions("block").mapInArrow(run, SCHEMA).collect():
         at = r["block"] * BLOCK
-        part = _spread(r["held"], dtype)
+        part = spread(r["held"], dtype)
         out[at : at + len(part)] = part
     return out

@@ -305,3 +305,32 @@ def test_pipeline_removes_near_copies_of_five_word_shingles(spark, smoke):
     assert shared_ == {0: (196, 0), 1: (196, 0), 2: (166, 0), 3: (146, 0), 4: (1, 4), 5: (1, 4), 6: (1, 6)}
     strict = {r.doc_id: r.component_id for r in prefix_join.near_duplicates(docs, sketch_bits=17).collect()}
     assert strict == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6}
+
+
+def test_language_model_keeps_all_words_of_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SLICE_BYTES", 1 << 16)
+    monkeypatch.setattr(language_model, "RANGE_BYTES", 1 << 17)
+    rows = [(k, " ".join(f"w{(k * 700 + j) % 70000}" for j in range(1000))) for k in range(100)] + [(100, None), (101, "--"), (102, "w1 w2 w1 w2 new"), (None, "w1 w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gid", F.lit(1)).repartition(3)
+    targets = spark.createDataFrame([(k,) for k in range(0, 100, 3)] + [(3,), (102,), (None,)], "doc_id long")
+    out = {r.doc_id: r for r in language_model.score_corpus(df, targets, prior=5.0).collect()}
+    words = {k: (t or "").replace("--", "").split() for k, t in rows}
+    chosen = {*range(0, 100, 3), 102}
+    total = len({w for ws in words.values() for w in ws})
+    counts = {}
+    for name, ids in (("target", chosen), ("background", set(words))):
+        counts[name] = Counter(w for k in ids for w in words[k]), Counter(a for k in ids for a in ["^", *words[k]][: len(words[k])]), Counter(p for k in ids for p in zip(["^", *words[k]], words[k]))
+    for k, ws in words.items():
+        assert out[k].n_tokens == len(ws) and out[k].is_target == (k in chosen) and out[k].gid == 1
+        for name in ("target", "background"):
+            got = out[k][f"{name}_loss"]
+            if not ws:
+                assert got is None
+                continue
+            inside = name == "background" or k in chosen
+            own = (Counter(ws), Counter(["^", *ws][: len(ws)]), Counter(zip(["^", *ws], ws))) if inside else (Counter(),) * 3
+            single, context, pair = counts[name]
+            n = sum(single.values()) - inside * len(ws)
+            want = sum(-math.log((pair[p] - own[2][p] + 5.0 * (single[p[1]] - own[0][p[1]] + 1) / (n + total + 1)) / (context[p[0]] - own[1][p[0]] + 5.0)) for p in zip(["^", *ws], ws)) / len(ws)
+            assert got == pytest.approx(want, rel=1e-9)
+    assert language_model.score_corpus(df.where("false"), targets).count() == 0
