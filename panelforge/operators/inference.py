@@ -28,19 +28,32 @@ def folds(subjects: DataFrame, n_folds: int, seed: int = 0, subject: str = "subj
 def permute(df: DataFrame, rep: int | str, seed: int, within_subject: bool = True, sample: str = "sample", subject: str = "subject", exposure: str = "exposure", name: str = "permuted") -> DataFrame:
     """Exposure dealt anew among a subject's own samples (or all samples), by hash order: the same under any partitioning.
 
-    ``rep`` is a number or the name of a replicate column.
+    ``rep`` is a number or the name of a replicate column.  Without subjects rows
+    are ranked in ranges of a hash with the ranges' offsets, not in one window.
     """
     by = [subject] if within_subject else []
     key = F.lit(rep) if isinstance(rep, int) else F.col(rep)
     if isinstance(rep, str):
         by = [rep, *by]
-    ordered = Window.partitionBy(*by).orderBy(sample) if by else Window.orderBy(sample)
-    shuffled = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), key, F.col(sample)), sample) if by else Window.orderBy(F.xxhash64(F.lit(seed), key, F.col(sample)), sample)
-    d = df.withColumn("__to", F.row_number().over(ordered)).withColumn("__from", F.row_number().over(shuffled))
+    dealt = F.xxhash64(F.lit(seed), key, F.col(sample))
+    if within_subject:
+        d = df.withColumn("__to", F.row_number().over(Window.partitionBy(*by).orderBy(sample))).withColumn("__from", F.row_number().over(Window.partitionBy(*by).orderBy(dealt, sample)))
+    else:
+        d = _ranked(_ranked(df, by, F.xxhash64(F.col(sample)), sample, "__to"), by, dealt, sample, "__from")
     given = d.select(*by, F.col("__from").alias("__to"), F.col(exposure).alias(name))
     return d.drop("__from").join(given, [*by, "__to"]).drop("__to")
 
 
+def _ranked(df: DataFrame, by: list[str], hashed, sample: str, name: str) -> DataFrame:
+    """``df`` with row numbers from 1 by (hash, sample) inside each group of ``by``: ranges of the hash are numbered apart and shifted."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.withColumn("__key", hashed).withColumn("__range", F.floor((F.col("__key") / 2.0**64 + 0.5) * parts))
+    sizes = d.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    shift = sizes.withColumn("__shift", F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
+    w = Window.partitionBy(*by, "__range").orderBy("__key", sample)
+    return d.withColumn(name, F.row_number().over(w)).join(F.broadcast(shift), [*by, "__range"]).withColumn(name, F.col(name) + F.col("__shift")).drop("__key", "__range", "__shift")  # a row a range
+
+
 def permuted_exposures(sheet: list[tuple[int, float, str]], rep: int, seed: int, within_subject: bool = True) -> np.ndarray:
     """The same for one replicate of a small design held in memory."""
     x = np.array([e for _, e, _ in sheet], float)

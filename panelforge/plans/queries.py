@@ -265,10 +265,16 @@ def permutation_within(spark, d):
 
 
 def permutation_naive(spark, d):
-    """The same of the whole sample."""
+    """The same of one market segment, as its SQL has it."""
     return _permuted(spark, d, False).agg(F.count("*").alias("n"), r6(F.sum("permuted"), "total"), r6(F.max("permuted"), "most"))
 
 
+def permutation_naive_all(spark, d):
+    """Each order's exposure after one permutation of all orders."""
+    o = adapters.panel_orders(spark, d).select("sample", "exposure")
+    return inference.permute(o, 0, 7, False).select("sample", r6("exposure", "exposure"), r6("permuted", "permuted"))
+
+
 def subject_subsample(spark, d):
     s = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("subject"))
     return inference.subsample(s, 10).groupBy("rep").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"))
@@ -530,7 +536,7 @@ def harmonised_panel(spark, d):
 QUERIES = {f.__name__: f for f in (
     gap_clusters_fixed, legacy_fixed_collapse, spacing_summary, gap_size_classes, distance_penalty, region_calls_sql, block_runs, interval_overlap, interval_containment, point_in_interval, region_ivw_effect, nearest_feature,
     within_transform, identification_df, within_fit_orders, within_fit_simple, within_fit_covariates, moderated_variance, gls_probe_model, adjacent_correlation, comethylation_clusters, cluster_collapse, tv_track, cv_lambda,
-    regions_end_to_end, permutation_null, naive_null, stability_selection, hmm_blocks, bumphunter_like, blockfinder_like, fold_assignment, subject_hash, permutation_within, permutation_naive, subject_subsample, fwer_pvalues, fwer_borderline, bh_fdr,
+    regions_end_to_end, permutation_null, naive_null, stability_selection, hmm_blocks, bumphunter_like, blockfinder_like, fold_assignment, subject_hash, permutation_within, permutation_naive, permutation_naive_all, subject_subsample, fwer_pvalues, fwer_borderline, bh_fdr,
     cross_array_agreement, correlation_ci, common_footing, method_comparison, beta_to_m, exposure_coding, sample_qc, probe_filter_audit, probe_intersection, manifest_concordance, annotate_left, dropped_probes, subject_semi, gene_filter, manifest_sets,
     top_regions, genotype_calls, pair_concordance, gap_partition, gaphunter, minor_group_profile, variance_explained, group_chip_chi2, hwe_expected, hwe_tail, fisher_group_array, chip_permutation_p, audit_simulation, f64_roundtrip, strict_json, event_sessions, gap_histogram, first_rows, probe_model_summary, harmonised_panel,
 )}

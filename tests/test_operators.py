@@ -248,3 +248,17 @@ def test_tables(spark, tmp_path):
     assert tables.strict_record({"a": [float("inf"), 1.0]}) == {"a": [None, 1.0]}
     assert tables.resolve(spark.createDataFrame([(1,)], "MAPINFO int"), "pos") == "MAPINFO"
     assert tables.markdown(df).count("\n") == 4
+
+
+def test_naive_permutation_of_all_orders(spark, smoke):
+    from collections import Counter
+
+    from panelforge.plans import catalog
+
+    rows = catalog.QUERIES["permutation_naive_all"](spark, smoke).collect()
+    assert len(rows) == len({r.sample for r in rows}) == spark.read.parquet(f"{smoke}/orders.parquet").count()
+    assert Counter(r.exposure for r in rows) == Counter(r.permuted for r in rows)
+    assert sum(r.exposure != r.permuted for r in rows) > 0.9 * len(rows)
+    d = spark.createDataFrame([(k, float(k)) for k in range(500)], "sample long, exposure double")
+    a, b = ({r.sample: r.permuted for r in inference.permute(x, 1, 5, False).collect()} for x in (d, d.repartition(7)))
+    assert a == b and sorted(a.values()) == [float(k) for k in range(500)] and a != {r.sample: r.permuted for r in inference.permute(d, 2, 5, False).collect()}
