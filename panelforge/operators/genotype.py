@@ -132,7 +132,7 @@ def chip_permutation_p(groups: DataFrame, n_perm: int = 5000, seed: int = 1, pro
 SCENARIOS = (("variant_common", 0.30, True), ("variant_mid", 0.20, True), ("variant_rare", 0.12, True), ("variant_spread", 0.30, True), ("variant_spread_mid", 0.20, True), ("variant_spread_rare", 0.12, True), ("null_chip", 0.0, False), ("null_noise", 0.0, False), ("null_drift", 0.0, False))
 
 
-def audit_simulation(spark, reps: int = 150, n_perm: int = 200, seed: int = 1, subjects: int = 38, visits: int = 3, chips: int = 12) -> DataFrame:
+def audit_simulation(spark, reps: int = 150, n_perm: int = 1000, seed: int = 1, subjects: int = 38, visits: int = 3, chips: int = 12) -> DataFrame:
     """Operating characteristics of the genotype audit: share of replicates flagged by each criterion in nine scenarios.
 
     Replicates are rows of a range; each is simulated and audited in its task.

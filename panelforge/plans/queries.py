@@ -17,6 +17,8 @@ from panelforge.streaming import sessions
 
 DAY_GAP, HOURS6, HOURS24 = 30, 6 * 3600, 24 * 3600
 REGION_GAP, RHO, EFFECT = 1000.0, 0.20, 0.005
+#: The reference's defaults: permutations of a null, subject subsamples, draws of the chip test and of the simulated audit.
+N_PERM, N_BOOT, CHIP_DRAWS, AUDIT_DRAWS = 200, 50, 5000, 1000
 
 
 def r6(c, name: str):
@@ -202,24 +204,24 @@ def cv_lambda(spark, d):
 
 
 def regions_end_to_end(spark, d):
-    found, _ = regions.find_regions(adapters.panel_embeddings(spark, d), _sheet(), rho_min=RHO, lam=0.25, min_probes=2, min_effect=EFFECT, n_perm=20, n_boot=10)
+    found, _ = regions.find_regions(adapters.panel_embeddings(spark, d), _sheet(), rho_min=RHO, lam=0.25, min_probes=2, min_effect=EFFECT, n_perm=N_PERM, n_boot=N_BOOT)
     return found.select("region", "chr", "start", "end", "width", "n_probes", r6("effect", "effect"), r6("z", "z"), r6("p_fwer", "p_fwer"), r6("stability", "stability"))
 
 
 def permutation_null(spark, d):
-    n = inference.region_null(adapters.panel_embeddings(spark, d), _sheet(), 50, 0.25, min_probes=2, min_effect=EFFECT)
+    n = inference.region_null(adapters.panel_embeddings(spark, d), _sheet(), N_PERM, 0.25, min_probes=2, min_effect=EFFECT)
     return n.select("rep", r6("max_abs_z", "max_abs_z"))
 
 
 def naive_null(spark, d):
-    n = inference.region_null(adapters.panel_embeddings(spark, d), _sheet(), 50, 0.25, scheme="naive", min_probes=2, min_effect=EFFECT)
+    n = inference.region_null(adapters.panel_embeddings(spark, d), _sheet(), N_PERM, 0.25, scheme="naive", min_probes=2, min_effect=EFFECT)
     return n.select("rep", r6("max_abs_z", "max_abs_z"))
 
 
 def stability_selection(spark, d):
     p = adapters.panel_embeddings(spark, d)
     found, _ = regions.find_regions(p, _sheet(), rho_min=RHO, lam=0.25, min_probes=2, min_effect=EFFECT)
-    return inference.stability(p, _sheet(), found, 20, 0.25, min_probes=2, min_effect=EFFECT).select("region", r6("stability", "stability"))
+    return inference.stability(p, _sheet(), found, N_BOOT, 0.25, min_probes=2, min_effect=EFFECT).select("region", r6("stability", "stability"))
 
 
 def hmm_blocks(spark, d):
@@ -228,7 +230,7 @@ def hmm_blocks(spark, d):
 
 
 def bumphunter_like(spark, d):
-    b = regions.bumphunter(adapters.panel_embeddings(spark, d), _sheet(), cutoff=0.01, n_perm=10)
+    b = regions.bumphunter(adapters.panel_embeddings(spark, d), _sheet(), cutoff=0.01, n_perm=N_PERM)
     return b.select("chr", "start", "end", "l", "cluster_l", r6("value", "value"), r6("area", "area"), r6("fwer_area", "fwer_area"))
 
 
@@ -476,11 +478,11 @@ def fisher_group_array(spark, d):
 
 
 def chip_permutation_p(spark, d):
-    return genotype.chip_permutation_p(_groups(spark, d), 1000).select("probe", r6("p_chip", "p_chip"))
+    return genotype.chip_permutation_p(_groups(spark, d), CHIP_DRAWS).select("probe", r6("p_chip", "p_chip"))
 
 
 def audit_simulation(spark, d):
-    a = genotype.audit_simulation(spark)
+    a = genotype.audit_simulation(spark, n_perm=AUDIT_DRAWS)
     return a.select("scenario", "replicates", *(r6(f"{c}_rate", f"{c}_rate") for c in ("invariant", "freq", "chip", "all")))
 
 

@@ -262,3 +262,32 @@ def test_naive_permutation_of_all_orders(spark, smoke):
     d = spark.createDataFrame([(k, float(k)) for k in range(500)], "sample long, exposure double")
     a, b = ({r.sample: r.permuted for r in inference.permute(x, 1, 5, False).collect()} for x in (d, d.repartition(7)))
     assert a == b and sorted(a.values()) == [float(k) for k in range(500)] and a != {r.sample: r.permuted for r in inference.permute(d, 2, 5, False).collect()}
+
+
+def test_resampling_queries_run_the_references_replicates(spark, smoke, monkeypatch):
+    from panelforge.operators import regions as region_operators
+    from panelforge.plans import catalog
+
+    for name in ("permutation_null", "naive_null"):
+        assert catalog.QUERIES[name](spark, smoke).count() == 200
+    asked = {}
+
+    def watch(module, name, *keys):
+        real = getattr(module, name)
+
+        def called(*a, **b):
+            asked[name] = tuple(b[k] if isinstance(k, str) else a[k] for k in keys)
+            return real(*a, **b)
+
+        monkeypatch.setattr(module, name, called)
+
+    watch(region_operators, "bumphunter", "n_perm")
+    watch(genotype, "chip_permutation_p", 1)
+    watch(genotype, "audit_simulation", "n_perm")
+    watch(inference, "stability", 3)
+    for name in ("bumphunter_like", "chip_permutation_p", "audit_simulation", "stability_selection"):
+        catalog.QUERIES[name](spark, smoke)
+    assert asked == {"bumphunter": (200,), "chip_permutation_p": (5000,), "audit_simulation": (1000,), "stability": (50,)}
+    watch(region_operators, "find_regions", "n_perm", "n_boot")
+    catalog.QUERIES["regions_end_to_end"](spark, smoke)
+    assert asked["find_regions"] == (200, 50)
