@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import shared, spans, textbytes
 from panelforge.llm.spans import SpanEncoder
+from panelforge.llm.transcode import Vocabulary
 
 SEQ_LEN = 2048
 EOS_ID = 1
@@ -32,30 +35,76 @@ CACHE_SPANS = 1 << 19
 class WordEncoder(SpanEncoder):
     """Ids of texts, each distinct pre-token encoded by the tokenizers library.
 
-    New pre-tokens are encoded many at a time in one string; the ids whose token
-    carries the end-of-word mark tell them apart.
+    Texts are normalised (NFC, lower case) before they are cut.  New pre-tokens are
+    encoded many at a time in one string by the same model without its normaliser;
+    the ids whose token carries the end-of-word mark tell them apart.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = CACHE_SPANS):
+    def __init__(self, tokenizer_json: str, classes: bytes | None = None, most: int = CACHE_SPANS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__(most)
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        model = json.loads(tokenizer_json)["model"]
-        self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        spec = json.loads(tokenizer_json)
+        whole, bare = (Tokenizer.from_str(json.dumps(s)) for s in (spec, spec | {"added_tokens": [], "normalizer": None}))
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        bare.no_truncation()
+        bare.no_padding()
+        self.tokenizer, self.normal = bare, whole.normalizer or normalizers.Sequence([])
+        model = spec["model"]
+        self.closes = np.zeros(whole.get_vocab_size(), dtype=bool)
         if mark := model.get("end_of_word_suffix"):
             self.closes[[i for s, i in model["vocab"].items() if s.endswith(mark)]] = True
-
-    def segment(self, buf: np.ndarray, offs: np.ndarray):
-        return spans.unspaced(buf, offs)
-
-    def whole(self, raw: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.uint32)
+        self.classes, self.unknown = spans.Classes(classes or spans.library_classes()), spans.Classes(spans.unknown_characters())
+        self.special_ids = {t["content"].encode(): t["id"] for t in spec.get("added_tokens", [])}
+        self.special = sorted(self.special_ids, key=len, reverse=True)
+        self.pattern = re.compile(b"|".join(map(re.escape, self.special)))
+
+    def _plain(self, part: str, known: bool) -> str:
+        """NFC and lower case of a part between special strings; the library's own where Python does not know a character."""
+        if not known:
+            return self.normal.normalize_str(part)
+        return unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower()  # one letter at a time: no final sigma
+
+    def normalised(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """The texts as they are cut, and where special strings stand in them."""
+        buf, offs = spans.valid(buf, offs)
+        raw = buf.tobytes()
+        special = spans.find_special(raw, offs, self.pattern) if any(s in raw for s in self.special) else None
+        if special is None and raw.isascii():
+            return textbytes.LOWER[buf], offs, None
+        parts, places, at, docs = [], [], 0, [0]
+        known = not self.unknown.of(buf).any()
+        marks = special.tolist() if special is not None else []
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+            while marks and marks[0][0] < b:
+                i, j = marks.pop(0)
+                for piece, is_special in ((raw[a:i], False), (raw[i:j], True)):
+                    parts.append(piece if is_special else self._lower(piece, known))
+                    if is_special:
+                        places.append((at, at + len(piece)))
+                    at += len(parts[-1])
+                a = j
+            parts.append(self._lower(raw[a:b], known))
+            at += len(parts[-1])
+            docs.append(at)
+        return np.frombuffer(b"".join(parts), dtype=np.uint8), np.array(docs), np.array(places, dtype=np.int64) if places else None
+
+    def _lower(self, raw: bytes, known: bool) -> bytes:
+        return raw.lower() if raw.isascii() else self._plain(raw.decode(), known).encode()
+
+    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents one after another, where each document's begin)."""
+        data, offs, special = self.normalised(buf, offs)
+        starts, ends, first = spans.unspaced(data, offs, self.classes, special)
+        ids, lens = self.span_ids(data, starts, ends)
+        return ids, np.concatenate([[0], np.cumsum(lens)])[first]
 
     def new_spans(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        named = [k for k, r in enumerate(raw) if r in self.special_ids]
+        if named:
+            parts = [np.array([self.special_ids[r]], dtype=np.uint32) if r in self.special_ids else self.new_spans([r])[0] for r in raw]
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         lines = [b" ".join(raw[k : k + 256]).decode() for k in range(0, len(raw), 256)]
         ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
         ends = np.flatnonzero(self.closes[ids]) + 1
@@ -63,6 +112,16 @@ class WordEncoder(SpanEncoder):
             raise ValueError("the vocabulary does not mark the ends of words")
         return ids, np.diff(ends, prepend=0)
 
+    def long_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans beyond the table; each distinct one of a slice is encoded once."""
+        raw = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+        distinct = list(dict.fromkeys(raw))
+        ids, lens = self.new_spans(distinct)
+        at = {r: k for k, r in enumerate(distinct)}
+        parts = np.split(ids, np.cumsum(lens)[:-1])
+        picked = [parts[at[r]] for r in raw]
+        return np.concatenate(picked), np.fromiter(map(len, picked), np.int64, len(picked))
+
 
 def piece_lengths(n: int, seq_len: int = SEQ_LEN) -> list[int]:
     """Full sequences, then the binary form of the rest, longest first."""
@@ -75,25 +134,13 @@ def piece_lengths(n: int, seq_len: int = SEQ_LEN) -> list[int]:
     return out
 
 
-def _encoder(broadcast) -> WordEncoder:
-    key = ("words", broadcast.id)
-    if key not in shared.ENGINES:  # one vocabulary at a time stays in a worker
+def _encoder(vocabulary: Vocabulary) -> WordEncoder:
+    if (key := ("words", vocabulary.key)) not in shared.ENGINES:  # one vocabulary at a time stays in a worker
         shared.ENGINES.clear()
-        shared.ENGINES[key] = WordEncoder(broadcast.value)
+        shared.ENGINES[key] = WordEncoder(*vocabulary.value)
     return shared.ENGINES[key]
 
 
-class _Vocabulary:
-    """A broadcast file with a key that workers can remember it by."""
-
-    def __init__(self, spark, text: str):
-        self.id, self._b = hash(text), spark.sparkContext.broadcast(text)
-
-    @property
-    def value(self) -> str:
-        return self._b.value
-
-
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, offset long, bucket int, ids binary"
 
 
@@ -116,12 +163,12 @@ def pack_documents(docs: DataFrame, tokenizer_json: str, *, seq_len: int = SEQ_L
     if seq_len < 1 or seq_len & (seq_len - 1):
         raise ValueError("seq_len must be a power of two")
     spark = docs.sparkSession
-    vocabulary = _Vocabulary(spark, tokenizer_json)
+    vocabulary = Vocabulary(spark, tokenizer_json)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
-            for a, b, buf, offs in textbytes.slices(batch.column(1), 2 * textbytes.SLICE):
+            for a, b, buf, offs in textbytes.slices(batch.column(1)):
                 ids, begin = encoder.encode(buf, offs)
                 doc_of, start, length, total, parts = [], [], [], [], []
                 eos = np.array([eos_id], dtype=np.uint32)

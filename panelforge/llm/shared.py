@@ -62,7 +62,7 @@ def fresh(df: DataFrame, wanted: str) -> str:
     return name
 
 
-def append_columns(docs: DataFrame, text, values: Callable[..., dict[str, np.ndarray]], types: dict[str, T.DataType], *extra) -> DataFrame:
+def append_columns(docs: DataFrame, text, values: Callable[..., dict[str, np.ndarray]], types: dict[str, T.DataType], *extra, keep_engines: bool = False) -> DataFrame:
     """``docs`` with new columns computed per Arrow batch from ``text`` (and ``extra`` columns).
 
     ``values`` gets the arrays and returns one array for each name in ``types``.
@@ -76,7 +76,8 @@ def append_columns(docs: DataFrame, text, values: Callable[..., dict[str, np.nda
         inputs.append(c.alias(fresh(docs, f"input_{k}")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ENGINES.clear()
+        if not keep_engines:
+            ENGINES.clear()
         for batch in batches:
             out = values(*batch.columns[n:])
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(out[c] if isinstance(out[c], pa.Array) else pa.array(out[c]) for c in names)], names=[*batch.schema.names[:n], *names])

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelforge.llm import chunking, packing, registry, textbytes, token_tree, transcode
+from panelforge.llm import chunking, packing, registry, spans, textbytes, token_tree, transcode
 from panelforge.llm.bpe import WINDOW, Merges, StreamingDecoder, StreamingEncoder, TextEncoder
 from tests.llm.helpers import awkward, frame
 
@@ -34,42 +34,100 @@ def library(byte_json):
     return Tokenizer.from_str(byte_json)
 
 
-def encode(encoder, texts):
+@pytest.fixture(scope="module")
+def classes():
+    return spans.library_classes()
+
+
+@pytest.fixture(scope="module")
+def encoder(merges, classes):
+    return TextEncoder(merges, classes)
+
+
+def encode(encoder, texts, most=50_000):
     out = []
-    for a, b, buf, offs in textbytes.slices(pa.array(texts, pa.string()), 50_000):
+    for a, b, buf, offs in textbytes.slices(pa.array(texts, pa.string()), most):
         ids, f = encoder.encode(buf, offs)
         out += [ids[f[k] : f[k + 1]].tolist() for k in range(b - a)]
     return out
 
 
+def streamed(encoder, text):
+    return [i for ids in encoder.stream(np.frombuffer(text.encode(), dtype=np.uint8)) for i in ids.tolist()]
+
+
+def any_characters(rnd, n):
+    """Characters of all planes among ordinary ones."""
+    codes = [rnd.randrange(0x80, 0x30000) for _ in range(n)]
+    return "".join(chr(c) if rnd.random() < 0.4 and not 0xD800 <= c < 0xE000 else rnd.choice("ab 's\n'1.é日 ") for c in codes)
+
+
+ENGLISH = ["don't", "I'll", "we've", "the", "THE", " ", "  ", "\n", "'", "''", "'s", "'re", " 's", "😀", "é", "É", "Σ", "İ", "J\u030c", "e\u0301", "<|endoftext|>", "<|startoftext|>", "x<|endof", "\u3000", "12", "日本語", "z" * 30]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("abthe IQ.é'É1 \n\t-ñ日😀\x85　<|>")), max_size=200), min_size=1, max_size=5))
-def test_encoder_equals_library(merges, library, texts):
-    for t, ids in zip(texts, encode(TextEncoder(merges), texts)):
-        assert ids == library.encode(t, add_special_tokens=False).ids
+def test_encoder_equals_library(encoder, library, texts):
+    assert encode(encoder, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_small_table_resets_and_long_pretokens(merges, library):
+def test_encoders_equal_library_on_mixed_text(merges, library, classes):
+    from tokenizers import Tokenizer
+
+    vocabulary = registry.vocabulary(registry.WORD_VOCABULARY)
+    words, rnd = Tokenizer.from_str(vocabulary), random.Random(21)
+    texts = ["".join(rnd.choice(ENGLISH) for _ in range(rnd.randrange(300))) for _ in range(150)] + [any_characters(rnd, 300) for _ in range(300)]
+    texts += ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6000)) for _ in range(20)]
+    assert encode(TextEncoder(merges, classes), texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode(packing.WordEncoder(vocabulary, classes), texts) == [words.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_characters_are_filed_as_the_library_files_them(classes, library):
+    own, rnd = spans.Classes(classes), random.Random(22)
+    for c in [*range(1, 0x3000), *(rnd.randrange(0x3000, 0x110000) for _ in range(20000))]:
+        if not 0xD800 <= c < 0xE000 and c != 0x20:
+            begins = {at for _, (at, _) in library.pre_tokenizer.pre_tokenize_str(f"a{chr(c)}1-{chr(c)}-")}
+            want = spans.LETTER if 1 not in begins else spans.NUMBER if 2 not in begins else spans.OTHER if 4 not in begins else spans.WHITE
+            assert own.table[c] == want, hex(c)
+
+
+def test_small_table_resets_and_stays_bounded(merges, library, classes):
     rnd = random.Random(1)
     texts = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 12))) + " " for _ in range(400)] + ["-" * 9000, "=-" * 4000, "a" * 7000, " " * 5000 + "x", "<|endoftext|>" * 3]
-    encoder = TextEncoder(merges, most=64)
-    assert encode(encoder, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = TextEncoder(merges, classes, most=64)
+    assert encode(encoder, texts, 100) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (64, 1024):  # whole texts, long words and apostrophes never fill the table
+        encoder = TextEncoder(merges, classes, most=most)
+        for k in range(60):
+            encode(encoder, [f"it's {chr(0x4E00 + k)}{'日' * 500} {'w' * 900}{k} can't {k * 7919}"])
+            assert encoder.n <= most and encoder.used <= 16 * most and len(encoder.slots) == 1 << max(8, most.bit_length())
+
+
+@pytest.mark.parametrize("size", [97, 5000])
+def test_blocks_of_a_long_text_give_the_same_ids(merges, library, classes, size):
+    encoder, rnd = TextEncoder(merges, classes), random.Random(23)
+    encoder.SLICE = size
+    texts = ["z" * 50000, " " * 20000 + "x", "'" * 9000 + "s", "a'" * 9000, "日本" * 9000 + "。" * 9000, "<|endoftext|>" * 2000, "1" * 30000, " \n" * 8000 + "\u3000" * 9000 + "e", "-=- " * 4000 + "''s" * 3000]
+    texts += ["".join(rnd.choice(ENGLISH) for _ in range(200)) for _ in range(60)] + [any_characters(rnd, 2000)]
+    for t in texts:
+        assert streamed(encoder, t) == library.encode(t, add_special_tokens=False).ids
 
 
 def test_lookahead_makes_streams_exact(merges, library):
     k = merges.sufficient_lookahead()
     assert 0 < k < WINDOW
     rnd = random.Random(2)
-    for piece in ("-", "=", "a", "ab", "the", "-=-"):
-        raw = (piece * 6000)[: 5000 + rnd.randrange(500)].encode()
-        stream, ids, at = StreamingEncoder(merges, k), [], 0
+    texts = [(piece * 6000)[: 5000 + rnd.randrange(500)] for piece in ("-", "=", "a", "ab", "the", "-=-")]
+    texts += ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6000)) for _ in range(30)]
+    for text in texts:
+        raw, stream, ids, at = text.encode(), StreamingEncoder(merges, k), [], 0
         while at < len(raw):
             n = rnd.randrange(1, 700)
             ids += stream.feed(raw[at : at + n])
-            assert len(stream.held) <= WINDOW
+            assert len(stream.held) < WINDOW
             at += n
         ids += stream.finish()
-        assert ids == library.encode(raw.decode(), add_special_tokens=False).ids
+        assert ids == library.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=60, deadline=None)
@@ -120,9 +178,16 @@ def test_packing_awkward_table(spark):
         packing.pack_documents(frame(spark, rows), vocabulary, seq_len=1000)
 
 
-def test_token_tree_follows_edits(merges, library):
+def grown(encoder, text):
+    buf = np.frombuffer(text.encode(), dtype=np.uint8)
+    _, chars, sizes, tokens = (x.tolist() for x in token_tree.leaves_of(encoder, buf, np.array([0, len(buf)])))
+    cuts = np.cumsum([0, *chars]).tolist()
+    return token_tree.DocumentTree([text[i:j] for i, j in zip(cuts, cuts[1:])], sizes, tokens)
+
+
+def test_token_tree_follows_edits(encoder, library):
     library.encode_special_tokens = True
-    encoder, rnd = TextEncoder(merges), random.Random(3)
+    rnd = random.Random(3)
 
     def make(m):
         return "".join(rnd.choice(["a", "the", "  ", " ", "'", "s", "re", "'ll", "\n", "é", "日", "1", "!!", "ing "]) for _ in range(m))
@@ -130,34 +195,55 @@ def test_token_tree_follows_edits(merges, library):
     def count(t):
         return len(library.encode(t, add_special_tokens=False).ids)
 
-    for _ in range(120):
-        text = make(rnd.randrange(0, 400))
-        (_, _, buf, offs), *_ = textbytes.slices(pa.array([text]))
-        tree = token_tree.DocumentTree(*token_tree.pretokens(encoder, buf, offs)[0])
-        assert tree.total == count(text)
-        for _ in range(5):
-            s = rnd.randrange(0, len(tree.text) + 1)
-            e, new = min(len(tree.text), s + rnd.randrange(0, 9)), make(rnd.randrange(0, 5))
+    for k in range(160):
+        text = make(rnd.randrange(0, 600))
+        tree = grown(encoder, text)
+        assert tree.total == count(text) and tree.text == text
+        for _ in range(6):
+            n = tree.chars.total
+            s = rnd.randrange(0, n + 1)
+            e, new = min(n, s + rnd.choice([0, 3, 9, 200])), make(rnd.choice([0, 1, 4, 300 if k % 7 == 0 else 4]))
             want = tree.text[:s] + new + tree.text[e:]
-            tree.settle(encoder.span_counts([w.encode() for w in tree.edit(s, e, new, encoder.pattern)]).tolist())
+            tree.settle(encoder.counts_of([w.encode() for w in tree.edit(s, e, new, encoder.pretoken_pattern)]).tolist())
             assert tree.text == want and tree.total == count(want)
+            assert tree.chars.total == len(want) and sum(tree.sizes) == len(encoder.pretoken_pattern.findall(want))
     library.encode_special_tokens = False
 
 
+def test_an_edit_encodes_its_surroundings_only(encoder):
+    tree = grown(encoder, "some words of a long text " * 5000)
+    tree.settle(encoder.counts_of([w.encode() for w in tree.edit(60000, 60005, "it's", encoder.pretoken_pattern)]).tolist())
+    assert tree.encoded <= 6 * token_tree.BLOCK and tree.touched <= 6 * 13
+
+
 def test_edit_counts_awkward_table(spark, byte_json, library):
     rows = awkward()
-    out = token_tree.count_edits(frame(spark, rows), token_tree.revision(F.coalesce(F.col("text"), F.lit(""))), byte_json).collect()
+    docs = frame(spark, rows).withColumn("edits", F.lit(1)).withColumn("leaf_chars", F.lit("kept"))
+    out = token_tree.count_edits(docs, token_tree.revision(F.coalesce(F.col("text"), F.lit(""))), byte_json).collect()
     library.encode_special_tokens = True
     want = Counter()
     for i, t, *_ in rows:
         u = t = t or ""
-        for at, n, new in ((len(t) * 3 // 4, 0, "\n\nAn added sentence of 2026. "), (len(t) // 2, 5, "it's re-worded,"), (len(t) // 4, 7, "")):
-            u = u[:at] + new + u[at + n :] if len(t) > 30 else u
-        if len(t) > 30:
-            want[(i, len(library.encode(t, add_special_tokens=False).ids), len(library.encode(u, add_special_tokens=False).ids), hashlib.sha256(u.encode()).hexdigest())] += 1
+        edits = [(len(t) // 4, 7, ""), (len(t) // 2, 5, "it's re-worded,"), (len(t) * 3 // 4, 0, "\n\nAn added sentence of 2026. ")]
+        for at, n, new in sorted(edits, key=lambda e: -e[0]):  # each to the text as the one before left it
+            u = u[:at] + new + u[at + n :]
+        want[(i, len(library.encode(t, add_special_tokens=False).ids), len(library.encode(u, add_special_tokens=False).ids), hashlib.sha256(u.encode()).hexdigest())] += 1
     library.encode_special_tokens = False
-    got = Counter((r.doc_id, r.n_tokens, r.n_tokens_after, r.edited_sha256) for r in out)
-    assert all(got[k] == v for k, v in want.items()) and len(out) == len(rows)
+    assert Counter((r.doc_id, r.n_tokens, r.n_tokens_after, r.edited_sha256) for r in out) == want
+    assert token_tree.count_edits(docs.where("false"), F.lit(None).cast("array<struct<start:int,length:int,text:string>>"), byte_json).count() == 0
+
+
+def test_trees_are_kept_and_edited_again(spark, byte_json, library, tmp_path):
+    docs = spark.createDataFrame([(k, f"Document {k} isn't long. " * (k + 1)) for k in range(30)], "doc_id long, text string")
+    token_tree.grow_trees(docs, byte_json).write.parquet(f"{tmp_path}/trees")
+    edits = F.array(F.struct(F.lit(3).alias("start"), F.lit(4).alias("length"), F.lit("'ll").alias("text")))
+    once = token_tree.edit_trees(spark.read.parquet(f"{tmp_path}/trees"), edits, byte_json)
+    once.write.parquet(f"{tmp_path}/again")
+    for r in token_tree.edit_trees(spark.read.parquet(f"{tmp_path}/again"), edits, byte_json).collect():
+        t = f"Document {r.doc_id} isn't long. " * (r.doc_id + 1)
+        for _ in range(2):
+            t = t[:3] + "'ll" + t[7:]
+        assert r.text == t and sum(r.leaf_tokens) == len(library.encode(t, add_special_tokens=False).ids)
 
 
 def test_chunks_resist_shifts():
