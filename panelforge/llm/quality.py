@@ -1,16 +1,24 @@
 """Quality by co-training: a text-content and a page-metadata classifier teach each other.
 
 Two views of a document: what its words are made of (content) and how its page is
-laid out and where it came from (metadata: language, source, length, lines).
-Both are logistic regressions on a bounded sample of labelled rows.  In each
-round each view labels the unlabelled sample rows it is most sure of, in the
-labelled sample's proportions, and the other view learns from them.  Calibration
-and the combination of the two calibrated logits use labelled rows that no
-learner saw.  All documents are scored in one pass without a shuffle.
+laid out and where it came from (metadata: length, lines, and how often labelled
+pages of its language and of its source were good).  Both are logistic regressions.
+They start from a bounded sample of labelled rows; then, in rounds, each view marks
+the rows it is most sure of among ALL unlabelled rows, a share that grows with the
+rounds and keeps the labels' proportions, and the other view learns from them.
+
+Features of all rows are written once.  A round reads them in a few passes: one
+histogram of scores sets the thresholds, and sums of gradients and curvatures, as
+many numbers as features squared, move the weights; no row reaches the driver.  The
+marked rows together weigh a fixed share of the labelled ones, so their number does
+not change the balance.  Calibration and the combination of the two calibrated
+logits use labelled rows that no learner saw, weighted so that each label counts as
+it does among all labelled rows.  All documents are scored in one pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,15 +28,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.llm import shared, textbytes
-from panelforge.llm.toxicity import held_out, label_sample, platt, sigmoid
+from panelforge.llm.toxicity import class_weights, hash_order, held_out, label_sample, platt, sigmoid
 
-MAX_POSITIVE, MAX_NEGATIVE, MAX_UNLABELLED = 8000, 4000, 8000
-ROUNDS = 4
-#: Share of the unlabelled sample that a view may label in a round, and how sure it must be.
-PER_ROUND, SURE = 0.1, 0.9
+MAX_POSITIVE, MAX_NEGATIVE = 8000, 4000
+ROUNDS, STEPS = 4, 2
+#: Share of the unlabelled rows that a view may mark more in each round, how sure it must be, and the marked rows' weight as a share of the labelled ones.
+PER_ROUND, SURE, TAUGHT = 0.1, 0.9, 0.25
 CALIBRATION = 4
 THRESHOLD = 0.5
-HASHED = 16
+#: Bins of a histogram of logits, which are cut off at -LIMIT and LIMIT.
+BINS, LIMIT = 4800, 12.0
+#: Labelled ids up to this many are broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+#: Pages that a language or source must have been seen on to count half.
+PRIOR = 2.0
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 other punctuation
 _CLASS[[*range(97, 123), *range(0x80, 256)]] = 1
@@ -63,8 +76,8 @@ def _distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.bincount(d[at], minlength=len(first) - 1).astype(float), most
 
 
-def views(buf: np.ndarray, offs: np.ndarray, lang: list, source: list) -> tuple[np.ndarray, np.ndarray]:
-    """Content and metadata features of each document; both start with a constant."""
+def views(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Content and layout features of each document; both start with a constant."""
     n = len(offs) - 1
     size = np.maximum(np.diff(offs), 1)
     kind = _CLASS[buf]
@@ -108,19 +121,47 @@ def views(buf: np.ndarray, offs: np.ndarray, lang: list, source: list) -> tuple[
         ],
         axis=1,
     )
-    hashed = np.zeros((n, 2 * HASHED))
-    for at, column in ((0, lang), (HASHED, source)):
-        for k, v in enumerate(column):
-            if v is not None:
-                hashed[k, at + _bucket(str(v))] = 1
-    return content, np.concatenate([layout, hashed], axis=1)
+    return content, layout
 
 
-def _bucket(v: str) -> int:
-    h = 2166136261
-    for b in v.encode():
-        h = (h ^ b) * 16777619 % 2**32
-    return h % HASHED
+WIDE = len(CONTENT) + 1, len(LAYOUT) + 1
+
+
+def good_odds(counts: dict[str, tuple[float, float]], rate: float, value: str | None, less: tuple[float, float] = (0.0, 0.0)) -> float:
+    """Log odds of good pages of a language or source against all pages; 0 where it is unknown."""
+    good, bad = counts.get(value, (0.0, 0.0)) if value is not None else (0.0, 0.0)
+    return float(np.log((good - less[0] + PRIOR * rate) / rate) - np.log((bad - less[1] + PRIOR * (1 - rate)) / (1 - rate)))
+
+
+@dataclass(frozen=True)
+class Origins:
+    """Good and bad labelled pages of each language and source: as many entries as sampled rows at most."""
+
+    rate: float
+    counts: tuple[dict, dict]
+
+    @classmethod
+    def of(cls, origin: list[tuple], y: np.ndarray) -> Origins:
+        counts: tuple[dict, dict] = ({}, {})
+        for row, label in zip(origin, y):
+            for held, v in zip(counts, row):
+                if v is not None:
+                    good, bad = held.get(v, (0.0, 0.0))
+                    held[v] = (good + label, bad + 1 - label)
+        return cls(float((np.sum(y) + 1) / (len(y) + 2)), counts)
+
+    def rows(self, origin: list[tuple], y: np.ndarray | None = None) -> np.ndarray:
+        """Odds of language and source; a row with a label is not counted in its own."""
+        less = [(float(v), float(1 - v)) for v in y] if y is not None else [(0.0, 0.0)] * len(origin)
+        return np.array([[good_odds(c, self.rate, v, own if v is not None else (0.0, 0.0)) for c, v in zip(self.counts, row)] for row, own in zip(origin, less)]).reshape(len(origin), 2)
+
+    def columns(self, *columns: pa.Array) -> np.ndarray:
+        out = []
+        for held, column in zip(self.counts, columns):
+            coded = column.dictionary_encode()
+            each = np.array([good_odds(held, self.rate, v) for v in coded.dictionary.to_pylist()] + [good_odds(held, self.rate, None)])
+            out.append(each[coded.indices.fill_null(len(each) - 1).to_numpy(zero_copy_only=False)])
+        return np.stack(out, axis=1) if len(columns[0]) else np.empty((0, 2))
 
 
 def _expand(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -129,14 +170,22 @@ def _expand(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(z), 1)), z[:, 1:], z[:, 1:] ** 2 / 5], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    theta = np.zeros(x.shape[1])
+def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, theta: np.ndarray, ridge: float, extra=None) -> np.ndarray:
+    """One bounded step; ``extra`` is a (gradient, curvature) of further rows."""
     penalty = ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-3
+    p = sigmoid(x @ theta)
+    g, h = x.T @ (w * (p - y)) + penalty @ theta, (x * (w * p * (1 - p))[:, None]).T @ x + penalty
+    if extra is not None:
+        g, h = g + extra[0], h + extra[1]
+    return np.clip(np.linalg.solve(h, g), -2, 2)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    theta = np.zeros(x.shape[1])
     for _ in range(30):
-        p = sigmoid(x @ theta)
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (w * (p - y)) + penalty @ theta)
-        theta -= np.clip(step, -2, 2)
+        step = _newton(x, y, w, theta, ridge)
+        theta = theta - step
         if np.abs(step).max() < 1e-6:
             break
     return theta
@@ -148,99 +197,177 @@ class Model:
 
     parts: tuple
     mix: np.ndarray  # shift and one weight for each view
+    origins: Origins | None = None
     constant: float | None = None
 
-    def logits(self, xs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def logits(self, content: np.ndarray, layout: np.ndarray, *origin: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.constant is not None:
-            return (np.full(len(xs[0]), self.constant),) * 3
-        each = [a * (_expand(x, c, s) @ w) + b for x, (c, s, w, a, b) in zip(xs, self.parts)]
-        each = [np.clip(e, -12, 12) for e in each]
+            return (np.full(len(content), self.constant),) * 3
+        xs = content, np.concatenate([layout, self.origins.columns(*origin)], axis=1)
+        each = [np.clip(a * (_expand(x, c, s) @ w) + b, -LIMIT, LIMIT) for x, (c, s, w, a, b) in zip(xs, self.parts)]
         return each[0], each[1], self.mix[0] + self.mix[1] * each[0] + self.mix[2] * each[1]
 
 
-def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, us: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model:
-    """Labelled views ``xs`` with labels ``y``, unlabelled views ``us``."""
+@dataclass(frozen=True)
+class Round:
+    """What a pass over the unlabelled rows needs: frames and weights of both views, and the marks of their teachers."""
+
+    frames: tuple  # (centre, scale) of each view
+    teacher: tuple  # weights that mark rows
+    origins: Origins
+    marks: tuple | None = None  # (least logit of label 1, greatest of label 0) of each view
+    student: tuple | None = None  # weights whose gradient is asked for
+
+    def expanded(self, content, layout, *origin) -> list[np.ndarray]:
+        return [_expand(x, *f) for x, f in zip((content, np.concatenate([layout, self.origins.columns(*origin)], axis=1)), self.frames)]
+
+    def counts(self, xs: list[np.ndarray]) -> np.ndarray:
+        """Rows in each bin of each view's logit."""
+        return np.concatenate([np.bincount(bin_of(x @ w), minlength=BINS) for x, w in zip(xs, self.teacher)]).astype(float)
+
+    def sums(self, xs: list[np.ndarray]) -> np.ndarray:
+        """For each view: rows that the other one marks, their gradient and curvature."""
+        out = []
+        for v in (0, 1):
+            z = bin_of(xs[1 - v] @ self.teacher[1 - v])
+            up, down = self.marks[1 - v]
+            x = xs[v][(z >= up) | (z <= down)]
+            y = (z >= up)[(z >= up) | (z <= down)].astype(float)
+            p = sigmoid(x @ self.student[v])
+            out += [np.array([float(len(y))]), x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).reshape(-1)]
+        return np.concatenate(out)
+
+
+def bin_of(z: np.ndarray) -> np.ndarray:
+    return np.minimum((np.clip(z, -LIMIT, LIMIT) + LIMIT) * (BINS / (2 * LIMIT)), BINS - 1).astype(np.int64)
+
+
+def marks_of(counts: np.ndarray, share: float, rate: float) -> tuple[int, int]:
+    """(least bin of label 1, greatest bin of label 0): the surest ``share`` of all rows in the labels' proportions, none less sure than SURE."""
+    sure, room = np.log(SURE / (1 - SURE)), share * counts.sum()
+    up = BINS - int(np.searchsorted(np.cumsum(counts[::-1]), room * rate, side="left")) - 1
+    down = int(np.searchsorted(np.cumsum(counts), room * (1 - rate), side="left"))
+    return max(up, int(bin_of(np.array([sure]))[0]) + 1), min(down, int(bin_of(np.array([-sure]))[0]) - 1)
+
+
+def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, origins: Origins, unlabelled=None, stands_for: dict[int, float] | None = None, rounds: int = ROUNDS) -> Model:
+    """Labelled views ``xs`` with labels ``y``; ``unlabelled(round, method)`` sums a method of :class:`Round` over all other rows."""
     positive = int(y.sum())
     if not 0 < positive < len(y) or len(y) < 2 * CALIBRATION:
-        return Model((), np.zeros(3), float(np.log((positive + 1) / (len(y) - positive + 1))))
+        return Model((), np.zeros(3), None, float(np.log((positive + 1) / (len(y) - positive + 1))))
     held = np.arange(len(y)) % CALIBRATION == 0
-    frames = [(x[~held].mean(axis=0), x[~held].std(axis=0) + 1e-6) for x in xs]
+    frames = tuple((x[~held].mean(axis=0), x[~held].std(axis=0) + 1e-6) for x in xs)
     xe = [_expand(x, *f) for x, f in zip(xs, frames)]
-    ue = [_expand(u, *f) for u, f in zip(us, frames)]
-    rate = y[~held].mean()
-    taught = [np.full(len(u), -1) for u in us]  # the label that the other view gave
-    weights = [np.empty(0)] * 2
-    for r in range(rounds + 1):
-        for v in (0, 1):
-            k = taught[v] >= 0
-            x = np.concatenate([xe[v][~held], ue[v][k]])
-            t = np.concatenate([y[~held], taught[v][k]])
-            w = np.concatenate([np.ones((~held).sum()), np.full(k.sum(), 0.5)])
-            weights[v] = _logistic(x, t, w)
-        if r == rounds or not len(us[0]):
+    ones, rate = np.ones(int((~held).sum())), float(y[~held].mean())
+    weights = tuple(_logistic(x[~held], y[~held], ones) for x in xe)
+    for r in range(1, rounds + 1 if unlabelled else 1):
+        teacher = weights
+        counts = unlabelled(Round(frames, teacher, origins), "counts").reshape(2, BINS)
+        if not counts.sum():
             break
-        for v in (0, 1):
-            p = sigmoid(ue[v] @ weights[v])
-            open_ = np.flatnonzero(taught[1 - v] < 0)
-            room = int(PER_ROUND * len(p))
-            for label, score, most in ((1, p, int(room * rate)), (0, 1 - p, room - int(room * rate))):
-                best = open_[np.argsort(-score[open_], kind="stable")[:most]]
-                taught[1 - v][best[score[best] >= SURE]] = label
-    parts, logits = [], []
+        marks = tuple(marks_of(c, r * PER_ROUND, rate) for c in counts)
+        for _ in range(STEPS):
+            total, at, new = unlabelled(Round(frames, teacher, origins, marks, weights), "sums"), 0, []
+            for v in (0, 1):
+                k = xe[v].shape[1]
+                n, g, h = total[at], total[at + 1 : at + 1 + k], total[at + 1 + k : at + 1 + k + k * k].reshape(k, k)
+                at += 1 + k + k * k
+                w = TAUGHT * len(ones) / n if n else 0.0
+                new.append(weights[v] - _newton(xe[v][~held], y[~held], ones, weights[v], 1.0, (w * g, w * h)))
+            weights = tuple(new)
+    parts, logits, w = [], [], class_weights(y[held], stands_for or {})
     for v in (0, 1):
         z = xe[v][held] @ weights[v]
-        a, b = platt(z, y[held])
+        a, b = platt(z, y[held], weight=w)
         parts.append((*frames[v], weights[v], a, b))
-        logits.append(np.clip(a * z + b, -12, 12))
-    mix = _logistic(np.stack([np.ones(held.sum()), *logits], axis=1), y[held], np.ones(held.sum()), ridge=0.5)
-    return Model(tuple(parts), mix)
+        logits.append(np.clip(a * z + b, -LIMIT, LIMIT))
+    mix = _logistic(np.stack([np.ones(held.sum()), *logits], axis=1), y[held], w, ridge=0.5)
+    return Model(tuple(parts), mix, origins)
+
+
+ROWS = {"views": T.BinaryType(), "lang": T.StringType(), "source": T.StringType()}
 
 
-def _view_rows(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep: list[str]) -> DataFrame:
-    """The columns in ``keep`` and both views as arrays."""
+def view_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """``doc_id, views, lang, source`` of every row; ``views`` holds both views' features as 32-bit floats."""
+    id_, text = shared.fresh(docs, "row_id"), shared.fresh(docs, "row_text")
+    base = docs.select(F.col(id_col).cast("long").alias(id_), shared.text_column(docs, text_col).alias(text), *(c.alias(n) for c, n in zip(_origin(docs, lang_col, source_col), ("lang", "source"))))
 
-    def values(text, lang, source) -> dict:
-        xs = [views(buf, offs, lang.slice(a, b - a).to_pylist(), source.slice(a, b - a).to_pylist()) for a, b, buf, offs in textbytes.slices(text)]
-        return {name: pa.array([r for x in xs for r in x[k]], pa.list_(pa.float64())) for k, name in enumerate(("content_view", "layout_view"))}
+    def values(column: pa.Array) -> dict:
+        rows = [r.tobytes() for _, _, buf, offs in textbytes.slices(column) for r in np.concatenate(views(buf, offs), axis=1).astype("<f4")]
+        return {"views": pa.array(rows, pa.binary())}
 
-    kind = T.ArrayType(T.DoubleType())
-    base = docs.select(*keep, *(F.col(c) for c in dict.fromkeys((text_col, lang_col, source_col)) if c in docs.columns and c not in keep))
-    out = shared.append_columns(base, shared.text_column(base, text_col), values, {"content_view": kind, "layout_view": kind}, *_origin(base, lang_col, source_col))
-    return out.select(*keep, "content_view", "layout_view")
+    return shared.append_columns(base, F.col(text), values, {"views": T.BinaryType()}).select(F.col(id_).alias("doc_id"), *ROWS)
+
+
+def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Content and layout features of packed rows."""
+    x = np.frombuffer(b"".join(rows), dtype="<f4").astype(float).reshape(-1, sum(WIDE))
+    return x[:, : WIDE[0]], x[:, WIDE[0] :]
 
 
 def _origin(docs: DataFrame, *names: str):
     return [F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in names]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_unlabelled: int = MAX_UNLABELLED, rounds: int = ROUNDS) -> Model:
-    """Co-train on bounded samples chosen by a hash of the document id.
+def _summed(rows: DataFrame, what: Round, method: str) -> np.ndarray:
+    """The sum of a method of ``what`` over all rows: partitions send one vector each, a few tasks add them."""
+    held = rows.sparkSession.sparkContext.broadcast(what)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                xs = held.value.expanded(*_arrays(batch.column(0).to_pylist()), batch.column(1), batch.column(2))
+                own = getattr(held.value, method)(xs)
+                total = own if total is None else total + own
+        yield from _vector(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(x, dtype="<f8") for b in batches for x in b.column(0).to_pylist()]
+        yield from _vector(np.sum(parts, axis=0) if parts else None)
+
+    partial = rows.select(*ROWS).mapInArrow(one, "total binary")
+    wide = -(-rows.rdd.getNumPartitions() // 64)
+    parts = [np.frombuffer(r["total"], dtype="<f8") for r in partial.repartition(wide).mapInArrow(add, "total binary").collect()]
+    held.destroy()
+    return np.sum(parts, axis=0) if parts else np.zeros(2 * BINS)
+
+
+def _vector(total: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["total"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, rounds: int = ROUNDS) -> Model:
+    """Co-train on a bounded sample of labelled rows and all rows that ``labels`` does not list.
 
     The driver receives two short feature vectors for each sampled row, at most
-    ``max_positive + max_negative + max_unlabelled`` of them.  Labels of the
-    held-out fold are never read.
+    ``max_positive + max_negative`` of them.  Labels of the held-out fold are never
+    read.  An id that several rows share stands for one of them.  Null ids, texts,
+    languages and sources take part as they are; without rows of both labels the
+    model is a constant, the share of label 1 with one added to each count.
     """
-    docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
-    sample = label_sample(labels, label_col, {1: max_positive, 0: max_negative}, id_col)
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-    ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct()
-    open_ = ids.join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(None).cast("int").alias("label"))
-    picked = F.broadcast(sample.unionByName(open_).withColumnRenamed("doc_id", "picked_id").withColumnRenamed("label", "picked_label"))
-    few = docs.join(picked, F.col(id_col) == F.col("picked_id"))
-    one = few.groupBy("picked_id", "picked_label").agg(F.min(F.struct(*(F.col(c) for c in dict.fromkeys((text_col, lang_col, source_col)) if c in docs.columns))).alias("row")).select("picked_id", "picked_label", "row.*")
-    rows = _view_rows(one, text_col, lang_col, source_col, ["picked_id", "picked_label"]).collect()
-    rows.sort(key=lambda r: (textbytes.mix(np.array([r["picked_id"]], dtype=np.int64).astype(np.uint64))[0], r["picked_id"]))
-    wide = (len(CONTENT) + 1, len(LAYOUT) + 1 + 2 * HASHED)
-    part = lambda rs: tuple(np.array([r[c] for r in rs], dtype=float).reshape(len(rs), w) for c, w in zip(("content_view", "layout_view"), wide))
-    marked, rest = [r for r in rows if r["picked_label"] is not None], [r for r in rows if r["picked_label"] is None]
-    return co_train(part(marked), np.array([r["picked_label"] for r in marked], dtype=float), part(rest), rounds)
+    rows = shared.cut(view_rows(docs, id_col, text_col, lang_col, source_col))
+    sample, stands_for = label_sample(labels, label_col, {1: max_positive, 0: max_negative}, id_col)
+    own = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*ROWS)).alias("row")).select("doc_id", "label", "row.*").collect()
+    order = hash_order(np.array([r["doc_id"] for r in own], dtype=np.int64))
+    own = [own[k] for k in order.tolist()]
+    y = np.array([r["label"] for r in own], dtype=float)
+    origin = [(r["lang"], r["source"]) for r in own]
+    content, layout = _arrays([bytes(r["views"]) for r in own])
+    origins = Origins.of(origin, y)
+    listed = labels.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    few = listed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rest = shared.cut(rows.join(F.broadcast(listed) if few else listed, "doc_id", "left_anti"))
+    return co_train((content, np.concatenate([layout, origins.rows(origin, y)], axis=1)), y, origins, lambda what, method: _summed(rest, what, method), stands_for, rounds)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", names: tuple[str, str, str] = ("content_score", "metadata_score", "score")) -> DataFrame:
     """``docs`` with the calibrated probability of each view and their combination in new columns ``names``.
 
     Null or empty text: scored on its features (all shares are zero).  Null or
-    missing language and source: no indicator.  Every other column is passed
+    missing language and source: those of an unseen one.  Every other column is passed
     through, columns with these names are replaced.  Empty table: no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -248,7 +375,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: st
     def values(text, lang, source) -> dict[str, np.ndarray]:
         out = [np.empty((3, 0))]
         for a, b, buf, offs in textbytes.slices(text):
-            out.append(np.stack([sigmoid(z) for z in held.value.logits(views(buf, offs, lang.slice(a, b - a).to_pylist(), source.slice(a, b - a).to_pylist()))]))
+            out.append(np.stack([sigmoid(z) for z in held.value.logits(*views(buf, offs), lang.slice(a, b - a), source.slice(a, b - a))]))
         return dict(zip(names, np.concatenate(out, axis=1)))
 
     origin = _origin(docs, lang_col, source_col)

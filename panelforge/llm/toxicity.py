@@ -6,8 +6,11 @@ apart.  Training is per-coordinate FTRL-proximal: L1 leaves few weights other
 than zero, and these are what scoring broadcasts; at most 2**bits exist.
 
 Fitting reads a bounded sample of labelled rows (``max_positive`` and
-``max_negative``, chosen by a hash of the document id); scoring covers all rows
-in one pass without a shuffle.
+``max_negative``, chosen by a hash of the document id).  Their features are hashed
+where the texts lie; the learner, a sequence by nature, is one task that reads
+arrays of 32-bit numbers.  Calibration weighs the sample's rows so that each label
+counts as it does among all labelled rows, whatever the two limits are.  Scoring
+covers all rows in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -87,17 +90,25 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def platt(x: np.ndarray, y: np.ndarray, prior: float = 2.0) -> tuple[float, float]:
+def class_weights(y: np.ndarray, stands_for: dict[int, float]) -> np.ndarray:
+    """A weight for each sampled row by how many known rows it stands for; they sum to the number of rows."""
+    w = np.where(np.asarray(y) == 1, stands_for.get(1, 1.0), stands_for.get(0, 1.0))
+    return w * (len(w) / w.sum()) if len(w) else w
+
+
+def platt(x: np.ndarray, y: np.ndarray, prior: float = 2.0, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Scale and shift of logits ``x`` that fit labels ``y``, held near (1, 0) by a prior."""
-    theta, centre, positive = np.array([1.0, 0.0]), np.array([1.0, 0.0]), float(np.sum(y))
-    if not 0 < positive < len(y):
+    theta, centre = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    w = np.ones(len(y)) if weight is None else weight
+    positive, all_ = float(w[np.asarray(y) == 1].sum()), float(w.sum())
+    if not 0 < np.sum(y) < len(y):
         return 1.0, 0.0
-    target = np.where(np.asarray(y) == 1, (positive + 1) / (positive + 2), 1 / (len(y) - positive + 2))
+    target = np.where(np.asarray(y) == 1, (positive + 1) / (positive + 2), 1 / (all_ - positive + 2))
     x = np.clip(x, -35, 35)
     rows = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(50):
         p = sigmoid(rows @ theta)
-        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + prior * np.eye(2), rows.T @ (p - target) + prior * (theta - centre))
+        step = np.linalg.solve((rows * (w * p * (1 - p))[:, None]).T @ rows + prior * np.eye(2), rows.T @ (w * (p - target)) + prior * (theta - centre))
         theta = theta - np.clip(step, -1, 1)
         theta[0] = np.clip(theta[0], 0.25, 4)
         if np.abs(step).max() < 1e-8:
@@ -129,83 +140,96 @@ def held_out(id_col: str = "doc_id", folds: int = HELD_OUT_FOLDS):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def label_sample(labels: DataFrame, label_col: str, most: dict[int, int], id_col: str = "doc_id") -> DataFrame:
-    """At most ``most[y]`` labelled ids of each label ``y`` outside the held-out fold, by a hash of the id.
-
-    Repeated ids count once with their highest label; null ids and labels go.
-    """
-    known = (
+def known_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, label`` outside the held-out fold; repeated ids count once with their highest label, null ids and labels go."""
+    return (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .where("doc_id is not null and label is not null")
         .where(~held_out())
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
+
+
+def label_sample(labels: DataFrame, label_col: str, most: dict[int, int], id_col: str = "doc_id") -> tuple[DataFrame, dict[int, float]]:
+    """At most ``most[y]`` labelled ids of each label ``y``, by a hash of the id, and how many known ids one of each stands for."""
+    known = known_labels(labels, label_col, id_col)
+    count = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in most.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out, {y: count.get(y, 0) / max(1, min(n, count.get(y, 0))) for y, n in most.items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, epochs: int = EPOCHS) -> Model:
-    """Learn from a bounded sample of labelled rows, none of them held out.
+def hash_order(ids: np.ndarray) -> np.ndarray:
+    """A fixed order of document ids that does not depend on their place in a table."""
+    return np.lexsort((ids, textbytes.mix(ids.astype(np.int64).view(np.uint64))))
 
-    Features of one sampled text alone are left out.
 
-    Without rows of both labels the model is a constant, the share of label 1
-    with one added to each count.
+def train(ids: np.ndarray, y: np.ndarray, features_of: list[np.ndarray], stands_for: dict[int, float], bits: int = BITS, epochs: int = EPOCHS) -> Model:
+    """A model of labelled rows: FTRL over most of them in hash order, calibration on every CALIBRATION-th.
+
+    Without rows of both labels the model is a constant, the share of label 1 with
+    one added to each count.
+    """
+    positive = int(y.sum())
+    if not 0 < positive < len(y):
+        return Model(np.empty(0, np.int32), np.empty(0, np.float32), float(np.log((positive + 1) / (len(y) - positive + 1))), bits)
+    learner, order = Ftrl(bits), hash_order(ids)
+    kept = order[::CALIBRATION]
+    learned = np.delete(order, np.s_[::CALIBRATION])
+    for _ in range(epochs):
+        for k in learned.tolist():
+            learner.learn(features_of[k], y[k])
+    index, weight, bias = learner.sparse()
+    table = np.zeros(1 << bits, dtype=np.float32)
+    table[index] = weight
+    scale, shift = platt(np.array([bias + table[features_of[k]].sum() for k in kept.tolist()]), y[kept], weight=class_weights(y[kept], stands_for))
+    return Model(index, weight, bias, bits, scale, shift)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, epochs: int = EPOCHS) -> Model:
+    """Learn from a bounded sample of labelled rows, none of them held out; see :func:`train`.
+
+    An id that several rows share stands for the least of their texts.  Labels
+    without a document, null ids and null labels are not used.
     """
-    sample = label_sample(labels, label_col, {1: max_positive, 0: max_negative}, id_col)
+    sample, stands_for = label_sample(labels, label_col, {1: max_positive, 0: max_negative}, id_col)
     texts = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_column(docs, text_col).alias("text"))
         .join(F.broadcast(sample), "doc_id")  # at most max_positive + max_negative rows of two numbers
         .groupBy("doc_id", "label")
         .agg(F.min("text").alias("text"))
+        .select("doc_id", "label", "text")
     )
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.ENGINES.clear()
+        for batch in batches:
+            for a, b, buf, offs in textbytes.slices(batch.column(2)):
+                doc, f = features(buf, offs, bits)
+                key = np.unique((doc << np.int64(32)) | f)
+                cuts = np.searchsorted(key, np.arange(b - a + 1, dtype=np.int64) << 32)
+                f = (key & 0xFFFFFFFF).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1)), pa.array([f[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], names=["doc_id", "label", "features"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.ENGINES.clear()
-        held = list(batches)  # the bounded sample's texts
-        often = np.zeros(1 << bits, dtype=np.uint8)  # in how many texts, up to 2
-
-        def distinct():
-            for batch in held:
-                ids, ys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a, b, buf, offs in textbytes.slices(batch.column(2)):
-                    doc, f = features(buf, offs, bits)
-                    key = np.unique((doc << np.int64(32)) | f)
-                    cuts = np.searchsorted(key, np.arange(b - a + 1, dtype=np.int64) << 32)
-                    f = (key & 0xFFFFFFFF).astype(np.int32)
-                    for k in range(b - a):
-                        yield ids[a + k], ys[a + k], f[cuts[k] : cuts[k + 1]]
-
-        for _, _, f in distinct():
-            often[f] = np.minimum(often[f] + 1, 2)
-        seen = [(i, y, f[often[f] > 1]) for i, y, f in distinct()]  # what one text alone has teaches nothing
-        positive = sum(y for _, y, _ in seen)
-        scale, shift = 1.0, 0.0
-        if 0 < positive < len(seen):
-            learner = Ftrl(bits)
-            seen.sort(key=lambda r: (textbytes.mix(np.array([r[0]], dtype=np.int64).astype(np.uint64))[0], r[0]))
-            learned, kept = [r for k, r in enumerate(seen) if k % CALIBRATION], seen[::CALIBRATION]
-            for _ in range(epochs):
-                for _, y, f in learned:
-                    learner.learn(f, y)
-            index, weight, bias = learner.sparse()
-            table = np.zeros(1 << bits, dtype=np.float32)
-            table[index] = weight
-            scale, shift = platt(np.array([bias + table[f].sum() for _, _, f in kept]), np.array([y for _, y, _ in kept]))
-        else:
-            index, weight = np.empty(0, np.int32), np.empty(0, np.float32)
-            bias = float(np.log((positive + 1) / (len(seen) - positive + 1)))
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (index.tobytes(), weight.tobytes(), bias, scale, shift)], names=["index", "weight", "bias", "scale", "shift"])
-        seen, held = [], []
+        ids, ys, held = [], [], []
+        for batch in batches:
+            ids.append(batch.column(0).to_numpy())
+            ys.append(batch.column(1).to_numpy())
+            held += [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(2)]
+        m = train(np.concatenate([np.empty(0, np.int64), *ids]), np.concatenate([np.empty(0, np.int64), *ys]), held, stands_for, bits, epochs)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (m.index.tobytes(), m.weight.tobytes(), m.bias, m.scale, m.shift)], names=["index", "weight", "bias", "scale", "shift"])
+        held.clear()
         shared.tidy()
 
-    row = texts.select("doc_id", "label", "text").coalesce(1).mapInArrow(train, "index binary, weight binary, bias double, scale double, shift double").collect()
+    rows = texts.mapInArrow(hashed, "doc_id long, label int, features binary").repartition(1)
+    row = rows.mapInArrow(learn, "index binary, weight binary, bias double, scale double, shift double").collect()
     if not row:
-        return Model(np.empty(0, np.int32), np.empty(0, np.float32), 0.0, bits)
+        return train(np.empty(0, np.int64), np.empty(0, np.int64), [], stands_for, bits)
     return Model(np.frombuffer(row[0]["index"], np.int32), np.frombuffer(row[0]["weight"], np.float32), row[0]["bias"], bits, row[0]["scale"], row[0]["shift"])
 
 

@@ -145,6 +145,151 @@ def test_toxicity_awkward_table(spark, corpus):
     assert all(r.score < 0.5 for r in toxicity.score(corpus[0], one).collect())
 
 
+def splitmix(v):
+    v = ((v ^ (v >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+    v = ((v ^ (v >> 27)) * 0x94D049BB133111EB) % 2**64
+    return v ^ (v >> 31)
+
+
+def plain_ftrl(docs, truth):
+    """Per-coordinate FTRL over dictionaries, and the calibrated logits of all documents."""
+    import re
+
+    def features(text):
+        ws = re.findall(r"[a-z0-9]+", text.lower())
+        out = {("w", w) for w in ws} | {("b", x, y) for x, y in zip(ws, ws[1:])} | {("s", x, y) for x, y in zip(ws, ws[2:])}
+        return out | {("p", w[:k]) for w in ws for k in toxicity.PREFIXES if len(w) > k}
+
+    z, n, bz, bn = defaultdict(float), defaultdict(float), 0.0, 0.0
+    alpha, beta, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    rows = sorted(((splitmix(i), features(t), truth[i][1]) for i, t, *_ in docs if zlib.crc32(str(i).encode()) % 5), key=lambda r: r[0])
+    for _ in range(toxicity.EPOCHS):
+        for k, (_, f, y) in enumerate(rows):
+            if k % toxicity.CALIBRATION:
+                w, b = {i: weight(i) for i in f}, -bz * alpha / (beta + math.sqrt(bn))
+                g = 1 / (1 + math.exp(-sum(w.values()) - b)) - y
+                for i in f:
+                    z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                    n[i] += g * g
+                bz, bn = bz + g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * b, bn + g * g
+    logit = lambda f: sum(map(weight, f)) - bz * alpha / (beta + math.sqrt(bn))
+    kept = [(logit(f), y) for _, f, y in rows[:: toxicity.CALIBRATION]]
+    a, b = toxicity.platt(np.array([x for x, _ in kept]), np.array([y for _, y in kept]))
+    return {i: a * logit(features(t)) + b for i, t, *_ in docs}
+
+
+def test_toxicity_equals_plain_ftrl(spark, corpus):
+    docs, labels, truth = corpus
+    want = plain_ftrl(labelled()[0], truth)
+    for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-want[r.doc_id])), abs=2e-3)
+
+
+def test_unequal_label_limits_do_not_shift_scores(spark, corpus):
+    docs, labels, _ = corpus
+    y = np.array([1] * 900 + [0] * 900)
+    w = toxicity.class_weights(y, {1: 1.0, 0: 9.0})
+    assert w[y == 0].sum() == pytest.approx(9 * w[y == 1].sum()) and w.sum() == pytest.approx(1800)
+    x = np.random.default_rng(1).normal(y, 1)
+    a, b = toxicity.platt(x, y, weight=w)
+    assert (toxicity.sigmoid(a * x + b) * w).sum() / w.sum() == pytest.approx(0.1, abs=0.03)
+    _, stands_for = toxicity.label_sample(labels, "toxic", {1: 20, 0: 10_000})
+    positives = labels.where("toxic = 1").where(~toxicity.held_out()).select("doc_id").distinct().count()
+    assert stands_for == {1: positives / 20, 0: 1.0}
+
+
+def plain_co_training(rows, truth, listed):
+    """Co-training over lists in memory: (calibrated logits of both views, combination) of every row."""
+    n_content = quality.WIDE[0]
+    sample = sorted((i for i in truth if zlib.crc32(str(i).encode()) % 5 and i in rows), key=splitmix)
+    y = np.array([truth[i][0] for i in sample], float)
+    rate = (y.sum() + 1) / (len(y) + 2)
+
+    def origin(i, column):
+        own = 1 if i in sample else 0
+        value = rows[i][1 + column]
+        good = sum(truth[j][0] for j in sample if rows[j][1 + column] == value) - own * truth.get(i, (0, 0))[0]
+        bad = sum(1 - truth[j][0] for j in sample if rows[j][1 + column] == value) - own * (1 - truth.get(i, (1, 0))[0])
+        return math.log((good + 2 * rate) / rate) - math.log((bad + 2 * (1 - rate)) / (1 - rate))
+
+    def both(i):
+        v = rows[i][0]
+        return v[:n_content], np.array([*v[n_content:], origin(i, 0), origin(i, 1)])
+
+    def expand(x, c, s):
+        z = np.clip((x - c) / s, -5, 5)
+        return np.concatenate([np.ones((len(z), 1)), z[:, 1:], z[:, 1:] ** 2 / 5], axis=1)
+
+    xs = [np.array([both(i)[v] for i in sample]) for v in (0, 1)]
+    free = [i for i in rows if i not in listed]
+    us = [np.array([both(i)[v] for i in free]) for v in (0, 1)]
+    fit_ = np.arange(len(y)) % quality.CALIBRATION != 0
+    frames = [(x[fit_].mean(axis=0), x[fit_].std(axis=0) + 1e-6) for x in xs]
+    xe, ue = [expand(x, *f) for x, f in zip(xs, frames)], [expand(u, *f) for u, f in zip(us, frames)]
+    p = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+    def step(x, t, w, theta, ridge=1.0):
+        pen = np.diag([1e-3] + [ridge] * (x.shape[1] - 1))
+        h = (x * (w * p(x @ theta) * (1 - p(x @ theta)))[:, None]).T @ x + pen
+        return np.clip(np.linalg.solve(h, x.T @ (w * (p(x @ theta) - t)) + pen @ theta), -2, 2)
+
+    def logistic(x, t, w, ridge=1.0):
+        theta = np.zeros(x.shape[1])
+        for _ in range(30):
+            s = step(x, t, w, theta, ridge)
+            theta = theta - s
+            if abs(s).max() < 1e-6:
+                break
+        return theta
+
+    theta = [logistic(x[fit_], y[fit_], np.ones(fit_.sum())) for x in xe]
+    for r in range(1, quality.ROUNDS + 1):
+        given = []
+        for v in (0, 1):
+            bins = quality.bin_of(ue[v] @ theta[v])
+            room, share, marks = r * quality.PER_ROUND * len(free), y[fit_].mean(), np.full(len(free), -1)
+            for label, order, sure, want in ((1, sorted(set(bins), reverse=True), bins > quality.bin_of(np.log(9.0) * np.ones(1))[0], room * share), (0, sorted(set(bins)), bins < quality.bin_of(-np.log(9.0) * np.ones(1))[0], room * (1 - share))):
+                taken = 0
+                for b in order:
+                    if taken < want:
+                        marks[(bins == b) & sure] = label
+                        taken += (bins == b).sum()
+            given.append(marks)
+        for _ in range(quality.STEPS):
+            new = []
+            for v in (0, 1):
+                k = given[1 - v] >= 0
+                w = np.concatenate([np.ones(fit_.sum()), np.full(k.sum(), quality.TAUGHT * fit_.sum() / max(k.sum(), 1))])
+                new.append(theta[v] - step(np.concatenate([xe[v][fit_], ue[v][k]]), np.concatenate([y[fit_], given[1 - v][k]]), w, theta[v]))
+            theta = new
+    cal = [quality.platt(x[~fit_] @ t, y[~fit_]) for x, t in zip(xe, theta)]
+    own = [np.clip(a * (x[~fit_] @ t) + b, -12, 12) for x, t, (a, b) in zip(xe, theta, cal)]
+    mix = logistic(np.stack([np.ones(len(own[0])), *own], axis=1), y[~fit_], np.ones(len(own[0])), 0.5)
+    sources = [[{rows[j][1 + c]: None for j in sample}, c] for c in (0, 1)]
+    out = {}
+    for i in rows:  # scoring counts every labelled page of an origin
+        v, odds = rows[i][0], []
+        for seen, c in sources:
+            value = rows[i][1 + c]
+            good, bad = (sum(truth[j][0] for j in sample if rows[j][1 + c] == value), sum(1 - truth[j][0] for j in sample if rows[j][1 + c] == value)) if value in seen and value is not None else (0, 0)
+            odds.append(math.log((good + 2 * rate) / rate) - math.log((bad + 2 * (1 - rate)) / (1 - rate)))
+        zs = [float(np.clip(a * (expand(x[None, :], *f) @ t)[0] + b, -12, 12)) for x, f, t, (a, b) in zip((v[:n_content], np.array([*v[n_content:], *odds])), frames, theta, cal)]
+        out[i] = (*zs, mix[0] + mix[1] * zs[0] + mix[2] * zs[1])
+    return out
+
+
+def test_quality_equals_plain_co_training(spark, corpus):
+    docs, labels, truth = corpus
+    half = labels.where("doc_id % 2 = 0")
+    known = {i: t for i, t in truth.items() if i % 2 == 0}
+    rows = {r.doc_id: (np.frombuffer(r.views, "<f4").astype(float), r.lang, r.source) for r in quality.view_rows(docs, "doc_id", "text", "lang", "source").collect()}
+    want = plain_co_training(rows, known, {*known, 3})  # document 3 is listed without a label
+    for r in quality.score(docs, quality.fit(docs, half.unionByName(labels.where("doc_id = 3 and quality is null")))).collect():
+        for got, z in zip((r.content_score, r.metadata_score, r.score), want[r.doc_id]):
+            assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-3)
+
+
 def test_quality_on_held_out_rows(spark, corpus):
     docs, labels, truth = corpus
     model = quality.fit(docs, labels)
@@ -157,6 +302,8 @@ def test_quality_on_held_out_rows(spark, corpus):
     bare = quality.score(frame(spark, rows).drop("lang", "source"), model).count()
     assert bare == len(rows) and quality.score(frame(spark, rows).where("false"), model).count() == 0
     assert quality.fit(docs, labels.where("false")).constant is not None
+    mixed = frame(spark, rows, ("row_id", "views", "picked_id", "row")).unionByName(docs.select("doc_id", "text", "lang", "source", "n_chars"), allowMissingColumns=True)
+    assert quality.fit(mixed.where("doc_id is null or doc_id >= 0"), labels).constant is None
 
 
 def test_language_model_equals_plain_counts(spark):
