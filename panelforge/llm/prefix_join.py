@@ -22,12 +22,17 @@ Every pair of linked classes is verified in 4 or 5, or is already in one
 component when 5 runs, so components are exact.  Verification first compares
 512-bit parity signatures: they differ in at most as many bits as the sets differ
 in tokens, so a pair beyond the allowed difference goes without its sets being
-moved.  The sets of the rest are recomputed from texts (a fixed-size Bloom filter
-thins the scan, the join that follows is exact).
+moved.  The sets of the rest are recomputed from texts (a Bloom filter sized by how
+many are wanted thins the scan, the join that follows is exact).
+
+Set and group ids have 128 bits.  Tokens that very many groups share are joined by
+broadcasting them (there are at most HOT_TOKENS of them), so their entries stay where
+they are and no task gathers one token's entries.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +49,10 @@ THRESHOLD = 90  # per cent
 WIDTH = 3
 #: 2**SKETCH_BITS frequency counts; a fixed 16 MB.
 SKETCH_BITS = 22
-#: 2**BLOOM_BITS bits; a fixed 4 MB.
-BLOOM_BITS = 25
+#: A filter has 16 bits for each wanted set, 2**20 to 2**28 (32 MB) in all; fuller ones let more sets through to the exact join.
+BLOOM_LEAST, BLOOM_MOST = 20, 28
+#: A token is hot if it has more than this share of all entries (1 / HOT_TOKENS) and more than HOT_ENTRIES.
+HOT_TOKENS, HOT_ENTRIES = 2000, 1000
 #: Prefix tokens that linked sets have in common.
 SHARED = 3
 
@@ -56,6 +63,11 @@ def _documents(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np
         yield a, b, h, begin
 
 
+def _group_id(prefix: np.ndarray, n: int) -> bytes:
+    """128 bits of a prefix and the size of its set."""
+    return hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest()
+
+
 def _set_id(s: np.ndarray) -> bytes:
     """128 bits that depend on the set alone."""
     with np.errstate(over="ignore"):
@@ -86,72 +98,90 @@ def _signature(s: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, counts, threshold: int, bits: int, width: int = WIDTH) -> DataFrame:
-    """``doc_id, n_shingles, sid, sig, prefix`` of every row; the last three are null for a text without words."""
+    """``doc_id, n_shingles, sid, sig, prefix, gid`` of every row; the last four are null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in batches:
             for a, b, h, begin in _documents(batch, width):
-                size, sids, sigs, prefixes = [], [], [], []
+                size, sids, sigs, prefixes, gids = [], [], [], [], []
                 for k in range(b - a):
                     s = np.unique(h[begin[k] : begin[k + 1]])
                     n = len(s)
                     size.append(n)
                     if not n:
-                        sids.append(None)
-                        sigs.append(None)
-                        prefixes.append(None)
+                        for x in (sids, sigs, prefixes, gids):
+                            x.append(None)
                         continue
                     keep = min(n, n - (threshold * n + 99) // 100 + SHARED)
                     order = np.argsort(table[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[:keep]
                     sids.append(_set_id(s))
                     sigs.append(_signature(s))
                     prefixes.append(s[order].view(np.int64))
+                    gids.append(_group_id(prefixes[-1], n))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(sids, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "sid", "sig", "prefix"],
+                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(sids, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(gids, pa.binary())],
+                    names=["doc_id", "n_shingles", "sid", "sig", "prefix", "gid"],
                 )
         shared.tidy()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid binary, sig array<bigint>, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid binary, sig array<bigint>, prefix array<bigint>, gid binary")
 
 
-def _bloom_bits(sid: bytes, bits: int) -> list[int]:
-    x, y = int.from_bytes(sid[:8], "little"), int.from_bytes(sid[8:16], "little") | 1
-    return [((x + k * y) & 0xFFFFFFFFFFFFFFFF) >> (64 - bits) for k in range(3)]
+def _bloom_places(sids: list[bytes], bits: int) -> np.ndarray:
+    """The three bits of each sid, one row a sid."""
+    words = np.frombuffer(b"".join(s[:16] for s in sids), dtype="<u8").reshape(-1, 2)
+    with np.errstate(over="ignore"):
+        return np.stack([(words[:, 0] + np.uint64(k) * (words[:, 1] | np.uint64(1))) >> np.uint64(64 - bits) for k in range(3)], axis=1).astype(np.int64)
 
 
-def _bloom(sids: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A filter of fixed size that holds all sids; partitions send their set bits."""
+def _bloom(sids: DataFrame, bits: int) -> np.ndarray:
+    """A filter that holds all sids; partitions send their set bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << (bits - 3), dtype=np.uint8)
         for batch in batches:
-            for s in batch.column(0).to_pylist():
-                for at in _bloom_bits(s, bits):
-                    held[at >> 3] |= 1 << (at & 7)
+            at = _bloom_places(batch.column(0).to_pylist(), bits).reshape(-1)
+            np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield from sketch.blocks(held)
 
     return sketch.summed(sids.mapInArrow(run, sketch.SCHEMA), 1 << (bits - 3), np.uint8, np.bitwise_or)
 
 
-def _sets(docs: DataFrame, sids: DataFrame, width: int, bits: int = BLOOM_BITS) -> DataFrame:
+def _sets(docs: DataFrame, sids: DataFrame, width: int) -> DataFrame:
     """``sid, tokens`` of the classes named by ``sids`` (and a few more)."""
+    bits = min(max((16 * sids.count()).bit_length(), BLOOM_LEAST), BLOOM_MOST)
     held = docs.sparkSession.sparkContext.broadcast(_bloom(sids, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for batch in batches:
             for a, b, h, begin in _documents(batch, width):
-                out: dict[bytes, np.ndarray] = {}
+                own: dict[bytes, np.ndarray] = {}
                 for k in range(b - a):
                     s = np.unique(h[begin[k] : begin[k + 1]])
-                    if len(s) and (sid := _set_id(s)) not in out and all(table[at >> 3] >> (at & 7) & 1 for at in _bloom_bits(sid, bits)):
-                        out[sid] = s.view(np.int64)
+                    if len(s):
+                        own.setdefault(_set_id(s), s.view(np.int64))
+                if not own:
+                    continue
+                names = list(own)
+                at = _bloom_places(names, bits)
+                wanted = (table[at >> 3] >> (at & 7) & 1).all(axis=1)
+                out = {name: own[name] for name, w in zip(names, wanted.tolist()) if w}
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.list_(pa.int64()))], names=["sid", "tokens"])
         shared.tidy()
 
-    return docs.mapInArrow(run, "sid binary, tokens array<bigint>").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    return docs.mapInArrow(run, "sid binary, tokens array<bigint>").join(sids, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+
+
+def _by_token(entries: DataFrame, tokens: DataFrame, hot: DataFrame) -> DataFrame:
+    """``entries`` joined with one row a token; entries of hot tokens are not moved.
+
+    ``hot`` has at most HOT_TOKENS tokens: fewer entries than HOT_TOKENS times a hot token's exist.
+    """
+    hot = F.broadcast(hot.select("token"))
+    few = F.broadcast(tokens.join(hot, "token", "left_semi"))
+    return entries.join(hot, "token", "left_anti").join(tokens, "token").unionByName(entries.join(few, "token"))
 
 
 def _close(x, n, y, m, threshold: int):
@@ -166,7 +196,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: in
     pairs = pairs.distinct().join(x, "a").join(y, "b").where(_close(F.col("siga"), F.col("na"), F.col("sigb"), F.col("nb"), threshold))
     pairs = cut(pairs.select("a", "b"))
     ends = cut(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
-    sets = cut(_sets(docs, ends, width).join(ends, "sid", "left_semi"))
+    sets = cut(_sets(docs, ends, width))
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.where((100 + threshold) * common >= threshold * (F.size("x") + F.size("y"))).select("a", "b"))
@@ -203,18 +233,20 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, width: int =
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_column(docs, text_col).alias("text"))
     counts = docs.sparkSession.sparkContext.broadcast(token_counts(docs, sketch_bits, width))
-    rows = cut(shingle_sets(docs, counts, threshold, sketch_bits, width).withColumn("gid", F.xxhash64("prefix", "n_shingles")))
+    rows = cut(shingle_sets(docs, counts, threshold, sketch_bits, width))
     known = rows.where("sid is not null")
     classes = cut(known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("gid").alias("gid")))
     heads = cut(classes.groupBy("gid").agg(F.first("n").alias("n"), F.min(F.struct("sid", "sig")).alias("lead"), F.count("*").alias("members")))
     prefixes = cut(known.groupBy("gid").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")))
-    entries = prefixes.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    again = entries.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1").select("token")
-    entries = cut(entries.join(again, "token").select("token", "gid", F.col("n").cast("int").alias("n"), "pos"))
+    entries = prefixes.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    again = cut(entries.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1"))
+    total = again.agg(F.sum("entries")).first()[0] or 0
+    hot = cut(again.where(F.col("entries") > max(HOT_ENTRIES, total // HOT_TOKENS)).select("token"))
+    entries = cut(_by_token(entries, again.select("token"), hot).select("token", "gid", "n", "pos"))
 
     # stars: each group's leader with the pivots of its tokens, each member with its leader
     pivots = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "gid")).alias("pivot"))
-    near = entries.join(pivots, "token").where("gid <> pivot.gid").where(_possible(F.col("pos"), F.col("n"), F.col("pivot.pos"), F.col("pivot.n"), threshold))
+    near = _by_token(entries, pivots, hot).where("gid <> pivot.gid").where(_possible(F.col("pos"), F.col("n"), F.col("pivot.pos"), F.col("pivot.n"), threshold))
     near = _candidates(near.select(F.least("gid", "pivot.gid").alias("g"), F.greatest("gid", "pivot.gid").alias("h")), heads, threshold)
     own = classes.join(heads.where("members > 1").select("gid", F.col("lead.sid").alias("leader")), "gid").where("sid <> leader")
     stars = near.select(F.least("sidg", "sidh").alias("a"), F.greatest("sidg", "sidh").alias("b")).unionByName(own.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")))
@@ -225,7 +257,7 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, width: int =
     member = classes.select("gid", "sid").join(first.withColumnRenamed("node", "sid"), "sid", "left").select("gid", "sid", F.coalesce("component", "sid").alias("component"))
     member = cut(member)
     spread = member.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    entries = cut(entries.select("token", "gid", "n", "pos").join(spread, "gid"))
+    entries = cut(entries.join(spread, "gid"))
     cells = entries.groupBy("token", "n", "pos").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     torn = cells.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
     cells = cut(cells.join(torn, "token"))

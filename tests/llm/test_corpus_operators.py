@@ -423,17 +423,42 @@ def test_audit_equals_sql(spark, smoke):
     assert sorted(map(tuple, registry.QUERIES["op7_merkle_audit"](spark, smoke).collect())) == want
 
 
+def plain_components(rows, width, per_cent):
+    """``component`` of each position: union-find over all pairs of shingle sets."""
+    sets = []
+    for _, t in rows:
+        lower = bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())
+        ws = [w for w in lower.translate(bytes(32 if b in SPACE else b for b in range(256))).split(b" ") if w]
+        sets.append(frozenset(tuple(ws[k : k + width]) for k in range(max(1, len(ws) - width + 1))) if ws else frozenset())
+    parent = list(range(len(rows)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            small, big = sorted((len(sets[a]), len(sets[b])))
+            if small and 100 * small >= per_cent * big and 100 * len(sets[a] & sets[b]) >= per_cent * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(len(rows))]
+
+
 def test_pipeline_stages(spark, smoke):
     docs = registry.table(spark, smoke, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "packing"]
-    extra = docs.withColumn("score", F.lit("kept")).withColumn("gid", F.lit(None).cast("string"))
+    extra = docs.withColumn("m", F.create_map(F.lit("a"), "doc_id"))
+    for c in ("score", "gid", "picked_id", "gone_id", "twice_id", "other_id", "row", "views", "row_id"):
+        extra = extra.withColumn(c, F.lit("kept"))
+    extra = extra.unionByName(extra.limit(5))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, extra, smoke)
         assert out.columns == extra.columns and 0 < out.count() <= extra.count()
+        assert stage(spark, extra.where("false"), smoke).count() == 0
     kept = corpus_pipeline.drop_near_duplicates(spark, docs.unionByName(docs.limit(5)), smoke)
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    comp = {r.doc_id: r.component_id for r in prefix_join.near_duplicates(docs, sketch_bits=17).collect()}
-    assert sorted(ids) == sorted({c for c in comp.values()})
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted({rows[k][0] for k in plain_components(rows, 5, 80)})
     rows = corpus_pipeline.run(spark, smoke).collect()
     by = defaultdict(int)
     for r in rows:
@@ -442,6 +467,43 @@ def test_pipeline_stages(spark, smoke):
     assert all(by[r.doc_id] == r.doc_tokens for r in rows)
 
 
+def test_pipeline_stages_bear_awkward_rows(spark, smoke):
+    rows = awkward()
+    docs = frame(spark, rows, ("score", "gid", "gone_id", "other_id"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, smoke)
+        assert name == "packing" or out.columns == docs.columns
+        assert out.count() > 0
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, smoke).select("doc_id", "text").collect()
+    assert Counter(r.doc_id for r in kept if r.text is None) == Counter({None: 1, 60: 1})
+    assert max(Counter(r.doc_id for r in kept if r.doc_id is not None).values()) == 1
+
+
+def test_pipeline_equals_its_stages_one_by_one(spark, smoke, tmp_path):
+    """The run is each stage over all rows that the one before kept, by plain means where one stage can be put plainly."""
+    docs = registry.table(spark, smoke, "documents")
+    clean = corpus_pipeline.drop_toxic(spark, docs, smoke)
+    clean.write.parquet(f"{tmp_path}/clean")
+    good = corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{tmp_path}/clean"), smoke)
+    rows = sorted((r.doc_id, r.text) for r in good.collect())
+    want = {rows[k][0] for k in plain_components(rows, 5, 80)}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, smoke).select("doc_id").distinct().collect()} == want
+
+
+def test_prefix_join_with_hot_tokens(spark, monkeypatch):
+    """Thresholds so low that shared tokens are hot: the links stay the same."""
+    monkeypatch.setattr(prefix_join, "HOT_ENTRIES", 2)
+    rnd = random.Random(31)
+    words, passage = [f"w{k}" for k in range(200)], [f"p{k}" for k in range(30)]
+    rows = []
+    for k in range(120):
+        text = passage + [rnd.choice(words) for _ in range(rnd.choice([1, 2, 3, 40]))]
+        rows.append((k, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in prefix_join.near_duplicates(df, sketch_bits=17).collect())
+    assert got == brute_components(rows)
+
+
 def test_pipeline_removes_near_copies_of_five_word_shingles(spark, smoke):
     words = [f"w{k}" for k in range(200)]
     texts = [words, words[:100] + [f"x{k}" for k in range(10)] + words[110:], words[:170], words[:150], ["one", "two", "three", "four"], ["one", "two", "three", "four"], ["one", "two", "three", "five"]]
