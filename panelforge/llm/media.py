@@ -78,76 +78,121 @@ def image_feature(samples: np.ndarray) -> str:
 
 
 class _Interleaver(HTMLParser):
-    """Text runs and media references in document order."""
+    """Text runs and media references in document order.
 
-    _BREAKS = frozenset("p div li h1 h2 h3 h4 h5 h6 br tr td th section article figure figcaption blockquote pre ul ol table".split())
-    _SILENT = frozenset(("script", "style", "noscript", "template", "title"))
+    A caption belongs to the media of its own figure, before it or after it, and of no
+    other; figures may be nested, and captions are attached when a figure ends.
+    """
+
+    _BREAKS = frozenset("p div li h1 h2 h3 h4 h5 h6 br hr tr td th section article figure figcaption blockquote pre ul ol table".split())
+    #: Elements whose text is no text of the page; the parser itself reads script and style as raw text.
+    _SILENT = frozenset(("script", "style", "noscript", "template"))
+    _MEDIA = frozenset(("img", "video", "audio", "source", "embed"))
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.silent = 0
+        self.silent: list[str] = []
+        self.titled = False
+        self.figures: list[tuple[list[int], list[str]]] = []  # open figures: items of their media, captions
         self.caption: list[str] | None = None
-        self.figure: int | None = None
 
     def flush(self) -> None:
         run = " ".join("".join(self.text).split())
         self.text = []
         if run:
-            self.items.append({"kind": "text", "text": run, "digest": None, "caption": None})
+            self.items.append({"kind": "text", "text": run, "digest": None, "url": None, "caption": None})
+
+    def _close_caption(self) -> None:
+        if self.caption is not None:
+            text, self.caption = " ".join("".join(self.caption).split()), None
+            if text and self.figures:
+                self.figures[-1][1].append(text)
+            elif text:  # outside a figure it is text like any other
+                self.items.append({"kind": "text", "text": text, "digest": None, "url": None, "caption": None})
+
+    def _close_figure(self) -> None:
+        self._close_caption()
+        media, captions = self.figures.pop()
+        if captions:
+            for k in media:
+                self.items[k]["caption"] = " ".join(captions)
 
     def handle_starttag(self, tag, attrs):
-        if tag in self._SILENT:
-            self.silent += 1
+        if tag == "body" or (self.silent and tag in ("body", "article", "main")):
+            self.silent = []
+        if tag in self._BREAKS or tag == "body":
+            self.titled = False  # a title that is never closed ends where the page begins
+        if tag == "title" and not self.items:
+            self.titled = True
+        elif tag in self._SILENT:
+            self.silent.append(tag)
         if tag == "figcaption":
+            self._close_caption()
             self.flush()
             self.caption = []
         elif tag in self._BREAKS:
             self.flush()
         if tag == "figure":
-            self.figure = len(self.items)
-        if tag in ("img", "video", "audio", "source"):
+            self._close_caption()
+            self.figures.append(([], []))
+        if tag in self._MEDIA and not self.silent:
             held = dict(attrs)
-            if src := held.get("src"):
+            if src := (held.get("src") or "").strip():
                 self.flush()
-                self.items.append({"kind": "media", "text": None, "digest": src.removeprefix(PREFIX), "caption": held.get("alt")})
+                named = src.startswith(PREFIX)
+                if self.figures:
+                    self.figures[-1][0].append(len(self.items))
+                self.items.append({"kind": "media", "text": None, "digest": src.removeprefix(PREFIX) if named else None, "url": None if named else src, "caption": held.get("alt")})
 
     def handle_endtag(self, tag):
-        if tag in self._SILENT:
-            self.silent = max(0, self.silent - 1)
-        if tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figure or 0 :]:  # the figure's own media
-                if item["kind"] == "media":
-                    item["caption"] = text
+        if tag == "title":
+            self.titled = False
+        if tag in self.silent:
+            while self.silent.pop() != tag:
+                pass
+        if tag in ("head", "body", "html") and self.silent:
+            self.silent = []  # what was left open ends with its part of the page
+        if tag == "figcaption":
+            self._close_caption()
         elif tag in self._BREAKS:
             self.flush()
-        if tag == "figure":
-            self.figure = None
+        if tag == "figure" and self.figures:
+            self._close_figure()
 
     def handle_data(self, data):
-        if not self.silent:
+        if not self.silent and not self.titled:
             (self.text if self.caption is None else self.caption).append(data)
 
+    def done(self) -> list[dict]:
+        self.close()
+        while self.figures:
+            self._close_figure()
+        self._close_caption()
+        self.flush()
+        return self.items
+
 
 def interleave(html: str) -> list[dict]:
+    """Items of a page: position, kind, text, digest (of a reference by digest), url (of another one), caption."""
     parser = _Interleaver()
     parser.feed(html)
-    parser.close()
-    parser.flush()
-    return [{"position": k, **item} for k, item in enumerate(parser.items)]
+    return [{"position": k, **item} for k, item in enumerate(parser.done())]
 
 
-ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
-_ITEM = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+ITEM = "struct<position:int,kind:string,text:string,digest:string,url:string,caption:string>"
+_ITEM = pa.list_(pa.struct([("position", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "digest", "url", "caption"))]))
 
 
 def parse_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``page_id, items`` of every row: its ordered text and media-reference structs.
 
-    Null or empty HTML: no items.  Unclosed and unknown tags are tolerated.
-    Repeated rows are parsed by themselves; other columns are not read.
+    Null or empty HTML: no items.  Unclosed and unknown tags are tolerated: a title
+    ends where the page's text begins, a silent part with its head or body.  A
+    reference by another address than a digest has its ``url`` and no digest.
+    Repeated rows are parsed by themselves; an empty table gives no rows; other
+    columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,20 +255,33 @@ DESCRIBED = {"digest": "string", "payload_bytes": "long", "payload_sha256": "str
 
 
 def resolve(parsed: DataFrame, store: DataFrame) -> DataFrame:
-    """One row for each item: ``page_id, position, kind, text, digest, caption`` and the store's columns.
+    """One row for each item: ``page_id, page, position, kind, text, digest, url, caption`` and the store's columns.
 
-    Text items and references that the store lacks have nulls there.  A digest
-    that very many pages share is an ordinary skewed join; the store has one row
-    for each digest.
+    ``page`` numbers the rows of ``parsed``, so pages that share an id stay apart.
+    Text items, references by url and digests that the store lacks have nulls in the
+    store's columns.  Store columns named like an item's are left out.  Items without
+    a digest do not move; a digest that very many pages share is spread over
+    SPREAD parts, each of which has the store's row.
     """
-    items = parsed.select("page_id", F.explode("items").alias("i")).select("page_id", "i.*")
-    return items.join(store, "digest", "left").select("page_id", "position", "kind", "text", "digest", "caption", *(c for c in store.columns if c != "digest"))
+    name = shared.fresh(parsed, "page")
+    items = parsed.withColumn(name, F.monotonically_increasing_id()).select("page_id", F.col(name).alias("page"), F.explode("items").alias("i")).select("page_id", "page", "i.*")
+    rest = [c for c in store.columns if c not in ITEM_COLUMNS and c != "part"]
+    named, plain = items.where("digest is not null"), items.where("digest is null")
+    many = store.select("digest", *rest).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    found = named.withColumn("part", F.pmod(F.xxhash64("page", "position"), F.lit(SPREAD)).cast("int")).join(many, ["digest", "part"], "left").drop("part")
+    order = [*ITEM_COLUMNS, *rest]
+    return found.select(*order).unionByName(plain.select(*ITEM_COLUMNS), allowMissingColumns=True).select(*order)
+
+
+#: Parts that references of one digest are spread over.
+SPREAD = 8
+ITEM_COLUMNS = ("page_id", "page", "position", "kind", "text", "digest", "url", "caption")
 
 
 def assemble(items: DataFrame) -> DataFrame:
-    """``page_id, items``: each page's items in order again, payload columns included."""
-    rest = [c for c in items.columns if c not in ("page_id", "position")]
-    return items.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", *rest))).alias("items"))
+    """``page_id, items``: each page's items in order again, payload columns included; a page without items has no row."""
+    rest = [c for c in items.columns if c not in ("page_id", "page", "position")]
+    return items.groupBy("page_id", "page").agg(F.array_sort(F.collect_list(F.struct("position", *rest))).alias("items")).drop("page")
 
 
 def store_path(spark) -> str:
@@ -232,14 +290,25 @@ def store_path(spark) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/media-{uuid.uuid4().hex}"
 
 
+def document_page(id_col, parts: list, caption):
+    """HTML of a document as paragraphs and figures: ``parts`` are (before, digest) column pairs in order."""
+    out = [F.lit("<article><h1>Document "), F.coalesce(id_col.cast("string"), F.lit("without id")), F.lit("</h1>")]
+    for before, digest in parts:
+        out += [F.lit("<p>"), before, F.lit(f'</p><figure><img src="{PREFIX}'), digest, F.lit('" alt="text as image"><figcaption>'), caption, F.lit("</figcaption></figure>")]
+    return F.concat(*out, F.lit("</article>"))
+
+
 def document_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, path: str | None = None) -> DataFrame:
-    """Every document as a page with one image of its text, resolved through the store.
+    """Every document as a page of text and one image of its text, resolved through the store and put together again.
 
     Returns ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature, position, caption``.
+    media_bytes, media_sha256, feature, position, caption, n_items``, read from the
+    assembled sequence; raises if its media do not stand alone between their texts.
 
     Null or empty text: one row of fill.  Null document id: kept.  Repeated rows:
-    one result each, one stored payload.  Empty table: no rows.
+    one result each, one stored payload.  Empty table: no rows.  The store is
+    written here, in ``path`` or a new folder of the checkpoint folder, and stays
+    there for who reads the result; it belongs to the caller.
     """
     spark = docs.sparkSession
     text = shared.text_column(docs, text_col)
@@ -248,8 +317,10 @@ def document_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     n = F.octet_length(text).cast("long")
     rest = F.lit(width) * F.greatest(F.lit(1), F.ceil(n / width)) - n
     payload = F.concat(text.cast("binary"), F.unhex(F.repeat(F.lit(f"{FILL:02x}"), rest.cast("int"))))
-    page = F.concat(F.lit("<article><h1>Document "), F.coalesce(F.col(id_col).cast("string"), F.lit("without id")), F.lit(f'</h1><figure><img src="{PREFIX}'), F.sha2(payload, 256), F.lit('" alt="text as image"><figcaption>'), n.cast("string"), F.lit(" bytes</figcaption></figure></article>"))
+    page = document_page(F.col(id_col), [(F.lit("Its text:"), F.sha2(payload, 256))], F.concat(n.cast("string"), F.lit(" bytes")))
     pages = docs.select(F.col(id_col).cast("long").alias("page_id"), page.alias("html"))
-    items = resolve(parse_pages(pages), describe_store(spark.read.parquet(path)))
-    out = items.where("kind = 'media'")
-    return out.select(F.col("page_id").alias("doc_id"), F.split("caption", " ")[0].cast("long").alias("n_bytes"), *(c for c in DESCRIBED if c != "digest"), "position", "caption")
+    whole = assemble(resolve(parse_pages(pages), describe_store(spark.read.parquet(path))))
+    media = F.filter("items", lambda i: i["kind"] == "media")
+    fits = (F.size(media) == 1) & (F.size("items") == 3) & (media[0]["position"] == 2)
+    out = whole.select("page_id", media[0].alias("m"), F.size("items").alias("n_items"), F.assert_true(fits, "a page's items are out of order").alias("checked")).where("checked is null")
+    return out.select(F.col("page_id").alias("doc_id"), F.split("m.caption", " ")[0].cast("long").alias("n_bytes"), *(F.col(f"m.{c}").alias(c) for c in DESCRIBED if c != "digest"), "m.position", "m.caption", "n_items")

@@ -369,12 +369,54 @@ def test_interleaving_keeps_order_and_captions(spark):
     html = "<html><head><title>no</title><style>no</style></head><body><p>first <b>text</b><figure><img src='sha256:aa' alt='x'><figcaption>cap &amp; tion</figcaption></figure>second<img src='sha256:bb' alt='alone'><script>no</script><p>third"
     items = media.interleave(html)
     assert [(i["kind"], i["text"], i["digest"], i["caption"]) for i in items] == [("text", "first text", None, None), ("media", None, "aa", "cap & tion"), ("text", "second", None, None), ("media", None, "bb", "alone"), ("text", "third", None, None)]
-    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (1, html)], "page_id long, html string")
     store = spark.createDataFrame([("aa", 5)], "digest string, size int")
     parsed = media.parse_pages(pages)
-    assert {r.page_id: len(r["items"]) for r in parsed.collect()} == {1: 5, 2: 0, 3: 0}
-    whole = media.assemble(media.resolve(parsed, store)).first()["items"]
-    assert [i["position"] for i in whole] == [0, 1, 2, 3, 4] and whole[1]["size"] == 5 and whole[3]["size"] is None
+    assert sorted((r.page_id, len(r["items"])) for r in parsed.collect()) == [(1, 5), (1, 5), (2, 0), (3, 0)]
+    for whole in (r["items"] for r in media.assemble(media.resolve(parsed, store)).collect()):
+        assert [i["position"] for i in whole] == [0, 1, 2, 3, 4] and whole[1]["size"] == 5 and whole[3]["size"] is None
+
+
+def captions(html):
+    return [(i["digest"] or i["url"], i["caption"]) for i in media.interleave(html) if i["kind"] == "media"]
+
+
+def texts(html):
+    return [i["text"] for i in media.interleave(html) if i["kind"] == "text"]
+
+
+def test_captions_stay_with_their_own_figure():
+    one, two, three = (f'<img src="sha256:{d}" alt="alt {d}">' for d in "abc")
+    assert captions(f"{one}<figcaption>stray</figcaption>{two}") == [("a", "alt a"), ("b", "alt b")]
+    assert texts(f"{one}<figcaption>stray</figcaption>{two}") == ["stray"]
+    assert captions(f"<figure><figcaption>before</figcaption>{one}</figure>{two}") == [("a", "before"), ("b", "alt b")]
+    assert captions(f"<figure>{one}<figcaption>both</figcaption>{two}</figure>{three}") == [("a", "both"), ("b", "both"), ("c", "alt c")]
+    assert captions(f"<figure>{one}<figure>{two}<figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>") == [("a", "outer"), ("b", "inner")]
+    assert captions(f"<figure>{one}<figcaption>never closed") == [("a", "never closed")]
+    assert captions(f"<figure>{one}</figure><figcaption>late</figcaption>") == [("a", "alt a")]
+    assert captions('<img src="https://x/y.png"><img src=""><img>') == [("https://x/y.png", None)]
+
+
+def test_unclosed_parts_do_not_silence_a_page():
+    assert texts("<noscript>no</head><body><p>yes</p>") == ["yes"]
+    assert texts("<title>no</title><p>yes <b>and</b> on</p>") == ["yes and on"]
+    assert texts("<p>a<template>no</template>b</p>") == ["ab"]
+    assert texts("<p>a</p><noscript>no</noscript><p>b") == ["a", "b"]
+
+
+def test_pages_with_many_images_come_back_whole(spark, tmp_path):
+    bodies = ["", "one", "two " * 500, "three"]
+    texts_ = spark.createDataFrame([(k, t) for k, t in enumerate(bodies)], "doc_id long, text string")
+    media.write_store(texts_, f"{tmp_path}/store")
+    names = [hashlib.sha256(media.payload_of(t.encode())).hexdigest() for t in bodies]
+    html = "".join(f'<p>before {k}</p><figure><figcaption>caption {k}</figcaption><img src="sha256:{d}"></figure>' for k, d in enumerate([*names, names[1], "0" * 64]))
+    pages = spark.createDataFrame([(k, html) for k in range(20)], "page_id long, html string").repartition(4)
+    store = media.describe_store(spark.read.parquet(f"{tmp_path}/store"))
+    for r in media.assemble(media.resolve(media.parse_pages(pages), store)).collect():
+        assert [i["position"] for i in r["items"]] == list(range(12))
+        assert [i["text"] for i in r["items"][::2]] == [f"before {k}" for k in range(6)]
+        assert [(i["digest"], i["caption"]) for i in r["items"][1::2]] == [(d, f"caption {k}") for k, d in enumerate([*names, names[1], "0" * 64])]
+        assert [i["payload_sha256"] for i in r["items"][1::2]] == [*names, names[1], None]
 
 
 def test_document_media_awkward_table(spark):
