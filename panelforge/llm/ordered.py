@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,30 +10,36 @@ from panelforge.llm.shared import cut, fresh, partitions
 LEAST = -(2**63)
 
 
-def ranges(df: DataFrame, key: str, parts: int | None = None, *, accuracy: int = 20_000) -> tuple[DataFrame, str, int]:
-    """``df`` with a range number that rises as the long ``key`` falls, its name, and how many ranges there are.
-
-    Bounds are approximate quantiles over all rows (one aggregation; ``parts``
-    numbers reach the driver).  Null keys come last.  Rows of one key share a range.
-    """
+def bounds_of(df: DataFrame, key: str, parts: int | None = None, *, accuracy: int = 20_000) -> list[int]:
+    """Rising bounds of about equal ranges of the long ``key``: approximate quantiles over all rows, ``parts`` numbers."""
     parts = parts or partitions(df.sparkSession)
-    name = fresh(df, "range")
-    at = F.coalesce(F.col(key), F.lit(LEAST))
     steps = [k / parts for k in range(1, parts)]
-    found = df.agg(F.percentile_approx(at, steps, accuracy).alias("q")).first()["q"] if steps else []
-    bounds = np.array(sorted(set(found or [])), dtype=np.int64)
+    found = df.agg(F.percentile_approx(F.coalesce(F.col(key), F.lit(LEAST)), steps, accuracy).alias("q")).first()["q"] if steps else []
+    return sorted(set(found or []))
 
-    falling = bounds[::-1].tolist()
+
+def falling_range(key, bounds: list[int]):
+    """Column: how many of ``bounds`` lie at or above the key, so that it rises as the key falls; null keys come last."""
+    at = F.coalesce(key, F.lit(LEAST))
+    falling = bounds[::-1]
     wide = max(1, int(len(falling) ** 0.5))
     groups = [falling[k : k + wide] for k in range(0, len(falling), wide)]
     if not groups:
-        return df.withColumn(name, F.lit(0)), name, 1
-    # the number of bounds at or above the key, by groups of bounds: two short array scans instead of one long
+        return F.lit(0)
+    # by groups of bounds: two short array scans instead of one long
     reached = lambda bs: F.size(F.filter(bs, lambda b: b >= at))
     first = reached(F.array(*(F.lit(g[0]) for g in groups)))
     table = F.array(*(F.array(*(F.lit(b) for b in g)) for g in groups))
-    number = F.when(first == 0, F.lit(0)).otherwise((first - 1) * wide + reached(F.get(table, first - 1)))
-    return df.withColumn(name, number), name, len(bounds) + 1
+    return F.when(first == 0, F.lit(0)).otherwise((first - 1) * wide + reached(F.get(table, first - 1)))
+
+
+def ranges(df: DataFrame, key: str, parts: int | None = None) -> tuple[DataFrame, str, int]:
+    """``df`` with a range number that rises as the long ``key`` falls, its name, and how many ranges there are.
+
+    Null keys come last.  Rows of one key share a range.
+    """
+    name, bounds = fresh(df, "range"), bounds_of(df, key, parts)
+    return df.withColumn(name, falling_range(F.col(key), bounds)), name, len(bounds) + 1
 
 
 def with_successors(df: DataFrame, key: str, *ties: str) -> tuple[DataFrame, str, str]:

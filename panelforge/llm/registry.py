@@ -55,31 +55,29 @@ def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit a replica that lost the last character of each body whose length leaves 7 when divided by 50."""
-    body = F.coalesce(F.col("html"), F.lit(""))
-    damaged = F.when(F.length(body) % 50 == 7, F.expr("substring(coalesce(html, ''), 1, length(coalesce(html, '')) - 1)")).otherwise(body)
-    return warc.fixity(table(spark, sf_dir, "pages"), damaged)
-
-
-OP7_SQL = r"""
+    """Audit a replica: bodies whose length leaves 7 when divided by 50 lost their last character, records that leave 13 are
+    missing, and those that leave 23 are there once more under the negative of their id less one."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    rest = F.length("html") % 50
+    torn = F.when(rest == 7, F.expr("substring(html, 1, length(html) - 1)")).otherwise(F.col("html"))
+    copies = pages.where(rest == 23).select((-F.col("page_id") - 1).alias("page_id"), "url", "html")
+    return warc.fixity(pages, pages.where(rest != 13).select("page_id", "url", torn.alias("html")).unionByName(copies))
+
+
+_RECORD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Block-Digest: sha256:' || sha256(body)
+         || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body)
+         || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10)"""
+OP7_SQL = f"""
 WITH b AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body FROM pages),
-r AS (
-  SELECT page_id, length(body) % 50 = 7 AS torn,
-         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10)
-         || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Block-Digest: sha256:' AS head,
-         chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS mid,
-         chr(13) || chr(10) || chr(13) || chr(10) AS gap,
-         body, CASE WHEN length(body) % 50 = 7 THEN left(body, length(body) - 1) ELSE body END AS other
-  FROM b),
-w AS (
-  SELECT page_id, torn,
-         head || sha256(body) || mid || strlen(body) || gap || body || gap AS own,
-         head || sha256(other) || mid || strlen(other) || gap || other || gap AS copy
-  FROM r),
-p AS (SELECT *, sum(strlen(own)) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) - strlen(own) AS archive_offset FROM w)
-SELECT page_id, CAST(archive_offset AS BIGINT) AS archive_offset, CAST(strlen(own) AS BIGINT) AS length,
-       sha256(own) AS expected_sha256, sha256(copy) AS found_sha256
-FROM p WHERE torn
+c AS (
+  SELECT page_id, url, CASE WHEN length(body) % 50 = 7 THEN left(body, length(body) - 1) ELSE body END AS body FROM b WHERE length(body) % 50 <> 13
+  UNION ALL SELECT -page_id - 1, url, body FROM b WHERE length(body) % 50 = 23),
+p AS (SELECT page_id, strlen(r) AS n, sha256(r) AS h, sum(strlen(r)) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) - strlen(r) AS o FROM (SELECT page_id, {_RECORD} AS r FROM b)),
+q AS (SELECT page_id, strlen(r) AS n, sha256(r) AS h, sum(strlen(r)) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) - strlen(r) AS o FROM (SELECT page_id, {_RECORD} AS r FROM c))
+SELECT coalesce(p.page_id, q.page_id) AS page_id, CAST(p.o AS BIGINT) AS archive_offset, CAST(p.n AS BIGINT) AS length, CAST(q.o AS BIGINT) AS replica_offset,
+       p.h AS expected_sha256, q.h AS found_sha256
+FROM p FULL JOIN q ON p.page_id = q.page_id WHERE p.h IS DISTINCT FROM q.h
 """
 
 

@@ -444,17 +444,60 @@ def test_records_round_trip(spark):
         list(warc.read_records(data[:-3]))
 
 
+def plain_audit(rows, copy):
+    """Multiset difference of (id, record) rows of two archives, with offsets in the order of (id, hash)."""
+    sides = []
+    for side in (rows, copy):
+        out, at = [], 0
+        made = []
+        for i, url, body in side:
+            url, body = url or "", body or ""
+            block = body.encode()
+            head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:{'' if i is None else i}>\r\nWARC-Target-URI: {url}\r\nWARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}\r\nContent-Type: text/html\r\nContent-Length: {len(block)}\r\n\r\n"
+            r = head.encode() + block + b"\r\n\r\n"
+            made.append((i, hashlib.sha256(r).hexdigest(), len(r)))
+        for i, h, n in sorted(made, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+            out.append((i, h, n, at))
+            at += n
+        sides.append(out)
+    left = Counter((i, h) for i, h, *_ in sides[0]) - Counter((i, h) for i, h, *_ in sides[1])
+    right = Counter((i, h) for i, h, *_ in sides[1]) - Counter((i, h) for i, h, *_ in sides[0])
+    return left, right, sides
+
+
 def test_audit_finds_exactly_the_damage(spark):
     rnd = random.Random(14)
-    rows = [(k, f"u{k}", "x" * rnd.randrange(0, 50) + str(k)) for k in range(300)] + [(7, "u7", "again"), (7, "u7", "again"), (None, None, None)]
-    damaged = {17: "other", 250: None, 299: ""}
-    df = spark.createDataFrame([(*r, damaged.get(r[0], r[2] or "")) for r in rows], "page_id long, url string, html string, copy string").repartition(3)
-    out = warc.fixity(df, F.col("copy"), fanout=4).collect()
-    assert {r.page_id for r in out} == set(damaged) and len(out) == 3
-    assert next(r for r in out if r.page_id == 250).found_sha256 is None
-    assert all(r.expected_sha256 != r.found_sha256 for r in out)
-    assert warc.fixity(df, F.coalesce("html", F.lit("")), fanout=4).count() == 0
-    assert warc.fixity(df.where("false"), F.col("copy")).count() == 0
+    rows = [(k, f"u{k}", "x" * rnd.randrange(0, 50) + str(k)) for k in range(400)] + [(7, "u7", "again"), (7, "u7", "again"), (None, None, None)]
+    make = lambda r: spark.createDataFrame(r, "page_id long, url string, html string").withColumn("hash", F.lit(1)).repartition(3)
+    cases = {
+        "intact": rows,
+        "torn": [(i, u, {17: "other", 299: ""}.get(i, b)) for i, u, b in rows],
+        "lost": [r for r in rows if r[0] not in (0, 250, 251, 399)],
+        "extra": [*rows, (-5, "n", "n"), (100, "u100", "second"), (1000, None, "end"), (None, "x", "x")],
+        "one of three lost": [r for k, r in enumerate(rows) if k != 400],
+        "all at once": [(i, u, "torn" if i == 30 else b) for i, u, b in rows if i != 200] + [(77, "u", "new")],
+        "shifted": [(i, u, b + "longer" if i == 0 else b) for i, u, b in rows],
+        "none": [],
+        "another archive": [(k, "v", "y") for k in range(50)],
+    }
+    for name, copy in cases.items():
+        out = warc.fixity(make(rows), make(copy), fanout=4).collect()
+        left, right, sides = plain_audit(rows, copy)
+        assert Counter((r.page_id, r.expected_sha256) for r in out if r.expected_sha256) == left, name
+        assert Counter((r.page_id, r.found_sha256) for r in out if r.found_sha256) == right, name
+        assert all((r.page_id, r.expected_sha256, r.length, r.archive_offset) in sides[0] for r in out if r.expected_sha256), name
+        assert all((r.page_id, r.found_sha256, r.replica_offset) in {(i, h, o) for i, h, _, o in sides[1]} for r in out if r.found_sha256), name
+    assert warc.fixity(make([]), make([])).count() == 0 and warc.fixity(make([]), make(rows[:9])).count() == 9
+
+
+def test_damage_touches_few_nodes(spark):
+    rows = [(k, "u", f"body {k}") for k in range(5000)]
+    make = lambda r: warc.hashed(spark.createDataFrame(r, "page_id long, url string, html string"))
+    bounds = [1000, 2000, 3000]
+    trees = [warc.tree(warc.layout(make(r), bounds, 8)).cache() for r in (rows, [r for r in rows if r[0] != 1234])]
+    torn = warc.differing(*trees).collect()
+    assert 1 <= len(torn) <= 2 and {r.file for r in torn} == {1}
+    assert warc.differing(trees[0], trees[0]).count() == 0
 
 
 def test_audit_equals_sql(spark, smoke):
