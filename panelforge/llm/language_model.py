@@ -11,7 +11,9 @@ dealt over key ranges that grow with it.
 A document's score is its mean loss per token under the background minus that
 under the target: larger where it reads more like the target.  A document's own
 counts are taken out of every model that counted it, so that documents inside
-and outside the target set are scored alike.
+and outside the target set are scored alike.  Its copies elsewhere are documents of
+their own and stay in the models: a text that occurs twice is scored with one
+occurrence left, which lowers both losses.
 """
 
 from __future__ import annotations
@@ -173,7 +175,7 @@ def fit(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col
     small = -(-(v + 2) // sketch.BLOCK) * sketch.BLOCK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2 * small + (1 << bits)), dtype=np.uint32)
+        total = np.zeros((2, 2 * small + (1 << bits)), dtype=np.uint64)
         for batch in batches:
             target = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             for a, b, buf, offs in textbytes.slices(batch.column(1)):
@@ -182,11 +184,11 @@ def fit(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col
                 for k, keep in ((0, of_target), (1, slice(None))):
                     at = np.concatenate([word[keep], small + before[keep], 2 * small + bucket[keep]])
                     key, n = np.unique(at, return_counts=True)
-                    total[k, key] += n.astype(np.uint32)
+                    total[k, key] += n.astype(np.uint64)
         for k in (0, 1):
             yield from sketch.blocks(total[k], k * per)
 
-    both = sketch.summed(marked.mapInArrow(count, sketch.SCHEMA), 2 * per * sketch.BLOCK).reshape(2, -1)
+    both = sketch.summed(marked.mapInArrow(count, sketch.SCHEMA), 2 * per * sketch.BLOCK, np.uint64).reshape(2, -1)
     models = [NGram(x[: v + 1].copy(), x[small : small + v + 2].copy(), x[2 * small :].copy()) for x in both]
     return Model(words, models[0], models[1], bits, prior)
 

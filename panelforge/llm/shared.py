@@ -28,13 +28,15 @@ def tidy() -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor the context has one (single-machine
-    tests) is a temporary folder chosen.
+    Only on one machine (tests, the bench), where neither the setting nor the
+    context has one, is a temporary folder chosen; a cluster without one is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="panelforge-checkpoint-"))
 
 

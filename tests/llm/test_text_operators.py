@@ -261,13 +261,47 @@ def test_chunks_resist_shifts():
     assert chunking.containment(alone[1], alone[1]) == 1.0 and chunking.containment(alone[1], a) == 0.0
 
 
+def plain_chunks(raw):
+    """Chunks by the definition: a hash of the last 16 bytes, byte by byte."""
+    gear, out, begin = chunking._GEAR.tolist(), [], 0
+    for i in range(len(raw)):
+        size = i + 1 - begin
+        h = sum(gear[raw[i - k]] << k for k in range(16) if i - k >= 0) % 2**32
+        lenient, strict = h >> 22 & 0b1111 == 0, h >> 22 & 0b111111 == 0
+        if size >= chunking.LEAST and (strict or size >= chunking.NORMAL and lenient) or size == chunking.MOST:
+            out.append(raw[begin : i + 1])
+            begin = i + 1
+    return [*out, raw[begin:]] if begin < len(raw) else out
+
+
+def test_chunks_equal_plain_chunks():
+    rnd = random.Random(41)
+    texts = ["", "a", "z" * 700, "é" * 90, *("".join(rnd.choice(["word ", "other ", "é", "\n", "12 "]) for _ in range(rnd.randrange(300))) for _ in range(40))]
+    texts += [t[: len(t) // 2] + "edited" + t[len(t) // 2 :] for t in texts]
+    sets, named = chunking.chunk_sets([t.encode() for t in texts]), {}
+    plain = [set(plain_chunks(t.encode())) for t in texts]
+    for own, chunks in zip(sets, plain):
+        assert sorted((own & np.uint64(255)).tolist()) == sorted(len(c) for c in chunks)
+        for c in chunks:  # one digest for one chunk, wherever it occurs
+            digest = chunking.chunk_sets([c])[0]
+            if len(digest) == 1 and plain_chunks(c) == [c]:
+                assert named.setdefault(c, digest[0]) == digest[0] and digest[0] in own
+    assert len(set(named.values())) == len(named)
+    for _ in range(300):
+        a, b = rnd.randrange(len(texts)), rnd.randrange(len(texts))
+        total = sum(map(len, plain[a]))
+        want = sum(len(c) for c in plain[a] & plain[b]) / total if total else float(not plain[b])
+        assert chunking.containment(sets[a], sets[b]) == pytest.approx(want)
+
+
 def test_fingerprints_awkward_table(spark):
     rows = awkward()
     out = chunking.fingerprint_documents(frame(spark, rows)).collect()
     order = sorted(((i if i is not None else -(2**63), t or "", i) for i, t, *_ in rows), key=lambda r: (-r[0], r[1].encode()))
     want = Counter()
     for k, (_, t, i) in enumerate(order):
-        e = chunking.edited(t, order[(k + 1) % len(order)][1])
+        following = order[(k + 1) % len(order)][1]
+        e = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
         own, changed, following = chunking.chunk_sets([t.encode(), e.encode(), order[(k + 1) % len(order)][1].encode()])
         want[(i, len(t), hashlib.sha256(e.encode()).hexdigest(), chunking.text_of(own), chunking.text_of(changed), chunking.containment(own, changed), chunking.containment(own, following))] += 1
     assert Counter(tuple(r) for r in out) == want
