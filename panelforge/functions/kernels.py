@@ -119,9 +119,10 @@ def forward_backward(y: np.ndarray, se: np.ndarray, pos: np.ndarray, model: Bloc
     return g / g.sum(axis=1, keepdims=True), float(np.log(scale).sum())
 
 
-def first_model(q05: float, median_sd: float, q95: float, length_scale: float) -> BlockModel:
+def first_model(q05: float, spread: float, q95: float, length_scale: float) -> BlockModel:
     """Start values from the 5 % and 95 % quantiles and the spread."""
-    return BlockModel(np.array([min(q05, -1e-4), 0.0, max(q95, 1e-4)]), np.full(3, max(median_sd, 1e-4)), np.array([0.1, 0.8, 0.1]), length_scale)
+    wide = max(spread, 1e-3)
+    return BlockModel(np.array([min(q05, -1e-3), 0.0, max(q95, 1e-3)]), np.array([wide, wide / 2, wide]), np.array([0.05, 0.90, 0.05]), length_scale)
 
 
 def maximise(model: BlockModel, sums: np.ndarray) -> BlockModel:
@@ -149,24 +150,39 @@ def ordered_states(model: BlockModel) -> tuple[BlockModel, np.ndarray]:
 
 
 def state_labels(neutral: int, states: int = 3) -> list[str]:
-    """hypo, neutral, hyper; states that share a side get a number."""
+    """hypo, neutral, hyper by rising mean; states that share a side get their column's number."""
     side = ["hypo" if k < neutral else "neutral" if k == neutral else "hyper" for k in range(states)]
-    return [s if side.count(s) == 1 else f"{s}_s{side[: k + 1].count(s)}" for k, s in enumerate(side)]
-
-
-def local_linear(pos: np.ndarray, y: np.ndarray, w: np.ndarray, span: float, most: int = 512) -> np.ndarray:
-    """Tricube-weighted local linear fit at every position; windows of at most ``most`` neighbours a side."""
-    out = np.empty(len(pos))
-    for i in range(len(pos)):
-        a, b = np.searchsorted(pos, [pos[i] - span, pos[i] + span])
-        a, b = max(a, i - most), min(b + 1, i + most + 1, len(pos))
-        d = (pos[a:b] - pos[i]).astype(float)
-        k = np.clip(1 - (np.abs(d) / (span or 1)) ** 3, 0, None) ** 3 * w[a:b]
-        s0, s1, s2 = k.sum(), (k * d).sum(), (k * d * d).sum()
-        t0, t1 = (k * y[a:b]).sum(), (k * d * y[a:b]).sum()
+    return [s if side.count(s) == 1 else f"{s}_s{k}" for k, s in enumerate(side)]
+
+
+def local_linear(pos: np.ndarray, y: np.ndarray, w: np.ndarray, span: float, pairs: int = 2_000_000) -> np.ndarray:
+    """Tricube-weighted local linear fit at every position, of one series or of the columns of ``y``.
+
+    All neighbours within ``span`` take part; ``pairs`` is how many (position,
+    neighbour) pairs are worked on at a time, not a limit on them.
+    """
+    y = np.asarray(y, float)
+    many = y if y.ndim == 2 else y[:, None]
+    lo, hi = np.searchsorted(pos, pos - span), np.searchsorted(pos, pos + span, side="right")
+    out, upto = np.empty_like(many), np.cumsum(hi - lo)
+    at = 0
+    while at < len(pos):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + pairs, side="right")))
+        n = (hi - lo)[at:end]
+        begin = np.cumsum(n) - n
+        near = np.repeat(lo[at:end] - begin, n) + np.arange(int(n.sum()))
+        d = (pos[near] - np.repeat(pos[at:end], n)).astype(float)
+        k = np.clip(1 - (np.abs(d) / (span or 1)) ** 3, 0, None) ** 3 * w[near]
+        s0, s1, s2 = (np.add.reduceat(v, begin) for v in (k, k * d, k * d * d))
         det = s0 * s2 - s1 * s1
-        out[i] = y[i] if s0 <= 0 else (s2 * t0 - s1 * t1) / det if det > 1e-9 * s0 * max(s2, 1e-300) else t0 / s0
-    return out
+        sound = det > 1e-9 * s0 * np.maximum(s2, 1e-300)
+        for c in range(many.shape[1]):
+            own = many[near, c]
+            t0, t1 = np.add.reduceat(k * own, begin), np.add.reduceat(k * d * own, begin)
+            line = (s2 * t0 - s1 * t1) / np.where(sound, det, 1)
+            out[at:end, c] = np.where(s0 <= 0, many[at:end, c], np.where(sound, line, t0 / np.where(s0 > 0, s0, 1)))
+        at = end
+    return out if y.ndim == 2 else out[:, 0]
 
 
 def background_signal(x: np.ndarray, mu: float, sigma: float, alpha: float) -> np.ndarray:

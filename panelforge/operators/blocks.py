@@ -2,80 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions import kernels
+from panelforge.functions.session import settled
 from panelforge.operators import compare, genome, within
 
-#: Clusters up to this many are fitted in one task; more by one job a round over chromosomes.
-ONE_TASK = 1_000_000
 ROUNDS = 60
 
 
 def _start(effects: DataFrame, length_scale: float) -> kernels.BlockModel:
     row = effects.agg(F.percentile("y", [0.05, 0.95]).alias("q"), F.stddev_pop("y").alias("s")).first()
-    return kernels.first_model(row["q"][0], row["s"] / 2, row["q"][1], length_scale)
-
+    return kernels.first_model(row["q"][0], row["s"], row["q"][1], length_scale)
 
-def _e_step(pdf: pd.DataFrame, model: kernels.BlockModel) -> tuple[np.ndarray, np.ndarray, float]:
-    y, se = pdf["y"].to_numpy(float), pdf["se"].to_numpy(float)
-    g, ll = kernels.forward_backward(y, se, pdf["mid"].to_numpy(float), model)
-    return g, kernels.sufficient(g, y, se), ll
 
+def fit_blocks(effects: DataFrame, length_scale: float = 250_000, rounds: int = ROUNDS, tol: float = 1e-5) -> tuple[kernels.BlockModel, DataFrame]:
+    """The fitted model and ``effects`` (chr, mid, start, end, y, se) with ``posterior``.
 
-def _sums_under(model: kernels.BlockModel):
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, s, ll = _e_step(pdf.sort_values("mid", kind="stable"), model)
-        return pd.DataFrame([[ll, *s.reshape(-1)]], columns=["ll", *(f"s{i}" for i in range(12))])
+    A chromosome is one row of arrays and one task of a round; four sums a state of
+    each chromosome reach the driver, no cluster does.
+    """
+    model = _start(effects, length_scale)
+    names = effects.columns
+    ordered = F.array_sort(F.collect_list(F.struct("mid", "start", "end", F.struct(*names).alias("row"))))
 
-    return sums
+    def column(name: str):
+        return F.transform("c", lambda x: x["row"][name]).alias(f"c_{name}")
 
+    packed = settled(effects.groupBy("chr").agg(ordered.alias("c")).select("chr", *map(column, names)))
 
-def fit_blocks(effects: DataFrame, length_scale: float = 250_000, rounds: int = ROUNDS, tol: float = 1e-5, one_task: int = ONE_TASK) -> tuple[kernels.BlockModel, DataFrame]:
-    """The fitted model and ``effects`` (chr, mid, start, end, y, se) with ``posterior``.
+    def posterior(row, by: kernels.BlockModel) -> tuple[np.ndarray, float]:
+        return kernels.forward_backward(np.asarray(row.c_y, float), np.asarray(row.c_se, float), np.asarray(row.c_mid, float), by)
 
-    Both routes run the same EM; the second keeps each chromosome in its task and
-    moves four sums a state to the driver each round.
-    """
-    model = _start(effects, length_scale)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in effects.schema)
-    if effects.limit(one_task + 1).count() <= one_task:
-        pdf = effects.toPandas().sort_values(["chr", "mid"], kind="stable")
-        parts = [g for _, g in pdf.groupby("chr", sort=True)]
-        before, post = -np.inf, None
-        for k in range(rounds):
-            steps = [_e_step(p, model) for p in parts]
-            ll, post = sum(s[2] for s in steps), np.concatenate([s[0] for s in steps])
-            new = kernels.maximise(model, sum(s[1] for s in steps))
-            new.loglik, new.rounds = ll, k + 1
-            model = new
-            if kernels.settled(before, ll, tol):
-                break
-            before = ll
-        model, order = kernels.ordered_states(model)
-        pdf["posterior"] = post[:, order].tolist()
-        return model, effects.sparkSession.createDataFrame(pdf, f"{types}, posterior array<double>")
-    effects = effects.repartition("chr").persist()
     before = -np.inf
     for k in range(rounds):
-        row = effects.groupBy("chr").applyInPandas(_sums_under(model), "ll double, " + ", ".join(f"s{i} double" for i in range(12))).agg(F.sum("ll"), *(F.sum(f"s{i}") for i in range(12))).first()
-        used, new = model, kernels.maximise(model, np.array(row[1:]).reshape(4, 3))
-        new.loglik, new.rounds = row[0], k + 1
-        model = new
-        if kernels.settled(before, row[0], tol):
+        now = model
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for row in pdf.itertuples():
+                    g, ll = posterior(row, now)
+                    out.append([ll, *kernels.sufficient(g, np.asarray(row.c_y, float), np.asarray(row.c_se, float)).reshape(-1)])
+                yield pd.DataFrame(out, columns=["ll", *(f"s{i}" for i in range(12))])
+
+        rows = packed.select("c_y", "c_se", "c_mid").mapInPandas(sums, "ll double, " + ", ".join(f"s{i} double" for i in range(12))).collect()
+        total = np.array([list(r) for r in rows], dtype=float).sum(axis=0)
+        used, model = model, kernels.maximise(model, total[1:].reshape(4, 3))
+        model.loglik, model.rounds = float(total[0]), k + 1
+        if kernels.settled(before, model.loglik, tol):
             break
-        before = row[0]
+        before = model.loglik
     final, order = kernels.ordered_states(model)
 
-    def posterior(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("mid", kind="stable")
-        pdf["posterior"] = _e_step(pdf, used)[0][:, order].tolist()
-        return pdf
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["posterior"] = [posterior(row, used)[0][:, order].tolist() for row in pdf.itertuples()]
+            yield pdf[["chr", *(f"c_{n}" for n in names), "posterior"]]
 
-    return final, effects.groupBy("chr").applyInPandas(posterior, f"{types}, posterior array<double>")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema)
+    decoded = packed.mapInPandas(decode, f"{types}, posterior array<array<double>>")
+    rows = decoded.select(F.explode(F.arrays_zip(*(f"c_{n}" for n in names), "posterior")).alias("r"))
+    return final, rows.select(*(F.col(f"r.c_{n}").alias(n) for n in names), "r.posterior")
 
 
 def cluster_effects(clusters: DataFrame, design: within.Design, values: str = "m", shrink: bool = True) -> DataFrame:
@@ -86,17 +79,17 @@ def cluster_effects(clusters: DataFrame, design: within.Design, values: str = "m
     return fits.select(*keep, F.col("beta").alias("y"), "se")
 
 
-def find_blocks(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_gap: float = 1500, rho_min: float = 0.20, length_scale: float = 250_000, min_post: float = 0.80, min_clusters: int = 3, min_fit_clusters: int = 200, project: bool = True) -> tuple[DataFrame, DataFrame, kernels.BlockModel]:
+def find_blocks(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_gap: float = 1500, rho_min: float = 0.20, length_scale: float = 250_000, min_post: float = 0.80, min_clusters: int = 3, min_fit_clusters: int = 200, project: bool = True, covariates=None) -> tuple[DataFrame, DataFrame, kernels.BlockModel]:
     """(blocks, cluster effects, model): cluster, collapse, fit, decode; per-array effects where an array's design is identified.
 
     Fewer than ``min_fit_clusters`` clusters is an error.  ``project`` chooses whether
     the design is taken out of the residuals that clusters are built from.
     """
     exposure, subject = [e for _, e, _ in sheet], [s for s, _, _ in sheet]
-    design = within.Design(exposure, subject)
+    design = within.Design(exposure, subject, covariates)
     resid = within.residual_panel(panel, design, project=project)
     clustered = genome.comethylation_clusters(resid, "resid", max_gap, rho_min, "chr", "pos", "probe")
-    collapsed = genome.collapse_clusters(clustered, "m").persist()
+    collapsed = settled(genome.collapse_clusters(clustered, "m"))
     n = collapsed.count()
     if n < min_fit_clusters:
         raise ValueError(f"{n} clusters; at least {min_fit_clusters} are needed")
@@ -104,7 +97,7 @@ def find_blocks(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_ga
     blocks = genome.call_blocks(effects, "posterior", min_post, min_clusters, model.neutral)
     for array in sorted({a for _, _, a in sheet}):
         at = [i for i, s in enumerate(sheet) if s[2] == array]
-        own = within.Design([exposure[i] for i in at], [subject[i] for i in at])
+        own = within.Design([exposure[i] for i in at], [subject[i] for i in at], within.rows_of(covariates, at))
         if own.subjects >= 3 and own.identified and own.df > 0:
             part = collapsed.withColumn("m", F.array(*(F.get("m", F.lit(i)) for i in at)))
             fits = cluster_effects(part, own).select("chr", F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("cluster").alias("a_id"), F.col("y").alias("beta"), "se")

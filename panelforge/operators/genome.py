@@ -181,7 +181,8 @@ def nearest(queries: DataFrame, features: DataFrame, chrom: str = "chr", near: i
     u = queries.select(chrom, "pos", F.col("q_id"), F.lit(None).cast("long").alias("f_id"), F.lit(1).alias("kind")).unionByName(features.select(chrom, "pos", F.lit(None).cast("long").alias("q_id"), F.col("f_id"), F.lit(0).alias("kind")))
     w = Window.partitionBy(chrom).orderBy("pos", "kind", "f_id", "q_id")
     f = F.when(F.col("kind") == 0, F.struct(F.col("pos").alias("p"), F.col("f_id").alias("f")))
-    u = u.withColumn("before", F.last(f, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first(f, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    back = Window.partitionBy(chrom).orderBy(*(F.desc(c) for c in ("pos", "kind", "f_id", "q_id")))  # the same order from the end: a running frame, not one that shrinks
+    u = u.withColumn("before", F.last(f, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.last(f, True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     u = u.withColumn("within_near", F.sum((F.col("kind") == 0).cast("long")).over(Window.partitionBy(chrom).orderBy("pos").rangeBetween(-near, near)))
     q = u.where("kind = 1")
     left = F.col("before").isNotNull() & (F.col("after").isNull() | (F.col("pos") - F.col("before.p") <= F.col("after.p") - F.col("pos")))

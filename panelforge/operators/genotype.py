@@ -72,22 +72,43 @@ def profile(groups: DataFrame, probe: str = "probe", sample: str = "sample", grp
     return base.join(subj, probe).join(text, probe, "left").join(share, probe, "left")
 
 
-def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([special.hypergeometric_two_sided(*map(int, v)) for v in zip(a, b, c, d)], dtype=float)
+def _log_factorial(n: Column) -> Column:
+    """log(n!) of small whole numbers, as a sum of logarithms."""
+    steps = F.when(n >= 2, F.sequence(F.lit(2).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(steps, F.lit(0.0), lambda t, k: t + F.log(k))
 
 
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided Fisher p of 2 x 2 counts."""
-    return F.pandas_udf(_fisher, "double")(a, b, c, d)
+    """Two-sided Fisher p of 2 x 2 counts: the feasible tables no likelier than this one (to a part in 1e7).
 
+    Tables run from the least to the greatest feasible first count; each one's odds
+    against the one before are a ratio of four counts, so the whole is a fold.
+    """
+    a, b, c, d = (x.cast("long") for x in (a, b, c, d))
+    lo, hi = F.greatest(F.lit(0).cast("long"), a - d), F.least(a + b, a + c)
+    row, col, rest = a + b, a + c, d - a
+    start = F.struct(F.lit(0.0).alias("log"), F.array(F.lit(0.0)).alias("all"))
+
+    def ratio(k: Column) -> Column:  # log odds of k against k - 1
+        return F.log((row - k + 1).cast("double")) + F.log((col - k + 1).cast("double")) - F.log(k.cast("double")) - F.log((rest + k).cast("double"))
 
-def _carriers_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-    return pd.Series([special.binomial_tail(int(x), int(m), float(q)) for x, m, q in zip(k, n, p)], dtype=float)
+    steps = F.when(hi > lo, F.sequence(lo + 1, hi)).otherwise(F.array().cast("array<bigint>"))
+    logs = F.aggregate(steps, start, lambda s, k: F.struct((s["log"] + ratio(k)).alias("log"), F.concat(s["all"], F.array(s["log"] + ratio(k))).alias("all")), lambda s: s["all"])
+    top = F.array_max(logs)
+    p = F.transform(logs, lambda x: F.exp(x - top))
+    own = F.get(p, (a - lo).cast("int")) * (1 + 1e-7)
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda t, v: t + v)
+    return F.least(F.lit(1.0), add(F.filter(p, lambda v: v <= own)) / add(p))
 
 
 def carriers_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k) of a binomial."""
-    return F.pandas_udf(_carriers_tail, "double")(k, n, p)
+    """P(X >= k) of a binomial of n trials."""
+    n, k, p = n.cast("long"), k.cast("long"), p.cast("double")
+    whole = _log_factorial(n)
+    terms = F.when((k <= n) & (k >= 1), F.sequence(k, n)).otherwise(F.array().cast("array<bigint>"))
+    one = lambda i: F.exp(whole - _log_factorial(i) - _log_factorial(n - i) + i * F.log(p) + (n - i) * F.log1p(-p))
+    tail = F.aggregate(terms, F.lit(0.0), lambda t, i: t + one(i))
+    return F.when(k <= 0, 1.0).when(p <= 0, 0.0).when(p >= 1, F.when(k <= n, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), tail))
 
 
 def hwe_carriers(maf: Column, n_groups: Column | None = None) -> Column:
@@ -99,34 +120,34 @@ def hwe_carriers(maf: Column, n_groups: Column | None = None) -> Column:
 def chip_permutation_p(groups: DataFrame, n_perm: int = 5000, seed: int = 1, probe: str = "probe", grp: str = "grp", chip: str = "array") -> DataFrame:
     """(hits + 1) / (B + 1) of each probe: permutations whose minor-by-chip chi-square reaches the observed one.
 
-    One probe's samples are a group (as many as samples); a constant draw is no hit.
+    Samples of a probe are counted by chip before anything else; permuting the minor
+    label over samples deals its counts over chips by a multivariate hypergeometric
+    law, so a permutation is one draw of counts.  Probes may have ids of any type
+    (draws are seeded by a hash of the id); a probe of one group has p = 1.
     """
+    minor = groups.groupBy(probe, grp).agg(F.count("*").alias("n")).groupBy(probe).agg(F.min(F.struct("n", grp))[grp].alias("__minor"), F.count("*").alias("__groups"))
+    cells = groups.join(minor, probe).groupBy(probe, "__groups", chip).agg(F.count("*").alias("n"), F.sum((F.col(grp) == F.col("__minor")).cast("long")).alias("k"))
+    packed = cells.groupBy(probe, "__groups").agg(F.array_sort(F.collect_list(F.struct(F.col(chip).alias("c"), "n", "k"))).alias("v"))
+    packed = packed.select(F.col(probe), F.col("__groups").alias("g"), F.xxhash64(F.lit(seed), probe).alias("seed"), F.transform("v", lambda x: x["n"]).alias("n"), F.transform("v", lambda x: x["k"]).alias("k"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        labels, codes = np.unique(pdf[grp].to_numpy(), return_inverse=True)
-        count = np.bincount(codes)
-        minor = (codes == int(np.argmin(count))).astype(float)
-        _, chips = np.unique(pdf[chip].to_numpy(), return_inverse=True)
-        hot = np.eye(chips.max() + 1)[chips]
-        n, k = len(minor), minor.sum()
-        if len(labels) < 2:
-            return pd.DataFrame({probe: [pdf[probe].iloc[0]], "p_chip": [1.0]})
-        e = hot.sum(axis=0) * k / n
-        f = hot.sum(axis=0) - e
-        rng = np.random.Generator(np.random.PCG64([seed, int(pdf[probe].iloc[0])]))
-
-        def stat(m):
-            o = m @ hot
-            return ((o - e) ** 2 / e + (o - e) ** 2 / f).sum(axis=-1)
-
-        observed, hits = stat(minor), 0
-        for at in range(0, n_perm, 512):
-            hits += int((stat(np.stack([rng.permutation(minor) for _ in range(min(512, n_perm - at))])) >= observed - 1e-9).sum())
-        return pd.DataFrame({probe: [pdf[probe].iloc[0]], "p_chip": [(hits + 1) / (n_perm + 1)]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for g, key, n, k in zip(pdf["g"], pdf["seed"], pdf["n"], pdf["k"]):
+                n, k = np.asarray(n, dtype=np.int64), np.asarray(k, dtype=np.int64)
+                if g < 2:
+                    out.append(1.0)
+                    continue
+                e = n * (k.sum() / n.sum())
+                f = n - e
+                rng = np.random.Generator(np.random.PCG64([seed, int(key) % 2**64]))
+                stat = lambda o: ((o - e) ** 2 / e + (o - e) ** 2 / f).sum(axis=-1)  # noqa: B023, E731
+                hits = int((stat(rng.multivariate_hypergeometric(n, int(k.sum()), size=n_perm)) >= stat(k) - 1e-9).sum())
+                out.append((hits + 1) / (n_perm + 1))
+            yield pd.DataFrame({probe: pdf[probe], "p_chip": np.array(out, dtype=float)})
 
     kind = groups.schema[probe].dataType.simpleString()
-    return groups.select(probe, "sample", grp, chip).groupBy(probe).applyInPandas(run, f"`{probe}` {kind}, p_chip double")
+    return packed.mapInPandas(run, f"`{probe}` {kind}, p_chip double")
 
 
 SCENARIOS = (("variant_common", 0.30, True), ("variant_mid", 0.20, True), ("variant_rare", 0.12, True), ("variant_spread", 0.30, True), ("variant_spread_mid", 0.20, True), ("variant_spread_rare", 0.12, True), ("null_chip", 0.0, False), ("null_noise", 0.0, False), ("null_drift", 0.0, False))
@@ -172,11 +193,11 @@ def audit_simulation(spark, reps: int = 150, n_perm: int = 1000, seed: int = 1,
                 freq = ok and min(1.0, 2 * min(tail, 1 - special.binomial_tail(carriers + 1, subjects, p))) > 0.05
                 clean = False
                 if ok:
-                    hot = np.eye(chips)[chip]
-                    e = np.maximum(hot.sum(axis=0) * minor.sum() / len(minor), 1e-12)
-                    draws = np.stack([minor[subj * visits + np.tile(np.arange(visits), subjects)].astype(float), *(rng.permutation(minor).astype(float) for _ in range(n_perm))])
-                    stat = ((draws @ hot - e) ** 2 / e).sum(axis=1)
-                    clean = ((stat[1:] >= stat[0] - 1e-9).sum() + 1) / (n_perm + 1) > 0.05
+                    own, sizes = np.bincount(chip[minor], minlength=chips), np.bincount(chip, minlength=chips)
+                    e = np.maximum(sizes * minor.sum() / len(minor), 1e-12)
+                    draws = rng.multivariate_hypergeometric(sizes, int(minor.sum()), size=n_perm)  # the minor label dealt anew over chips
+                    hits = (((draws - e) ** 2 / e).sum(axis=1) >= ((own - e) ** 2 / e).sum() - 1e-9).sum()
+                    clean = (hits + 1) / (n_perm + 1) > 0.05
                 rows.append((name, float(invariant), float(freq), float(clean), float(invariant and freq and clean)))
             yield pd.DataFrame(rows, columns=["scenario", "invariant", "freq", "chip", "all"])
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import hashing, kernels
+from panelforge.functions.session import settled
 from panelforge.operators import genome, within
 
 
@@ -35,11 +36,11 @@ def permute(df: DataFrame, rep: int | str, seed: int, within_subject: bool = Tru
     key = F.lit(rep) if isinstance(rep, int) else F.col(rep)
     if isinstance(rep, str):
         by = [rep, *by]
-    dealt = F.xxhash64(F.lit(seed), key, F.col(sample))
+    dealt = hashing.order_key(seed, key, F.col(sample))
     if within_subject:
         d = df.withColumn("__to", F.row_number().over(Window.partitionBy(*by).orderBy(sample))).withColumn("__from", F.row_number().over(Window.partitionBy(*by).orderBy(dealt, sample)))
     else:
-        d = _ranked(_ranked(df, by, F.xxhash64(F.col(sample)), sample, "__to"), by, dealt, sample, "__from")
+        d = _ranked(_ranked(df, by, hashing.order_key(seed, F.lit("place"), F.col(sample)), sample, "__to"), by, dealt, sample, "__from")
     given = d.select(*by, F.col("__from").alias("__to"), F.col(exposure).alias(name))
     return d.drop("__from").join(given, [*by, "__to"]).drop("__to")
 
@@ -47,7 +48,7 @@ def permute(df: DataFrame, rep: int | str, seed: int, within_subject: bool = Tru
 def _ranked(df: DataFrame, by: list[str], hashed, sample: str, name: str) -> DataFrame:
     """``df`` with row numbers from 1 by (hash, sample) inside each group of ``by``: ranges of the hash are numbered apart and shifted."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.withColumn("__key", hashed).withColumn("__range", F.floor((F.col("__key") / 2.0**64 + 0.5) * parts))
+    d = df.withColumn("__key", hashed).withColumn("__range", F.floor(hashing.unit(F.col("__key")) * parts))
     sizes = d.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
     shift = sizes.withColumn("__shift", F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
     w = Window.partitionBy(*by, "__range").orderBy("__key", sample)
@@ -107,16 +108,15 @@ def bh(df: DataFrame, p: str = "p", name: str = "fdr") -> DataFrame:
     g = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = g.agg(F.percentile_approx("__p", [k / parts for k in range(1, parts)], 10000).alias("q")).first()["q"] if parts > 1 else []
-    bounds = sorted(set(bounds or []))
-    g = g.withColumn("__r", F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b < F.col("__p"))) if bounds else F.lit(0))
-    w = Window.partitionBy("__r").orderBy("__p")
+    g = g.withColumn("__r", hashing.rising_range(F.col("__p"), sorted(set(bounds or []))))
+    w, falling = (Window.partitionBy("__r").orderBy(o) for o in (F.asc("__p"), F.desc("__p")))
     g = g.withColumn("__k", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     sizes = g.groupBy("__r").agg(F.sum("__n").alias("__s"))
     base = sizes.withColumn("__b", F.sum("__s").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")).crossJoin(sizes.agg(F.sum("__s").alias("__m"))).select("__r", "__b", "__m")
     g = g.join(F.broadcast(base), "__r").withColumn("__raw", F.col("__p") * F.col("__m") / (F.col("__k") + F.col("__b")))
     low = g.groupBy("__r").agg(F.min("__raw").alias("__l"))
     later = low.withColumn("__next", F.min("__l").over(Window.orderBy("__r").rowsBetween(1, Window.unboundedFollowing))).select("__r", "__next")
-    g = g.join(F.broadcast(later), "__r").withColumn(name, F.least(F.lit(1.0), F.coalesce("__next", F.lit(1.0)), F.min("__raw").over(w.rowsBetween(0, Window.unboundedFollowing))))
+    g = g.join(F.broadcast(later), "__r").withColumn(name, F.least(F.lit(1.0), F.coalesce("__next", F.lit(1.0)), F.min("__raw").over(falling.rowsBetween(Window.unboundedPreceding, 0))))
     return df.join(g.select(F.col("__p").alias(p), name), p, "left")
 
 
@@ -135,6 +135,12 @@ def wilson_interval(p, n, z: float = 1.959963984540054):
 # replicates over (replicate, chromosome) groups ---------------------------------------
 
 
+def weights(se: np.ndarray) -> np.ndarray:
+    """1 / se^2; 0 without a positive standard error."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(se > 0, 1 / se**2, 0.0)
+
+
 def tracks(fits: DataFrame, lam0: float, decay: float = 1000.0, by: tuple[str, ...] = ("chr",), lam_col: str | None = None) -> DataFrame:
     """``theta`` of every probe: the penalised track of each (replicate, chromosome).
 
@@ -145,9 +151,7 @@ def tracks(fits: DataFrame, lam0: float, decay: float = 1000.0, by: tuple[str, .
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["pos", "probe"], kind="stable")
-        se = pdf["se"].to_numpy(float)
-        with np.errstate(divide="ignore"):
-            w = np.where(se > 0, 1 / se**2, 0.0)
+        w = weights(pdf["se"].to_numpy(float))
         lam = kernels.penalty(pdf["pos"].to_numpy(float), float(pdf[lam_col].iloc[0]) if lam_col else lam0, decay, w)
         pdf["theta"] = kernels.tv_denoise(pdf["beta"].to_numpy(float), w, lam)
         pdf["w"] = w
@@ -181,7 +185,7 @@ def replicate_fits(panel: DataFrame, reps: list[tuple], design_of: Callable[[tup
 
 def moderated(fits: DataFrame) -> DataFrame:
     """``se, z`` of replicate fits; each replicate's prior comes from two moments of its own variances."""
-    log = F.log("s2")
+    fits, log = settled(fits), F.log("s2")
     rows = fits.where("s2 > 0").groupBy("rep").agg(F.count("*").alias("n"), F.avg(log).alias("m"), F.var_samp(log).alias("v"), F.first("df").alias("df")).collect()
     priors = [(r["rep"], *(within.prior_of(r["n"], r["m"], r["v"], r["df"]) or (0.0, 0.0))) for r in rows if r["n"] >= 2]
     table = fits.sparkSession.createDataFrame(priors or [(-1, 0.0, 0.0)], "rep int, d0 double, s0 double")
@@ -197,20 +201,20 @@ def replicate_regions(fits: DataFrame, lam0: float, decay: float, min_probes: in
     return genome.call_regions(t, min_probes, min_effect, by=("rep", "chr"), ties=("probe",))
 
 
-def region_null(panel: DataFrame, sheet: list[tuple], n_perm: int, lam0: float, *, scheme: str = "within", seed: int = 1, decay: float = 1000.0, min_probes: int = 3, min_effect: float = 0.05, shrink: bool = True) -> DataFrame:
+def region_null(panel: DataFrame, sheet: list[tuple], n_perm: int, lam0: float, *, covariates=None, scheme: str = "within", seed: int = 1, decay: float = 1000.0, min_probes: int = 3, min_effect: float = 0.05, shrink: bool = True) -> DataFrame:
     """``rep, max_abs_z`` of permuted exposures; 0 where a replicate has no region."""
     spark = panel.sparkSession
     subject = [s for s, _, _ in sheet]
     if n_perm == 0:
         return spark.createDataFrame([], "rep int, max_abs_z double")
-    reps = [(k, within.Design(permuted_exposures(sheet, k, seed, scheme == "within"), subject)) for k in range(n_perm)]
+    reps = [(k, within.Design(permuted_exposures(sheet, k, seed, scheme == "within"), subject, covariates)) for k in range(n_perm)]
     fits = replicate_fits(panel, reps, lambda r: r[1])
     fits = moderated(fits) if shrink else fits.withColumn("se", F.sqrt(F.col("s2") * F.col("unit"))).select("rep", "probe", "chr", "pos", "beta", "se")
     top = replicate_regions(fits, lam0, decay, min_probes, min_effect).groupBy("rep").agg(F.max(F.abs("z")).alias("m"))
     return spark.range(n_perm).select(F.col("id").cast("int").alias("rep")).join(top, "rep", "left").select("rep", F.coalesce("m", F.lit(0.0)).alias("max_abs_z"))
 
 
-def stability(panel: DataFrame, sheet: list[tuple], regions: DataFrame, n_boot: int, lam0: float, *, frac: float = 0.5, seed: int = 1, decay: float = 1000.0, min_probes: int = 3, min_effect: float = 0.05, region_id: str = "region") -> DataFrame:
+def stability(panel: DataFrame, sheet: list[tuple], regions: DataFrame, n_boot: int, lam0: float, *, covariates=None, frac: float = 0.5, seed: int = 1, decay: float = 1000.0, min_probes: int = 3, min_effect: float = 0.05, region_id: str = "region") -> DataFrame:
     """``regions`` with ``stability``: the share of subject subsamples that find an overlapping region.
 
     Subsamples of fewer than three subjects or without freedom find nothing but count.
@@ -224,7 +228,7 @@ def stability(panel: DataFrame, sheet: list[tuple], regions: DataFrame, n_boot:
         own = set(np.random.Generator(np.random.PCG64([seed, b])).choice(subjects, k, replace=False).tolist())
         at = np.array([i for i, s in enumerate(sheet) if s[0] in own])
         cols[b] = at
-        reps.append((b, within.Design([sheet[i][1] for i in at], [sheet[i][0] for i in at]) if k >= 3 else None))
+        reps.append((b, within.Design([sheet[i][1] for i in at], [sheet[i][0] for i in at], within.rows_of(covariates, at)) if k >= 3 else None))
     fits = moderated(replicate_fits(panel, reps, lambda r: r[1], columns=lambda r: cols[r[0]]))
     found = replicate_regions(fits, lam0, decay, min_probes, min_effect).select("chr", F.col("rep").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     mine = regions.select("chr", F.col(region_id).alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
@@ -232,7 +236,7 @@ def stability(panel: DataFrame, sheet: list[tuple], regions: DataFrame, n_boot:
     return regions.join(hits, region_id, "left").withColumn("stability", F.coalesce(F.col("__hits"), F.lit(0)) / n_boot).drop("__hits")
 
 
-def cv_lambda(panel: DataFrame, sheet: list[tuple], grid: tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0), n_folds: int = 5, seed: int = 1, decay: float = 1000.0) -> DataFrame:
+def cv_lambda(panel: DataFrame, sheet: list[tuple], grid: tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0), n_folds: int = 5, seed: int = 1, decay: float = 1000.0, covariates=None) -> DataFrame:
     """``lam0, wsse, n, score``: held-out subjects' weighted error of each smoothness.
 
     Fits of a fold do not depend on the smoothness and are made once; folds with
@@ -246,7 +250,7 @@ def cv_lambda(panel: DataFrame, sheet: list[tuple], grid: tuple[float, ...] = (0
         test = np.array([i for i, s in enumerate(sheet) if of[str(s[0])] == f])
         train = np.array([i for i, s in enumerate(sheet) if of[str(s[0])] != f])
         sizes = [len({sheet[i][0] for i in part}) for part in (test, train)]
-        both = [within.Design([sheet[i][1] for i in part], [sheet[i][0] for i in part]) for part in (test, train)] if sizes[0] >= 2 and sizes[1] >= 4 else []
+        both = [within.Design([sheet[i][1] for i in part], [sheet[i][0] for i in part], within.rows_of(covariates, part)) for part in (test, train)] if sizes[0] >= 2 and sizes[1] >= 4 else []
         if both and all(d.identified and d.df > 0 for d in both):
             for side, (part, d) in enumerate(zip((test, train), both)):
                 reps.append((2 * f + side, d))
@@ -254,11 +258,22 @@ def cv_lambda(panel: DataFrame, sheet: list[tuple], grid: tuple[float, ...] = (0
     if not reps:
         raise ValueError("no fold can be fitted")
     fits = moderated(replicate_fits(panel, reps, lambda r: r[1], columns=lambda r: cols[r[0]])).withColumn("fold", F.floor(F.col("rep") / 2).cast("int"))
-    train, test = fits.where("rep % 2 = 1"), fits.where("rep % 2 = 0")
-    lams = spark.createDataFrame([(float(v),) for v in grid], "lam0 double")
-    t = tracks(train.crossJoin(F.broadcast(lams)), 0.0, decay, by=("fold", "lam0", "chr"), lam_col="lam0").select("fold", "lam0", "probe", "theta")
-    j = t.join(test.select("fold", "probe", F.col("beta").alias("bt"), F.when(F.col("se") > 0, 1 / (F.col("se") * F.col("se"))).otherwise(0.0).alias("wt")), ["fold", "probe"])
-    g = j.groupBy("lam0").agg(F.sum(F.col("wt") * (F.col("bt") - F.col("theta")) ** 2).alias("wsse"), F.sum((F.col("wt") > 0).cast("long")).alias("n"))
+    lams = [float(v) for v in grid]
+
+    def errors(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Held-out error of one fold's chromosome under every smoothness: its fits come once."""
+        pdf = pdf.sort_values(["pos", "probe"], kind="stable")
+        train, test = (pdf[pdf["rep"] % 2 == side] for side in (1, 0))
+        test = train[["probe"]].merge(test, on="probe", how="left")
+        w, wt = (weights(d["se"].to_numpy(float)) for d in (train, test))
+        rows = []
+        for v in lams:
+            theta = kernels.tv_denoise(train["beta"].to_numpy(float), w, kernels.penalty(train["pos"].to_numpy(float), v, decay, w))
+            rows.append((v, float(np.nansum(wt * (test["beta"].to_numpy(float) - theta) ** 2)), int((wt > 0).sum())))
+        return pd.DataFrame(rows, columns=["lam0", "wsse", "n"])
+
+    parts = fits.select("fold", "rep", "probe", "chr", "pos", "beta", "se").groupBy("fold", "chr").applyInPandas(errors, "lam0 double, wsse double, n long")
+    g = parts.groupBy("lam0").agg(F.sum("wsse").alias("wsse"), F.sum("n").alias("n"))
     return g.withColumn("score", F.when(F.col("n") > 0, F.col("wsse") / F.col("n")))
 
 

@@ -95,6 +95,17 @@ def probe_audit(probes: DataFrame, detp: DataFrame | None = None, *, cross_react
     return out.withColumn("kept", ~bad)
 
 
+def documented(df: DataFrame, names: tuple[str, ...] = ("Probe_rs", "CpG_rs", "SBE_rs"), name: str = "documented_snp") -> DataFrame:
+    """``df`` with a flag: whether any of the variant columns that it has names a variant."""
+    have = [F.col(c).isNotNull() for c in names if c in df.columns]
+    return df.withColumn(name, reduce(lambda a, b: a | b, have, F.lit(False)))
+
+
+def documented_first(df: DataFrame, name: str = "documented_snp", chrom: str = "chr", pos: str = "pos") -> DataFrame:
+    """Flagged rows first, then in the order of chromosome names and positions."""
+    return df.orderBy(F.col(name).desc(), F.col(chrom).cast("string"), pos)
+
+
 def open_sea(df: DataFrame, island: str = "island", status: str = "status", shared: str = "shared_450K_EPIC", least: int = 1000) -> DataFrame:
     """Autosomal open-sea probes that both arrays share; fewer than ``least`` is an error."""
     from panelforge.operators.genome import autosomes

@@ -2,40 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions import kernels
+from panelforge.functions.session import settled
 from panelforge.operators import compare, genome, inference, within
 
 
-def find_regions(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_gap: float = 1000, rho_min: float = 0.30, lam: float | tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0), cv_folds: int = 5, decay: float = 1000.0, min_probes: int = 3, min_effect: float = 0.05, n_perm: int = 0, scheme: str = "within", n_boot: int = 0, seed: int = 1) -> tuple[DataFrame, dict]:
+def find_regions(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_gap: float = 1000, rho_min: float = 0.30, lam: float | tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0), cv_folds: int = 5, decay: float = 1000.0, min_probes: int = 3, min_effect: float = 0.05, n_perm: int = 0, scheme: str = "within", n_boot: int = 0, seed: int = 1, covariates=None) -> tuple[DataFrame, dict]:
     """(regions, run record).
 
     Fit and moderate, cluster residuals, choose the smoothness (a grid is
     cross-validated over whole subjects, a number is used as it is), smooth each
     chromosome, call regions inside clusters; then, if asked for, permutation FWER
-    (without cluster keys), stability, and each array's own effects.
+    (without cluster keys), stability, and each array's own effects.  ``covariates``
+    (samples by columns) stay in every fit; those that never vary within a subject go.
+    Rows come by rising p where there is one, then in genome order.
     """
     exposure, subject = [e for _, e, _ in sheet], [s for s, _, _ in sheet]
-    design = within.Design(exposure, subject)
-    fits = within.with_z(within.moderate(within.fit_panel(panel, design).persist(), design.df), design.unit)
-    lam0 = lam if isinstance(lam, (int, float)) else inference.best_lambda(inference.cv_lambda(panel, sheet, tuple(lam), cv_folds, seed, decay))
+    design = within.Design(exposure, subject, covariates)
+    fits = within.with_z(within.moderate(settled(within.fit_panel(panel, design)), design.df), design.unit)
+    lam0 = lam if isinstance(lam, (int, float)) else inference.best_lambda(inference.cv_lambda(panel, sheet, tuple(lam), cv_folds, seed, decay, covariates))
     clusters = genome.comethylation_clusters(within.residual_panel(panel, design), "resid", max_gap, rho_min, "chr", "pos", "probe").select("probe", "cluster")
     track = inference.tracks(fits.select("probe", "chr", "pos", "beta", "se"), lam0, decay).join(clusters, "probe")
     track = track.withColumn("sw", F.col("w")).withColumn("swb", F.col("w") * F.col("beta"))
-    regions = genome.call_regions(track, min_probes, min_effect, cluster="cluster", ties=("probe",)).withColumn("region", F.concat_ws(":", "chr", "start", "end")).persist()
+    regions = settled(genome.call_regions(track, min_probes, min_effect, cluster="cluster", ties=("probe",)).withColumn("region", F.concat_ws(":", "chr", "start", "end")))
     record = {"lam0": lam0, "df": design.df, "n_subjects": design.subjects, "n_samples": len(sheet), "n_perm": n_perm, "n_boot": n_boot}
     if n_perm or n_boot:
-        null = inference.region_null(panel, sheet, n_perm, lam0, scheme=scheme, seed=seed, decay=decay, min_probes=min_probes, min_effect=min_effect)
+        null = inference.region_null(panel, sheet, n_perm, lam0, covariates=covariates, scheme=scheme, seed=seed, decay=decay, min_probes=min_probes, min_effect=min_effect)
         regions = inference.fwer(regions, null)
-        regions = inference.stability(panel, sheet, regions, n_boot, lam0, seed=seed, decay=decay, min_probes=min_probes, min_effect=min_effect)
+        regions = inference.stability(panel, sheet, regions, n_boot, lam0, covariates=covariates, seed=seed, decay=decay, min_probes=min_probes, min_effect=min_effect)
     arrays = sorted({a for _, _, a in sheet})
     for array in arrays:
         at = [i for i, s in enumerate(sheet) if s[2] == array]
-        own = within.Design([exposure[i] for i in at], [subject[i] for i in at])
+        own = within.Design([exposure[i] for i in at], [subject[i] for i in at], within.rows_of(covariates, at))
         if own.subjects >= 3 and own.identified and own.df > 0:
             part = panel.withColumn("m", F.array(*(F.get("m", F.lit(i)) for i in at)))
             each = within.with_z(within.moderate(within.fit_panel(part, own), own.df), own.unit).select("chr", "pos", "beta", "se")
@@ -44,7 +50,8 @@ def find_regions(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_g
     pair = [f"effect_{a}" for a in arrays if f"effect_{a}" in regions.columns]
     if len(pair) == 2:
         regions = regions.withColumn("sign_concordant", F.signum(pair[0]) == F.signum(pair[1]))
-    return regions, record
+    by_p = [F.col("p_fwer")] if "p_fwer" in regions.columns else []
+    return regions.orderBy(*by_p, F.col("chr").try_cast("int").asc_nulls_last(), F.col("chr").cast("string"), "start"), record
 
 
 def smooth_by_cluster(df: DataFrame, span: float, max_gap: float, value: str = "beta", weight: str | None = None) -> DataFrame:
@@ -80,15 +87,55 @@ def bumps(smoothed: DataFrame, cutoff: float, by: tuple[str, ...] = ("chr",)) ->
 
 
 def bumphunter(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_gap: float = 300, cutoff: float = 0.10, span: float = 1000, n_perm: int = 0, seed: int = 1) -> DataFrame:
-    """The legacy baseline: pooled fit, smoothing within gap clusters, thresholded bumps, FWER from permutation maxima."""
+    """The legacy baseline: pooled fit, smoothing within gap clusters, thresholded bumps, FWER from permutation maxima.
+
+    A probe's estimates under all replicates travel as one array, so a chromosome is
+    clustered and its neighbourhoods are found once for all of them.
+    """
     subject = [s for s, _, _ in sheet]
-    reps = [(0, within.Design([e for _, e, _ in sheet], subject))] + [(k + 1, within.Design(inference.permuted_exposures(sheet, k, seed, False), subject)) for k in range(n_perm)]
-    fits = inference.replicate_fits(panel, reps, lambda r: r[1])
-    keyed = fits.withColumn("chr0", F.col("chr")).withColumn("chr", F.concat_ws("|", "rep", "chr0"))  # a replicate's chromosomes are groups of their own
-    found = bumps(smooth_by_cluster(keyed.select("chr", "pos", "probe", "beta", "rep", "chr0"), span, max_gap).select("chr", "pos", "probe", "cluster", "smooth"), cutoff)
-    found = found.withColumn("rep", F.split("chr", r"\|")[0].cast("int")).withColumn("chr", F.split("chr", r"\|")[1].cast("int"))
-    null = panel.sparkSession.range(1, n_perm + 1).select(F.col("id").cast("int").alias("rep")).join(found.where("rep > 0").groupBy("rep").agg(F.max("area").alias("m")), "rep", "left").select(F.coalesce("m", F.lit(0.0)).alias("max_abs_z"))
-    return inference.fwer(found.where("rep = 0").drop("rep"), null, z="area", name="fwer_area")
+    designs = [within.Design([e for _, e, _ in sheet], subject)] + [within.Design(inference.permuted_exposures(sheet, k, seed, False), subject) for k in range(n_perm)]
+    used = [k for k, d in enumerate(designs) if d.identified and d.df > 0]
+    if not used or used[0] != 0:
+        raise ValueError("the exposure does not vary within any subject")
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                m = within.matrix_of(part.column(3))
+                betas = np.stack([designs[k].fit(m)[0] for k in used], axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(list(betas), pa.list_(pa.float64()))], names=["probe", "chr", "pos", "betas"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.select("probe", "chr", "pos").schema)
+    wide = genome.gap_clusters(panel.select("probe", "chr", "pos", "m").mapInArrow(fits, f"{types}, betas array<double>"), max_gap, "chr", "pos", "probe")
+
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pos", "probe"], kind="stable")
+        pos, cluster, smooth = pdf["pos"].to_numpy(), pdf["cluster"].to_numpy(), np.stack(pdf["betas"].to_numpy())
+        begin = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
+        size = np.diff(np.append(begin, len(cluster)))
+        for a, n in zip(begin.tolist(), size.tolist()):
+            if n >= 3:
+                smooth[a : a + n] = kernels.local_linear(pos[a : a + n].astype(float), smooth[a : a + n], np.ones(n), span)
+        wide_of, out = np.repeat(size, size), []
+        for c, rep in enumerate(used):
+            side = np.where(smooth[:, c] > cutoff, 1, np.where(smooth[:, c] < -cutoff, -1, 0))
+            first = np.flatnonzero(np.append(True, (side[1:] != side[:-1]) | (cluster[1:] != cluster[:-1])))
+            n, total = np.diff(np.append(first, len(side))), np.add.reduceat(smooth[:, c], first)
+            keep = side[first] != 0
+            a, n, total = first[keep], n[keep], total[keep]
+            out.append(pd.DataFrame({"rep": rep, "start": pos[a], "end": pos[a + n - 1], "value": total / n, "area": np.abs(total), "cluster": cluster[a], "l": n, "cluster_l": wide_of[a]}))
+        out = pd.concat(out)
+        out.insert(0, "chr", pdf["chr"].iloc[0])
+        return out
+
+    kind = dict(panel.dtypes)["chr"]
+    bumps_ = wide.groupBy("chr").applyInPandas(found, f"chr {kind}, rep int, start long, end long, value double, area double, cluster long, l long, cluster_l long")
+    bumps_ = settled(bumps_)
+    null = panel.sparkSession.range(1, n_perm + 1).select(F.col("id").cast("int").alias("rep")).join(bumps_.where("rep > 0").groupBy("rep").agg(F.max("area").alias("m")), "rep", "left").select(F.coalesce("m", F.lit(0.0)).alias("max_abs_z"))
+    top = [float(r[0]) for r in null.collect()]  # one number a replicate
+    spark = panel.sparkSession
+    return inference.fwer(bumps_.where("rep = 0").drop("rep"), spark.createDataFrame([(v,) for v in top], "max_abs_z double"), z="area", name="fwer_area")
 
 
 def blockfinder(panel: DataFrame, sheet: list[tuple[int, float, str]], *, collapse_gap: float = 500, span: float = 250_000, cutoff: float = 0.02) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +90,11 @@ class Design:
         return float(self.inverse[0, 0])
 
 
+def rows_of(covariates, at) -> np.ndarray | None:
+    """The covariates of some samples; None without any."""
+    return None if covariates is None else np.asarray(covariates, float)[np.asarray(at)]
+
+
 def matrix_of(column: pa.Array) -> np.ndarray:
     """An Arrow list column of equal lengths as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -214,8 +220,8 @@ def fit_gls(panel: DataFrame, exposure: list[float], subject: list, covariates=N
     fits = panel.select(*keep, values).mapInArrow(run, f"{types}, beta double, s2 double")
     done = with_z(moderate(fits, df), unit).withColumnRenamed("z", "t")
 
-    @F.udf("double")
-    def tail(t):
-        return float(special.t_two_sided(float(t), float(df)))
+    @F.pandas_udf("double")
+    def tail(t: pd.Series) -> pd.Series:
+        return pd.Series(special.t_two_sided_array(t.to_numpy(float), float(df)))
 
     return done.withColumn("p", tail("t")).select(*keep, "beta", "se", "t", "p")

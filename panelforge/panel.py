@@ -43,10 +43,12 @@ def coded(values: list) -> list[float]:
 
 
 def design_matrix(sheet: list[dict], covariates: list[str]) -> np.ndarray | None:
-    """Covariates as columns; factors become indicators of all levels but the first."""
+    """Covariates as columns; constant ones go, factors become indicators of all levels but the first."""
     out = []
     for c in covariates:
         v = columns_of(sheet, c, name="covariates")
+        if len({str(x) for x in v}) == 1 and v[0] is not None:
+            continue  # a covariate that never varies says nothing
         if all(isinstance(x, (int, float, bool)) and x is not None for x in v):
             out.append(coded(v))
         else:
@@ -91,6 +93,14 @@ class Panel:
             notes["assay"] = "beta values were turned into M values"
         return cls(out, samples, "m", notes)
 
+    def complete(self, *columns: str) -> Panel:
+        """The panel of the samples that have a finite value in every named column of the sheet."""
+        at = [i for i, r in enumerate(self.samples) if all(r.get(c) is not None and not (isinstance(r[c], float) and not math.isfinite(r[c])) for c in columns)]
+        if len(at) == len(self.samples):
+            return self
+        data = self.data.withColumn("m", F.array(*(F.get("m", F.lit(i)) for i in at)) if at else F.array().cast("array<double>"))
+        return Panel(data, [self.samples[i] for i in at], self.values, self.metadata | {"incomplete_samples": len(self.samples) - len(at)})
+
     def sorted(self) -> DataFrame:
         """Probes in genome order."""
         return self.data.orderBy(F.col("chr").try_cast("int").asc_nulls_last(), "chr", "pos", "probe")
@@ -114,12 +124,12 @@ class Panel:
         f = within.moderate(f, d.df) if shrink else f.withColumn("s2_post", F.col("s2"))
         return within.with_z(f, d.unit).select("probe", "chr", "pos", "beta", "se", "z")
 
-    def regions(self, exposure, subject, array=None, **parameters) -> tuple[DataFrame, dict]:
-        found, record = regions.find_regions(self.data, self.sheet(exposure, subject, array), **parameters)
+    def regions(self, exposure, subject, array=None, covariates: list[str] = (), **parameters) -> tuple[DataFrame, dict]:
+        found, record = regions.find_regions(self.data, self.sheet(exposure, subject, array), covariates=design_matrix(self.samples, list(covariates)), **parameters)
         return found, record | self.metadata
 
-    def blocks(self, exposure, subject, array=None, **parameters) -> tuple[DataFrame, DataFrame, dict]:
-        found, effects, model = blocks.find_blocks(self.data, self.sheet(exposure, subject, array), **parameters)
+    def blocks(self, exposure, subject, array=None, covariates: list[str] = (), **parameters) -> tuple[DataFrame, DataFrame, dict]:
+        found, effects, model = blocks.find_blocks(self.data, self.sheet(exposure, subject, array), covariates=design_matrix(self.samples, list(covariates)), **parameters)
         return found, effects, {"mu": model.mu.tolist(), "sigma": model.sigma.tolist(), "pi": model.pi.tolist(), "loglik": model.loglik, "rounds": model.rounds, "neutral": model.neutral} | self.metadata
 
 

@@ -59,6 +59,17 @@ ma AS (SELECT * FROM pm WHERE probe % 5 <> 0),
 mb AS (SELECT probe, CASE WHEN probe % 11 = 0 THEN 'other' ELSE design END AS design, gene, chr, pos + CASE WHEN probe % 13 = 0 THEN 1 ELSE 0 END AS pos FROM pm WHERE probe % 7 <> 0)"""
 
 
+def _digamma(x: str) -> str:
+    """Digamma of an expression: the recurrence up to x + 12, then the asymptotic series."""
+    y = f"({x} + 12)"
+    return f"(ln{y} - 1 / (2 * {y}) - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6)) + 1 / (240 * pow({y}, 8)) - {' - '.join(f'1 / ({x} + {k})' for k in range(12))})"
+
+
+def _trigamma(x: str) -> str:
+    y = f"({x} + 12)"
+    return f"(1 / {y} + 1 / (2 * pow({y}, 2)) + 1 / (6 * pow({y}, 3)) - 1 / (30 * pow({y}, 5)) + 1 / (42 * pow({y}, 7)) - 1 / (30 * pow({y}, 9)) + {' + '.join(f'1 / pow({x} + {k}, 2)' for k in range(12))})"
+
+
 def _r(e: str, name: str) -> str:
     return f"round({e}, 6) + 0.0 AS {name}"
 
@@ -98,9 +109,43 @@ ORACLES = {
       h AS (SELECT subject, list_reduce(list_transform(range(1, length('1:' || subject) + 1), lambda i: CAST(ascii(substr('1:' || subject, i, 1)) AS BIGINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)) AS h FROM s)
       SELECT subject, ntile(5) OVER (ORDER BY h, subject) - 1 AS fold FROM h""",
     "subject_hash": """SELECT CAST(c_custkey AS VARCHAR) AS subject, list_reduce(list_transform(range(1, length('1:' || c_custkey) + 1), lambda i: CAST(ascii(substr('1:' || c_custkey, i, 1)) AS BIGINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)) AS h FROM customer""",
-    "permutation_within": f"WITH {ORDERS} SELECT subject, count(*) AS n, {_r('sum(exposure)', 'total')}, {_r('min(exposure)', 'least')}, {_r('max(exposure)', 'most')} FROM po GROUP BY 1",
-    "permutation_naive": f"WITH {ORDERS} SELECT count(*) AS n, {_r('sum(exposure)', 'total')}, {_r('max(exposure)', 'most')} FROM po WHERE platform = 'BUILDING'",
-    "subject_subsample": "SELECT CAST(r AS INTEGER) AS rep, greatest(2, n // 2) AS n, greatest(2, n // 2) AS subjects FROM range(10) t(r), (SELECT count(DISTINCT c_custkey) AS n FROM customer)",
+    "permutation_within": f"""WITH {ORDERS}, r AS (SELECT sample, subject, exposure, row_number() OVER (PARTITION BY subject ORDER BY sample) AS place, row_number() OVER (PARTITION BY subject ORDER BY md5('7:0:' || sample), sample) AS dealt FROM po)
+      SELECT t.sample, t.subject, {_r("g.exposure", "permuted")} FROM r t JOIN r g ON t.subject = g.subject AND t.place = g.dealt""",
+    "permutation_naive": f"""WITH {ORDERS}, r AS (SELECT sample, subject, exposure, row_number() OVER (ORDER BY md5('7:place:' || sample), sample) AS place, row_number() OVER (ORDER BY md5('7:0:' || sample), sample) AS dealt FROM po)
+      SELECT t.subject, count(*) AS n, {_r("sum(g.exposure)", "total")}, {_r("max(g.exposure)", "most")} FROM r t JOIN r g ON t.place = g.dealt GROUP BY 1""",
+    "permutation_naive_all": f"""WITH {ORDERS}, r AS (SELECT sample, exposure, row_number() OVER (ORDER BY md5('7:place:' || sample), sample) AS place, row_number() OVER (ORDER BY md5('7:0:' || sample), sample) AS dealt FROM po)
+      SELECT t.sample, {_r("t.exposure", "exposure")}, {_r("g.exposure", "permuted")} FROM r t JOIN r g ON t.place = g.dealt""",
+    "subject_subsample": """WITH s AS (SELECT DISTINCT c_custkey AS subject FROM customer), k AS (SELECT CAST(r AS INTEGER) AS rep, subject, row_number() OVER (PARTITION BY r ORDER BY md5('1:' || r || ':' || subject), subject) AS k FROM s, range(10) t(r))
+      SELECT rep, subject FROM k WHERE k <= (SELECT greatest(2, count(*) // 2) FROM s)""",
+    "within_fit_covariates": f"""WITH {LONG}, dm AS (SELECT probe, exposure - avg(exposure) OVER w AS a, exposure * exposure - avg(exposure * exposure) OVER w AS b, value - avg(value) OVER w AS v FROM long WINDOW w AS (PARTITION BY probe, subject)),
+      s AS (SELECT probe, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * v) AS av, sum(b * v) AS bv, sum(v * v) AS vv FROM dm GROUP BY 1),
+      f AS (SELECT probe, (bb * av - ab * bv) / (aa * bb - ab * ab) AS beta, (aa * bv - ab * av) / (aa * bb - ab * ab) AS second, bb / (aa * bb - ab * ab) AS unit, av, bv, vv FROM s),
+      e AS (SELECT probe, beta, sqrt(greatest(vv - beta * av - second * bv, 0) / 46 * unit) AS se FROM f)
+      SELECT probe, {_r("beta", "beta")}, {_r("se", "se")}, {_r("beta / se", "z")}, CAST(46 AS BIGINT) AS df FROM e""",
+    "moderated_variance": f"""WITH RECURSIVE {LONG}, {_fit("long", "probe", "value")},
+      v AS (SELECT probe, beta, se * se * 80 AS s2 FROM fits),
+      m AS (SELECT avg(ln(s2)) AS mean, var_samp(ln(s2)) AS var FROM v WHERE s2 > 0),
+      t AS (SELECT mean - {_digamma("23.5")} + ln(23.5) AS e, var - {_trigamma("23.5")} AS target FROM m),
+      h(k, lo, hi) AS (SELECT 0, ln(1e-3), ln(1e9) UNION ALL SELECT k + 1, CASE WHEN {_trigamma("exp((lo + hi) / 2)")} > (SELECT target FROM t) THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_trigamma("exp((lo + hi) / 2)")} > (SELECT target FROM t) THEN hi ELSE (lo + hi) / 2 END FROM h WHERE k < 70),
+      d AS (SELECT exp((lo + hi) / 2) AS half FROM h WHERE k = 70),
+      p AS (SELECT target, 2 * half AS d0, CASE WHEN target <= 0 THEN exp(e) ELSE exp(e + {_digamma("half")} - ln(half)) END AS s0 FROM t, d),
+      q AS (SELECT probe, beta, s2, CASE WHEN target <= 0 THEN s0 ELSE (d0 * s0 + 47 * s2) / (d0 + 47) END AS post FROM v, p)
+      SELECT probe, {_r("s2", "s2")}, {_r("post", "s2_post")}, {_r("CASE WHEN post > 0 THEN beta / sqrt(post / 80) ELSE 0 END", "z")} FROM q""",
+    "hwe_tail": f"""WITH a AS (SELECT p_partkey AS probe, p_partkey % 20 AS k, 2 * (p_size / 500.0) - (p_size / 500.0) * (p_size / 500.0) AS p FROM part),
+      s AS (SELECT probe, sum(exp(lgamma(127) - lgamma(i + 1) - lgamma(127 - i) + i * ln(p) + (126 - i) * ln(1 - p))) AS t FROM a, range(0, 127) r(i) WHERE i >= k GROUP BY 1)
+      SELECT a.probe, {_r("CASE WHEN k <= 0 THEN 1.0 ELSE least(1.0, t) END", "tail")} FROM a JOIN s ON a.probe = s.probe""",
+    "fisher_group_array": f"""WITH {GROUPS}, k AS (SELECT probe, grp, count(*) AS n FROM grouped GROUP BY 1, 2), mn AS (SELECT probe, arg_min(grp, n * 1000 + grp) AS minor FROM k GROUP BY 1),
+      c AS (SELECT g.probe, count(*) FILTER (grp = minor AND platform = '450K') AS a, count(*) FILTER (grp = minor AND platform = 'EPIC') AS b, count(*) FILTER (grp <> minor AND platform = '450K') AS c, count(*) FILTER (grp <> minor AND platform = 'EPIC') AS d FROM grouped g JOIN mn ON g.probe = mn.probe GROUP BY 1),
+      l AS (SELECT probe, a, i, -(lgamma(i + 1) + lgamma(a + b - i + 1) + lgamma(a + c - i + 1) + lgamma(d - a + i + 1)) AS lp FROM c, range(0, 65) r(i) WHERE i >= greatest(0, a - d) AND i <= least(a + b, a + c)),
+      w AS (SELECT probe, i = a AS own, exp(lp - max(lp) OVER (PARTITION BY probe)) AS p FROM l),
+      o AS (SELECT probe, max(p) FILTER (own) AS mine FROM w GROUP BY 1)
+      SELECT w.probe, {_r("least(1.0, sum(CASE WHEN p <= mine * (1 + 1e-7) THEN p ELSE 0 END) / sum(p))", "p")} FROM w JOIN o ON w.probe = o.probe GROUP BY 1""",
+    "residual_correlation": f"""WITH {LONG}, dm AS (SELECT probe, chr, pos, sample, exposure - avg(exposure) OVER w AS x, value - avg(value) OVER w AS v FROM long WINDOW w AS (PARTITION BY probe, subject)),
+      fx AS (SELECT *, v - x * (sum(x * v) OVER (PARTITION BY probe) / sum(x * x) OVER (PARTITION BY probe)) AS e FROM dm),
+      res AS (SELECT probe, chr, pos, list(e ORDER BY sample) AS r FROM fx GROUP BY 1, 2, 3),
+      adj AS (SELECT *, pos - lag(pos) OVER w AS gap, lag(r) OVER w AS p FROM res WINDOW w AS (PARTITION BY chr ORDER BY pos, probe))
+      SELECT probe, chr, gap, {_r("list_dot_product(r, p) / sqrt(list_dot_product(r, r) * list_dot_product(p, p))", "rho")} FROM adj WHERE gap <= 1000""",
+    "documented_variants": "SELECT p_partkey AS probe, CAST(p_size % 24 AS VARCHAR) AS chr, p_partkey AS pos, p_size > 40 OR p_size < 5 AS documented_snp FROM part",
     "fwer_pvalues": f'WITH {STEPPED}, nl AS (SELECT k / 10 AS s FROM range(200) t(k)), p AS (SELECT chr, "start", (1 + (SELECT count(*) FROM nl WHERE s >= abs(round(effect / se, 3)))) / 201 AS p FROM regions) SELECT chr, "start", {_r("p", "p_fwer")}, {_r("sqrt(p * (1 - p) / 200)", "p_fwer_mcse")} FROM p',
     "fwer_borderline": f'WITH {STEPPED}, nl AS (SELECT k / 10 AS s FROM range(200) t(k)), p AS (SELECT (1 + (SELECT count(*) FROM nl WHERE s >= abs(round(effect / se, 3)))) / 201 AS p FROM regions), m AS (SELECT p, 2 * sqrt(p * (1 - p) / 200) AS e FROM p) SELECT CAST(sum(CASE WHEN (p < 0.05 AND p + e > 0.05) OR (p > 0.05 AND p - e < 0.05) THEN 1 ELSE 0 END) AS BIGINT) AS borderline FROM m',
     "bh_fdr": f"""WITH {TRACK}, p AS (SELECT chr, pos, 1000 / (1000 + abs(swb)) AS p FROM track), k AS (SELECT *, p * count(*) OVER () / rank() OVER (ORDER BY p DESC) AS unused, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM p),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -177,6 +178,18 @@ def _resid(spark, d, project=False):
     return within.residual_panel(adapters.panel_embeddings(spark, d), _design(), project=project)
 
 
+def residual_correlation(spark, d):
+    """Neighbours' correlation of residuals from which the exposure is taken out too, as clusters are built."""
+    c = genome.adjacent_correlation(_resid(spark, d, True), "resid", REGION_GAP, "chr", "pos", "probe")
+    return c.where("rho is not null").select("probe", "chr", "gap", r6("rho", "rho"))
+
+
+def documented_variants(spark, d):
+    """Parts flagged by whether a variant is documented, flagged ones first."""
+    p = tables.table(spark, d, "part").select(F.col("p_partkey").alias("probe"), (F.col("p_size") % 24).cast("string").alias("chr"), F.col("p_partkey").alias("pos"), F.when(F.col("p_size") > 40, F.col("p_brand")).alias("Probe_rs"), F.when(F.col("p_size") < 5, F.col("p_type")).alias("CpG_rs"))
+    return quality_control.documented_first(quality_control.documented(p)).select("probe", "chr", "pos", "documented_snp")
+
+
 def adjacent_correlation(spark, d):
     c = genome.adjacent_correlation(_resid(spark, d), "resid", REGION_GAP, "chr", "pos", "probe")
     return c.where("rho is not null").select("probe", "chr", "gap", r6("rho", "rho"))
@@ -225,7 +238,11 @@ def stability_selection(spark, d):
 
 
 def hmm_blocks(spark, d):
-    b, _, _ = blocks.find_blocks(adapters.panel_embeddings(spark, d), _sheet(), rho_min=0.0, min_post=0.5, min_clusters=1, min_fit_clusters=3)
+    """Blocks of the panel with a planted one: values of a stretch of each of three chromosomes rise with the exposure."""
+    p = adapters.panel_embeddings(spark, d)
+    rising = F.transform("m", lambda x, i: x + 0.06 * (i % 4))
+    p = p.withColumn("m", F.when((F.col("chr") <= 3) & (F.col("pos") % 40_000 >= 20_000), rising).otherwise(F.col("m")))
+    b, _, _ = blocks.find_blocks(p, _sheet(), rho_min=0.0, min_post=0.5, min_clusters=1, min_fit_clusters=3)
     return b.select("chr", "start", "end", "width", "n_clusters", "direction", r6("posterior", "posterior"))
 
 
@@ -252,23 +269,17 @@ def subject_hash(spark, d):
     return s.select("subject", hashing.fnv1a(F.concat(F.lit("1:"), "subject")).alias("h"))
 
 
-def _permuted(spark, d, within_subject):
-    o = adapters.panel_orders(spark, d).select("sample", "subject", "exposure", "array")
-    if within_subject:
-        return inference.permute(o, 0, 7, True)
-    e = o.where("array = 'BUILDING'")
-    return inference.permute(e.withColumn("rep", F.lit(0)), "rep", 7, False)
-
-
 def permutation_within(spark, d):
-    """What a permutation must leave alone: each subject's exposures as a multiset."""
-    p = _permuted(spark, d, True)
-    return p.groupBy("subject").agg(F.count("*").alias("n"), r6(F.sum("permuted"), "total"), r6(F.min("permuted"), "least"), r6(F.max("permuted"), "most"))
+    """Each order's exposure after one permutation inside customers."""
+    o = adapters.panel_orders(spark, d).select("sample", "subject", "exposure")
+    return inference.permute(o, 0, 7, True).select("sample", "subject", r6("permuted", "permuted"))
 
 
 def permutation_naive(spark, d):
-    """The same of one market segment, as its SQL has it."""
-    return _permuted(spark, d, False).agg(F.count("*").alias("n"), r6(F.sum("permuted"), "total"), r6(F.max("permuted"), "most"))
+    """The same over all orders, summed up by customer: what stays a customer's own in a naive permutation."""
+    o = adapters.panel_orders(spark, d).select("sample", "subject", "exposure").withColumn("rep", F.lit(0))
+    p = inference.permute(o, "rep", 7, False)
+    return p.groupBy("subject").agg(F.count("*").alias("n"), r6(F.sum("permuted"), "total"), r6(F.max("permuted"), "most"))
 
 
 def permutation_naive_all(spark, d):
@@ -279,7 +290,7 @@ def permutation_naive_all(spark, d):
 
 def subject_subsample(spark, d):
     s = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("subject"))
-    return inference.subsample(s, 10).groupBy("rep").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"))
+    return inference.subsample(s, 10).select("rep", "subject")
 
 
 def fwer_pvalues(spark, d):
@@ -492,7 +503,10 @@ def audit_simulation(spark, d):
 def f64_roundtrip(spark, d):
     """The panel written as a column-major matrix and read back, a hash of each row's values."""
     p = adapters.panel_embeddings(spark, d)
-    stem = os.path.join(tempfile.mkdtemp(prefix="panelforge-f64-"), "mval")  # an interchange file of the driver's machine
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelforge-f64-")  # the shared folder, where there is one
+    base = base.removeprefix("file:")
+    os.makedirs(base, exist_ok=True)
+    stem = os.path.join(base, f"mval-{uuid.uuid4().hex}")
     matrix.write_f64(p, stem, row="probe", values="m", name=None)
     back = matrix.read_f64(spark, stem)
     return back.select(F.col("row").alias("probe"), r6(F.aggregate("m", F.lit(0.0), lambda s, x: s + x), "total"), F.size("m").alias("samples"))
@@ -537,7 +551,7 @@ def harmonised_panel(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     gap_clusters_fixed, legacy_fixed_collapse, spacing_summary, gap_size_classes, distance_penalty, region_calls_sql, block_runs, interval_overlap, interval_containment, point_in_interval, region_ivw_effect, nearest_feature,
-    within_transform, identification_df, within_fit_orders, within_fit_simple, within_fit_covariates, moderated_variance, gls_probe_model, adjacent_correlation, comethylation_clusters, cluster_collapse, tv_track, cv_lambda,
+    within_transform, identification_df, within_fit_orders, within_fit_simple, within_fit_covariates, moderated_variance, gls_probe_model, adjacent_correlation, residual_correlation, documented_variants, comethylation_clusters, cluster_collapse, tv_track, cv_lambda,
     regions_end_to_end, permutation_null, naive_null, stability_selection, hmm_blocks, bumphunter_like, blockfinder_like, fold_assignment, subject_hash, permutation_within, permutation_naive, permutation_naive_all, subject_subsample, fwer_pvalues, fwer_borderline, bh_fdr,
     cross_array_agreement, correlation_ci, common_footing, method_comparison, beta_to_m, exposure_coding, sample_qc, probe_filter_audit, probe_intersection, manifest_concordance, annotate_left, dropped_probes, subject_semi, gene_filter, manifest_sets,
     top_regions, genotype_calls, pair_concordance, gap_partition, gaphunter, minor_group_profile, variance_explained, group_chip_chi2, hwe_expected, hwe_tail, fisher_group_array, chip_permutation_p, audit_simulation, f64_roundtrip, strict_json, event_sessions, gap_histogram, first_rows, probe_model_summary, harmonised_panel,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.operators import compare, genome, inference, quality_control, within
-from panelforge.panel import Panel
+from panelforge.panel import Panel, design_matrix
 from panelforge.sources import tables
 
 
@@ -25,8 +25,14 @@ def harmonise(intensities: DataFrame, annotation: DataFrame, *, detp: DataFrame
     return panel, qc, audit
 
 
-def probe_model(panel: Panel, exposure, subject, array=None) -> tuple[DataFrame, DataFrame]:
-    """(statistics, summary): joint and per-array GLS fits with FDR; one summary row a fit."""
+def probe_model(panel: Panel, exposure, subject, array=None, covariates: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(statistics, summary): joint and per-array GLS fits with FDR; one summary row a fit.
+
+    Samples without the exposure or a covariate are left out; covariates that are
+    constant among the samples of a fit go.
+    """
+    named = [c for c in (exposure, *covariates) if isinstance(c, str)]
+    panel = panel.complete(*named)
     s = panel.sheet(exposure, subject, array)
     fits, rows = [], []
     for name, at in [("joint", range(len(s))), *((a, [i for i, v in enumerate(s) if v[2] == a]) for a in sorted({v[2] for v in s}) if array is not None)]:
@@ -34,7 +40,8 @@ def probe_model(panel: Panel, exposure, subject, array=None) -> tuple[DataFrame,
         part = panel.data.withColumn("m", F.array(*(F.get("m", F.lit(i)) for i in at)))
         x, k = [s[i][1] for i in at], [s[i][0] for i in at]
         rho = within.consensus_correlation(part, k)
-        f = inference.bh(within.fit_gls(part, x, k, rho=rho)).withColumn("fit", F.lit(name))
+        extra = design_matrix([panel.samples[i] for i in at], list(covariates))
+        f = inference.bh(within.fit_gls(part, x, k, extra, rho=rho)).withColumn("fit", F.lit(name))
         fits.append(f)
         rows.append(f.agg(F.count("*").alias("n_probes"), F.sum((F.col("fdr") <= 0.05).cast("long")).alias("n_fdr05")).select(F.lit(name).alias("fit"), F.lit(len(at)).alias("n_samples"), F.lit(len(set(k))).alias("n_subjects"), F.lit(rho).alias("within_subject_cor"), "n_probes", "n_fdr05"))
     return compare.union_methods(*fits), compare.union_methods(*rows)

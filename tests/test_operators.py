@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.functions import hashing
+from panelforge.functions import hashing, kernels, special
 from panelforge.operators import blocks, genome, genotype, inference, quality_control, regions, within
 from panelforge.sources import matrix, tables
 
@@ -167,23 +167,100 @@ def test_interval_joins_equal_brute_force(spark):
     assert got == sorted((p[1], q[1]) for p in a for q in b if p[0] == q[0] and p[2] >= q[2] and p[3] <= q[3])
 
 
-def test_blocks_recover_runs_by_both_routes(spark):
+def test_blocks_recover_runs(spark):
     rng = np.random.default_rng(7)
     y, se = rng.normal(0, 0.03, 500), rng.uniform(0.02, 0.08, 500)
     y[120:200] += 0.25
     y[330:400] -= 0.25
     y += rng.normal(0, se)
-    rows = [(1, float(i * 120_000), i * 120_000, i * 120_000 + 500, float(y[i]), float(se[i])) for i in range(500)]
-    df = spark.createDataFrame(rows, "chr int, mid double, start long, end long, y double, se double")
+    rows = [(1 + i // 250, float(i * 120_000), i * 120_000, i * 120_000 + 500, float(y[i]), float(se[i])) for i in range(500)]
+    df = spark.createDataFrame(rows, "chr int, mid double, start long, end long, y double, se double").repartition(5)
     model, post = blocks.fit_blocks(df)
-    far, post2 = blocks.fit_blocks(df, one_task=10)
-    assert np.allclose(model.mu, far.mu, atol=1e-9) and model.rounds == far.rounds
-    p1, p2 = ([r.posterior for r in p.orderBy("mid").collect()] for p in (post, post2))
-    assert np.allclose(p1, p2, atol=1e-9)
+    wide = float(np.std(y))
+    plain = kernels.BlockModel(np.array([np.quantile(y, 0.05), 0.0, np.quantile(y, 0.95)]), np.array([wide, wide / 2, wide]), np.array([0.05, 0.9, 0.05]), 250_000)
+    mid, before = np.arange(500) * 120_000.0, -np.inf
+    for _ in range(60):  # the same rounds over both chromosomes in memory
+        parts = [kernels.forward_backward(y[k], se[k], mid[k], plain) for k in (slice(0, 250), slice(250, 500))]
+        g, ll = np.concatenate([p[0] for p in parts]), sum(p[1] for p in parts)
+        plain = kernels.maximise(plain, kernels.sufficient(g, y, se))
+        if abs(ll - before) < 1e-5 * max(1.0, abs(before)):
+            break
+        before = ll
+    assert np.allclose(model.mu, np.sort(plain.mu), atol=1e-7)
+    p1 = np.array([r.posterior for r in post.orderBy("mid").collect()])
+    assert np.allclose(p1, g[:, np.argsort(plain.mu)], atol=1e-6)
     state = np.argmax(p1, axis=1)
     assert (state[120:200] == 2).mean() > 0.7 and (state[330:400] == 0).mean() > 0.7 and (np.delete(state, np.r_[120:200, 330:400]) != 1).mean() < 0.15
-    called = genome.call_blocks(post).collect()
-    assert {r.direction for r in called} == {"hyper", "hypo"}
+    assert {r.direction for r in genome.call_blocks(post).collect()} == {"hyper", "hypo"}
+
+
+def test_regions_with_covariates_and_text_chromosomes(spark):
+    m, sheet = simulated(2)
+    age = np.random.default_rng(5).normal(size=len(sheet))
+    shifted = m + 0.8 * age[None, :]  # a covariate that moves every probe
+    data = panel(spark, shifted).withColumn("chr", F.lit("X"))
+    found, record = regions.find_regions(data, sheet, rho_min=-1.0, lam=1.0, n_perm=4, covariates=np.column_stack([age, [float(s[0]) for s in sheet]]))
+    rows = found.collect()
+    top = max(rows, key=lambda r: abs(r["z"]))
+    assert abs(top["effect"] - 0.30) < 0.06 and top["chr"] == "X" and record["df"] == 120 - 30 - 2
+    assert [r["p_fwer"] for r in rows] == sorted(r["p_fwer"] for r in rows)
+    legacy = regions.bumphunter(panel(spark, m).withColumn("chr", F.lit("X")), sheet, cutoff=0.15, n_perm=9).collect()
+    assert {r["chr"] for r in legacy} == {"X"} and min(r["fwer_area"] for r in legacy) == pytest.approx(0.1)
+
+
+def test_nearest_stays_linear_on_one_chromosome(spark):
+    q = spark.range(0, 150_000).select(F.lit(1).alias("chr"), (F.col("id") * 7 + 3).alias("pos"), F.col("id").alias("q_id"))
+    f = spark.range(0, 100_000).select(F.lit(1).alias("chr"), (F.col("id") * 10).alias("pos"), F.col("id").alias("f_id"))
+    out = genome.nearest(q, f, near=20)
+    got = out.agg(F.count("*"), F.max("distance"), F.sum((F.col("distance") <= 5).cast("int"))).first()
+    assert got[0] == 150_000 and got[2] >= 142_000  # an operator whose frames grow would not end
+    bh = inference.bh(spark.range(200_000).select((F.col("id") / 200_000.0).alias("p")))
+    assert bh.agg(F.max("fdr")).first()[0] <= 1.0
+
+
+def test_chip_p_takes_any_probe_id(spark):
+    rows = [(f"cg{p}", i, int(i < 10) if p == 0 else (i * 7 + p) % 2, "A" if i < 20 else "B") for p in range(3) for i in range(40)]
+    g = spark.createDataFrame(rows, "probe string, sample int, grp int, array string")
+    out = {r.probe: r.p_chip for r in genotype.chip_permutation_p(g, 2000).collect()}
+    rng = np.random.default_rng(1)
+    chip = np.arange(40) < 20
+    hits = sum(abs((rng.permutation(np.arange(40) < 10) & chip).sum() - 5) >= 5 for _ in range(20000)) / 20000
+    assert out["cg0"] == pytest.approx(hits, abs=2e-3) and out["cg1"] > 0.3
+    assert out == {r.probe: r.p_chip for r in genotype.chip_permutation_p(g.repartition(7), 2000).collect()}
+
+
+def test_tails_and_fisher_equal_plain_sums(spark):
+    rng = np.random.default_rng(3)
+    rows = [tuple(int(v) for v in rng.integers(0, 12, 4)) for _ in range(80)] + [(0, 0, 0, 0), (5, 0, 0, 5), (0, 3, 4, 0)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int")
+    for r in df.withColumn("p", genotype.fisher(*map(F.col, "abcd"))).withColumn("t", genotype.carriers_tail(F.col("a"), F.col("b"), F.col("c") / 12)).collect():
+        assert r.p == pytest.approx(special.hypergeometric_two_sided(r.a, r.b, r.c, r.d), abs=1e-9)
+        assert r.t == pytest.approx(special.binomial_tail(r.a, r.b, r.c / 12), abs=1e-9)
+    t = np.array([0.0, 0.3, -2.0, 8.0, 60.0])
+    assert np.allclose(special.t_two_sided_array(t, 11.0), [special.t_two_sided(float(v), 11.0) for v in t])
+
+
+def test_variant_flags_sex_and_labels(spark):
+    df = spark.createDataFrame([(1, "chr2", 5, None, None), (2, "chr1", 9, "rs1", None), (3, "chr1", 4, None, "rs2"), (4, "chr1", 1, None, None)], "probe int, chr string, pos int, Probe_rs string, SBE_rs string")
+    assert [(r.probe, r.documented_snp) for r in quality_control.documented_first(quality_control.documented(df)).collect()] == [(3, True), (2, True), (4, False), (1, False)]
+    cn = spark.createDataFrame([("s1", "X", 13.0), ("s1", "Y", 9.0), ("s2", "X", 12.0), ("s2", "Y", 12.5)], "sample string, chr string, cn double")
+    sex = {r["sample"]: r.predicted_sex for r in quality_control.predict_sex(cn).collect()}
+    assert sex == {"s1": "F", "s2": "M"}
+    told = spark.createDataFrame([("s1", "male"), ("s2", "M")], "sample string, told string").join(quality_control.predict_sex(cn), "sample")
+    assert {r["sample"]: r.m for r in told.select("sample", quality_control.sex_mismatch(F.col("told"), F.col("predicted_sex")).alias("m")).collect()} == {"s1": True, "s2": False}
+    assert kernels.state_labels(2) == ["hypo_s0", "hypo_s1", "neutral"]
+
+
+def test_local_linear_uses_all_neighbours():
+    rng = np.random.default_rng(9)
+    pos, y, w = np.sort(rng.integers(0, 5000, 1500)).astype(float), rng.normal(size=1500), rng.uniform(0.5, 2, 1500)
+    for pairs in (10, 100_000):
+        out = kernels.local_linear(pos, np.stack([y, -y], axis=1), w, 2000.0, pairs)
+        for i in range(0, 1500, 97):
+            d = pos - pos[i]
+            k = np.clip(1 - (np.abs(d) / 2000.0) ** 3, 0, None) ** 3 * w
+            coef = np.linalg.lstsq(np.stack([np.ones(1500), d], axis=1) * np.sqrt(k)[:, None], y * np.sqrt(k), rcond=None)[0]
+            assert out[i, 0] == pytest.approx(coef[0], abs=1e-8) and out[i, 1] == pytest.approx(-coef[0], abs=1e-8)
 
 
 def test_gap_operators_on_edges(spark):
