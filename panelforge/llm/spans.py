@@ -377,7 +377,8 @@ class SpanEncoder:
         """Tokens of each span."""
         short = ends - starts <= _SHORT
         out = np.empty(len(starts), dtype=np.int64)
-        out[short] = self.length[self.lookup(data, starts[short], ends[short])]
+        found = self.lookup(data, starts[short], ends[short])  # before the arrays are read: it may make them longer
+        out[short] = self.length[found]
         if not short.all():
             out[~short] = self.long_spans(data, starts[~short], ends[~short])[1]
         return out

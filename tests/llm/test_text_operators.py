@@ -210,6 +210,15 @@ def test_token_tree_follows_edits(encoder, library):
     library.encode_special_tokens = False
 
 
+def test_counts_while_the_table_grows(merges, classes, library):
+    text = " ".join(f"w{k * 7919 % 100003}" for k in range(40000))
+    library.encode_special_tokens = True
+    assert grown(TextEncoder(merges, classes), text).total == len(library.encode(text, add_special_tokens=False).ids)
+    fresh = TextEncoder(merges, classes)
+    assert encode(fresh, [text], 10**6)[0] == library.encode(text, add_special_tokens=False).ids
+    library.encode_special_tokens = False
+
+
 def test_an_edit_encodes_its_surroundings_only(encoder):
     tree = grown(encoder, "some words of a long text " * 5000)
     tree.settle(encoder.counts_of([w.encode() for w in tree.edit(60000, 60005, "it's", encoder.pretoken_pattern)]).tolist())
