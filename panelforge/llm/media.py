@@ -254,28 +254,42 @@ def describe_store(store: DataFrame) -> DataFrame:
 DESCRIBED = {"digest": "string", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
 
 
+#: A digest is hot if more references name it than this and than this share (1 / HOT_DIGESTS) of those of all such digests; its references are spread over SPREAD parts.
+HOT_REFERENCES, HOT_DIGESTS, SPREAD = 1000, 2000, 16
+ITEM_COLUMNS = ("page_id", "page", "position", "kind", "text", "digest", "url", "caption")
+
+
+def hot_digests(parsed: DataFrame) -> list[str]:
+    """At most HOT_DIGESTS digests, counted over all references; partitions combine before the shuffle."""
+    named = parsed.select(F.explode(F.filter("items", lambda i: i["digest"].isNotNull())).alias("i")).groupBy(F.col("i.digest").alias("digest")).agg(F.count("*").alias("n"))
+    often = shared.cut(named.where(F.col("n") > HOT_REFERENCES))
+    if (total := often.agg(F.sum("n")).first()[0]) is None:
+        return []
+    return [r["digest"] for r in often.where(F.col("n") > total // HOT_DIGESTS).select("digest").collect()]
+
+
 def resolve(parsed: DataFrame, store: DataFrame) -> DataFrame:
     """One row for each item: ``page_id, page, position, kind, text, digest, url, caption`` and the store's columns.
 
     ``page`` numbers the rows of ``parsed``, so pages that share an id stay apart.
     Text items, references by url and digests that the store lacks have nulls in the
     store's columns.  Store columns named like an item's are left out.  Items without
-    a digest do not move; a digest that very many pages share is spread over
-    SPREAD parts, each of which has the store's row.
+    a digest are dealt by their own place; references of a hot digest are spread over
+    several parts, each of which has the store's row.
     """
     name = shared.fresh(parsed, "page")
     items = parsed.withColumn(name, F.monotonically_increasing_id()).select("page_id", F.col(name).alias("page"), F.explode("items").alias("i")).select("page_id", "page", "i.*")
-    rest = [c for c in store.columns if c not in ITEM_COLUMNS and c != "part"]
-    named, plain = items.where("digest is not null"), items.where("digest is null")
-    many = store.select("digest", *rest).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    found = named.withColumn("part", F.pmod(F.xxhash64("page", "position"), F.lit(SPREAD)).cast("int")).join(many, ["digest", "part"], "left").drop("part")
-    order = [*ITEM_COLUMNS, *rest]
-    return found.select(*order).unionByName(plain.select(*ITEM_COLUMNS), allowMissingColumns=True).select(*order)
-
-
-#: Parts that references of one digest are spread over.
-SPREAD = 8
-ITEM_COLUMNS = ("page_id", "page", "position", "kind", "text", "digest", "url", "caption")
+    rest = [c for c in store.columns if c not in ITEM_COLUMNS]
+    key, part = "item_key", "item_part"
+    own = F.coalesce("digest", F.concat_ws(":", F.lit("no digest"), "page", "position"))
+    rows, kept = items.withColumn(key, own), store.select(F.col("digest").alias(key), *rest)
+    on = [key]
+    if hot := hot_digests(parsed):
+        spread = F.col(key).isin(hot)
+        rows = rows.withColumn(part, F.when(spread, F.pmod(F.xxhash64("page", "position"), F.lit(SPREAD))).otherwise(0).cast("int"))
+        kept = kept.withColumn(part, F.explode(F.when(spread, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+        on = [key, part]
+    return rows.join(kept, on, "left").select(*ITEM_COLUMNS, *rest)
 
 
 def assemble(items: DataFrame) -> DataFrame:

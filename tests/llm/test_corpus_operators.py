@@ -404,7 +404,9 @@ def test_unclosed_parts_do_not_silence_a_page():
     assert texts("<p>a</p><noscript>no</noscript><p>b") == ["a", "b"]
 
 
-def test_pages_with_many_images_come_back_whole(spark, tmp_path):
+@pytest.mark.parametrize("hot", [1000, 5])
+def test_pages_with_many_images_come_back_whole(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(media, "HOT_REFERENCES", hot)
     bodies = ["", "one", "two " * 500, "three"]
     texts_ = spark.createDataFrame([(k, t) for k, t in enumerate(bodies)], "doc_id long, text string")
     media.write_store(texts_, f"{tmp_path}/store")
