@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from panelforge.operators import genome
 
 
+#: Columns of the comparison of methods, in their order (fixed values).
+COLUMNS = (
+    "method", "level", "n_regions", "n_fwer05", "median_width_bp", "median_n_probes", "cross_array_r_common", "sign_concordance_common", "cross_array_r", "sign_concordance",
+    "null_q95_max_abs_z", "total_bp", "n_cross_array", "runtime_s", "n_clusters", "n_cross_array_common", "n_fwer05_naive_perm", "null_q95_naive_perm",
+)
+
+
 def _finite(*names: str):
     out = F.lit(True)
     for n in names:
@@ -51,6 +58,39 @@ def method_summary(name: str, regions: DataFrame, p: str | None = None, extra: t
     return regions.agg(*cols, *(F.avg(c).alias(f"mean_{c}") for c in extra)).withColumn("method", F.lit(name))
 
 
+def method_row(name: str, level: str, regions: DataFrame, *, probes: str = "n_probes", p: str | None = None, p_naive: str | None = None, effects: tuple[str, str] | None = None, null: DataFrame | None = None, null_naive: DataFrame | None = None, fits: DataFrame | None = None, arrays: tuple[str, str] = ("450K", "EPIC"), runtime_s: float | None = None, n_clusters: int | None = None) -> DataFrame:
+    """One row with every column of the comparison (``COLUMNS``); what a method lacks is null.
+
+    ``regions``: chr, start, end and the named columns; text that is no number counts as missing.  ``effects``: the
+    method's own effect of each array.  ``null``, ``null_naive``: ``max_abs_z`` of permutations.  ``fits``: chr, pos,
+    beta, se, array, by which each region's effect is estimated anew, alike for all methods (equal regions once).
+    """
+
+    def number(c: str):
+        return F.col(c).try_cast("double")
+
+    cols = [F.count("*").alias("n_regions"), F.percentile(number("end") - number("start") + 1, 0.5).alias("median_width_bp"), F.sum(number("end") - number("start") + 1).alias("total_bp"), F.percentile(number(probes), 0.5).alias("median_n_probes")]
+    for column, out in ((p, "n_fwer05"), (p_naive, "n_fwer05_naive_perm")):
+        if column:
+            cols.append(F.sum(F.coalesce(number(column) <= 0.05, F.lit(False)).cast("long")).alias(out))
+    parts = []
+    if effects:
+        regions = regions.withColumns({"__a": number(effects[0]), "__b": number(effects[1])})
+        parts.append(agreement(regions, "__a", "__b").select(F.when(F.col("n") > 0, F.col("n")).alias("n_cross_array"), F.col("r").alias("cross_array_r"), "sign_concordance"))
+    if fits is not None:
+        keyed = regions.select("chr", F.concat_ws(":", "chr", "start", "end").alias("region"), "start", "end").distinct()
+        common = common_footing(keyed, fits, arrays)
+        parts.append(common.select(F.col("n").alias("n_cross_array_common"), F.col("r").alias("cross_array_r_common"), F.col("sign_concordance").alias("sign_concordance_common")))
+    for values, out in ((null, "null_q95_max_abs_z"), (null_naive, "null_q95_naive_perm")):
+        if values is not None:
+            parts.append(values.agg(F.percentile("max_abs_z", 0.95).alias(out)))
+    row = union_methods(regions.agg(*cols), *parts)  # one row a part, each with columns of its own
+    row = row.agg(*(F.max(c).alias(c) for c in row.columns))
+    named = {"method": F.lit(name), "level": F.lit(level), "runtime_s": F.lit(runtime_s).cast("double"), "n_clusters": F.lit(n_clusters).cast("long")}
+    row = row.withColumns({**named, **{c: F.lit(None).cast("double") for c in COLUMNS if c not in named and c not in row.columns}})
+    return row.select(*(F.col(c) if c in ("method", "level") else F.col(c).cast("long" if c.startswith("n_") else "double").alias(c) for c in COLUMNS))
+
+
 def union_methods(*rows: DataFrame) -> DataFrame:
     """Rows of several methods; columns that a method lacks are null."""
     out = rows[0]

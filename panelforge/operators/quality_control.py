@@ -63,6 +63,21 @@ def detection_p(intensity: Column, mean: Column, sd: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
+def control_detection(intensities: DataFrame, controls: DataFrame, channel: str = "channel", name: str = "detp") -> DataFrame:
+    """``intensities`` (sample, meth, unmeth, channel) with the detection p of their total.
+
+    ``controls``: sample, channel (Grn or Red), intensity of negative controls.  Centre and spread of a channel are
+    the median and 1.4826 times the median absolute deviation of its controls; a one-colour probe is twice its
+    channel, a two-colour probe (null channel) the sum of both.  A sample without controls has a null p.
+    """
+    mid = controls.groupBy("sample", "channel").agg(F.percentile("intensity", 0.5).alias("__mid"))
+    off = controls.join(mid, ["sample", "channel"]).groupBy("sample", "channel", "__mid").agg((F.percentile(F.abs(F.col("intensity") - F.col("__mid")), 0.5) * 1.4826).alias("__sd"))
+    pick = {f"__{k}_{c}": F.max(F.when(F.col("channel") == c, F.col(f"__{k}"))) for c in ("Grn", "Red") for k in ("mid", "sd")}
+    row = off.groupBy("sample").agg(*(e.alias(n) for n, e in pick.items()))
+    value = {k: F.when(F.col(channel).isNull(), F.col(f"__{k}_Grn") + F.col(f"__{k}_Red")).when(F.col(channel) == "Grn", 2 * F.col(f"__{k}_Grn")).otherwise(2 * F.col(f"__{k}_Red")) for k in ("mid", "sd")}
+    return intensities.join(row, "sample", "left").withColumn(name, detection_p(F.col("meth") + F.col("unmeth"), value["mid"], value["sd"])).drop(*pick)
+
+
 def predict_sex(df: DataFrame, sample: str = "sample", chrom: str = "chr", copy_number: str = "cn", cutoff: float = -2.0) -> DataFrame:
     """F where median CN(Y) - median CN(X) is below the cut-off, else M."""
     g = df.groupBy(sample).agg(F.percentile(F.when(F.col(chrom) == "X", F.col(copy_number)), 0.5).alias("x"), F.percentile(F.when(F.col(chrom) == "Y", F.col(copy_number)), 0.5).alias("y"))

@@ -74,6 +74,22 @@ def _r(e: str, name: str) -> str:
     return f"round({e}, 6) + 0.0 AS {name}"
 
 
+TWO_ARRAYS = """lq AS (SELECT l_suppkey AS sample, l_partkey AS probe, round(l_quantity) AS q, CASE WHEN l_linenumber % 2 = 1 THEN 'Grn' ELSE 'Red' END AS side FROM lineitem),
+scans AS (SELECT sample, probe, sum(q) * 1000 AS meth, sum(q) * 500 + 7 AS unmeth FROM lq GROUP BY 1, 2),
+mids AS (SELECT sample, side, quantile_cont(q * 12, 0.5) AS mid FROM lq GROUP BY 1, 2),
+sds AS (SELECT sample, side, mid, 1.4826 * quantile_cont(abs(q * 12 - mid), 0.5) AS sd FROM lq JOIN mids USING (sample, side) GROUP BY 1, 2, 3),
+sides AS (SELECT sample, max(CASE WHEN side = 'Grn' THEN mid END) AS gm, max(CASE WHEN side = 'Grn' THEN sd END) AS gs, max(CASE WHEN side = 'Red' THEN mid END) AS rm, max(CASE WHEN side = 'Red' THEN sd END) AS rs FROM sds GROUP BY 1),
+zs AS (SELECT scans.*, CASE probe % 3 WHEN 0 THEN (meth + unmeth - gm - rm) / (gs + rs) WHEN 1 THEN (meth + unmeth - 2 * gm) / (2 * gs) ELSE (meth + unmeth - 2 * rm) / (2 * rs) END AS z FROM scans JOIN sides USING (sample)),
+ts AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM zs),
+us AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS u FROM ts),
+det AS (SELECT sample, probe, meth, unmeth, CASE WHEN z >= 0 THEN u ELSE 1 - u END AS detp FROM us),
+med AS (SELECT sample, (quantile_cont(log2(meth), 0.5) + quantile_cont(log2(unmeth), 0.5)) / 2 AS qc_mean, avg(CASE WHEN detp > 0.005 THEN 1.0 ELSE 0 END) AS frac_failed FROM det GROUP BY 1),
+cn AS (SELECT sample, quantile_cont(CASE WHEN p_size % 24 = 23 THEN log2(meth + unmeth) END, 0.5) - quantile_cont(CASE WHEN p_size % 24 = 22 THEN log2(meth + unmeth) END, 0.5) AS yx FROM det JOIN part ON p_partkey = probe WHERE p_size % 24 >= 22 GROUP BY 1),
+qc AS (SELECT med.*, qc_mean < 10.5 OR frac_failed > 0.025 AS sample_fail, CASE WHEN cn.sample IS NULL THEN NULL WHEN yx < 0.01 THEN 'F' ELSE 'M' END AS sex FROM med LEFT JOIN cn USING (sample)),
+common AS (SELECT probe FROM scans GROUP BY 1 HAVING count(DISTINCT sample % 2) = 2),
+good AS (SELECT det.* FROM det JOIN qc USING (sample) JOIN common USING (probe) WHERE NOT sample_fail)"""
+
+
 ORACLES = {
     "gap_clusters_fixed": f'WITH {GAPS} SELECT chr, cluster, "start", "end", width, n_probes, {_r("CAST(swb AS DOUBLE) / sw", "effect")}, {_r("sqrt(1.0 / sw)", "se")} FROM clusters',
     "legacy_fixed_collapse": f'WITH {GAPS} SELECT count(*) AS n_clusters, {_r("quantile_cont(width, 0.5)", "median_width")}, {_r("quantile_cont(n_probes, 0.5)", "median_probes")} FROM clusters WHERE n_probes >= 2 AND width <= 120',
@@ -204,4 +220,18 @@ ORACLES = {
       k AS (SELECT li.* FROM li JOIN q ON li.sample = q.sample WHERE NOT (m < 10.5 OR f > 0.5)), bad AS (SELECT DISTINCT probe FROM k WHERE detp > 0.0199),
       b AS (SELECT probe, least(greatest(meth / (meth + unmeth + 100), 1e-6), 1 - 1e-6) AS b FROM k WHERE probe NOT IN (SELECT probe FROM bad))
       SELECT b.probe, CAST(p_size % 24 AS VARCHAR) AS chr, CAST(count(*) AS INTEGER) AS samples, {_r("avg(log2(b / (1 - b)))", "mean_m")} FROM b JOIN part ON p_partkey = b.probe GROUP BY 1, 2""",
+    "harmonised_arrays": f"""WITH {TWO_ARRAYS}, b AS (SELECT probe, least(greatest(meth / (meth + unmeth + 100), 1e-6), 1 - 1e-6) AS b FROM good WHERE probe NOT IN (SELECT probe FROM good WHERE detp > 0.005))
+      SELECT probe, 'chr' || CAST(p_size % 24 AS VARCHAR) AS chr, CAST(count(*) AS INTEGER) AS samples, {_r("avg(log2(b / (1 - b)))", "mean_m")} FROM b JOIN part ON p_partkey = probe WHERE p_size % 24 < 22 GROUP BY 1, 2""",
+    "harmonised_samples": f"""WITH {TWO_ARRAYS} SELECT sample, CASE WHEN sample % 2 = 0 THEN '450K' ELSE 'EPIC' END AS "array", {_r("qc_mean", "qc_mean")}, {_r("frac_failed", "frac_failed")}, sample_fail, sex AS predicted_sex,
+      sex <> CASE WHEN s_nationkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex_mismatch FROM qc LEFT JOIN supplier ON s_suppkey = sample""",
+    "method_agreement": f"""WITH {LONG}, {_fit('long', 'probe, chr, pos, platform', 'value')}, f9 AS (SELECT probe, chr, pos, platform, round(beta, 9) AS beta, round(se, 9) AS se FROM fits),
+      pg AS (SELECT probe, chr, pos, pos - lag(pos) OVER (PARTITION BY chr ORDER BY pos, probe) AS gap FROM panel), pc AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY pos, probe ROWS UNBOUNDED PRECEDING) AS c FROM pg),
+      reg AS (SELECT chr, c, max(pos) - min(pos) + 1 AS width, count(*) AS n FROM pc GROUP BY 1, 2),
+      own AS (SELECT pc.chr, c, avg(CASE WHEN platform = '450K' THEN beta END) AS a, avg(CASE WHEN platform = 'EPIC' THEN beta END) AS b FROM pc JOIN f9 ON pc.probe = f9.probe GROUP BY 1, 2),
+      e AS (SELECT pc.chr, c, platform, sum(beta / (se * se)) / sum(1 / (se * se)) AS effect FROM pc JOIN f9 ON pc.probe = f9.probe WHERE se > 0 GROUP BY 1, 2, 3),
+      w AS (SELECT max(CASE WHEN platform = '450K' THEN effect END) AS a, max(CASE WHEN platform = 'EPIC' THEN effect END) AS b FROM e GROUP BY chr, c),
+      one AS (SELECT count(*) AS n_regions, count(*) FILTER (n >= 8) AS n_fwer05, count(*) FILTER (reg.c % 2 = 0) AS naive, quantile_cont(width, 0.5) AS mw, quantile_cont(n, 0.5) AS mp, sum(width) AS bp, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS nx, corr(a, b) AS r, avg(CASE WHEN sign(a) = sign(b) THEN 1.0 ELSE 0 END) AS s FROM reg JOIN own ON reg.chr = own.chr AND reg.c = own.c),
+      two AS (SELECT count(*) AS nc, corr(a, b) AS rc, avg(CASE WHEN sign(a) = sign(b) THEN 1.0 ELSE 0 END) AS sc FROM w WHERE a IS NOT NULL AND b IS NOT NULL)
+      SELECT 'gap' AS method, 'region' AS level, n_regions, n_fwer05, {_r('mw', 'median_width_bp')}, {_r('mp', 'median_n_probes')}, {_r('rc', 'cross_array_r_common')}, {_r('sc', 'sign_concordance_common')}, {_r('r', 'cross_array_r')}, {_r('s', 'sign_concordance')},
+        CAST(19.0 AS DOUBLE) AS null_q95_max_abs_z, CAST(bp AS DOUBLE) AS total_bp, nx AS n_cross_array, CAST(NULL AS DOUBLE) AS runtime_s, CAST(NULL AS BIGINT) AS n_clusters, nc AS n_cross_array_common, naive AS n_fwer05_naive_perm, CAST(9.5 AS DOUBLE) AS null_q95_naive_perm FROM one, two""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import hashing
+from panelforge.functions.session import settled
 from panelforge.operators import blocks, compare, genome, genotype, inference, quality_control, regions, within
 from panelforge.panel import Panel
 from panelforge.plans import stages
@@ -347,6 +348,18 @@ def method_comparison(spark, d):
     return m.select("method", "n", r6("median_width", "median_width"), "total_bp", r6("median_probes", "median_probes"), "n_fwer05")
 
 
+def method_agreement(spark, d):
+    """The whole comparison row of gap clusters: own and common effects of both arrays, FWER and null quantiles."""
+    fits = settled(_array_fits(spark, d))
+    t = genome.gap_clusters(adapters.panel_embeddings(spark, d), REGION_GAP, "chr", "pos", "probe").select("probe", "chr", "pos", "cluster")
+    reg = genome.cluster_table(t)
+    effects = t.join(fits.select("probe", "array", "beta"), "probe").groupBy("chr", "cluster").pivot("array", ["450K", "EPIC"]).agg(F.avg("beta")).select("chr", "cluster", F.col("450K").alias("effect_450K"), F.col("EPIC").alias("effect_EPIC"))
+    reg = reg.join(effects, ["chr", "cluster"]).withColumns({"p": F.when(F.col("n_probes") >= 8, 0.04).otherwise(0.4), "p_naive": F.when(F.col("cluster") % 2 == 0, 0.04).otherwise(0.4)})
+    null = spark.range(201).select((F.col("id") / 10).alias("max_abs_z"))
+    row = compare.method_row("gap", "region", reg, p="p", p_naive="p_naive", effects=("effect_450K", "effect_EPIC"), null=null, null_naive=null.where("max_abs_z <= 10"), fits=fits)
+    return row.select(*(r6(c, c) if t == "double" else c for c, t in row.dtypes))
+
+
 # preparation ---------------------------------------------------------------------------------
 
 
@@ -549,10 +562,35 @@ def harmonised_panel(spark, d):
     return panel.select("probe", "chr", F.size("m").alias("samples"), r6(F.aggregate("m", F.lit(0.0), lambda s, x: s + x) / F.size("m"), "mean_m"))
 
 
+def _two_arrays(spark, d):
+    """Suppliers as samples of two arrays, parts as probes, line quantities as intensities and negative controls."""
+    li = tables.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("probe"), F.round("l_quantity").alias("q"), F.when(F.col("l_linenumber") % 2 == 1, "Grn").otherwise("Red").alias("side"))
+    probe = F.when(F.col("probe") % 3 == 1, "Grn").when(F.col("probe") % 3 == 2, "Red").alias("channel")
+    scans = li.groupBy("sample", "probe").agg((F.sum("q") * 1000).alias("meth"), (F.sum("q") * 500 + 7).alias("unmeth")).select("*", probe)
+    negative = li.select("sample", F.col("side").alias("channel"), (F.col("q") * 12).alias("intensity"))
+    size = F.col("p_size") % 24
+    ann = tables.table(spark, d, "part").select(F.col("p_partkey").alias("probe"), F.when(size == 22, "chrX").when(size == 23, "chrY").otherwise(F.concat(F.lit("chr"), size)).alias("chr"), F.col("p_partkey").alias("pos"))
+    sheet = tables.table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample"), F.when(F.col("s_nationkey") % 2 == 0, "female").otherwise("Male").alias("sex"))
+    own = {"450K": F.col("sample") % 2 == 0, "EPIC": F.col("sample") % 2 == 1}
+    return stages.harmonise_arrays({k: scans.where(c) for k, c in own.items()}, ann, controls={k: negative.where(c) for k, c in own.items()}, sheet=sheet, detp_frac=0.025, detp_max=0.005, sex_cutoff=0.01)
+
+
+def harmonised_arrays(spark, d):
+    """The bound panel of both arrays."""
+    panel, _, _ = _two_arrays(spark, d)
+    return panel.select("probe", "chr", F.size("m").alias("samples"), r6(F.aggregate("m", F.lit(0.0), lambda s, x: s + x) / F.size("m"), "mean_m"))
+
+
+def harmonised_samples(spark, d):
+    """Quality of the samples of both arrays, with detection by controls and the sex check."""
+    _, qc, _ = _two_arrays(spark, d)
+    return qc.select("sample", "array", r6("qc_mean", "qc_mean"), r6("frac_failed", "frac_failed"), "sample_fail", "predicted_sex", "sex_mismatch")
+
+
 QUERIES = {f.__name__: f for f in (
     gap_clusters_fixed, legacy_fixed_collapse, spacing_summary, gap_size_classes, distance_penalty, region_calls_sql, block_runs, interval_overlap, interval_containment, point_in_interval, region_ivw_effect, nearest_feature,
     within_transform, identification_df, within_fit_orders, within_fit_simple, within_fit_covariates, moderated_variance, gls_probe_model, adjacent_correlation, residual_correlation, documented_variants, comethylation_clusters, cluster_collapse, tv_track, cv_lambda,
     regions_end_to_end, permutation_null, naive_null, stability_selection, hmm_blocks, bumphunter_like, blockfinder_like, fold_assignment, subject_hash, permutation_within, permutation_naive, permutation_naive_all, subject_subsample, fwer_pvalues, fwer_borderline, bh_fdr,
     cross_array_agreement, correlation_ci, common_footing, method_comparison, beta_to_m, exposure_coding, sample_qc, probe_filter_audit, probe_intersection, manifest_concordance, annotate_left, dropped_probes, subject_semi, gene_filter, manifest_sets,
-    top_regions, genotype_calls, pair_concordance, gap_partition, gaphunter, minor_group_profile, variance_explained, group_chip_chi2, hwe_expected, hwe_tail, fisher_group_array, chip_permutation_p, audit_simulation, f64_roundtrip, strict_json, event_sessions, gap_histogram, first_rows, probe_model_summary, harmonised_panel,
+    top_regions, genotype_calls, pair_concordance, gap_partition, gaphunter, minor_group_profile, variance_explained, group_chip_chi2, hwe_expected, hwe_tail, fisher_group_array, chip_permutation_p, audit_simulation, f64_roundtrip, strict_json, event_sessions, gap_histogram, first_rows, probe_model_summary, harmonised_panel, harmonised_arrays, harmonised_samples, method_agreement,
 )}

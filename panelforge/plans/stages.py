@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.functions.session import settled
 from panelforge.operators import compare, genome, inference, quality_control, within
 from panelforge.panel import Panel, design_matrix
 from panelforge.sources import tables
@@ -25,6 +26,38 @@ def harmonise(intensities: DataFrame, annotation: DataFrame, *, detp: DataFrame
     return panel, qc, audit
 
 
+def harmonise_arrays(arrays: dict[str, DataFrame], annotation: DataFrame, *, controls: dict[str, DataFrame] | None = None, sheet: DataFrame | None = None, detp_frac: float = 0.05, detp_max: float = 0.01, least: float = 10.5, sex_cutoff: float = -2.0, drop_sex: bool = True, cross_reactive: DataFrame | None = None, offset: float = 100.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(panel, sample QC, probe audit) of several arrays bound on the probes that all of them have.
+
+    ``arrays``: name to ``sample, probe, meth, unmeth`` with ``detp``, or with ``channel`` where ``controls`` (name to
+    ``sample, channel, intensity``) give the detection p.  ``sheet``: ``sample, sex`` as told, compared with the sex
+    that the X and Y probes show; a sample that is not in it has a null mismatch.  Samples are judged on all probes of
+    their own array; samples that fail go before probes are judged, sex mismatches stay and are marked.  Panel rows
+    hold the values ``m`` in the order of ``samples``; a probe that one array lacks goes, a value that a sample lacks
+    is not in its row.
+    """
+    sides = []
+    for name, df in arrays.items():
+        if controls is not None:
+            df = quality_control.control_detection(df, controls[name])
+        sides.append(df.select("sample", "probe", "meth", "unmeth", "detp", F.lit(name).alias("array")))
+    scans = compare.union_methods(*sides)
+    qc = scans.select("sample", "array").distinct().join(quality_control.sample_qc(scans, detp_max=detp_max, frac_max=detp_frac, least=least), "sample")
+    sex = annotation.select("probe", F.upper(F.regexp_replace("chr", "^chr", "")).alias("chr")).where("chr in ('X', 'Y')")
+    shown = quality_control.predict_sex(scans.join(sex, "probe").withColumn("cn", F.log2(F.col("meth") + F.col("unmeth"))), cutoff=sex_cutoff)
+    qc = qc.join(shown.select("sample", "predicted_sex"), "sample", "left")
+    if sheet is not None:
+        qc = qc.join(sheet.select("sample", "sex"), "sample", "left").withColumn("sex_mismatch", quality_control.sex_mismatch(F.col("sex"), F.col("predicted_sex")))
+    qc = settled(qc)  # a row a sample, read by the probes' filters, the panel and the caller
+    common = scans.groupBy("probe").agg(F.countDistinct("array").alias("held")).where(F.col("held") == len(arrays)).select("probe")
+    kept = scans.join(qc.where("not sample_fail").select("sample"), "sample", "left_semi").join(common, "probe", "left_semi")
+    audit = quality_control.probe_audit(annotation.join(common, "probe", "left_semi"), kept.select("probe", "detp"), cross_reactive=cross_reactive, detp_max=detp_max, drop_sex=drop_sex)
+    m = kept.withColumn("m", quality_control.beta_to_m(F.col("meth") / (F.col("meth") + F.col("unmeth") + offset)))
+    rows = m.groupBy("probe").agg(F.array_sort(F.collect_list(F.struct("sample", "m"))).alias("v"))
+    panel = audit.where("kept").select("probe", "chr", "pos").join(rows, "probe")
+    return panel.select("probe", "chr", "pos", F.col("v.sample").alias("samples"), F.col("v.m").alias("m")), qc, audit
+
+
 def probe_model(panel: Panel, exposure, subject, array=None, covariates: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(statistics, summary): joint and per-array GLS fits with FDR; one summary row a fit.
 
@@ -47,6 +80,12 @@ def probe_model(panel: Panel, exposure, subject, array=None, covariates: list[st
     return compare.union_methods(*fits), compare.union_methods(*rows)
 
 
+def full_comparison(rows: list[DataFrame]) -> tuple[DataFrame, str]:
+    """(table, Markdown report) of ``compare.method_row`` rows, with every column of the comparison."""
+    table = compare.union_methods(*rows)
+    return table, "# Comparison of methods\n\n" + tables.markdown(table)
+
+
 def comparison(methods: dict[str, DataFrame], p: dict[str, str] | None = None) -> tuple[DataFrame, str]:
     """(table, Markdown report) of several methods' regions; a missing method is an empty table."""
     table = compare.union_methods(*(compare.method_summary(n, d, (p or {}).get(n)) for n, d in methods.items()))

@@ -5,9 +5,11 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge import panel as front
 from panelforge.functions import kernels
+from panelforge.operators import compare, quality_control
 from panelforge.plans import stages
 from panelforge.sources import idat
 
@@ -79,3 +81,54 @@ def test_comparison_report(spark):
     table, report = stages.comparison({"one": a, "none": b}, {"none": "p"})
     assert table.count() == 2 and "| one | 2 |" in report
     assert stages.gap_histogram(spark.createDataFrame([(1, 0), (1, 5), (1, 5000)], "chr int, pos long")).count() == 2
+
+
+def test_full_comparison(spark):
+    reg = spark.createDataFrame([("1", 1, 10, 2, "0.01", 0.5, 1.0), ("1", 21, 40, 4, "NA", -0.5, -2.0), ("2", 1, 2, 6, "0.2", 1.0, 3.0), ("2", 9, 9, 1, "0.05", 2.0, None)], "chr string, start long, end long, L long, p string, a double, b double")
+    null = spark.createDataFrame([(float(k),) for k in range(101)], "max_abs_z double")
+    fits = spark.createDataFrame([("1", 5, 0.1, 1.0, "450K"), ("1", 5, 0.3, 1.0, "EPIC")], "chr string, pos long, beta double, se double, array string")
+    one = compare.method_row("one", "region", reg, probes="L", p="p", effects=("a", "b"), null=null, fits=fits, runtime_s=3.5)
+    none = compare.method_row("none", "block", reg.limit(0), probes="L", p="p", effects=("a", "b"), n_clusters=7)
+    r, e = one.first(), none.first()
+    assert one.columns == none.columns == list(compare.COLUMNS)
+    assert (r.n_regions, r.n_fwer05, r.median_width_bp, r.total_bp, r.median_n_probes) == (4, 2, 6.0, 33.0, 3.0)
+    assert r.n_cross_array == 3 and r.cross_array_r == pytest.approx(np.corrcoef([0.5, -0.5, 1.0], [1.0, -2.0, 3.0])[0, 1]) and r.sign_concordance == 1.0
+    assert (r.n_cross_array_common, r.cross_array_r_common, r.null_q95_max_abs_z, r.runtime_s) == (1, None, 95.0, 3.5)
+    assert (e.n_regions, e.n_cross_array, e.median_width_bp, e.n_clusters) == (0, None, None, 7)
+    table, report = stages.full_comparison([one, none])
+    assert table.count() == 2 and "| none | block | 0 |" in report
+
+
+def test_two_arrays_harmonised(spark):
+    probes = [(f"cg{k}", "chrX" if k < 10 else "chrY" if k < 20 else f"chr{k % 22 + 1}", k) for k in range(60)]
+    ann = spark.createDataFrame(probes, "probe string, chr string, pos long")
+    rng = np.random.default_rng(4)
+    dark = "e2"
+
+    def scan(array, samples, held):
+        rows = []
+        for s in samples:
+            for name, chrom, k in probes:
+                if k in held:
+                    level = 300.0 if s == dark else 9000.0
+                    if chrom == "chrY" and s in ("k1", "e1"):
+                        level = 1200.0
+                    rows.append((s, name, level * (1 + k / 60), level * 0.9, None if k % 2 else "Grn"))
+        return spark.createDataFrame(rows, "sample string, probe string, meth double, unmeth double, channel string")
+
+    arrays = {"450K": scan("450K", ["k1", "k2"], set(range(58))), "EPIC": scan("EPIC", ["e1", "e2", "e3"], set(range(2, 60)))}
+    controls = {a: spark.createDataFrame([(s, c, float(v)) for s in names for c in ("Grn", "Red") for v in rng.normal(200, 20, 101)], "sample string, channel string, intensity double") for a, names in (("450K", ["k1", "k2"]), ("EPIC", ["e1", "e2", "e3"]))}
+    told = spark.createDataFrame([("k1", "female"), ("k2", "Male"), ("e1", "M"), ("e3", "male")], "sample string, sex string")
+    panel, qc, audit = stages.harmonise_arrays(arrays, ann, controls=controls, sheet=told)
+    q = {r["sample"]: r for r in qc.collect()}
+    assert {s for s, r in q.items() if r.sample_fail} == {dark} and q["k1"]["array"] == "450K" and len(q) == 5
+    assert (q["k1"].predicted_sex, q["k1"].sex_mismatch, q["e1"].sex_mismatch, q["k2"].sex_mismatch, q[dark].sex_mismatch) == ("F", False, True, False, None)
+    assert {r.probe for r in audit.collect()} == {f"cg{k}" for k in range(2, 58)}
+    rows = panel.collect()
+    assert {r.probe for r in rows} == {f"cg{k}" for k in range(20, 58)} and all(r.samples == ["e1", "e3", "k1", "k2"] for r in rows)
+    r = next(r for r in rows if r.probe == "cg30")
+    beta = 9000 * 1.5 / (9000 * 1.5 + 9000 * 0.9 + 100)
+    assert np.allclose(r.m, np.log2(beta / (1 - beta)))
+    # detection by the sum of both channels or by twice one
+    d = {r.probe: r.detp for r in quality_control.control_detection(arrays["EPIC"].where(F.col("sample") == dark).withColumn("meth", F.lit(200.0)).withColumn("unmeth", F.lit(200.0)), controls["EPIC"]).collect()}
+    assert 0.2 < d["cg10"] < 0.8 and 0.2 < d["cg11"] < 0.8
