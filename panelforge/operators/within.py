@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import special
+from panelforge.functions.session import settled
 
 KEEP = 1e-9
 
@@ -151,6 +152,103 @@ def moderate(fits: DataFrame, df: float, s2: str = "s2", name: str = "s2_post")
     return fits.withColumn(name, F.lit(s0) if math.isinf(d0) else (F.lit(d0 * s0) + df * F.col(s2)) / (d0 + df))
 
 
+#: Shares of log variances pulled in at the low and the high end by the robust prior; a prior degree of freedom taken as infinite.
+TAILS, ENDLESS = (0.05, 0.1), 1e6
+
+
+def robust_prior(n: int, mean: float, var: float, df: float) -> tuple[float, float]:
+    """(d0, s0^2) from the winsorised mean and variance of log variances (Phipson and others, 2016)."""
+
+    def excess(d0: float) -> float:
+        return var - special.winsorised_log_f(df, d0, TAILS)[1]
+
+    if excess(ENDLESS) <= 0:
+        d0 = math.inf
+    else:
+        lo, hi = math.log(1e-2), math.log(ENDLESS)  # the variance falls as d0 grows
+        for _ in range(45):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if excess(math.exp(mid)) < 0 else (lo, mid)
+        d0 = math.exp((lo + hi) / 2)
+    return d0, math.exp(mean - special.winsorised_log_f(df, min(d0, ENDLESS), TAILS)[0])
+
+
+def moderate_robust(fits: DataFrame, df: float, s2: str = "s2", name: str = "s2_post") -> DataFrame:
+    """``moderate`` with a prior that probes of outlying variance neither shape nor are drawn to.
+
+    ``df_prior`` is each row's prior degrees of freedom: that of the winsorised fit, and less the surer a variance
+    is an outlier, which is the false discovery rate of its upper tail (running minima of tail times rows over rank).
+    Fewer than 100 variances: as they are, with ``df_prior`` 0.  Quantiles and moments reach the driver.
+    """
+    from panelforge.operators.inference import bh
+
+    log = F.log(F.col(s2))
+    ok = fits.where((F.col(s2) > 0) & (F.col(s2) != float("inf")))
+    n, q = ok.agg(F.count("*"), F.percentile(log, [TAILS[0], 1 - TAILS[1]])).first()
+    if n < 100:
+        return fits.withColumn("df_prior", F.lit(0.0)).withColumn(name, F.col(s2))
+    drawn = F.least(F.greatest(log, F.lit(q[0])), F.lit(q[1]))
+    mean, var, top = ok.agg(F.avg(drawn), F.var_samp(drawn), F.max(s2)).first()
+    d0, s0 = robust_prior(n, mean, var, df)
+    finite = min(d0, ENDLESS)
+
+    @F.pandas_udf("double")
+    def tail(v: pd.Series) -> pd.Series:
+        return pd.Series(special.f_upper(v.to_numpy(float) / s0, df, finite))
+
+    greatest = float(special.f_upper(top / s0, df, finite)[0])
+    pooled = n * df
+    outlier = 0.0
+    if math.isfinite(d0) and greatest > 0:
+        outlier = d0 * math.log(0.5) / math.log(min(greatest, 0.5))
+        again = float(special.f_upper(top / s0, df, outlier)[0])
+        outlier *= math.log(0.5) / math.log(min(again, 0.5))
+    # equal p share a rate: rows are joined by p, so a copy of the column stays as it is
+    rated = bh(fits.withColumn("__tail", F.when(F.col(s2) > 0, tail(F.col(s2))).otherwise(F.lit(1.0))), "__tail", "__same")
+    usual = d0 if math.isfinite(d0) else pooled
+    rated = rated.withColumn("df_prior", F.when(F.col("__same") < 1, F.col("__same") * usual + (1 - F.col("__same")) * outlier).otherwise(F.lit(usual)))
+    post = (F.col("df_prior") * s0 + df * F.col(s2)) / (F.col("df_prior") + df)
+    return rated.withColumn(name, F.when(F.lit(math.isinf(d0)) & (F.col("__same") >= 1), F.lit(s0)).otherwise(post)).drop("__tail", "__same")
+
+
+def sample_weights(panel: DataFrame, exposure: list[float], covariates=None, values: str = "m", rounds: int = 20, tolerance: float = 1e-3) -> np.ndarray:
+    """Relative precision of each sample, geometric mean 1: the REML estimate for one variance a probe over one weight a sample.
+
+    At the fixed point a sample's weighted squared residuals, each over its probe's variance, add up to what its
+    leverage leaves.  Each round is one pass that sums one number a sample; samples that the design fits exactly keep 1.
+    """
+    x = np.column_stack([np.ones(len(exposure)), exposure, *([np.asarray(covariates, float)] if covariates is not None else [])])
+    n, w = len(x), np.ones(len(x))
+    for _ in range(rounds):
+        root = np.sqrt(w)
+        basis, r = np.linalg.qr(x * root[:, None])
+        basis = basis[:, np.abs(np.diag(r)) > 1e-9 * np.abs(np.diag(r)).max()]
+        left, df = 1 - (basis**2).sum(axis=1), n - basis.shape[1]
+
+        def run(batches: Iterator[pa.RecordBatch], root=root, basis=basis, df=df) -> Iterator[pa.RecordBatch]:
+            total, rows = np.zeros(n), 0
+            for batch in batches:
+                if batch.num_rows:
+                    m = matrix_of(batch.column(0)) * root
+                    e = (m - m @ basis @ basis.T) ** 2
+                    s2 = e.sum(axis=1) / df
+                    good = np.isfinite(s2) & (s2 > 0)
+                    total += (e[good] / s2[good, None]).sum(axis=0)
+                    rows += int(good.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(total), pa.array([rows] * n, pa.int64())], names=["sample", "total", "rows"])
+
+        sums = panel.select(values).mapInArrow(run, "sample int, total double, rows long").groupBy("sample").agg(F.sum("total").alias("total"), F.sum("rows").alias("rows")).collect()
+        ratio = np.ones(n)
+        for k in sums:
+            if k["rows"] and left[k["sample"]] > 1e-9:
+                ratio[k["sample"]] = max(k["total"] / (k["rows"] * left[k["sample"]]), 1e-12)
+        w = w / ratio
+        w = w / np.exp(np.log(w).mean())
+        if np.abs(np.log(ratio)).max() < tolerance:
+            break
+    return w
+
+
 def moderate_array(s2: np.ndarray, df: float) -> np.ndarray:
     """The same for a replicate's variances inside a task."""
     ok = s2[np.isfinite(s2) & (s2 > 0)]
@@ -192,9 +290,12 @@ def consensus_correlation(panel: DataFrame, subject: list, values: str = "m", tr
     return math.tanh(a.where(F.col("a").between(lo, hi)).agg(F.avg("a")).first()[0])
 
 
-def fit_gls(panel: DataFrame, exposure: list[float], subject: list, covariates=None, rho: float | None = None, values: str = "m", keep: tuple[str, ...] = ("probe", "chr", "pos")) -> DataFrame:
+def fit_gls(panel: DataFrame, exposure: list[float], subject: list, covariates=None, rho: float | None = None, values: str = "m", keep: tuple[str, ...] = ("probe", "chr", "pos"), weights=None, robust: bool = False) -> DataFrame:
     """GLS with a compound-symmetric correlation within subjects: ``beta, se, t, p`` with moderated variances.
 
+    ``weights``: precision of each sample.  ``robust``: the prior of ``moderate_robust``, and p by residual and prior
+    degrees of freedom together (at most those of all rows); otherwise p by residual ones.
+
     The design (intercept, exposure, covariates) and the data are whitened by one
     Cholesky factor, then fitted in blocks of rows.
     """
@@ -203,6 +304,9 @@ def fit_gls(panel: DataFrame, exposure: list[float], subject: list, covariates=N
     same = np.asarray(subject, dtype=str)
     v = np.where(same[:, None] == same[None, :], max(rho, 0.0), 0.0)
     np.fill_diagonal(v, 1.0)
+    if weights is not None:
+        root = np.sqrt(np.asarray(weights, float))
+        v = v / np.outer(root, root)
     white = np.linalg.inv(np.linalg.cholesky(v))
     xw = white @ x
     inverse = special.pseudo_inverse(xw.T @ xw)
@@ -218,10 +322,13 @@ def fit_gls(panel: DataFrame, exposure: list[float], subject: list, covariates=N
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.select(*keep).schema)
     fits = panel.select(*keep, values).mapInArrow(run, f"{types}, beta double, s2 double")
-    done = with_z(moderate(fits, df), unit).withColumnRenamed("z", "t")
+    fits = settled(fits) if robust else fits
+    post = moderate_robust(fits, df) if robust else moderate(fits, df).withColumn("df_prior", F.lit(0.0))
+    most = float(df) * fits.count() if robust else float(df)
+    done = with_z(post, unit).withColumnRenamed("z", "t").withColumn("__df", F.least(F.lit(float(df)) + F.col("df_prior"), F.lit(most)))
 
     @F.pandas_udf("double")
-    def tail(t: pd.Series) -> pd.Series:
-        return pd.Series(special.t_two_sided_array(t.to_numpy(float), float(df)))
+    def tail(t: pd.Series, free: pd.Series) -> pd.Series:
+        return pd.Series(special.t_two_sided_array(t.to_numpy(float), free.to_numpy(float)))
 
-    return done.withColumn("p", tail("t")).select(*keep, "beta", "se", "t", "p")
+    return done.withColumn("p", tail("t", "__df")).select(*keep, "beta", "se", "t", "p")

@@ -58,9 +58,11 @@ def harmonise_arrays(arrays: dict[str, DataFrame], annotation: DataFrame, *, con
     return panel.select("probe", "chr", "pos", F.col("v.sample").alias("samples"), F.col("v.m").alias("m")), qc, audit
 
 
-def probe_model(panel: Panel, exposure, subject, array=None, covariates: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+def probe_model(panel: Panel, exposure, subject, array=None, covariates: list[str] = (), weighted: bool = True, robust: bool = True) -> tuple[DataFrame, DataFrame]:
     """(statistics, summary): joint and per-array GLS fits with FDR; one summary row a fit.
 
+    ``weighted``: samples count by their precision; ``robust``: the prior of variances withstands outliers.
+
     Samples without the exposure or a covariate are left out; covariates that are
     constant among the samples of a fit go.
     """
@@ -74,7 +76,8 @@ def probe_model(panel: Panel, exposure, subject, array=None, covariates: list[st
         x, k = [s[i][1] for i in at], [s[i][0] for i in at]
         rho = within.consensus_correlation(part, k)
         extra = design_matrix([panel.samples[i] for i in at], list(covariates))
-        f = inference.bh(within.fit_gls(part, x, k, extra, rho=rho)).withColumn("fit", F.lit(name))
+        weights = within.sample_weights(part, x, extra) if weighted else None
+        f = inference.bh(within.fit_gls(part, x, k, extra, rho=rho, weights=weights, robust=robust)).withColumn("fit", F.lit(name))
         fits.append(f)
         rows.append(f.agg(F.count("*").alias("n_probes"), F.sum((F.col("fdr") <= 0.05).cast("long")).alias("n_fdr05")).select(F.lit(name).alias("fit"), F.lit(len(at)).alias("n_samples"), F.lit(len(set(k))).alias("n_subjects"), F.lit(rho).alias("within_subject_cor"), "n_probes", "n_fdr05"))
     return compare.union_methods(*fits), compare.union_methods(*rows)

@@ -78,6 +78,51 @@ def test_moderation_shrinks_and_is_identity_when_few(spark):
     assert few.count() == 50 and all(r.s2 == r.s2_post for r in within.moderate(few, 25).collect())
 
 
+def test_robust_moderation_withstands_outliers(spark):
+    rng = np.random.default_rng(12)
+    f = (rng.chisquare(20, 200_000) / 20) / (rng.chisquare(8, 200_000) / 8)
+    assert special.f_upper(2.0, 20, 8)[0] == pytest.approx((f >= 2).mean(), abs=4e-3) and (f <= special.f_quantile(0.3, 20, 8)).mean() == pytest.approx(0.3, abs=4e-3)
+    z = np.log(f)
+    drawn = np.clip(z, *np.quantile(z, [0.05, 0.9]))
+    assert special.winsorised_log_f(20, 8, (0.05, 0.1)) == pytest.approx((drawn.mean(), drawn.var()), abs=5e-3)
+    s2 = 0.2 * f[:4000]
+    s2[:60] *= 200
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(s2)], "probe int, s2 double")
+    rows = within.moderate_robust(df, 20).orderBy("probe").collect()
+    d0, post = np.array([r.df_prior for r in rows]), np.array([r.s2_post for r in rows])
+    assert len(rows) == 4000 and abs(np.median(d0) - 8) < 1.5 and (d0[:60] < 1).mean() > 0.9
+    # an ordinary row of tail p has the rate 4000 p / (60 + 3940 p), below 6 / 7.5 for p < 0.057 only
+    assert (d0[60:] > 6).mean() > 0.943
+    plain = within.prior_of(4000, float(np.log(s2).mean()), float(np.log(s2).var(ddof=1)), 20)
+    assert plain[0] < np.median(d0) - 1 and np.abs(post[:60] / s2[:60] - 1).max() < 0.6
+    same = within.moderate_robust(df.where("probe >= 60").withColumn("s2", F.lit(0.2)), 20).first()
+    assert same.df_prior > 20 * 1000 and same.s2_post == pytest.approx(0.2, rel=0.1)  # no spread: drawn to one variance
+    assert {r.df_prior for r in within.moderate_robust(df.limit(50), 20).collect()} == {0.0}
+
+
+def test_sample_weights_and_weighted_fit(spark):
+    rng = np.random.default_rng(13)
+    sheet = sheet_of(10, 4)
+    x, sd = np.array([e for _, e, _ in sheet]), np.ones(40)
+    sd[:4], sd[4:8] = 3.0, 0.5
+    m = rng.normal(0, 1, (3000, 40)) * sd * np.sqrt(10 / rng.chisquare(10, 3000))[:, None]
+    df = panel(spark, m)
+    w = within.sample_weights(df, list(x))
+    want = sd**-2.0 / np.exp(np.log(sd**-2.0).mean())
+    assert np.abs(np.log(w / want)).max() < 0.2
+    assert np.allclose(within.sample_weights(df.limit(0), list(x)), 1.0)
+    keys = [s for s, _, _ in sheet]
+    fit = within.fit_gls(df, list(x), keys, rho=0.2, weights=w).orderBy("probe").first()
+    # the same as least squares under the weighted covariance
+    v = np.where(np.equal.outer(keys, keys), 0.2, 0.0)
+    np.fill_diagonal(v, 1.0)
+    iv = np.linalg.inv(v / np.sqrt(np.outer(w, w)))
+    d = np.column_stack([np.ones(40), x])
+    assert fit.beta == pytest.approx(np.linalg.solve(d.T @ iv @ d, d.T @ iv @ m[0])[1], abs=1e-9)
+    p = np.array([r.p for r in within.fit_gls(df, list(x), keys, rho=0.0, weights=w, robust=True).collect()])
+    assert len(p) == 3000 and abs((p < 0.05).mean() - 0.05) < 0.015
+
+
 def test_comethylation_clusters_find_runs(spark):
     rng = np.random.default_rng(4)
     r = rng.normal(size=(300, 40))
