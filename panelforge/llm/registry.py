@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import chunking, language_model, media, packing, prefix_join, quality, token_tree, toxicity, transcode, warc
+from panelforge.llm import alignment, chunking, hard_negatives, language_model, media, mixing, packing, prefix_join, quality, token_tree, toxicity, transcode, warc
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +22,14 @@ def vocabulary(name: str) -> str:
         return f.read()
 
 
+def piece_model(name: str) -> bytes:
+    """A public piece model, read by the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -95,6 +104,54 @@ def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP11_SQL = """
+WITH docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+-- a source is below its stop if, with all of smaller size by weight at their stops, its share of the rest fits
+t AS (SELECT a.source, a.source_size, a.weight,
+        (SELECT sum(source_size) FROM w) - coalesce(sum(3 * b.source_size) FILTER (b.source_size * a.weight < a.source_size * b.weight), 0) AS rest,
+        (SELECT sum(weight) FROM w) - coalesce(sum(b.weight) FILTER (b.source_size * a.weight < a.source_size * b.weight), 0) AS shares
+      FROM w a, w b GROUP BY a.source, a.source_size, a.weight),
+l AS (SELECT t.source, t.source_size, t.rest * t.weight <= 3 * t.source_size * t.shares AS fits, t.weight FROM t),
+o AS (SELECT (SELECT sum(source_size) FROM w) - coalesce(sum(3 * source_size) FILTER (NOT fits), 0) AS rest, sum(weight) FILTER (fits) AS shares FROM l),
+q AS (SELECT l.source, l.source_size, CASE WHEN fits THEN o.rest * l.weight ELSE 3 * l.source_size END AS above, CASE WHEN fits THEN o.shares ELSE 1 END AS below,
+        CAST('0x' || substr(md5('1:' || coalesce('s' || l.source, 'n')), 1, 8) AS BIGINT) % 1024 AS u FROM l, o),
+r AS (SELECT docs.*, q.source_size, q.above, q.below, q.u, row_number() OVER (PARTITION BY docs.source ORDER BY size DESC,
+        CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), '-'), '|', coalesce(docs.source, '-'), '|', size)), 1, 8) AS BIGINT) // 2 DESC, doc_id NULLS FIRST) AS k
+      FROM docs JOIN q ON docs.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, CAST(above AS DOUBLE) / CAST(below AS DOUBLE) AS target,
+       CASE WHEN source_size = 0 THEN 0 ELSE CAST(size * ((CAST(k AS HUGEINT) * above * 1024 + u * below * source_size) // (below * source_size * 1024)
+         - (CAST(k - 1 AS HUGEINT) * above * 1024 + u * below * source_size) // (below * source_size * 1024)) AS BIGINT) END AS taken
+FROM r
+"""
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), piece_model(PIECE_MODEL))
+
+
+def op13_pivot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, relabel=shifted)
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.*, s.other AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module for its tables
 
@@ -103,6 +160,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_cross_entropy_difference, op2_interleaved_media, op3_edit_aware_counts, op4_streaming_bpe, op5_cotraining_quality, op6_binary_packing, op7_merkle_audit, op8_ftrl_toxicity, op9_cdc_fingerprints, op10_grouped_prefix_join, pipeline)
+    for f in (op1_cross_entropy_difference, op2_interleaved_media, op3_edit_aware_counts, op4_streaming_bpe, op5_cotraining_quality, op6_binary_packing, op7_merkle_audit, op8_ftrl_toxicity, op9_cdc_fingerprints, op10_grouped_prefix_join, op11_systematic_mix, op12_cross_tokenizer_alignment, op13_pivot_hard_negatives, pipeline)
 }
-ORACLES: dict[str, str] = {"op7_merkle_audit": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_merkle_audit": OP7_SQL, "op11_systematic_mix": OP11_SQL, "op13_pivot_hard_negatives": OP13_SQL}
