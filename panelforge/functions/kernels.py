@@ -185,6 +185,60 @@ def local_linear(pos: np.ndarray, y: np.ndarray, w: np.ndarray, span: float, pai
     return out if y.ndim == 2 else out[:, 0]
 
 
+def nearest_windows(pos: np.ndarray, near: int) -> np.ndarray:
+    """Where the ``near`` nearest points of every position begin, for rows of rising positions; of equally far ends the left one stays."""
+    k, n = pos.shape
+    at, row = np.tile(np.arange(n), (k, 1)), np.arange(k)[:, None]
+    lo, hi = np.maximum(at - near + 1, 0), np.minimum(at, n - near)
+    lo = np.minimum(lo, hi)
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        right = (lo < hi) & (pos[row, np.minimum(mid + near, n - 1)] - pos < pos - pos[row, mid])
+        lo, hi = np.where(right, mid + 1, lo), np.where(right | (lo >= hi), hi, mid)
+    return lo
+
+
+def lowess(pos: np.ndarray, y: np.ndarray, near: int, rounds: int = 3, pairs: int = 4_000_000) -> np.ndarray:
+    """Robust local lines through the ``near`` nearest points of every position, for each column of ``y``.
+
+    ``pos``: clusters of one size by positions (rising), ``y``: clusters by positions by series.  Weights are tricube in
+    the distance over that of the farthest of the ``near`` points; then ``rounds`` times bisquare in the residual over six
+    times the median absolute one, so that an outlier does not bend the line.  ``pairs`` bounds the work at a time.
+    """
+    k, n, series = y.shape
+    if not k or not n:
+        return y.astype(float)
+    near = min(near, n)
+    first = (nearest_windows(pos, near) + n * np.arange(k)[:, None]).ravel()
+    flat, own = pos.astype(float).ravel(), y.astype(float).reshape(k * n, series)
+    robust, fit = np.ones_like(own), np.empty_like(own)
+    step = max(1, pairs // (near * series))
+    for turn in range(rounds + 1):
+        for a in range(0, k * n, step):
+            at = first[a : a + step, None] + np.arange(near)
+            d = flat[at] - flat[a : a + step, None]
+            widest = np.abs(d).max(axis=1, keepdims=True)
+            tri = np.where(widest > 0, np.clip(1 - np.abs(d / np.where(widest > 0, widest, 1)) ** 3, 0, None) ** 3, 1.0)
+            w, v, dx = tri[..., None] * robust[at], own[at], d[..., None]
+            s0, s1, s2 = w.sum(axis=1), (w * dx).sum(axis=1), (w * dx * dx).sum(axis=1)
+            t0, t1 = (w * v).sum(axis=1), (w * dx * v).sum(axis=1)
+            det = s0 * s2 - s1 * s1
+            sound = det > 1e-9 * s0 * np.maximum(s2, 1e-300)
+            line = (s2 * t0 - s1 * t1) / np.where(sound, det, 1)
+            fit[a : a + step] = np.where(s0 <= 0, own[a : a + step], np.where(sound, line, t0 / np.where(s0 > 0, s0, 1)))
+        if turn < rounds:
+            left = np.abs(own - fit).reshape(k, n, series)
+            scale = 6 * np.median(left, axis=1, keepdims=True)
+            robust = np.where(scale > 1e-300, np.clip(1 - (left / np.where(scale > 1e-300, scale, 1)) ** 2, 0, None) ** 2, 1.0).reshape(k * n, series)
+    return fit.reshape(k, n, series)
+
+
+def span_of(pos: np.ndarray, reach: float, widest: float = 1.0) -> float:
+    """The share of a cluster's points that ``reach`` base pairs hold at its median spacing, ``widest`` at most."""
+    gap = float(np.median(np.diff(pos))) if len(pos) > 1 else 0.0
+    return min(widest, reach / gap / len(pos)) if gap > 0 else widest
+
+
 def background_signal(x: np.ndarray, mu: float, sigma: float, alpha: float) -> np.ndarray:
     """Expected signal of x = signal + noise, signal exponential with mean alpha, noise normal (mu, sigma)."""
     m = x - mu - sigma**2 / alpha

@@ -99,7 +99,7 @@ def find_blocks(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_ga
         at = [i for i, s in enumerate(sheet) if s[2] == array]
         own = within.Design([exposure[i] for i in at], [subject[i] for i in at], within.rows_of(covariates, at))
         if own.subjects >= 3 and own.identified and own.df > 0:
-            part = collapsed.withColumn("m", F.array(*(F.get("m", F.lit(i)) for i in at)))
+            part = within.take(collapsed, "m", at)
             fits = cluster_effects(part, own).select("chr", F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("cluster").alias("a_id"), F.col("y").alias("beta"), "se")
             inside = genome.interval_containment(fits, blocks.select("chr", F.struct("start", "direction").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end")))
             pooled = compare.ivw(inside, ["chr", "b_start"]).select("chr", F.col("b_start").alias("start"), F.col("effect").alias(f"effect_{array}"))

@@ -1,14 +1,21 @@
 """Ordered operators along a genome: gaps, clusters, penalties, regions, runs and interval joins.
 
-Windows are partitioned by chromosome (or probe), never global; consecutive ids
-over the whole genome come from per-chromosome counts.
+Windows are partitioned by chromosome (or probe), never global, and by pieces of a
+chromosome where ``cuts`` (:func:`scan.cut_points`) say so; consecutive ids over the whole
+genome come from per-chromosome counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators import scan
+
 BIN = 100_000
 
 
@@ -31,21 +38,26 @@ def order(chrom: str = "chr", pos: str = "pos", *ties: str):
     return Window.partitionBy(chrom).orderBy(pos, *ties)
 
 
-def with_gap(df: DataFrame, chrom: str = "chr", pos: str = "pos", *ties: str) -> DataFrame:
+def with_gap(df: DataFrame, chrom: str = "chr", pos: str = "pos", *ties: str, cuts: DataFrame | None = None) -> DataFrame:
     """``gap``: distance to the row before on the chromosome, null at the first."""
-    return df.withColumn("gap", F.col(pos) - F.lag(pos).over(order(chrom, pos, *ties)))
+    if cuts is None:
+        return df.withColumn("gap", F.col(pos) - F.lag(pos).over(order(chrom, pos, *ties)))
+    d = scan.with_previous(scan.pieced(df, cuts, chrom, pos), {"__last": F.col(pos)}, (chrom,), (pos, *ties), False)
+    return d.withColumn("gap", F.col(pos) - F.col("__last")).drop("__last", scan.PIECE)
 
 
-def islands(df: DataFrame, breaks: Column, chrom: str = "chr", pos: str = "pos", *ties: str, name: str = "island") -> DataFrame:
-    """Number runs from 1 on each chromosome; a true or null ``breaks`` starts one."""
+def islands(df: DataFrame, breaks: Column, chrom: str = "chr", pos: str = "pos", *ties: str, name: str = "island", cuts: DataFrame | None = None) -> DataFrame:
+    """Number runs from 1 on each chromosome; a true or null ``breaks`` starts one.
+
+    ``breaks`` is of columns of ``df``: with ``cuts`` it must not look at other rows by a window.
+    """
     flagged = df.withColumn("__new", F.when(F.coalesce(breaks, F.lit(True)), 1).otherwise(0))
-    w = order(chrom, pos, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return flagged.withColumn(name, F.sum("__new").over(w)).drop("__new")
+    return scan.with_running(scan.pieced(flagged, cuts, chrom, pos), {name: F.col("__new")}, (chrom,), (pos, *ties), cuts is None).drop("__new", scan.PIECE)
 
 
-def gap_clusters(df: DataFrame, max_gap: float, chrom: str = "chr", pos: str = "pos", *ties: str) -> DataFrame:
+def gap_clusters(df: DataFrame, max_gap: float, chrom: str = "chr", pos: str = "pos", *ties: str, cuts: DataFrame | None = None) -> DataFrame:
     """Clusters of rows no more than ``max_gap`` from the one before."""
-    return islands(with_gap(df, chrom, pos, *ties), F.col("gap") > max_gap, chrom, pos, *ties, name="cluster")
+    return islands(with_gap(df, chrom, pos, *ties, cuts=cuts), F.col("gap") > max_gap, chrom, pos, *ties, name="cluster", cuts=cuts)
 
 
 def cluster_table(clustered: DataFrame, chrom: str = "chr", pos: str = "pos") -> DataFrame:
@@ -71,15 +83,36 @@ def row_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def adjacent_correlation(df: DataFrame, resid: str, max_gap: float, chrom: str = "chr", pos: str = "pos", *ties: str) -> DataFrame:
-    """``gap`` and ``rho`` with the probe before, computed only within ``max_gap``; a zero-norm row has rho 0."""
-    n = F.size(resid)
-    centred = F.transform(resid, lambda x: x - F.aggregate(resid, F.lit(0.0), lambda s, v: s + v) / n)
-    w = order(chrom, pos, *ties)
-    df = with_gap(df, chrom, pos, *ties).withColumn("__c", centred).withColumn("__p", F.lag("__c").over(w))
-    norm = F.sqrt(row_dot(F.col("__c"), F.col("__c")) * row_dot(F.col("__p"), F.col("__p")))
-    rho = F.when(F.col("gap") <= max_gap, F.when(norm > 0, row_dot(F.col("__c"), F.col("__p")) / norm).otherwise(0.0))
-    return df.withColumn("rho", rho).drop("__c", "__p")
+def unit_rows(df: DataFrame, values: str, name: str) -> DataFrame:
+    """``name``: each row of ``values`` less its mean and scaled to length 1; zeros where nothing is left."""
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    at = df.columns.index(values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(at)
+            v = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=float)
+            n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, many = np.repeat(np.arange(len(n)), n), np.maximum(n, 1)
+            v = v - (np.bincount(row, v, len(n)) / many)[row]
+            norm = np.sqrt(np.bincount(row, v * v, len(n)))
+            v = np.divide(v, norm[row], out=np.zeros_like(v), where=norm[row] > 0)
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v))
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, f"{types}, `{name}` array<double>")
+
+
+def adjacent_correlation(df: DataFrame, resid: str, max_gap: float, chrom: str = "chr", pos: str = "pos", *ties: str, cuts: DataFrame | None = None) -> DataFrame:
+    """``gap`` and ``rho`` with the probe before, computed only within ``max_gap``; a zero-norm row has rho 0.
+
+    Rows are brought to mean 0 and length 1 once, so a pair costs one dot product: time is linear in samples.
+    """
+    unit = scan.pieced(unit_rows(df, resid, "__c"), cuts, chrom, pos)
+    before = scan.with_previous(unit, {"__last": F.col(pos), "__p": F.col("__c")}, (chrom,), (pos, *ties), cuts is None)
+    gap = F.col(pos) - F.col("__last")
+    rho = F.greatest(F.least(row_dot(F.col("__c"), F.col("__p")), F.lit(1.0)), F.lit(-1.0))
+    return before.withColumn("gap", gap).withColumn("rho", F.when(F.col("gap") <= max_gap, rho)).drop("__c", "__p", "__last", scan.PIECE)
 
 
 def global_ids(df: DataFrame, local: str, chrom: str = "chr", name: str = "cluster") -> DataFrame:
@@ -89,15 +122,26 @@ def global_ids(df: DataFrame, local: str, chrom: str = "chr", name: str = "clust
     return df.join(F.broadcast(offsets), chrom).withColumn(name, F.coalesce(F.col(local) + F.col("__o"), F.lit(-1)).cast("int")).drop("__o")
 
 
-def comethylation_clusters(df: DataFrame, resid: str, max_gap: float = 1000, rho_min: float = 0.30, chrom: str = "chr", pos: str = "pos", *ties: str) -> DataFrame:
-    """``cluster``: runs of two or more probes linked by distance and correlation, numbered in genome order; others -1."""
-    linked = adjacent_correlation(df, resid, max_gap, chrom, pos, *ties)
-    runs = islands(linked, F.coalesce(F.col("rho") < rho_min, F.lit(True)), chrom, pos, *ties, name="__run")
-    sized = runs.withColumn("__size", F.count("*").over(Window.partitionBy(chrom, "__run")))
-    w = order(chrom, pos, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    starts = sized.withColumn("__first", F.row_number().over(Window.partitionBy(chrom, "__run").orderBy(pos, *ties)) == 1)
-    local = F.when(F.col("__size") >= 2, F.sum((F.col("__first") & (F.col("__size") >= 2)).cast("int")).over(w) - 1)
-    return global_ids(starts.withColumn("__local", local), "__local", chrom).drop("__run", "__size", "__first", "__local", "gap", "rho")
+def comethylation_clusters(df: DataFrame, resid: str, max_gap: float = 1000, rho_min: float = 0.30, chrom: str = "chr", pos: str = "pos", *ties: str, cuts: DataFrame | None = None) -> DataFrame:
+    """``cluster``: runs of two or more probes linked by distance and correlation, numbered in genome order; others -1.
+
+    A row is in a cluster if it is linked to the row before or the row after to it, and it begins one if
+    only the latter; so no run has to be gathered.
+    """
+    linked = adjacent_correlation(df, resid, max_gap, chrom, pos, *ties, cuts=cuts).withColumn("__joined", F.coalesce(F.col("rho") >= rho_min, F.lit(False)))
+    back = tuple(F.desc(c) for c in (pos, *ties))
+    d = scan.pieced(linked, cuts, chrom, pos)
+    following = F.lead("__joined").over(scan.window((chrom,), pos, *ties))
+    if cuts is not None:
+        heads = d.groupBy(chrom, scan.PIECE).agg(F.min_by("__joined", F.struct(pos, *ties)).alias("__head"))
+        heads = heads.select(F.col(chrom).alias("__hc"), F.col(scan.PIECE).alias("__hp"), F.lead("__head").over(Window.partitionBy(chrom).orderBy(scan.PIECE)).alias("__head"))
+        d = d.join(F.broadcast(heads), (F.col(chrom) == F.col("__hc")) & (F.col(scan.PIECE) == F.col("__hp")), "left").drop("__hc", "__hp")
+        following = F.when(F.row_number().over(scan.window((chrom,), *back)) == 1, F.col("__head")).otherwise(following)
+    d = d.withColumn("__next", F.coalesce(following, F.lit(False))).drop("__head")
+    begins = (~F.col("__joined") & F.col("__next")).cast("int")
+    d = scan.with_running(d, {"__k": begins}, (chrom,), (pos, *ties), cuts is None)
+    d = d.withColumn("__local", F.when(F.col("__joined") | F.col("__next"), F.col("__k") - 1))
+    return global_ids(d, "__local", chrom).drop("__joined", "__next", "__k", "__local", "gap", "rho", scan.PIECE)
 
 
 def collapse_clusters(df: DataFrame, values: str, chrom: str = "chr", pos: str = "pos") -> DataFrame:
@@ -114,35 +158,40 @@ def distance_penalty(df: DataFrame, lam0: float, decay: float = 1000.0, w: str =
     return with_gap(df, chrom, pos, *ties).join(scale, chrom, "left").withColumn("lam", F.greatest(F.lit(lam0) * F.coalesce("__scale", F.lit(1.0)) * F.exp(-F.col("gap") / decay), F.lit(floor))).drop("__scale")
 
 
-def call_regions(df: DataFrame, min_probes: int = 3, min_effect: float = 0.05, tol: float = 1e-6, cluster: str | None = None, sw: str = "sw", swb: str = "swb", theta: str = "theta", by: tuple[str, ...] = ("chr",), pos: str = "pos", ties: tuple[str, ...] = ()) -> DataFrame:
+def call_regions(df: DataFrame, min_probes: int = 3, min_effect: float = 0.05, tol: float = 1e-6, cluster: str | None = None, sw: str = "sw", swb: str = "swb", theta: str = "theta", by: tuple[str, ...] = ("chr",), pos: str = "pos", ties: tuple[str, ...] = (), cuts: DataFrame | None = None) -> DataFrame:
     """Segments of constant theta (and cluster) with their precision-weighted effect.
 
     ``sw`` is each probe's weight and ``swb`` weight times estimate.  Unclustered
-    probes (-1) get keys of their own.  ``by`` may hold a replicate column.
+    probes (-1) get keys of their own.  ``by`` may hold a replicate column before the chromosome.
     """
-    w = Window.partitionBy(*by).orderBy(pos, *ties)
-    df = df.withColumn("__i", F.row_number().over(w) - 1)
-    new = F.abs(F.col(theta) - F.lag(theta).over(w)) > tol
+    along, whole = (pos, *ties), cuts is None
+    d = scan.pieced(df, cuts, by[-1], pos)
+    d = scan.with_running(d, {"__i": F.lit(1)}, by, along, whole).withColumn("__i", F.col("__i") - 1)
+    seen = {"__theta": F.col(theta)}
+    if cluster:
+        d = d.withColumn("__k", F.when(F.col(cluster) < 0, -F.col("__i") - 1).otherwise(F.col(cluster)))
+        seen["__kp"] = F.col("__k")
+    d = scan.with_previous(d, seen, by, along, whole)
+    new = F.abs(F.col(theta) - F.col("__theta")) > tol
     if cluster:
-        key = F.when(F.col(cluster) < 0, -F.col("__i") - 1).otherwise(F.col(cluster))
-        df = df.withColumn("__k", key)
-        new = new | (F.col("__k") != F.lag("__k").over(w))
-    runs = df.withColumn("__new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("segment", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        new = new | (F.col("__k") != F.col("__kp"))
+    runs = scan.with_running(d.withColumn("__new", F.coalesce(new, F.lit(True)).cast("int")), {"segment": F.col("__new")}, by, along, whole)
     g = runs.groupBy(*by, "segment").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.count("*").alias("n_probes"), F.sum(sw).alias("__w"), F.sum(swb).alias("__wb"), F.avg(theta).alias("theta"), F.min("__i").alias("probe_start"), F.max("__i").alias("probe_end"))
     g = g.where((F.col("n_probes") >= min_probes) & (F.col("__w") > 0)).withColumn("effect", F.col("__wb") / F.col("__w")).withColumn("se", F.sqrt(1 / F.col("__w")))
     return g.where(F.abs("effect") >= min_effect).select(*by, "start", "end", (F.col("end") - F.col("start") + 1).alias("width"), "n_probes", "effect", "se", (F.col("effect") / F.col("se")).alias("z"), "theta", "probe_start", "probe_end")
 
 
-def call_blocks(df: DataFrame, posterior: str = "posterior", min_post: float = 0.80, min_clusters: int = 3, neutral: int = 1, chrom: str = "chr") -> DataFrame:
+def call_blocks(df: DataFrame, posterior: str = "posterior", min_post: float = 0.80, min_clusters: int = 3, neutral: int = 1, chrom: str = "chr", cuts: DataFrame | None = None) -> DataFrame:
     """Maximal runs of one state other than the neutral one; doubtful clusters count as neutral.
 
     ``df``: chr, start, end and an array of state probabilities.  A block ends at
-    its last cluster's end; its posterior is the mean of its state's.
+    its last cluster's end; its posterior is the mean of its state's.  ``cuts`` are positions of starts.
     """
     best = F.array_max(posterior)
     state = F.when(best >= min_post, F.array_position(posterior, best).cast("int") - 1).otherwise(neutral)
-    w = order(chrom, "start", "end")
-    runs = islands(df.withColumn("state", state), F.col("state") != F.lag("state").over(w), chrom, "start", "end", name="run")
+    d = scan.with_previous(scan.pieced(df.withColumn("state", state), cuts, chrom, "start"), {"__state": F.col("state")}, (chrom,), ("start", "end"), cuts is None)
+    new = F.coalesce(F.col("state") != F.col("__state"), F.lit(True)).cast("int")
+    runs = scan.with_running(d.withColumn("__new", new), {"run": F.col("__new")}, (chrom,), ("start", "end"), cuts is None)
     g = runs.where(F.col("state") != neutral).groupBy(chrom, "run", "state").agg(F.min("start").alias("start"), F.max(F.struct("start", "end"))["end"].alias("end"), F.count("*").alias("n_clusters"), F.avg(F.get(posterior, F.col("state"))).alias("posterior"))
     return g.where(F.col("n_clusters") >= min_clusters).select(chrom, "start", "end", (F.col("end") - F.col("start") + 1).alias("width"), "n_clusters", F.when(F.col("state") > neutral, "hyper").otherwise("hypo").alias("direction"), "posterior")
 

@@ -96,10 +96,21 @@ def rows_of(covariates, at) -> np.ndarray | None:
     return None if covariates is None else np.asarray(covariates, float)[np.asarray(at)]
 
 
+def take(df: DataFrame, values: str, at: list[int]) -> DataFrame:
+    """``df`` with the entries ``at`` of its value arrays: one array expression, however many samples there are."""
+    return df.withColumn(values, F.transform(F.lit(np.array(at, dtype=np.int32).tolist()), lambda i: F.get(F.col(values), i)) if len(at) else F.array().cast(dict(df.dtypes)[values]))
+
+
 def matrix_of(column: pa.Array) -> np.ndarray:
-    """An Arrow list column of equal lengths as a matrix."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(float) if len(column) else np.empty((0, 0))
+    """An Arrow list column of equal lengths as a matrix; ValueError where lengths differ, nulls are NaN."""
+    if not len(column):
+        return np.empty((0, 0))
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = column.value_lengths().to_numpy(zero_copy_only=False)
+    if column.null_count or (n != n[0]).any():
+        raise ValueError("value arrays of a panel must all have one value a sample")
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(column), int(n[0]))
 
 
 def fit_panel(panel: DataFrame, design: Design, values: str = "m", keep: tuple[str, ...] = ("probe", "chr", "pos")) -> DataFrame:

@@ -98,7 +98,7 @@ class Panel:
         at = [i for i, r in enumerate(self.samples) if all(r.get(c) is not None and not (isinstance(r[c], float) and not math.isfinite(r[c])) for c in columns)]
         if len(at) == len(self.samples):
             return self
-        data = self.data.withColumn("m", F.array(*(F.get("m", F.lit(i)) for i in at)) if at else F.array().cast("array<double>"))
+        data = within.take(self.data, "m", at)
         return Panel(data, [self.samples[i] for i in at], self.values, self.metadata | {"incomplete_samples": len(self.samples) - len(at)})
 
     def sorted(self) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from panelforge.plans.oracles import ORACLES
-from panelforge.plans.queries import QUERIES
+from panelforge.plans import models, oracles, queries
 
+QUERIES = queries.QUERIES | models.QUERIES
+ORACLES = oracles.ORACLES | models.ORACLES
 FLAGSHIP = "gap_clusters_fixed"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -248,13 +248,14 @@ def hmm_blocks(spark, d):
 
 
 def bumphunter_like(spark, d):
-    b = regions.bumphunter(adapters.panel_embeddings(spark, d), _sheet(), cutoff=0.01, n_perm=N_PERM)
-    return b.select("chr", "start", "end", "l", "cluster_l", r6("value", "value"), r6("area", "area"), r6("fwer_area", "fwer_area"))
+    b = regions.bumphunter(adapters.panel_embeddings(spark, d), _sheet(), adjust_array=True, cutoff=0.01, n_perm=N_PERM)
+    numbers = ("value", "area", "fwer", "fwer_area", "p_value", "effect_450K", "effect_EPIC")
+    return b.select("chr", "start", "end", "l", "cluster_l", *(r6(c, c) for c in numbers))
 
 
 def blockfinder_like(spark, d):
-    b = regions.blockfinder(adapters.panel_embeddings(spark, d), _sheet(), span=20_000, cutoff=0.001)
-    return b.select("chr", "start", "end", "l", "cluster_l", r6("value", "value"), r6("area", "area"))
+    b = regions.blockfinder(adapters.panel_embeddings(spark, d), _sheet(), cutoff=0.0005, in_span=3, n_perm=N_PERM)
+    return b.select("chr", "start", "end", "l", "cluster_l", r6("value", "value"), r6("area", "area"), r6("fwer", "fwer"), r6("fwer_area", "fwer_area"))
 
 
 # resampling ------------------------------------------------------------------------------

@@ -72,7 +72,7 @@ def probe_model(panel: Panel, exposure, subject, array=None, covariates: list[st
     fits, rows = [], []
     for name, at in [("joint", range(len(s))), *((a, [i for i, v in enumerate(s) if v[2] == a]) for a in sorted({v[2] for v in s}) if array is not None)]:
         at = list(at)
-        part = panel.data.withColumn("m", F.array(*(F.get("m", F.lit(i)) for i in at)))
+        part = within.take(panel.data, "m", at)
         x, k = [s[i][1] for i in at], [s[i][0] for i in at]
         rho = within.consensus_correlation(part, k)
         extra = design_matrix([panel.samples[i] for i in at], list(covariates))
