@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -119,10 +120,12 @@ class Aligned:
         self.n, self.width = n, len(b.token_bytes)
         self.a, self.b, self.doc_a, self.doc_b = ids_a.astype(np.int64), ids_b.astype(np.int64), doc_a, doc_b
         # both lists now cover the same bytes; ends are counted from the first of them on
-        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        ends = [np.zeros(int(size_a.sum()) + 1, dtype=bool) for _ in range(2)]
+        for e, size in zip(ends, (size_a, size_b)):
+            e[np.cumsum(size)] = True
+        common = np.flatnonzero(ends[0] & ends[1])
         self.groups = len(common)
-        self.first_a, self.first_b = (np.concatenate([[0], np.searchsorted(e, common, side="right")]) for e in (end_a, end_b))
+        self.first_a, self.first_b = (np.concatenate([[0], np.cumsum(e, dtype=np.int64)[common]]) for e in ends)
         self.n_a, self.n_b = np.diff(self.first_a), np.diff(self.first_b)
         self.doc = doc_a[self.first_a[1:] - 1] if self.groups else np.empty(0, np.int64)
 
@@ -159,24 +162,30 @@ class Aligned:
         """``a1,a2|b1;a3|b2,b3`` of all documents as bytes, and where each document's begin."""
         total = len(self.a) + len(self.b)
         base = self.first_a[:-1] + self.first_b[:-1]
-        at_a = np.arange(len(self.a)) + np.repeat(self.first_b[:-1], self.n_a)
-        at_b = np.arange(len(self.b)) + np.repeat(self.first_a[1:], self.n_b)
         ids = np.empty(total, dtype=np.int64)
-        ids[at_a], ids[at_b] = self.a, self.b
-        mark = np.full(total, ord(","), dtype=np.uint8)
-        mark[base + self.n_a - 1] = ord("|")
-        mark[base + self.n_a + self.n_b - 1] = ord(";")
-        digits = np.searchsorted(10 ** np.arange(1, 19), ids, side="right") + 1
-        to = np.cumsum(digits + 1)
-        out = np.empty(int(to[-1]) if total else 0, dtype=np.uint8)
-        out[to - 1] = mark
-        left = ids.copy()
-        for d in range(1, int(digits.max(initial=0)) + 1):
-            has = digits >= d
-            out[(to - 1 - d)[has]] = 48 + left[has] % 10
-            left //= 10
+        ids[np.arange(len(self.a)) + np.repeat(self.first_b[:-1], self.n_a)] = self.a
+        ids[np.arange(len(self.b)) + np.repeat(self.first_a[1:], self.n_b)] = self.b
+        digits, used = decimals(int(ids.max(initial=0)) + 1)
+        cells = digits[ids]
+        cells[base + self.n_a - 1, -1] = ord("|")
+        cells[base + self.n_a + self.n_b - 1, -1] = ord(";")
+        to = np.concatenate([[0], np.cumsum(used.sum(axis=1)[ids])])
         tokens = np.bincount(self.doc_a, minlength=self.n) + np.bincount(self.doc_b, minlength=self.n)
-        return out, np.concatenate([[0], to])[np.concatenate([[0], np.cumsum(tokens)])]
+        return cells[used[ids]], to[np.concatenate([[0], np.cumsum(tokens)])]
+
+
+@lru_cache(maxsize=1)
+def _decimals(width: int) -> tuple[np.ndarray, np.ndarray]:
+    n = np.arange(10**width)
+    powers = 10 ** np.arange(width - 1, -1, -1)
+    cells = np.concatenate([48 + n[:, None] // powers % 10, np.full((len(n), 1), ord(","))], axis=1).astype(np.uint8)
+    used = np.concatenate([(n[:, None] >= powers) | (powers == 1), np.ones((len(n), 1), bool)], axis=1)
+    return cells, used
+
+
+def decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Right-aligned digits and a comma of the numbers below ``n`` (at least), and which of the cells are used."""
+    return _decimals(len(str(max(n - 1, 1))))
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +202,11 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: int, sent) -> Iterator[tuple[pa.RecordBatch, int, int, Aligned]]:
-    (tokenizer_json, classes), model = sent.value
-    a, b = PlainEncoder(Merges(tokenizer_json), classes), PieceEncoder(model)
+    if (key := ("aligned", sent.key)) not in shared.ENGINES:  # one pair of tokenizers at a time stays in a worker
+        shared.ENGINES.clear()
+        (tokenizer_json, classes), model = sent.value
+        shared.ENGINES[key] = PlainEncoder(Merges(tokenizer_json), classes), PieceEncoder(model)
+    a, b = shared.ENGINES[key]
     for batch in batches:
         for lo, hi, buf, offs in textbytes.slices(batch.column(column)):
             yield batch, lo, hi, Aligned(a, b, buf, offs)
@@ -289,6 +301,7 @@ class _Sent:
         self.width, self.size = len(PieceEncoder(model).token_bytes), Merges(tokenizer_json).size
         if self.size > Aligned._top or self.size * self.width >= 1 << 40:
             raise ValueError("vocabularies too large for packed keys")
+        self.key = hash((tokenizer_json, model))
         self._held = spark.sparkContext.broadcast(((tokenizer_json, spans.library_classes()), model))
 
     @property
