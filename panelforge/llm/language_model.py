@@ -1,12 +1,10 @@
 """Cross-entropy difference between matched target and background n-gram models.
 
-Both models are word bigrams with a Dirichlet prior on word frequencies and share
-one vocabulary: the words with the highest counts over all documents, at most
-``vocabulary``; all others are one unknown word.  Counts cover all documents
-(background) and all target documents.  Bigram counts are kept in 2**bits hashed
-buckets, so a model's size is fixed.  That holds for :func:`fit` and :func:`score`;
-:func:`score_corpus` keeps every word and every bigram of the corpus, in tables
-dealt over key ranges that grow with it.
+Both models are word bigrams with a Dirichlet prior on word frequencies and share one
+vocabulary, all words of the corpus.  Counts cover all documents (background) and all target
+documents, and are kept for every word and every bigram in tables dealt over ranges of
+their 64-bit keys (62 bits of hash and two that say what is counted), which grow with the corpus;
+two n-grams share a count only if their hashes are equal.
 
 A document's score is its mean loss per token under the background minus that
 under the target: larger where it reads more like the target.  A document's own
@@ -14,13 +12,16 @@ counts are taken out of every model that counted it, so that documents inside
 and outside the target set are scored alike.  Its copies elsewhere are documents of
 their own and stay in the models: a text that occurs twice is scored with one
 occurrence left, which lowers both losses.
+
+Traffic.  A slice of documents asks for the counts of its distinct keys.  Where there are more
+than LANES key ranges, slices do not talk to ranges one by one: a bundle of slices combines the
+keys of a lane of ranges first, asks for these, and deals the answers out again.  With S slices and R
+ranges that makes about S * sqrt(R) + sqrt(R) * R messages instead of S * R, and a message
+holds the keys of sqrt(R) of the smallest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,14 +30,13 @@ from pyspark.sql import types as T
 
 from panelforge.llm import shared, sketch, textbytes
 
-VOCABULARY = 1 << 16
-BITS = 22
 PRIOR = 20.0
 #: Target ids up to this many are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-_FLUSH = 500_000
-#: Bytes of text of a slice and of a key range of score_corpus; their numbers grow with the corpus.
+#: Bytes of text of a slice and of a key range; their numbers grow with the corpus.
 SLICE_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
+#: Key ranges that slices ask directly; beyond, lanes of ranges and bundles of slices lie between.
+LANES = 512
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -46,111 +46,6 @@ def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return textbytes.span_hashes(low, starts, ends, cased=True), first
 
 
-def shared_vocabulary(docs: DataFrame, most: int = VOCABULARY) -> np.ndarray:
-    """Sorted 64-bit hashes of the words whose count reaches the least count that at most ``most`` words reach.
-
-    Exact counts over all texts: partitions combine before the shuffle.  The
-    cut-off comes from a histogram of counts, so no task sorts the words.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-        def batch_of(k, c):
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["word", "n"])
-
-        waiting: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
-            for _, _, buf, offs in textbytes.slices(batch.column(0)):
-                waiting.append(_words(buf, offs)[0])
-                held += len(waiting[-1])
-                if held >= 2_000_000:
-                    keys, counts = _combined(keys, counts, waiting)
-                    waiting, held = [], 0
-                    if len(keys) > _FLUSH:
-                        yield batch_of(keys, counts)
-                        keys, counts = keys[:0], counts[:0]
-        keys, counts = _combined(keys, counts, waiting)
-        if len(keys):
-            yield batch_of(keys, counts)
-
-    words = shared.cut(docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    level = F.floor(F.log2("n") * 64).cast("int")
-    levels = sorted(((r["level"], r["words"]) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)
-    total, least = 0, None
-    for at, n in levels:
-        if total + n > most:
-            break
-        total, least = total + n, at
-    if least is None:
-        return np.empty(0, np.uint64)
-    kept = words.where(level >= least).select("word").collect()
-    return np.sort(np.array([r["word"] for r in kept], dtype=np.int64).view(np.uint64))
-
-
-def _combined(keys, counts, waiting):
-    if not waiting:
-        return keys, counts
-    new, n = np.unique(np.concatenate(waiting), return_counts=True)
-    both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-    total = np.zeros(len(both), dtype=np.int64)
-    np.add.at(total, at, np.concatenate([counts, n]))
-    return both, total
-
-
-def _ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Word numbers; ``len(vocabulary)`` is the unknown word."""
-    if not len(vocabulary):
-        return np.zeros(len(h), dtype=np.int64)
-    at = np.searchsorted(vocabulary, h)
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == h, at, len(vocabulary))
-
-
-def _pairs(buf: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token: its word, the word before it (or the start mark), their bucket; and each document's first."""
-    h, first = _words(buf, offs)
-    word = _ids(h, vocabulary)
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[first[:-1][np.diff(first) > 0]] = len(vocabulary) + 1
-    with np.errstate(over="ignore"):
-        bucket = (textbytes.mix(before.astype(np.uint64) * _A + word.astype(np.uint64) * _B) >> np.uint64(64 - bits)).astype(np.int64)
-    return word, before, bucket, first
-
-
-@dataclass(frozen=True)
-class NGram:
-    """Counts of one model; ``words`` has the unknown word last, ``contexts`` also the start mark."""
-
-    words: np.ndarray
-    contexts: np.ndarray
-    pairs: np.ndarray
-
-    def losses(self, word, before, bucket, own, prior: float) -> np.ndarray:
-        """Loss of each token; ``own`` holds what its document adds to the total and to the three counts."""
-        total, of_word, of_context, of_pair = own
-        single = (self.words[word] - of_word + 1.0) / (self.words.sum(dtype=np.float64) - total + len(self.words))
-        context = self.contexts[before] - of_context.astype(np.float64)
-        return -np.log((np.clip(self.pairs[bucket] - of_pair.astype(np.float64), 0, context) + prior * single) / (context + prior))
-
-
-def _repeats(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """How often each token's key occurs in its document."""
-    _, at, n = np.unique((doc << np.int64(32)) | key, return_inverse=True, return_counts=True)
-    return n[at]
-
-
-@dataclass(frozen=True)
-class Model:
-    vocabulary: np.ndarray
-    target: NGram
-    background: NGram
-    bits: int
-    prior: float
-
-
 def mark_targets(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", flag: str = "is_target") -> DataFrame:
     """``docs`` with a boolean column that is true where ``targets`` lists the id."""
     key = shared.fresh(docs, "target_id")
@@ -160,71 +55,6 @@ def mark_targets(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id",
     return docs.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long") == F.col(key), "left").withColumn(flag, F.col(key).isNotNull()).drop(key)
 
 
-def fit(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, bits: int = BITS, prior: float = PRIOR) -> Model:
-    """Count both models over all documents; ``targets`` lists the ids of the target documents.
-
-    Repeated and null target ids count once or not at all; a document row whose id
-    is listed is a target row.
-    """
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_column(docs, text_col).alias("text"))
-    words = shared_vocabulary(read.select("text"), vocabulary)
-    marked = mark_targets(read, targets.select(F.col(id_col).alias("doc_id"))).select("is_target", "text")
-    held = docs.sparkSession.sparkContext.broadcast(words)
-    v = len(words)
-    per = 2 * -(-(v + 2) // sketch.BLOCK) + (1 << bits) // sketch.BLOCK  # blocks of a model
-    small = -(-(v + 2) // sketch.BLOCK) * sketch.BLOCK
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2 * small + (1 << bits)), dtype=np.uint64)
-        for batch in batches:
-            target = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, buf, offs in textbytes.slices(batch.column(1)):
-                word, before, bucket, first = _pairs(buf, offs, held.value, bits)
-                of_target = np.repeat(target[a:b], np.diff(first))
-                for k, keep in ((0, of_target), (1, slice(None))):
-                    at = np.concatenate([word[keep], small + before[keep], 2 * small + bucket[keep]])
-                    key, n = np.unique(at, return_counts=True)
-                    total[k, key] += n.astype(np.uint64)
-        for k in (0, 1):
-            yield from sketch.blocks(total[k], k * per)
-
-    both = sketch.summed(marked.mapInArrow(count, sketch.SCHEMA), 2 * per * sketch.BLOCK, np.uint64).reshape(2, -1)
-    models = [NGram(x[: v + 1].copy(), x[small : small + v + 2].copy(), x[2 * small :].copy()) for x in both]
-    return Model(words, models[0], models[1], bits, prior)
-
-
-def score(docs: DataFrame, model: Model, *, text_col: str = "text", target_col: str = "is_target", names: tuple[str, str, str, str] = ("n_tokens", "target_loss", "background_loss", "difference")) -> DataFrame:
-    """``docs`` with token count, mean losses and background minus target loss in new columns ``names``.
-
-    Rows whose ``target_col`` is true were counted by the target model; all were
-    counted by the background model.  A text without words (null, empty): no tokens, null losses.  Other columns
-    pass through, columns with these names are replaced.  Empty table: no rows.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def values(text: pa.Array, target: pa.Array) -> dict:
-        m = held.value
-        inside = target.to_numpy(zero_copy_only=False).astype(bool)
-        out: list[list] = [[], [], []]
-        for a, b, buf, offs in textbytes.slices(text):
-            word, before, bucket, first = _pairs(buf, offs, m.vocabulary, m.bits)
-            n = np.diff(first)
-            out[0].append(n)
-            doc = np.repeat(np.arange(b - a), n)
-            own = (n[doc], *(_repeats(doc, x) for x in (word, before, bucket)))
-            for k, g, counted in ((1, m.target, inside[a:b]), (2, m.background, np.ones(b - a, dtype=bool))):
-                total = np.concatenate([[0], np.cumsum(g.losses(word, before, bucket, [x * counted[doc] for x in own], m.prior))])
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    out[k].append((total[first[1:]] - total[first[:-1]]) / n)
-        n, t, b = (np.concatenate([np.empty(0), *x]) for x in out)
-        none = n == 0
-        return dict(zip(names, (pa.array(n.astype(np.int64)), pa.array(t, mask=none), pa.array(b, mask=none), pa.array(b - t, mask=none))))
-
-    types = dict(zip(names, (T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType())))
-    target = F.coalesce(F.col(target_col), F.lit(False)) if target_col in docs.columns else F.lit(False)
-    return shared.append_columns(docs, shared.text_column(docs, text_col), values, types, target)
-
-
 def _keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of every token three 64-bit keys, its word's, its context's and their pair's (the kind in the low bits); and each document's first."""
     h, first = _words(buf, offs)
@@ -236,73 +66,137 @@ def _keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([x & ~np.uint64(3) | np.uint64(k) for k, x in enumerate(each)]), first
 
 
-def _slice_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _repeats(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each token's key occurs in its document."""
+    _, at, n = np.unique((doc << np.int64(32)) | key, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _slice_keys(table: pa.Table, text: str, target: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The slice's sorted distinct keys, each token's three places among them, tokens of each document, and target flags."""
     keys, sizes = [np.empty((3, 0), np.uint64)], [np.empty(0, np.int64)]
-    for chunk in table.column("__text").chunks:
+    for chunk in table.column(text).chunks:
         for _, _, buf, offs in textbytes.slices(chunk):
             k, first = _keys(buf, offs)
             keys.append(k)
             sizes.append(np.diff(first))
     u, at = np.unique(np.concatenate(keys, axis=1), return_inverse=True)
-    return u, at.reshape(3, -1), np.concatenate(sizes), table.column("__target").to_numpy().astype(bool)
+    return u, at.reshape(3, -1), np.concatenate(sizes), table.column(target).to_numpy().astype(bool)
+
+
+def _packed(u: np.ndarray, counts: list[np.ndarray], cuts: list[int]) -> list[pa.Array]:
+    """Keys as compressed differences and their counts, one entry a part."""
+    parts = list(zip(cuts, cuts[1:]))
+    return [pa.array([sketch.squeeze(np.diff(u[i:j], prepend=np.uint64(0))) for i, j in parts], pa.binary()), *(pa.array([sketch.squeeze(x[i:j]) for i, j in parts], pa.binary()) for x in counts)]
+
+
+def _unpacked(table: pa.Table, *names: str) -> list[list[np.ndarray]]:
+    """Keys, and counts of the given columns, of every row."""
+    keys = [np.cumsum(sketch.spread(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("keys")]
+    return [keys, *([sketch.spread(x.as_py(), np.int64) for x in table.column(c)] for c in names)]
+
+
+def _merged(keys: list[np.ndarray], counts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sorted distinct keys of all rows, where each row's keys are among them, and summed counts."""
+    u, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return u, at, [np.bincount(at, weights=np.concatenate(x), minlength=len(u)).astype(np.int64) for x in counts]
+
+
+_KNOWN = ("words", "in_target", "in_background")
 
 
 def score_corpus(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target_col: str = "is_target", prior: float = PRIOR, names: tuple[str, str, str, str] = ("n_tokens", "target_loss", "background_loss", "difference")) -> DataFrame:
-    """``docs`` without the text, with ``target_col`` and the four columns of :func:`score`, under exact models of all of ``docs``.
+    """``docs`` without the text, with ``target_col``, tokens, mean losses per token under both models and their difference.
 
-    No word is cut and no bigrams share a count.  Slices of documents send the
-    counts of their distinct keys to the ranges of keys; a range adds them up and
-    answers every slice with the totals of its keys, which the slice's documents
-    are scored with.  Keys travel as compressed differences.  Slices and ranges grow in number with the text, not in size.
+    No word is cut.  Slices of documents send the counts of their distinct keys to the ranges of keys (in bundles, see
+    above); a range adds them up and answers with the totals, which the slice's documents are scored with.  Keys
+    travel as compressed differences.
+
+    Null, empty and wordless texts have no tokens and null losses; empty ones are dealt evenly.  Null ids are no
+    targets.  Repeated rows are documents of their own; rows of one id and text share a slice.  Columns of ``docs`` named like
+    the results are replaced, others pass through whatever they are called.  Empty table: no rows.
     """
     marked = mark_targets(docs, targets, id_col=id_col, flag=target_col)
     size = docs.select(F.sum(F.octet_length(shared.text_column(docs, text_col))).alias("n")).first()["n"] or 0
     slices, ranges = (max(1, -(-size // b)) for b in (SLICE_BYTES, RANGE_BYTES))
-    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], dtype=np.uint64)
+    lanes = ranges if ranges <= LANES else int(np.ceil(np.sqrt(ranges)))
+    fine = -(-ranges // lanes)  # ranges of a lane
+    bundled = fine > 1
+    bundle = lanes if bundled else 1  # slices of a bundle
+    ranges = lanes * fine
+    edge_of = np.array([(k << 64) // ranges for k in range(ranges)], dtype=np.uint64)
     rest = [c for c in marked.columns if c not in (text_col, *names)]
+    words, flag, slice_ = (shared.fresh_of(rest, c) for c in ("words_of", "counted", "slice"))
     text = shared.text_column(marked, text_col)
-    dealt = marked.select(*rest, text.alias("__text"), F.col(target_col).alias("__target"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(slices)).alias("__slice"))
+    hashed = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(slices))
+    dealt = marked.select(*rest, text.alias(words), F.col(target_col).alias(flag), F.when(text == "", F.pmod(F.monotonically_increasing_id(), F.lit(slices))).otherwise(hashed).alias(slice_))
 
     def ask(table: pa.Table) -> pa.Table:
-        u, at, sizes, target = _slice_keys(table)
-        b = np.bincount(at.ravel(), minlength=len(u)).astype(np.uint32)
-        t = np.bincount(at[:, np.repeat(target, sizes)].ravel(), minlength=len(u)).astype(np.uint32)
-        cuts = [0, *np.searchsorted(u, edges), len(u)]
-        parts = list(zip(cuts, cuts[1:]))
-        packed = [pa.array([sketch.squeeze(np.diff(u[i:j], prepend=np.uint64(0))) for i, j in parts], pa.binary()), *(pa.array([sketch.squeeze(x[i:j]) for i, j in parts], pa.binary()) for x in (t, b))]
-        return pa.Table.from_arrays([pa.array(np.arange(ranges), pa.int32()), pa.array([table.column("__slice")[0].as_py()] * ranges, pa.int64()), *packed], names=["range", "slice", "keys", "target", "background"])
+        u, at, sizes, target = _slice_keys(table, words, flag)
+        b = np.bincount(at.ravel(), minlength=len(u))
+        t = np.bincount(at[:, np.repeat(target, sizes)].ravel(), minlength=len(u))
+        own = table.column(slice_)[0].as_py()
+        cuts = [0, *np.searchsorted(u, edge_of[::fine][1:]), len(u)]
+        head = [pa.array(x, pa.int64()) for x in (range(lanes), [own] * lanes, [own // bundle] * lanes)]
+        return pa.Table.from_arrays([*head, *_packed(u, [t, b], cuts)], names=["lane", "slice", "bundle", "keys", "target", "background"])
+
+    def combine(table: pa.Table) -> pa.Table:
+        """The keys of a bundle's slices in one lane, cut by ranges."""
+        keys, *counts = _unpacked(table, "target", "background")
+        u, _, sums = _merged(keys, counts)
+        lane = table.column("lane")[0].as_py()
+        cuts = [0, *np.searchsorted(u, edge_of[lane * fine + 1 : (lane + 1) * fine]), len(u)]
+        head = [pa.array(x, pa.int64()) for x in (range(lane * fine, (lane + 1) * fine), [table.column("bundle")[0].as_py()] * fine, [lane] * fine)]
+        return pa.Table.from_arrays([*head, *_packed(u, sums, cuts)], names=["range", "slice", "lane", "keys", "target", "background"])
 
     def answer(table: pa.Table) -> pa.Table:
-        keys, t, b = ([sketch.spread(x.as_py(), d) for x in table.column(c)] for c, d in (("keys", np.uint64), ("target", np.uint32), ("background", np.uint32)))
-        keys = [np.cumsum(k, dtype=np.uint64) for k in keys]
-        u, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(at, weights=np.concatenate(x), minlength=len(u)).astype(np.int64) for x in (t, b)]
+        """The totals of every asker's keys (a slice, or a bundle), and how many words and tokens a range counts."""
+        keys, *counts = _unpacked(table, "target", "background")
+        u, at, sums = _merged(keys, counts)
         word = (u & np.uint64(3)) == 0
         known = [int(word.sum()), *(int(x[word].sum()) for x in sums)]
         cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         back = [pa.array([sketch.squeeze(x[at[i:j]]) for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in sums]
-        return pa.Table.from_arrays([table.column("slice"), table.column("range"), *back, *(pa.array([k] * table.num_rows, pa.int64()) for k in known)], names=["slice", "range", "target", "background", "words", "in_target", "in_background"])
+        place = "range" if bundled else "lane"
+        return pa.Table.from_arrays([table.column("slice"), table.column("lane"), table.column(place), *back, *(pa.array([k] * table.num_rows, pa.int64()) for k in known)], names=["slice", "lane", "place", "target", "background", *_KNOWN])
+
+    def deal_out(asked: pa.Table, found: pa.Table) -> pa.Table:
+        """A bundle's answers in one lane, for each of its slices."""
+        found = found.sort_by("place")
+        keys, *_ = _unpacked(asked)
+        u, at = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = [np.concatenate([sketch.spread(x.as_py(), np.int64) for x in found.column(c)]) for c in ("target", "background")]
+        cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        back = [pa.array([sketch.squeeze(x[at[i:j]]) for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in totals]
+        known = [pa.array([sum(found.column(c).to_pylist())] * asked.num_rows, pa.int64()) for c in _KNOWN]
+        return pa.Table.from_arrays([asked.column("slice"), asked.column("lane"), asked.column("lane"), *back, *known], names=["slice", "lane", "place", "target", "background", *_KNOWN])
 
     def losses(table: pa.Table, found: pa.Table) -> pa.Table:
-        _, at, n, target = _slice_keys(table)
-        found = found.sort_by("range")
-        words, *totals = (sum(found.column(c).to_pylist()) for c in ("words", "in_target", "in_background"))
+        _, at, n, target = _slice_keys(table, words, flag)
+        found = found.sort_by("place")
+        distinct, *totals = (sum(found.column(c).to_pylist()) for c in _KNOWN)
         doc = np.repeat(np.arange(len(n)), n)
         own = [_repeats(doc, x) for x in at]
         first, out = np.concatenate([[0], np.cumsum(n)]), []
         for c, total, counted in (("target", totals[0], target), ("background", totals[1], np.ones(len(n), dtype=bool))):
-            counts = np.concatenate([sketch.spread(x.as_py(), np.int64) for x in found.column(c)])
+            counts = np.concatenate([np.empty(0, np.int64), *(sketch.spread(x.as_py(), np.int64) for x in found.column(c))])
             word, context, pair = (counts[a] - o * counted[doc] for a, o in zip(at, own))
-            single = (word + 1.0) / (total - (n * counted)[doc] + words + 1)
+            single = (word + 1.0) / (total - (n * counted)[doc] + distinct + 1)
             summed = np.concatenate([[0], np.cumsum(-np.log((pair + prior * single) / (context + prior)))])
             with np.errstate(invalid="ignore", divide="ignore"):
                 out.append((summed[first[1:]] - summed[first[:-1]]) / n)
         t, b = out
         return pa.Table.from_arrays([*(table.column(c) for c in rest), pa.array(n), *(pa.array(x, mask=n == 0) for x in (t, b, b - t))], names=[*rest, *names])
 
-    asked = dealt.groupBy("__slice").applyInArrow(ask, "range int, slice long, keys binary, target binary, background binary")
-    answers = asked.groupBy("range").applyInArrow(answer, "slice long, range int, target binary, background binary, words long, in_target long, in_background long")
+    replies = "slice long, lane long, place long, target binary, background binary, words long, in_target long, in_background long"
+    asked = dealt.groupBy(slice_).applyInArrow(ask, "lane long, slice long, bundle long, keys binary, target binary, background binary")
+    if bundled:
+        asked = shared.cut(asked)
+        merged = asked.groupBy("bundle", "lane").applyInArrow(combine, "range long, slice long, lane long, keys binary, target binary, background binary")
+        found = merged.groupBy("range").applyInArrow(answer, replies).withColumnRenamed("slice", "bundle")
+        answers = asked.groupBy("bundle", "lane").cogroup(found.groupBy("bundle", "lane")).applyInArrow(deal_out, replies)
+    else:
+        answers = asked.groupBy("lane").applyInArrow(answer, replies)
     types = (T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType())
     schema = T.StructType([*marked.select(*rest).schema.fields, *(T.StructField(c, t) for c, t in zip(names, types))])
-    return dealt.groupBy("__slice").cogroup(answers.groupBy("slice")).applyInArrow(losses, schema)
+    return dealt.groupBy(slice_).cogroup(answers.groupBy("slice")).applyInArrow(losses, schema)

@@ -273,14 +273,16 @@ def resolve(parsed: DataFrame, store: DataFrame) -> DataFrame:
 
     ``page`` numbers the rows of ``parsed``, so pages that share an id stay apart.
     Text items, references by url and digests that the store lacks have nulls in the
-    store's columns.  Store columns named like an item's are left out.  Items without
+    store's columns.  Store columns named like an item's are left out, others keep whatever name they have.  Equal
+    references give equal rows; empty pages or an empty store give no items or nulls.  Items without
     a digest are dealt by their own place; references of a hot digest are spread over
     several parts, each of which has the store's row.
     """
     name = shared.fresh(parsed, "page")
     items = parsed.withColumn(name, F.monotonically_increasing_id()).select("page_id", F.col(name).alias("page"), F.explode("items").alias("i")).select("page_id", "page", "i.*")
-    rest = [c for c in store.columns if c not in ITEM_COLUMNS]
-    key, part = "item_key", "item_part"
+    taken = {c.lower() for c in ITEM_COLUMNS}
+    rest = [c for c in store.columns if c.lower() not in taken]
+    key, part = (shared.fresh_of([*ITEM_COLUMNS, *rest], c) for c in ("item_key", "item_part"))
     own = F.coalesce("digest", F.concat_ws(":", F.lit("no digest"), "page", "position"))
     rows, kept = items.withColumn(key, own), store.select(F.col("digest").alias(key), *rest)
     on = [key]
@@ -293,7 +295,10 @@ def resolve(parsed: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def assemble(items: DataFrame) -> DataFrame:
-    """``page_id, items``: each page's items in order again, payload columns included; a page without items has no row."""
+    """``page_id, items``: each page's items in order again, payload columns included; a page without items has no row.
+
+    Items come by position; pages that share an id stay apart; an empty table gives no rows.
+    """
     rest = [c for c in items.columns if c not in ("page_id", "page", "position")]
     return items.groupBy("page_id", "page").agg(F.array_sort(F.collect_list(F.struct("position", *rest))).alias("items")).drop("page")
 

@@ -33,6 +33,7 @@ they are and no task gathers one token's entries.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,6 +208,11 @@ def _possible(i, n, j, m, threshold: int):
     return (100 + threshold) * (F.least(n - i, m - j) + (SHARED - 1)) >= threshold * (n + m)
 
 
+def _band(n, threshold: int):
+    """Bands of sizes, each as wide as the threshold allows linked sizes to differ; a little wider, for rounding."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / threshold) * 1.0001 + 1e-9)).cast("int") if threshold < 100 else n.cast("int") * 2
+
+
 def _candidates(pairs: DataFrame, heads: DataFrame, threshold: int) -> DataFrame:
     """Group pairs (g, h), one row a shared token, that share enough tokens and whose leaders' signatures allow it if alone.
 
@@ -261,9 +267,12 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, width: int =
     cells = entries.groupBy("token", "n", "pos").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     torn = cells.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
     cells = cut(cells.join(torn, "token"))
+    # linked sizes are within the threshold of each other: a size's band or the one above, never all cells of a token
     x, y = (cells.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "low", "high"))) for k in (1, 2))
+    x = x.withColumn("band", _band(F.col("n1"), threshold))
+    y = y.withColumn("band", F.explode(F.array(_band(F.col("n2"), threshold), _band(F.col("n2"), threshold) - 1)))
     apart = ~((F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2")))
-    cell_pairs = x.join(y, "token").where("n1 < n2 or n1 = n2 and pos1 <= pos2").where(apart).where(_possible(F.col("pos1"), F.col("n1"), F.col("pos2"), F.col("n2"), threshold)).select("token", "n1", "pos1", "n2", "pos2")
+    cell_pairs = x.join(y, ["token", "band"]).where("n1 < n2 or n1 = n2 and pos1 <= pos2").where(apart).where(_possible(F.col("pos1"), F.col("n1"), F.col("pos2"), F.col("n2"), threshold)).select("token", "n1", "pos1", "n2", "pos2")
     e1, e2 = (entries.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "gid", "low", "high"))) for k in (1, 2))
     group_pairs = cell_pairs.join(e1, ["token", "n1", "pos1"]).join(e2, ["token", "n2", "pos2"]).where(apart).where("n1 <> n2 or pos1 <> pos2 or gid1 < gid2").select(F.least("gid1", "gid2").alias("g"), F.greatest("gid1", "gid2").alias("h"))
     m1, m2 = (member.select(*(F.col(c).alias(f"{c}{k}") for c in ("gid", "sid", "component"))) for k in (1, 2))

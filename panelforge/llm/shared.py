@@ -57,7 +57,12 @@ def text_column(docs: DataFrame, text: str = "text"):
 
 def fresh(df: DataFrame, wanted: str) -> str:
     """A column name like ``wanted`` that ``df`` does not have."""
-    taken, name, k = {c.lower() for c in df.columns}, wanted, 0
+    return fresh_of(df.columns, wanted)
+
+
+def fresh_of(columns: list[str], wanted: str) -> str:
+    """A name like ``wanted`` that is not among ``columns``."""
+    taken, name, k = {c.lower() for c in columns}, wanted, 0
     while name.lower() in taken:
         k += 1
         name = f"{wanted}_{k}"

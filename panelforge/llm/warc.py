@@ -158,7 +158,8 @@ def fixity(primary: DataFrame, replica: DataFrame, *, id_col: str = "page_id", u
     tables: no records, all of the other side are lost or extra.  Other columns are not read.
     """
     rows = [hashed(d, id_col=id_col, url_col=url_col, body_col=body_col) for d in (primary, replica)]
-    bounds = ordered.bounds_of(rows[0], "page_id")
+    # the ids of both sides, so that no file holds much more than its share of either
+    bounds = ordered.bounds_of(rows[0].select("page_id").unionByName(rows[1].select("page_id")), "page_id")
     placed = [cut(layout(r, bounds, fanout)) for r in rows]
     nodes = [cut(tree(p)) for p in placed]
     found = audit(*placed, differing(*nodes))

@@ -306,53 +306,6 @@ def test_quality_on_held_out_rows(spark, corpus):
     assert quality.fit(mixed.where("doc_id is null or doc_id >= 0"), labels).constant is None
 
 
-def test_language_model_equals_plain_counts(spark):
-    rnd = random.Random(13)
-    rows = [(k, " ".join(rnd.choice(["alpha", "beta", "gamma", "Delta", "eps"]) for _ in range(rnd.randrange(0, 30)))) for k in range(40)] + [(40, None), (41, "--")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).repartition(3)
-    targets = spark.createDataFrame([(k,) for k in range(0, 40, 3)] + [(3,), (None,)], "doc_id long")
-    model = language_model.fit(df, targets, vocabulary=4, bits=16, prior=5.0)
-    out = {r.doc_id: r for r in language_model.score(language_model.mark_targets(df, targets), model).collect()}
-    words = {k: [w.lower() for w in (t or "").replace("--", "").split()] for k, t in rows}
-    total = Counter(w for ws in words.values() for w in ws)
-    assert len(model.vocabulary) <= 4
-    level = {w: math.floor(math.log2(c) * 64) for w, c in total.items()}
-    kept, used = set(), 0
-    for v in sorted(set(level.values()), reverse=True):
-        own = {w for w in level if level[w] == v}
-        if used + len(own) > 4:
-            break
-        kept |= own
-        used += len(own)
-    assert len(model.vocabulary) == len(kept)
-
-    def losses(k, docs):
-        single, context, pair = Counter(), Counter(), Counter()
-        for d in docs:
-            if d != k:
-                ws = [w if w in kept else "?" for w in words[d]]
-                for a, b in zip(["^", *ws], ws):
-                    single[b] += 1
-                    context[a] += 1
-                    pair[a, b] += 1
-        ws = [w if w in kept else "?" for w in words[k]]
-        n = sum(single.values())
-        return sum(-math.log((pair[a, b] + 5.0 * (single[b] + 1) / (n + len(kept) + 1)) / (context[a] + 5.0)) for a, b in zip(["^", *ws], ws)) / len(ws)
-
-    for k, ws in words.items():
-        assert out[k].n_tokens == len(ws)
-        if ws:
-            assert out[k].background_loss == pytest.approx(losses(k, words), rel=1e-9)
-            assert out[k].target_loss == pytest.approx(losses(k, [d for d in range(0, 40, 3)]), rel=1e-9)
-            assert out[k].difference == pytest.approx(out[k].background_loss - out[k].target_loss)
-        else:
-            assert out[k].difference is None
-    rows = awkward()
-    m = language_model.fit(frame(spark, rows), targets, bits=16)
-    assert language_model.score(frame(spark, rows), m).count() == len(rows)
-    assert language_model.fit(frame(spark, rows).where("false"), targets, bits=16).background.words.sum() == 0
-
-
 def test_images_are_lossless_and_checked():
     for raw in (b"", b"x" * 576, bytes(range(256)) * 9):
         payload = media.payload_of(raw)
@@ -603,7 +556,10 @@ def test_pipeline_removes_near_copies_of_five_word_shingles(spark, smoke):
     assert strict == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6}
 
 
-def test_language_model_keeps_all_words_of_the_corpus(spark, monkeypatch):
+@pytest.mark.parametrize("lanes", [512, 3])
+def test_language_model_keeps_all_words_of_the_corpus(spark, monkeypatch, lanes):
+    """Slices ask ranges directly, or in bundles where there are many ranges."""
+    monkeypatch.setattr(language_model, "LANES", lanes)
     monkeypatch.setattr(language_model, "SLICE_BYTES", 1 << 16)
     monkeypatch.setattr(language_model, "RANGE_BYTES", 1 << 17)
     rows = [(k, " ".join(f"w{(k * 700 + j) % 70000}" for j in range(1000))) for k in range(100)] + [(100, None), (101, "--"), (102, "w1 w2 w1 w2 new"), (None, "w1 w2")]
@@ -630,3 +586,12 @@ def test_language_model_keeps_all_words_of_the_corpus(spark, monkeypatch):
             want = sum(-math.log((pair[p] - own[2][p] + 5.0 * (single[p[1]] - own[0][p[1]] + 1) / (n + total + 1)) / (context[p[0]] - own[1][p[0]] + 5.0)) for p in zip(["^", *ws], ws)) / len(ws)
             assert got == pytest.approx(want, rel=1e-9)
     assert language_model.score_corpus(df.where("false"), targets).count() == 0
+
+
+def test_language_model_awkward_table(spark):
+    rows = awkward()
+    targets = spark.createDataFrame([(1,), (None,)], "doc_id long")
+    odd = frame(spark, rows, ("words_of", "counted", "slice", "keys", "target_id", "__text", "__slice", "lane"))
+    out = language_model.score_corpus(odd, targets)
+    assert out.count() == len(rows) and out.where("words_of = 'kept' and counted = 'kept' and slice = 'kept' and lane = 'kept'").count() == len(rows)
+    assert out.where("n_tokens = 0 and difference is null").count() == sum(not (r[1] or "").strip() or r[1] in ("--",) for r in rows)
