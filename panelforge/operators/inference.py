@@ -92,9 +92,9 @@ def fwer(regions: DataFrame, null: DataFrame, z: str = "z", statistic: str = "ma
 
 
 def borderline(df: DataFrame, name: str = "p_fwer", level: float = 0.05):
-    """How many p lie strictly on one side of ``level`` but within two standard errors of the other."""
+    """How many p lie within two of their standard errors of ``level``, those equal to it included."""
     p, e = F.col(name), F.col(f"{name}_mcse")
-    return df.agg(F.sum((((p < level) & (p + 2 * e > level)) | ((p > level) & (p - 2 * e < level))).cast("long")).alias("borderline"))
+    return df.agg(F.sum(((p - 2 * e < level) & (p + 2 * e > level)).cast("long")).alias("borderline"))
 
 
 def bh(df: DataFrame, p: str = "p", name: str = "fdr") -> DataFrame:
@@ -102,10 +102,10 @@ def bh(df: DataFrame, p: str = "p", name: str = "fdr") -> DataFrame:
 
     Equal p share an adjusted p, so distinct values with their counts are enough;
     cumulative counts and reverse running minima are taken in ranges of p and
-    joined by one row a range.
+    joined by one row a range.  A null or NaN p is no test and gets none back.
     """
     spark = df.sparkSession
-    g = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
+    g = df.where(F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = g.agg(F.percentile_approx("__p", [k / parts for k in range(1, parts)], 10000).alias("q")).first()["q"] if parts > 1 else []
     g = g.withColumn("__r", hashing.rising_range(F.col("__p"), sorted(set(bounds or []))))

@@ -99,6 +99,21 @@ def fit_panel(panel: DataFrame, slopes: Slopes, values: str = "m", keep: tuple[s
     return panel.select(*keep, values).mapInArrow(run, f"{types}, betas array<double>")
 
 
+def residual_panel(panel: DataFrame, basis: np.ndarray, values: str = "m", keep: tuple[str, ...] = ("probe", "chr", "pos")) -> DataFrame:
+    """Every row of ``values`` less its projection on the basis."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                m = within.matrix_of(batch.column(len(keep)))
+                r = m - (m @ basis) @ basis.T
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, r.size + 1, r.shape[1], dtype=np.int32)), pa.array(r.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists], names=[*keep, values])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.select(*keep).schema)
+    return panel.select(*keep, values).mapInArrow(run, f"{types}, `{values}` array<double>")
+
+
 def dominance(points: DataFrame, queries: DataFrame, level: str, value: str, name: str = "hits", parts: int = 64) -> DataFrame:
     """``queries`` with ``name``: how many points have at least their level and at least their value.
 

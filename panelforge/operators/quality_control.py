@@ -21,8 +21,10 @@ def m_to_beta(m: Column) -> Column:
 
 
 def is_beta(df: DataFrame, value: str) -> bool:
-    """Whether all finite values lie in [0, 1]."""
-    row = df.agg(F.min(value).alias("lo"), F.max(F.when(~F.isnan(value), F.col(value))).alias("hi")).first()
+    """Whether all finite values lie in [0, 1]; missing and infinite ones say nothing."""
+    v = F.col(value).cast("double")
+    finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    row = df.agg(F.min(finite).alias("lo"), F.max(finite).alias("hi")).first()
     return row["lo"] is not None and row["lo"] >= 0 and row["hi"] <= 1
 
 
@@ -43,15 +45,23 @@ def code_exposure(df: DataFrame, column: str, name: str = "exposure") -> DataFra
 
 def varying(df: DataFrame, columns: list[str]) -> list[str]:
     """The columns with more than one distinct value."""
+    if not columns:
+        return []
     row = df.agg(*(F.countDistinct(c).alias(c) for c in columns)).first()
     return [c for c in columns if row[c] > 1]
 
 
-def sample_qc(intensities: DataFrame, sample: str = "sample", meth: str = "meth", unmeth: str = "unmeth", detp: str = "detp", *, least: float = 10.5, detp_max: float = 0.01, frac_max: float = 0.05) -> DataFrame:
-    """Median log2 intensities, share of failed probes and the failure flag of each sample."""
-    g = intensities.groupBy(sample).agg(F.percentile(F.log2(meth), 0.5).alias("m_med"), F.percentile(F.log2(unmeth), 0.5).alias("u_med"), F.avg((F.col(detp) > detp_max).cast("double")).alias("frac_failed"))
+def sample_qc(intensities: DataFrame, sample: str = "sample", meth: str = "meth", unmeth: str = "unmeth", detp: str = "detp", *, least: float = 10.5, detp_max: float = 0.01, frac_max: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
+    """Median log2 intensities, share of failed probes and the failure flag of each sample (of each ``by``).
+
+    A sample without any intensity or detection p cannot be judged: it fails, and ``reason`` says why
+    (``no intensity``, ``no detection p``, ``low intensity``, ``detection``; null for a sample that passes).
+    """
+    g = intensities.groupBy(*by, sample).agg(F.percentile(F.log2(meth), 0.5).alias("m_med"), F.percentile(F.log2(unmeth), 0.5).alias("u_med"), F.avg((F.col(detp) > detp_max).cast("double")).alias("frac_failed"))
     g = g.withColumn("qc_mean", (F.col("m_med") + F.col("u_med")) / 2)
-    return g.withColumn("sample_fail", (F.col("qc_mean") < least) | (F.col("frac_failed") > frac_max))
+    low, lost = F.col("qc_mean") < least, F.col("frac_failed") > frac_max
+    reason = F.when(F.col("qc_mean").isNull(), "no intensity").when(F.col("frac_failed").isNull(), "no detection p").when(low, "low intensity").when(lost, "detection")
+    return g.withColumn("reason", reason).withColumn("sample_fail", F.col("reason").isNotNull())
 
 
 def detection_p(intensity: Column, mean: Column, sd: Column) -> Column:
@@ -78,10 +88,67 @@ def control_detection(intensities: DataFrame, controls: DataFrame, channel: str
     return intensities.join(row, "sample", "left").withColumn(name, detection_p(F.col("meth") + F.col("unmeth"), value["mid"], value["sd"])).drop(*pick)
 
 
-def predict_sex(df: DataFrame, sample: str = "sample", chrom: str = "chr", copy_number: str = "cn", cutoff: float = -2.0) -> DataFrame:
-    """F where median CN(Y) - median CN(X) is below the cut-off, else M."""
-    g = df.groupBy(sample).agg(F.percentile(F.when(F.col(chrom) == "X", F.col(copy_number)), 0.5).alias("x"), F.percentile(F.when(F.col(chrom) == "Y", F.col(copy_number)), 0.5).alias("y"))
-    return g.withColumn("predicted_sex", F.when(F.col("y") - F.col("x") < cutoff, "F").otherwise("M"))
+def spread_of(df: DataFrame, value: str, by: tuple[str, ...], clip: float = 1.5) -> DataFrame:
+    """``mid, sd, mean`` of each group: the median, 1.4826 times the median absolute deviation, and the mean of values drawn in to ``clip`` of these around it."""
+    mid = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("mid"))
+    sd = df.join(mid, [*by]).groupBy(*by, "mid").agg((F.percentile(F.abs(F.col(value) - F.col("mid")), 0.5) * 1.4826).alias("sd"))
+    drawn = F.least(F.greatest(F.col(value), F.col("mid") - clip * F.col("sd")), F.col("mid") + clip * F.col("sd"))
+    return df.join(sd, [*by]).groupBy(*by, "mid", "sd").agg(F.avg(drawn).alias("mean"))
+
+
+def excess_of_normal(z: Column) -> Column:
+    """z + phi(z) / Phi(z): the mean of a standard normal around ``z`` that is cut at 0.  No cancellation where z is far below 0."""
+    t, tail = -z, F.lit(0.0)
+    for k in range(30, 0, -1):  # the continued fraction of Mills' ratio
+        tail = F.lit(float(k)) / (t + tail) if k > 1 else tail
+    low = 1 / (t + tail)
+    u = 1 / (1 + 0.2316419 * F.abs(z))
+    poly = u * (0.319381530 + u * (-0.356563782 + u * (1.781477937 + u * (-1.821255978 + u * 1.330274429))))
+    density = F.exp(-z * z / 2) / F.sqrt(F.lit(2 * 3.141592653589793))
+    return F.when(z < -2, low).otherwise(z + density / F.when(z >= 0, 1 - density * poly).otherwise(density * poly))
+
+
+def normal_exponential(x: Column, mu: Column, sigma: Column, alpha: Column) -> Column:
+    """Expected signal in x = signal + background: the signal exponential with mean alpha, the background normal (mu, sigma)."""
+    m = x - mu - sigma * sigma / alpha
+    return F.when(sigma > 0, sigma * excess_of_normal(m / sigma)).otherwise(F.greatest(x - mu, F.lit(0.0)))
+
+
+def background_corrected(intensities: DataFrame, out_of_band: DataFrame, normal: DataFrame | None = None, *, offset: float = 15.0, channel: str = "channel") -> DataFrame:
+    """``intensities`` with meth and unmeth corrected for background and, with ``normal``, for the dyes' different brightness.
+
+    ``out_of_band``: sample, channel (Grn or Red), intensity measured in a probe's other colour; its robust centre and spread are
+    the background of the sample's channel.  The signal's mean is the robust mean of the channel's own intensities above that, 10 at least.  A
+    one-colour probe is read in its channel, a two-colour one (null channel) has meth in Grn and unmeth in Red.
+    ``normal``: sample, channel, intensity of normalisation controls; red is scaled by the ratio of their means in
+    both colours.  A sample without out-of-band values keeps its intensities.
+    """
+    read = {"meth": F.coalesce(F.col(channel), F.lit("Grn")), "unmeth": F.coalesce(F.col(channel), F.lit("Red"))}
+    own = intensities.select("sample", F.explode(F.array(*(F.struct(c.alias("colour"), F.col(v).cast("double").alias("x")) for v, c in read.items()))).alias("r")).select("sample", "r.colour", "r.x")
+    back = spread_of(out_of_band.select("sample", F.col("channel").alias("colour"), F.col("intensity").cast("double").alias("x")), "x", ("sample", "colour"))
+    signal = spread_of(own, "x", ("sample", "colour")).select("sample", "colour", F.col("mean").alias("level"))
+    by_channel = back.join(signal, ["sample", "colour"]).withColumn("alpha", F.greatest(F.col("level") - F.col("mid"), F.lit(10.0)))
+    pick = {f"__{k}_{c}": F.max(F.when(F.col("colour") == c, F.col(k))) for c in ("Grn", "Red") for k in ("mid", "sd", "alpha")}
+    row = by_channel.groupBy("sample").agg(*(e.alias(n) for n, e in pick.items()))
+    if normal is not None:
+        each = {f"__bright_{c}": F.avg(F.when(F.col("channel") == c, F.col("intensity"))) for c in ("Grn", "Red")}
+        pick |= each
+        row = row.join(normal.groupBy("sample").agg(*(e.alias(n) for n, e in each.items())), "sample", "left")
+    out = intensities.join(row, "sample", "left")  # one row a sample
+    for v, c in read.items():
+        mu, sd, alpha = (F.when(c == "Grn", F.col(f"__{k}_Grn")).otherwise(F.col(f"__{k}_Red")) for k in ("mid", "sd", "alpha"))
+        value = normal_exponential(F.col(v).cast("double"), mu, sd, alpha) + offset
+        if normal is not None:
+            value = value * F.when(c == "Red", F.coalesce(F.col("__bright_Grn") / F.col("__bright_Red"), F.lit(1.0))).otherwise(F.lit(1.0))
+        out = out.withColumn(f"__{v}", F.when(mu.isNull(), F.col(v).cast("double")).otherwise(value))
+    return out.withColumns({v: F.col(f"__{v}") for v in read}).drop(*(f"__{v}" for v in read), *pick)
+
+
+def predict_sex(df: DataFrame, sample: str = "sample", chrom: str = "chr", copy_number: str = "cn", cutoff: float = -2.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """F where median CN(Y) - median CN(X) is below the cut-off, else M; null for a sample without probes of both."""
+    g = df.groupBy(*by, sample).agg(F.percentile(F.when(F.col(chrom) == "X", F.col(copy_number)), 0.5).alias("x"), F.percentile(F.when(F.col(chrom) == "Y", F.col(copy_number)), 0.5).alias("y"))
+    apart = F.col("y") - F.col("x")
+    return g.withColumn("predicted_sex", F.when(apart < cutoff, "F").when(apart >= cutoff, "M"))
 
 
 def sex_mismatch(a: Column, b: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import special
 from panelforge.functions.session import settled
+from panelforge.operators import quantiles
 
 KEEP = 1e-9
 
@@ -152,11 +153,19 @@ def prior_of(n: int, mean_log: float, var_log: float, df: float) -> tuple[float,
     return d0, math.exp(e + special.digamma(d0 / 2) - math.log(d0 / 2))
 
 
-def moderate(fits: DataFrame, df: float, s2: str = "s2", name: str = "s2_post") -> DataFrame:
-    """Empirical-Bayes variances: two moments of log variance reach the driver, the rest is a projection."""
+def prior_from(fits: DataFrame, df: float, s2: str = "s2") -> tuple[float, float] | None:
+    """The prior of a table of variances: two moments of their logarithms reach the driver."""
     log = F.log(F.col(s2))
     row = fits.where((F.col(s2) > 0) & (F.col(s2) != float("inf"))).agg(F.count("*").alias("n"), F.avg(log).alias("m"), F.var_samp(log).alias("v")).first()
-    prior = prior_of(row["n"], row["m"], row["v"], df) if row["n"] >= 100 else None
+    return prior_of(row["n"], row["m"], row["v"], df) if row["n"] >= 100 else None
+
+
+def moderate(fits: DataFrame, df: float, s2: str = "s2", name: str = "s2_post") -> DataFrame:
+    """Empirical-Bayes variances under :func:`prior_from`; as they are where there are too few."""
+    return drawn_to(fits, prior_from(fits, df, s2), df, s2, name)
+
+
+def drawn_to(fits: DataFrame, prior: tuple[float, float] | None, df: float, s2: str = "s2", name: str = "s2_post") -> DataFrame:
     if prior is None:
         return fits.withColumn(name, F.col(s2))
     d0, s0 = prior
@@ -195,9 +204,10 @@ def moderate_robust(fits: DataFrame, df: float, s2: str = "s2", name: str = "s2_
 
     log = F.log(F.col(s2))
     ok = fits.where((F.col(s2) > 0) & (F.col(s2) != float("inf")))
-    n, q = ok.agg(F.count("*"), F.percentile(log, [TAILS[0], 1 - TAILS[1]])).first()
+    n = ok.count()
     if n < 100:
         return fits.withColumn("df_prior", F.lit(0.0)).withColumn(name, F.col(s2))
+    q = quantiles.quantiles(ok.select(log.alias("log")), "log", [TAILS[0], 1 - TAILS[1]])
     drawn = F.least(F.greatest(log, F.lit(q[0])), F.lit(q[1]))
     mean, var, top = ok.agg(F.avg(drawn), F.var_samp(drawn), F.max(s2)).first()
     d0, s0 = robust_prior(n, mean, var, df)
@@ -276,70 +286,114 @@ def with_z(fits: DataFrame, unit: float, variance: str = "s2_post") -> DataFrame
     return fits.withColumn("se", se).withColumn("z", F.when(F.col("se") > 0, F.col("beta") / F.col("se")).otherwise(0.0))
 
 
-def consensus_correlation(panel: DataFrame, subject: list, values: str = "m", trim: float = 0.15) -> float:
-    """Consensus within-subject correlation: each probe's moment intraclass correlation, trimmed mean of atanh.
+class BlockREML:
+    """Within-subject correlation of many probes by REML: y = X b + u(subject) + e, e with variance over the sample's weight.
 
-    An approximation by moments of the REML estimate.  Quantiles and one mean reach the driver.
+    The design is projected out and the subjects' part rotated to its eigenvectors once; in these coordinates a probe's values are
+    independent with variances s2 (1 + lambda d), so its likelihood is a function of lambda alone.
     """
-    _, code = np.unique(np.asarray(subject, dtype=str), return_inverse=True)
-    size = np.bincount(code)
-    n, g = len(code), len(size)
-    n0 = (n - (size**2).sum() / n) / max(g - 1, 1)
+
+    def __init__(self, subject: list, other: np.ndarray, weights=None):
+        root = np.ones(len(subject)) if weights is None else np.sqrt(np.asarray(weights, float))
+        levels, code = np.unique(np.asarray(subject, dtype=str), return_inverse=True)
+        z = np.zeros((len(code), len(levels)))
+        z[np.arange(len(code)), code] = root
+        x = np.asarray(other, float) * root[:, None]
+        u, s, _ = np.linalg.svd(x, full_matrices=True)
+        left = u[:, int((s > 1e-9 * s.max()).sum()) :]  # an orthonormal basis of what the design leaves
+        d, v = np.linalg.eigh(left.T @ z @ z.T @ left)
+        self.d = np.maximum(d, 0.0)
+        self.rotate = root[:, None] * (left @ v)
+        most = np.bincount(code).max()
+        self.least, self.most = (-1 / (most - 1) + 0.01 if most > 1 else 0.0), 0.99
+        self.free = len(self.d)
+
+    def _deviance(self, t2: np.ndarray, lam: np.ndarray) -> np.ndarray:
+        """-2 log REML of each row at its own lambda, up to a constant."""
+        scale = 1 + lam[:, None] * self.d
+        return self.free * np.log(np.maximum((t2 / scale).sum(axis=1), 1e-300)) + np.log(scale).sum(axis=1)
+
+    def of(self, m: np.ndarray, steps: int = 48) -> np.ndarray:
+        """The correlation lambda / (1 + lambda) of each row: the best of a grid, then golden sections around it."""
+        t2 = (m @ self.rotate) ** 2
+        edge = -0.999 / self.d.max()  # variances stay positive: lambda > -1 / d
+        low = max(self.least, edge / (1 + edge)) if edge > -1 else self.least
+        grid = np.linspace(low, self.most, 60)
+        dev = np.stack([self._deviance(t2, np.full(len(t2), r / (1 - r))) for r in grid], axis=1)
+        k = dev.argmin(axis=1)
+        a, b = grid[np.maximum(k - 1, 0)], grid[np.minimum(k + 1, len(grid) - 1)]
+        g = (math.sqrt(5) - 1) / 2
+        for _ in range(steps):
+            p, q = b - g * (b - a), a + g * (b - a)
+            left = self._deviance(t2, p / (1 - p)) < self._deviance(t2, q / (1 - q))
+            a, b = np.where(left, a, p), np.where(left, q, b)
+        return np.where(t2.sum(axis=1) > 0, (a + b) / 2, np.nan)
+
+
+def consensus_correlation(panel: DataFrame, subject: list, values: str = "m", trim: float = 0.15, exposure: list[float] | None = None, covariates=None, weights=None) -> float:
+    """Consensus within-subject correlation: every probe's REML estimate beside the design, trimmed mean of atanh.
+
+    The design is an intercept, the exposure and the covariates (array indicators among them); ``weights``: precision of each
+    sample.  Estimates are exact to 1e-8; quantiles and one mean reach the driver.  0 where no sample shares its subject.
+    """
+    parts = [np.ones(len(subject)), *([exposure] if exposure is not None else []), *([np.asarray(covariates, float)] if covariates is not None and np.size(covariates) else [])]
+    reml = BlockREML(subject, np.column_stack(parts), weights)
+    if reml.free < 2 or not reml.d.max() > 0:
+        return 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                m = matrix_of(batch.column(0))
-                means = np.stack([m[:, code == k].mean(axis=1) for k in range(g)], axis=1)
-                within = ((m - means[:, code]) ** 2).sum(axis=1) / max(n - g, 1)
-                between = (size * (means - m.mean(axis=1, keepdims=True)) ** 2).sum(axis=1) / max(g - 1, 1)
-                sb = (between - within) / n0
-                yield pa.RecordBatch.from_arrays([pa.array(np.arctanh(np.clip(sb / np.maximum(sb + within, 1e-300), -0.99, 0.99)))], names=["a"])
+            for at in range(0, batch.num_rows, 2048):
+                r = reml.of(matrix_of(batch.column(0).slice(at, 2048)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arctanh(np.clip(r, -0.99, 0.99)))], names=["a"])
 
-    a = panel.select(values).mapInArrow(run, "a double")
-    lo, hi = a.agg(F.percentile("a", [trim, 1 - trim])).first()[0]
-    return math.tanh(a.where(F.col("a").between(lo, hi)).agg(F.avg("a")).first()[0])
+    a = settled(panel.select(values).mapInArrow(run, "a double"))
+    mean = quantiles.trimmed_mean(a, "a", trim)
+    return 0.0 if mean is None else math.tanh(mean)
 
 
 def fit_gls(panel: DataFrame, exposure: list[float], subject: list, covariates=None, rho: float | None = None, values: str = "m", keep: tuple[str, ...] = ("probe", "chr", "pos"), weights=None, robust: bool = False) -> DataFrame:
-    """GLS with a compound-symmetric correlation within subjects: ``beta, se, t, p`` with moderated variances.
+    """GLS with a compound-symmetric correlation within subjects: ``beta, se, t, p``, ``s2`` (as fitted) with moderated variances.
 
-    ``weights``: precision of each sample.  ``robust``: the prior of ``moderate_robust``, and p by residual and prior
-    degrees of freedom together (at most those of all rows); otherwise p by residual ones.
+    ``covariates``: samples by columns, an array's indicators among them.  ``weights``: precision of each sample.
+    ``robust``: the prior of ``moderate_robust``.  p takes residual and prior degrees of freedom together (at most those of all rows).
+    ValueError where the other columns hold the exposure.
 
-    The design (intercept, exposure, covariates) and the data are whitened by one
-    Cholesky factor, then fitted in blocks of rows.
+    Design and data are whitened by one Cholesky factor; the other columns are projected out, so a block of rows is one product.
     """
-    rho = consensus_correlation(panel, subject, values) if rho is None else rho
-    x = np.column_stack([np.ones(len(exposure)), exposure, *([np.asarray(covariates, float)] if covariates is not None else [])])
+    from panelforge.operators import pooled
+
+    rho = consensus_correlation(panel, subject, values, exposure=exposure, covariates=covariates, weights=weights) if rho is None else rho
     same = np.asarray(subject, dtype=str)
-    v = np.where(same[:, None] == same[None, :], max(rho, 0.0), 0.0)
+    v = np.where(same[:, None] == same[None, :], rho, 0.0)
     np.fill_diagonal(v, 1.0)
     if weights is not None:
         root = np.sqrt(np.asarray(weights, float))
         v = v / np.outer(root, root)
     white = np.linalg.inv(np.linalg.cholesky(v))
-    xw = white @ x
-    inverse = special.pseudo_inverse(xw.T @ xw)
-    project, df, unit = xw @ inverse, x.shape[0] - np.linalg.matrix_rank(x), float(inverse[1, 1])
+    slopes = pooled.Slopes(white @ np.asarray(exposure, float), white @ pooled.others(len(exposure), covariates))
+    if not slopes.known[0] or slopes.df <= 0:
+        raise ValueError("the exposure is not identified beside the other columns")
+    df = slopes.df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 mw = matrix_of(batch.column(len(keep))) @ white.T
-                b = mw @ project
-                s2 = ((mw - b @ xw.T) ** 2).sum(axis=1) / df
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(b[:, 1]), pa.array(s2)], names=[*keep, "beta", "s2"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(slopes.of(mw)[:, 0]), pa.array(slopes.variance(mw))], names=[*keep, "beta", "s2"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.select(*keep).schema)
-    fits = panel.select(*keep, values).mapInArrow(run, f"{types}, beta double, s2 double")
-    fits = settled(fits) if robust else fits
-    post = moderate_robust(fits, df) if robust else moderate(fits, df).withColumn("df_prior", F.lit(0.0))
-    most = float(df) * fits.count() if robust else float(df)
-    done = with_z(post, unit).withColumnRenamed("z", "t").withColumn("__df", F.least(F.lit(float(df)) + F.col("df_prior"), F.lit(most)))
+    fits = settled(panel.select(*keep, values).mapInArrow(run, f"{types}, beta double, s2 double"))
+    if robust:
+        post = moderate_robust(fits, df)
+    else:
+        prior = prior_from(fits, df)
+        post = drawn_to(fits, prior, df).withColumn("df_prior", F.lit(float(prior[0]) if prior else 0.0))
+    most = float(df) * fits.count()
+    done = with_z(post, float(slopes.unit[0])).withColumnRenamed("z", "t").withColumn("__df", F.least(F.lit(float(df)) + F.col("df_prior"), F.lit(most)))
 
     @F.pandas_udf("double")
     def tail(t: pd.Series, free: pd.Series) -> pd.Series:
         return pd.Series(special.t_two_sided_array(t.to_numpy(float), free.to_numpy(float)))
 
-    return done.withColumn("p", tail("t", "__df")).select(*keep, "beta", "se", "t", "p")
+    return done.withColumn("p", tail("t", "__df")).select(*keep, "beta", "se", "t", "p", "s2")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from panelforge.operators import pooled, regions
+from panelforge.operators import genome, pooled, quantiles, regions, scan, within
+from panelforge.panel import Panel
+from panelforge.plans import stages
 from panelforge.plans.oracles import LONG, _r
 from panelforge.plans.queries import N_PERM, r6
-from panelforge.sources import adapters
+from panelforge.sources import adapters, tables
 
 CUTOFF, SEED, BLOCK_PERM = 0.015, 1, 20
 
@@ -52,7 +54,55 @@ def blockfinder_raw(spark, d):
     return b.select("chr", "start", "end", "l", "cluster_l", *(r6(c, c) for c in ("value", "area", "fwer", "fwer_area")))
 
 
-QUERIES = {f.__name__: f for f in (pooled_slopes, array_slopes, bumphunter_raw, blockfinder_raw)}
+RHO = 0.25
+
+
+def _panel(spark, d) -> Panel:
+    c = _covariate()
+    return Panel.of(adapters.panel_embeddings(spark, d), [{"subject": s, "exposure": e, "array": a, "c": c[i]} for i, (s, e, a) in enumerate(adapters.sheet_rows())])
+
+
+def joint_probe_slopes(spark, d):
+    """The mixed model's slopes and variances at a known correlation, joint (beside the array) and of each array."""
+    stats, _ = stages.probe_model(_panel(spark, d), "exposure", "subject", "array", ["c"], weighted=False, robust=False, rho=RHO)
+    return stats.select("fit", "probe", r6("beta", "beta"), r6("s2", "s2"))
+
+
+def covariate_residuals(spark, d):
+    """Residuals beside the covariate and the array, as three sums a probe that depend on their order."""
+    r = stages.covariate_residuals(_panel(spark, d), "exposure", "subject", "array", ["c"])
+    total = lambda f: F.aggregate(F.transform("m", f), F.lit(0.0), lambda s, x: s + x)
+    return r.select("probe", r6(total(lambda x, i: x * x), "squares"), r6(total(lambda x, i: x * (i % 4)), "by_visit"), r6(total(lambda x, i: x * i), "by_place"))
+
+
+def consensus_rho(spark, d):
+    """Consensus correlation beside the exposure and the array, without and with sample weights."""
+    p, s = adapters.panel_embeddings(spark, d), adapters.sheet_rows()
+    x, k = [e for _, e, _ in s], [v for v, _, _ in s]
+    extra = pooled.indicators([a for _, _, a in s])
+    own = within.sample_weights(p, x, extra)
+    rows = [("equal", within.consensus_correlation(p, k, exposure=x, covariates=extra)), ("weighted", within.consensus_correlation(p, k, exposure=x, covariates=extra, weights=own))]
+    return spark.createDataFrame(rows, "weights string, rho double").select("weights", r6("rho", "rho"))
+
+
+def quantile_table(spark, d):
+    """Exact quantiles of line prices and of event values by counts in bins."""
+    shares = [0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]
+    rows = []
+    for name, t, c in (("price", tables.table(spark, d, "lineitem"), "l_extendedprice"), ("value", tables.table(spark, d, "events"), "value"), ("size", tables.table(spark, d, "part"), "p_size")):
+        rows += [(name, q, v) for q, v in zip(shares, quantiles.quantiles(t, c, shares))]
+    return spark.createDataFrame(rows, "name string, share double, v double").select("name", "share", r6("v", "v"))
+
+
+def single_chromosome_islands(spark, d):
+    """All line items as one chromosome, scanned in pieces: gap clusters of order lines with their extents."""
+    li = tables.table(spark, d, "lineitem").select(F.lit(1).alias("chr"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.round("l_quantity").cast("long").alias("q"))
+    cuts = scan.cut_points(li, max(1000, li.count() // 24))
+    c = genome.gap_clusters(li, 5, "chr", "pos", cuts=cuts)
+    return c.groupBy(F.col("cluster").cast("long").alias("cluster")).agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n"), F.sum("q").alias("q"))
+
+
+QUERIES = {f.__name__: f for f in (pooled_slopes, array_slopes, bumphunter_raw, blockfinder_raw, joint_probe_slopes, covariate_residuals, consensus_rho, quantile_table, single_chromosome_islands)}
 
 _SAMPLES = """smp AS (SELECT CAST(i AS INTEGER) AS sample, CAST(i % 4 AS DOUBLE) AS x, CAST((i * i) % 5 AS DOUBLE) AS c, CASE WHEN i < 40 THEN '450K' ELSE 'EPIC' END AS platform FROM range(64) t(i))"""
 
@@ -91,7 +141,27 @@ ma AS (SELECT platform, sum(x * x) AS xx, sum(x * c) AS xc, sum(c * c) AS cc FRO
 own AS (SELECT l.probe, l.chr, l.pos, ca.platform, (any_value(cc) * sum(ca.x * l.value) - any_value(xc) * sum(ca.c * l.value)) / (any_value(xx) * any_value(cc) - any_value(xc) * any_value(xc)) AS b
         FROM long l JOIN ca ON ca.sample = l.sample JOIN ma ON ma.platform = ca.platform GROUP BY 1, 2, 3, 4)"""
 
+# Whitened by 1 - sqrt((1 - rho) / (1 + (n - 1) rho)) of the subject's mean, then a variance of 1 - rho: subjects all have 4 visits.
+_FITS = """fits AS (SELECT * FROM (VALUES ('joint'), ('450K'), ('EPIC')) f(fit)),
+long2 AS (SELECT f.fit, l.probe, l.sample, l.platform, l.subject, l.exposure AS x, s.c, l.value AS y FROM long l JOIN smp s ON s.sample = l.sample JOIN fits f ON f.fit = 'joint' OR f.fit = l.platform),
+gls AS (SELECT fit, probe, platform, sample, (x - {k} * avg(x) OVER w) / {q} AS x, (c - {k} * avg(c) OVER w) / {q} AS c, (y - {k} * avg(y) OVER w) / {q} AS y FROM long2 WINDOW w AS (PARTITION BY fit, probe, subject)),
+mid AS (SELECT fit, probe, sample, x - avg(x) OVER w AS x, c - avg(c) OVER w AS c, y - avg(y) OVER w AS y, platform FROM gls WINDOW w AS (PARTITION BY fit, probe, platform)),
+two AS (SELECT fit, probe, sum(x * x) AS xx, sum(x * c) AS xc, sum(c * c) AS cc, sum(x * y) AS xy, sum(c * y) AS cy, sum(y * y) AS yy, count(*) - 2 - count(DISTINCT platform) AS df FROM mid GROUP BY 1, 2),
+sol AS (SELECT *, (cc * xy - xc * cy) / (xx * cc - xc * xc) AS b, (xx * cy - xc * xy) / (xx * cc - xc * xc) AS g FROM two)""".format(
+    k=f"(1 - sqrt((1 - {RHO}) / (1 + 3 * {RHO})))", q=f"sqrt(1 - {RHO})")
+
 ORACLES = {
+    "joint_probe_slopes": f"WITH {LONG}, {_SAMPLES}, {_FITS} SELECT fit, probe, {_r('b', 'beta')}, {_r('(yy - b * xy - g * cy) / df', 's2')} FROM sol",
+    "covariate_residuals": f"""WITH {LONG}, {_SAMPLES}, cl AS (SELECT l.probe, l.sample, s.c - avg(s.c) OVER w AS c, l.value - avg(l.value) OVER w AS y FROM long l JOIN smp s ON s.sample = l.sample WINDOW w AS (PARTITION BY l.probe, l.platform)),
+      sl AS (SELECT probe, sum(c * y) / sum(c * c) AS g FROM cl GROUP BY 1), r AS (SELECT cl.probe, sample, y - g * c AS e FROM cl JOIN sl ON sl.probe = cl.probe)
+      SELECT probe, {_r('sum(e * e)', 'squares')}, {_r('sum(e * (sample % 4))', 'by_visit')}, {_r('sum(e * sample)', 'by_place')} FROM r GROUP BY 1""",
+    "quantile_table": "WITH s AS (SELECT unnest([0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]) AS share), "
+    + "t AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(share AS DOUBLE) AS share, (SELECT list(CAST({c} AS DOUBLE) ORDER BY {c}) FROM {t} WHERE {c} IS NOT NULL) AS v FROM s" for n, t, c in (("price", "lineitem", "l_extendedprice"), ("value", "events", "value"), ("size", "part", "p_size")))
+    + "), h AS (SELECT name, share, v, (len(v) - 1) * share AS h FROM t) "
+    + f"SELECT name, share, {_r('v[CAST(floor(h) AS BIGINT) + 1] + (v[CAST(ceil(h) AS BIGINT) + 1] - v[CAST(floor(h) AS BIGINT) + 1]) * (h - floor(h))', 'v')} FROM h",
+    "single_chromosome_islands": """WITH li AS (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS pos, CAST(round(l_quantity) AS BIGINT) AS q FROM lineitem),
+      g AS (SELECT *, pos - lag(pos) OVER (ORDER BY pos) AS gap FROM li), c AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 5 THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cluster FROM g)
+      SELECT CAST(cluster AS BIGINT) AS cluster, min(pos) AS "start", max(pos) AS "end", count(*) AS n, CAST(sum(q) AS BIGINT) AS q FROM c GROUP BY 1""",
     "pooled_slopes": f"WITH {LONG}, {_dealt(0)}, {_TWO} SELECT probe, chr, pos, {_r('b', 'slope')} FROM sl",
     "array_slopes": f"WITH {LONG}, {_ARRAY} SELECT probe, platform, {_r('b', 'slope')} FROM own",
     "bumphunter_raw": f"""WITH {LONG}, {_dealt(N_PERM)}, {_TWO}, {_bumps(CUTOFF, 300, N_PERM)}, {_ARRAY_TWO},

@@ -163,7 +163,7 @@ ORACLES = {
       SELECT probe, chr, gap, {_r("list_dot_product(r, p) / sqrt(list_dot_product(r, r) * list_dot_product(p, p))", "rho")} FROM adj WHERE gap <= 1000""",
     "documented_variants": "SELECT p_partkey AS probe, CAST(p_size % 24 AS VARCHAR) AS chr, p_partkey AS pos, p_size > 40 OR p_size < 5 AS documented_snp FROM part",
     "fwer_pvalues": f'WITH {STEPPED}, nl AS (SELECT k / 10 AS s FROM range(200) t(k)), p AS (SELECT chr, "start", (1 + (SELECT count(*) FROM nl WHERE s >= abs(round(effect / se, 3)))) / 201 AS p FROM regions) SELECT chr, "start", {_r("p", "p_fwer")}, {_r("sqrt(p * (1 - p) / 200)", "p_fwer_mcse")} FROM p',
-    "fwer_borderline": f'WITH {STEPPED}, nl AS (SELECT k / 10 AS s FROM range(200) t(k)), p AS (SELECT (1 + (SELECT count(*) FROM nl WHERE s >= abs(round(effect / se, 3)))) / 201 AS p FROM regions), m AS (SELECT p, 2 * sqrt(p * (1 - p) / 200) AS e FROM p) SELECT CAST(sum(CASE WHEN (p < 0.05 AND p + e > 0.05) OR (p > 0.05 AND p - e < 0.05) THEN 1 ELSE 0 END) AS BIGINT) AS borderline FROM m',
+    "fwer_borderline": f'WITH {STEPPED}, nl AS (SELECT k / 10 AS s FROM range(199) t(k)), p AS (SELECT (1 + (SELECT count(*) FROM nl WHERE s >= abs(round(effect / se, 3)))) / 200 AS p FROM regions), m AS (SELECT p, 2 * sqrt(p * (1 - p) / 199) AS e FROM p) SELECT CAST(sum(CASE WHEN p - e < 0.05 AND p + e > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS borderline FROM m',
     "bh_fdr": f"""WITH {TRACK}, p AS (SELECT chr, pos, 1000 / (1000 + abs(swb)) AS p FROM track), k AS (SELECT *, p * count(*) OVER () / rank() OVER (ORDER BY p DESC) AS unused, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM p),
       f AS (SELECT chr, pos, least(1.0, min(raw) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS fdr FROM k) SELECT chr, pos, {_r("fdr", "fdr")} FROM f""",
     "cross_array_agreement": f"WITH {LONG}, {_fit('long', 'probe, chr, pos, platform', 'value')}, w AS (SELECT probe, max(CASE WHEN platform = '450K' THEN round(beta, 9) END) AS a, max(CASE WHEN platform = 'EPIC' THEN round(beta, 9) END) AS b FROM fits GROUP BY 1) SELECT count(*) AS n, {_r('corr(a, b)', 'r')}, {_r('avg(CASE WHEN sign(a) = sign(b) THEN 1.0 ELSE 0 END)', 'sign_concordance')} FROM w WHERE a IS NOT NULL AND b IS NOT NULL",

@@ -304,7 +304,7 @@ def fwer_pvalues(spark, d):
 
 def fwer_borderline(spark, d):
     reg = genome.call_regions(_stepped(spark, d), 2, 0.05, cluster="cluster").select("chr", "start", F.round("z", 3).alias("z"))
-    return inference.borderline(inference.fwer(reg, spark.range(200).select((F.col("id") / 10).alias("max_abs_z"))))
+    return inference.borderline(inference.fwer(reg, spark.range(199).select((F.col("id") / 10).alias("max_abs_z"))))
 
 
 def bh_fdr(spark, d):
@@ -560,7 +560,7 @@ def harmonised_panel(spark, d):
     li = tables.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("probe")).agg((F.sum(F.round("l_quantity")) * 1000).alias("meth"), (F.sum(F.round("l_quantity")) * 500 + 7).alias("unmeth"), (F.min("l_tax") / 4).alias("detp"))
     ann = tables.table(spark, d, "part").select(F.col("p_partkey").alias("probe"), (F.col("p_size") % 24).cast("string").alias("chr"), F.col("p_partkey").alias("pos"))
     panel, _, _ = stages.harmonise(li, ann, detp_frac=0.5, detp_max=0.0199)
-    return panel.select("probe", "chr", F.size("m").alias("samples"), r6(F.aggregate("m", F.lit(0.0), lambda s, x: s + x) / F.size("m"), "mean_m"))
+    return panel.select("probe", "chr", F.size(F.filter("m", lambda x: x.isNotNull())).alias("samples"), r6(F.aggregate("m", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / F.size(F.filter("m", lambda x: x.isNotNull())), "mean_m"))
 
 
 def _two_arrays(spark, d):
@@ -579,7 +579,7 @@ def _two_arrays(spark, d):
 def harmonised_arrays(spark, d):
     """The bound panel of both arrays."""
     panel, _, _ = _two_arrays(spark, d)
-    return panel.select("probe", "chr", F.size("m").alias("samples"), r6(F.aggregate("m", F.lit(0.0), lambda s, x: s + x) / F.size("m"), "mean_m"))
+    return panel.select("probe", "chr", F.size(F.filter("m", lambda x: x.isNotNull())).alias("samples"), r6(F.aggregate("m", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / F.size(F.filter("m", lambda x: x.isNotNull())), "mean_m"))
 
 
 def harmonised_samples(spark, d):

@@ -2,66 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.session import settled
-from panelforge.operators import compare, genome, inference, quality_control, within
+from panelforge.operators import compare, genome, inference, pooled, quality_control, within
 from panelforge.panel import Panel, design_matrix
 from panelforge.sources import tables
 
 
+def _bound(rows: DataFrame, order: DataFrame, keys: list[str]) -> DataFrame:
+    """``probe, m``: one array a probe over all samples of ``order`` (keys, ``ordinal``); a value that a sample lacks is null.
+
+    The samples are few (one row each); most probes have all of them and need no lookup.  A probe that one sample has twice is an error.
+    """
+    n = order.count()
+    v = rows.join(F.broadcast(order), keys).groupBy("probe").agg(F.array_sort(F.collect_list(F.struct("ordinal", "m"))).alias("v"))
+    twice = F.size("v") > F.size(F.array_distinct(F.transform("v", lambda x: x["ordinal"])))
+    padded = F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), lambda i: F.element_at(F.map_from_entries("v"), i))
+    whole = F.when(F.size("v") == n, F.transform("v", lambda x: x["m"])).otherwise(padded)
+    return v.select("probe", F.when(twice, F.raise_error("a sample has a probe twice")).otherwise(whole).alias("m"))
+
+
+def _ordered(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """The samples numbered from 0 in the order of their keys: one row each."""
+    return samples.select(*keys).distinct().withColumn("ordinal", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("int"))
+
+
 def harmonise(intensities: DataFrame, annotation: DataFrame, *, detp: DataFrame | None = None, detp_frac: float = 0.05, detp_max: float = 0.01, drop_sex: bool = True, cross_reactive: DataFrame | None = None, offset: float = 100.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(panel, sample QC, probe audit) from ``sample, probe, meth, unmeth, detp`` rows.
 
-    Samples that fail go before probes are judged; probes are joined by name; the
-    panel's arrays follow the order of sample names.
+    Samples that fail (or cannot be judged: ``reason`` says so) go before probes are judged; probes are joined by name.
+    The panel's arrays have one entry for each kept sample, in the order of their names; a missing value is null.
     """
-    qc = quality_control.sample_qc(intensities, detp_max=detp_max, frac_max=detp_frac)
-    kept = intensities.join(qc.where("not sample_fail").select("sample"), "sample", "left_semi")
+    qc = settled(quality_control.sample_qc(intensities, detp_max=detp_max, frac_max=detp_frac))
+    good = qc.where("not sample_fail").select("sample")
+    kept = intensities.join(good, "sample", "left_semi")
     audit = quality_control.probe_audit(annotation, detp or kept.select("probe", "detp"), cross_reactive=cross_reactive, detp_max=detp_max, drop_sex=drop_sex)
     beta = kept.join(audit.where("kept").select("probe"), "probe", "left_semi").withColumn("beta", F.col("meth") / (F.col("meth") + F.col("unmeth") + offset))
-    m = beta.groupBy("probe").agg(F.array_sort(F.collect_list(F.struct("sample", quality_control.beta_to_m(F.col("beta")).alias("m")))).alias("v"))
-    panel = annotation.join(m, "probe").select("probe", "chr", "pos", F.transform("v", lambda x: x["m"]).alias("m"))
+    rows = _bound(beta.select("sample", "probe", quality_control.beta_to_m(F.col("beta")).alias("m")), _ordered(good, ["sample"]), ["sample"])
+    panel = annotation.join(rows, "probe").select("probe", "chr", "pos", "m")
     return panel, qc, audit
 
 
-def harmonise_arrays(arrays: dict[str, DataFrame], annotation: DataFrame, *, controls: dict[str, DataFrame] | None = None, sheet: DataFrame | None = None, detp_frac: float = 0.05, detp_max: float = 0.01, least: float = 10.5, sex_cutoff: float = -2.0, drop_sex: bool = True, cross_reactive: DataFrame | None = None, offset: float = 100.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def harmonise_arrays(arrays: dict[str, DataFrame], annotation: DataFrame, *, controls: dict[str, DataFrame] | None = None, out_of_band: dict[str, DataFrame] | None = None, normal: dict[str, DataFrame] | None = None, sheet: DataFrame | None = None, detp_frac: float = 0.05, detp_max: float = 0.01, least: float = 10.5, sex_cutoff: float = -2.0, drop_sex: bool = True, cross_reactive: DataFrame | None = None, offset: float = 100.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(panel, sample QC, probe audit) of several arrays bound on the probes that all of them have.
 
     ``arrays``: name to ``sample, probe, meth, unmeth`` with ``detp``, or with ``channel`` where ``controls`` (name to
-    ``sample, channel, intensity``) give the detection p.  ``sheet``: ``sample, sex`` as told, compared with the sex
-    that the X and Y probes show; a sample that is not in it has a null mismatch.  Samples are judged on all probes of
-    their own array; samples that fail go before probes are judged, sex mismatches stay and are marked.  Panel rows
-    hold the values ``m`` in the order of ``samples``; a probe that one array lacks goes, a value that a sample lacks
-    is not in its row.
+    ``sample, channel, intensity``) give the detection p.  ``out_of_band`` and ``normal`` (the same form) correct
+    background and dyes before values are taken; detection and quality are judged on the raw intensities.
+    ``sheet``: ``sample, sex`` as told (and ``array``, if names occur on several), compared with the sex
+    that the X and Y probes show; null where either is unknown.  A scan is a sample on an array: one name on two arrays is two
+    scans.  Scans are judged on all probes of their own array; those that fail, or cannot be judged, go before
+    probes are judged; sex mismatches stay and are marked.  Panel rows hold the values ``m`` in the
+    order of ``samples`` (names) and ``scanned`` (arrays); a probe that one array lacks goes, a value that a scan lacks is null.
     """
     sides = []
     for name, df in arrays.items():
-        if controls is not None:
-            df = quality_control.control_detection(df, controls[name])
-        sides.append(df.select("sample", "probe", "meth", "unmeth", "detp", F.lit(name).alias("array")))
-    scans = compare.union_methods(*sides)
-    qc = scans.select("sample", "array").distinct().join(quality_control.sample_qc(scans, detp_max=detp_max, frac_max=detp_frac, least=least), "sample")
+        raw = quality_control.control_detection(df, controls[name]) if controls is not None else df
+        value = raw.withColumns({"__raw_m": F.col("meth"), "__raw_u": F.col("unmeth")})
+        if out_of_band is not None:
+            value = quality_control.background_corrected(value, out_of_band[name], None if normal is None else normal[name])
+        sides.append(value.select("sample", "probe", F.col("__raw_m").alias("meth"), F.col("__raw_u").alias("unmeth"), F.col("meth").alias("signal_m"), F.col("unmeth").alias("signal_u"), "detp", F.lit(name).alias("array")))
+    scans, scan = compare.union_methods(*sides), ["array", "sample"]
+    qc = quality_control.sample_qc(scans, detp_max=detp_max, frac_max=detp_frac, least=least, by=("array",))
     sex = annotation.select("probe", F.upper(F.regexp_replace("chr", "^chr", "")).alias("chr")).where("chr in ('X', 'Y')")
-    shown = quality_control.predict_sex(scans.join(sex, "probe").withColumn("cn", F.log2(F.col("meth") + F.col("unmeth"))), cutoff=sex_cutoff)
-    qc = qc.join(shown.select("sample", "predicted_sex"), "sample", "left")
+    shown = quality_control.predict_sex(scans.join(sex, "probe").withColumn("cn", F.log2(F.col("meth") + F.col("unmeth"))), cutoff=sex_cutoff, by=("array",))
+    qc = qc.join(shown.select(*scan, "predicted_sex"), scan, "left")
     if sheet is not None:
-        qc = qc.join(sheet.select("sample", "sex"), "sample", "left").withColumn("sex_mismatch", quality_control.sex_mismatch(F.col("sex"), F.col("predicted_sex")))
-    qc = settled(qc)  # a row a sample, read by the probes' filters, the panel and the caller
+        told = [c for c in scan if c in sheet.columns]
+        qc = qc.join(sheet.select(*told, "sex"), told, "left").withColumn("sex_mismatch", quality_control.sex_mismatch(F.col("sex"), F.col("predicted_sex")))
+    qc = settled(qc)  # a row a scan, read by the probes' filters, the panel and the caller
+    good = qc.where("not sample_fail").select(*scan)
     common = scans.groupBy("probe").agg(F.countDistinct("array").alias("held")).where(F.col("held") == len(arrays)).select("probe")
-    kept = scans.join(qc.where("not sample_fail").select("sample"), "sample", "left_semi").join(common, "probe", "left_semi")
+    kept = scans.join(good, scan, "left_semi").join(common, "probe", "left_semi")
     audit = quality_control.probe_audit(annotation.join(common, "probe", "left_semi"), kept.select("probe", "detp"), cross_reactive=cross_reactive, detp_max=detp_max, drop_sex=drop_sex)
-    m = kept.withColumn("m", quality_control.beta_to_m(F.col("meth") / (F.col("meth") + F.col("unmeth") + offset)))
-    rows = m.groupBy("probe").agg(F.array_sort(F.collect_list(F.struct("sample", "m"))).alias("v"))
-    panel = audit.where("kept").select("probe", "chr", "pos").join(rows, "probe")
-    return panel.select("probe", "chr", "pos", F.col("v.sample").alias("samples"), F.col("v.m").alias("m")), qc, audit
+    order = settled(_ordered(good, ["sample", "array"]))
+    m = kept.withColumn("m", quality_control.beta_to_m(F.col("signal_m") / (F.col("signal_m") + F.col("signal_u") + offset)))
+    rows = _bound(m.select(*scan, "probe", "m"), order, scan)
+    names = order.agg(F.array_sort(F.collect_list(F.struct("ordinal", "sample", "array"))).alias("o")).select(F.col("o.sample").alias("samples"), F.col("o.array").alias("scanned"))
+    panel = audit.where("kept").select("probe", "chr", "pos").join(rows, "probe").crossJoin(F.broadcast(names))  # one row: the scans' names
+    return panel.select("probe", "chr", "pos", "samples", "scanned", "m"), qc, audit
 
 
-def probe_model(panel: Panel, exposure, subject, array=None, covariates: list[str] = (), weighted: bool = True, robust: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(statistics, summary): joint and per-array GLS fits with FDR; one summary row a fit.
+def probe_model(panel: Panel, exposure, subject, array=None, covariates: list[str] = (), weighted: bool = True, robust: bool = True, rho: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(statistics, summary): joint and per-array mixed fits with FDR; one summary row a fit.
 
-    ``weighted``: samples count by their precision; ``robust``: the prior of variances withstands outliers.
+    The array is a fixed effect of the joint fit, so a shift between arrays does not pass for an effect.
+    ``weighted``: samples count by their precision; ``robust``: the prior of variances withstands outliers; ``rho``: a
+    known within-subject correlation instead of the consensus of REML estimates.
 
     Samples without the exposure or a covariate are left out; covariates that are
     constant among the samples of a fit go.
@@ -74,15 +104,24 @@ def probe_model(panel: Panel, exposure, subject, array=None, covariates: list[st
         at = list(at)
         part = within.take(panel.data, "m", at)
         x, k = [s[i][1] for i in at], [s[i][0] for i in at]
-        rho = within.consensus_correlation(part, k)
-        extra = design_matrix([panel.samples[i] for i in at], list(covariates))
+        columns = [c for c in (design_matrix([panel.samples[i] for i in at], list(covariates)), pooled.indicators([s[i][2] for i in at]) if name == "joint" else None) if c is not None and np.size(c)]
+        extra = np.hstack(columns) if columns else None
         weights = within.sample_weights(part, x, extra) if weighted else None
-        f = inference.bh(within.fit_gls(part, x, k, extra, rho=rho, weights=weights, robust=robust)).withColumn("fit", F.lit(name))
+        own = within.consensus_correlation(part, k, exposure=x, covariates=extra, weights=weights) if rho is None else rho
+        f = inference.bh(within.fit_gls(part, x, k, extra, rho=own, weights=weights, robust=robust)).withColumn("fit", F.lit(name))
         fits.append(f)
-        rows.append(f.agg(F.count("*").alias("n_probes"), F.sum((F.col("fdr") <= 0.05).cast("long")).alias("n_fdr05")).select(F.lit(name).alias("fit"), F.lit(len(at)).alias("n_samples"), F.lit(len(set(k))).alias("n_subjects"), F.lit(rho).alias("within_subject_cor"), "n_probes", "n_fdr05"))
+        rows.append(f.agg(F.count("*").alias("n_probes"), F.sum((F.col("fdr") < 0.05).cast("long")).alias("n_fdr05")).select(F.lit(name).alias("fit"), F.lit(len(at)).alias("n_samples"), F.lit(len(set(k))).alias("n_subjects"), F.lit(own).alias("within_subject_cor"), "n_probes", "n_fdr05"))
     return compare.union_methods(*fits), compare.union_methods(*rows)
 
 
+def covariate_residuals(panel: Panel, exposure, subject, array=None, covariates: list[str] = ()) -> DataFrame:
+    """``probe, chr, pos, m``: each probe's residuals beside intercept, covariates and array, the exposure left in."""
+    panel = panel.complete(*[c for c in (exposure, *covariates) if isinstance(c, str)])
+    s = panel.sheet(exposure, subject, array)
+    other = pooled.others(len(s), design_matrix(panel.samples, list(covariates)), [v[2] for v in s] if array is not None else None)
+    return pooled.residual_panel(panel.data, pooled.basis_of(other))
+
+
 def full_comparison(rows: list[DataFrame]) -> tuple[DataFrame, str]:
     """(table, Markdown report) of ``compare.method_row`` rows, with every column of the comparison."""
     table = compare.union_methods(*rows)
