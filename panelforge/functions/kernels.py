@@ -74,6 +74,17 @@ def penalty(pos: np.ndarray, lam0: float, decay: float, w: np.ndarray, floor: fl
     return np.maximum(lam0 * scale * np.exp(-np.diff(pos) / decay), floor)
 
 
+def segments(theta: np.ndarray, beta: np.ndarray, w: np.ndarray, min_probes: int, min_effect: float, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, effect, z) of the runs of constant ``theta`` with enough probes, weight and precision-weighted effect."""
+    first = np.flatnonzero(np.append(True, np.abs(np.diff(theta)) > tol))
+    n = np.diff(np.append(first, len(theta)))
+    sw, swb = np.add.reduceat(w, first), np.add.reduceat(w * beta, first)
+    effect = np.divide(swb, sw, out=np.zeros_like(sw), where=sw > 0)
+    keep = (n >= min_probes) & (sw > 0) & (np.abs(effect) >= min_effect)
+    first, n, effect, sw = first[keep], n[keep], effect[keep], sw[keep]
+    return first, first + n - 1, effect, effect * np.sqrt(sw)
+
+
 @dataclass
 class BlockModel:
     """Three states; the neutral one has mean zero."""
@@ -93,30 +104,94 @@ def transitions(distance: float, pi: np.ndarray, length_scale: float) -> np.ndar
     return stay * np.eye(len(pi)) + (1 - stay) * np.tile(pi, (len(pi), 1))
 
 
-def forward_backward(y: np.ndarray, se: np.ndarray, pos: np.ndarray, model: BlockModel) -> tuple[np.ndarray, float]:
-    """Posterior of the states of one chromosome's clusters, and its log likelihood.
+def emissions(y: np.ndarray, se: np.ndarray, model: BlockModel) -> np.ndarray:
+    """Densities of every cluster's effect under each state, floored."""
+    var = model.sigma[None, :] ** 2 + se[:, None] ** 2
+    return np.maximum(np.exp(-0.5 * (y[:, None] - model.mu) ** 2 / var) / np.sqrt(2 * np.pi * var), 1e-300)
+
+
+def stays(gap: np.ndarray, length_scale: float) -> np.ndarray:
+    """How surely the state goes on over each gap; 0 where there is no cluster before (a NaN gap), so that a chromosome begins at pi."""
+    return np.where(np.isnan(gap), 0.0, np.exp(-np.nan_to_num(gap) / length_scale))
+
+
+def _rows(b: np.ndarray, stay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The steps of a piece as rows of about as many steps as there are rows; steps that do nothing fill the last one."""
+    n = len(stay)
+    wide = max(1, math.isqrt(n))
+    k = -(-n // wide)
+    full_b, full_s = np.ones((k * wide, b.shape[1])), np.ones(k * wide)
+    full_b[:n], full_s[:n] = b, stay
+    return full_b.reshape(k, wide, -1), full_s.reshape(k, wide)
 
-    The transition is stay * I + (1 - stay) * 1 pi', so a step is two vector
-    products, never a matrix.
+
+def _row_products(b: np.ndarray, stay: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(product of each row's step operators, scaled to a largest entry of 1, the logarithm of the scale).
+
+    A step maps a row vector a to (stay a + (1 - stay) sum(a) pi) b; all rows go one step at a time.
     """
-    var = model.sigma[None, :] ** 2 + se[:, None] ** 2
-    b = np.maximum(np.exp(-0.5 * (y[:, None] - model.mu) ** 2 / var) / np.sqrt(2 * np.pi * var), 1e-300)
-    stay = np.exp(-np.diff(pos) / model.length_scale)
-    n = len(y)
-    alpha, scale = np.empty_like(b), np.empty(n)
-    a = model.pi * b[0]
-    scale[0] = a.sum()
-    alpha[0] = a / scale[0]
-    for i in range(1, n):
-        a = (stay[i - 1] * alpha[i - 1] + (1 - stay[i - 1]) * model.pi) * b[i]
-        scale[i] = a.sum()
-        alpha[i] = a / scale[i]
-    beta = np.ones_like(b)
-    for i in range(n - 2, -1, -1):
-        v = b[i + 1] * beta[i + 1] / scale[i + 1]
-        beta[i] = stay[i] * v + (1 - stay[i]) * (model.pi @ v)
-    g = alpha * beta
-    return g / g.sum(axis=1, keepdims=True), float(np.log(scale).sum())
+    k, wide, states = b.shape
+    out, scale = np.tile(np.eye(states), (k, 1, 1)), np.zeros(k)
+    for t in range(wide):
+        s = stay[:, t, None, None]
+        out = (s * out + (1 - s) * out.sum(axis=2, keepdims=True) * pi) * b[:, t, None, :]
+        top = out.max(axis=(1, 2), keepdims=True)
+        out /= top
+        scale += np.log(top[:, 0, 0])
+    return out, scale
+
+
+def piece_operator(b: np.ndarray, stay: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, float]:
+    """The product of all step operators of a piece, scaled, and the logarithm of its scale: all that other pieces need of it."""
+    rows, scale = _row_products(*_rows(b, stay), pi)
+    total, log = np.eye(len(pi)), float(scale.sum())
+    for m in rows:
+        total = total @ m
+        top = total.max()
+        total, log = total / top, log + math.log(top)
+    return total, log
+
+
+def piece_posterior(b: np.ndarray, stay: np.ndarray, pi: np.ndarray, entering: np.ndarray, leaving: np.ndarray) -> tuple[np.ndarray, float]:
+    """(posteriors, log likelihood) of a piece between the forward vector that enters it (sum 1) and the backward one of its end.
+
+    Rows' products give what enters and leaves every row; then all rows go through their steps side by side.
+    """
+    n, rb, rs = len(stay), *_rows(b, stay)
+    products, _ = _row_products(rb, rs, pi)
+    k, wide, states = rb.shape
+    into, out = np.empty((k, states)), np.empty((k, states))
+    a, z = entering, leaving
+    for i in range(k):
+        into[i] = a
+        a = a @ products[i]
+        a = a / a.sum()
+        out[k - 1 - i] = z
+        z = products[k - 1 - i] @ z
+        z = z / z.max()
+    alpha, log = np.empty_like(rb), 0.0
+    for t in range(wide):
+        s = rs[:, t, None]
+        into = (s * into + (1 - s) * into.sum(axis=1, keepdims=True) * pi) * rb[:, t]
+        scale = into.sum(axis=1, keepdims=True)
+        into = into / scale
+        alpha[:, t] = into
+        log += float(np.log(scale).sum())
+    beta = np.empty_like(rb)
+    for t in range(wide - 1, -1, -1):
+        beta[:, t] = out
+        v = rb[:, t] * out
+        s = rs[:, t, None]
+        out = s * v + (1 - s) * (v @ pi)[:, None]
+        out = out / out.max(axis=1, keepdims=True)
+    g = (alpha * beta).reshape(k * wide, states)[:n]
+    return g / g.sum(axis=1, keepdims=True), log
+
+
+def forward_backward(y: np.ndarray, se: np.ndarray, pos: np.ndarray, model: BlockModel) -> tuple[np.ndarray, float]:
+    """Posterior of the states of one chromosome's clusters, and its log likelihood."""
+    stay = stays(np.append(np.nan, np.diff(pos.astype(float))), model.length_scale)
+    return piece_posterior(emissions(y, se, model), stay, model.pi, model.pi, np.ones(len(model.pi)))
 
 
 def first_model(q05: float, spread: float, q95: float, length_scale: float) -> BlockModel:

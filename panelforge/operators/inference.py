@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -160,45 +160,108 @@ def tracks(fits: DataFrame, lam0: float, decay: float = 1000.0, by: tuple[str, .
     return fits.groupBy(*by).applyInPandas(run, types)
 
 
-def replicate_fits(panel: DataFrame, reps: list[tuple], design_of: Callable[[tuple], within.Design | None], rep_type: str = "int", values: str = "m", columns: Callable[[tuple], np.ndarray | None] = lambda r: None) -> DataFrame:
-    """``rep, probe, chr, pos, beta, s2`` of every probe under every replicate's design.
+class Replicates:
+    """Within-subject fits of many replicates that share the subjects: permuted exposures, or subsets of whole subjects.
 
-    Rows are demeaned per block and design in one matrix product; replicates whose
-    design is not identified or has no freedom give no rows.  ``columns`` picks a
-    replicate's samples.  The number of replicates is a parameter, the rows of a
-    block are bounded by the Arrow batch.
+    A design is demeaned inside its subjects and is 0 outside its samples, so one product of a block of rows with all designs
+    side by side gives every replicate's cross products; squares are summed over each replicate's samples by another.
     """
-    designs = [(r, d, columns(r)) for r in reps if (d := design_of(r)) is not None and d.identified and d.df > 0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                m = within.matrix_of(part.column(3))
-                for r, d, cols in designs:
-                    beta, s2 = d.fit(m if cols is None else m[:, cols])
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0]] * len(beta), pa.int32()), *part.columns[:3], pa.array(beta), pa.array(s2), pa.array([d.unit] * len(beta)), pa.array([d.df] * len(beta), pa.int32())], names=["rep", "probe", "chr", "pos", "beta", "s2", "unit", "df"])
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.select("probe", "chr", "pos").schema)
-    return panel.select("probe", "chr", "pos", values).mapInArrow(run, f"rep {rep_type}, {types}, beta double, s2 double, unit double, df int")
-
-
-def moderated(fits: DataFrame) -> DataFrame:
-    """``se, z`` of replicate fits; each replicate's prior comes from two moments of its own variances."""
-    fits, log = settled(fits), F.log("s2")
-    rows = fits.where("s2 > 0").groupBy("rep").agg(F.count("*").alias("n"), F.avg(log).alias("m"), F.var_samp(log).alias("v"), F.first("df").alias("df")).collect()
-    priors = [(r["rep"], *(within.prior_of(r["n"], r["m"], r["v"], r["df"]) or (0.0, 0.0))) for r in rows if r["n"] >= 2]
-    table = fits.sparkSession.createDataFrame(priors or [(-1, 0.0, 0.0)], "rep int, d0 double, s0 double")
-    j = fits.join(F.broadcast(table), "rep", "left")  # one row a replicate
-    post = F.when(F.coalesce("d0", F.lit(0.0)) == 0, F.col("s2")).when(F.col("d0") == float("inf"), F.col("s0")).otherwise((F.col("d0") * F.col("s0") + F.col("df") * F.col("s2")) / (F.col("d0") + F.col("df")))
-    return j.withColumn("se", F.sqrt(post * F.col("unit"))).withColumn("z", F.when(F.col("se") > 0, F.col("beta") / F.col("se")).otherwise(0.0)).select("rep", "probe", "chr", "pos", "beta", "se", "z")
-
-
-def replicate_regions(fits: DataFrame, lam0: float, decay: float, min_probes: int, min_effect: float) -> DataFrame:
-    """Regions of every replicate, without cluster keys."""
-    t = tracks(fits, lam0, decay, by=("rep", "chr"))
-    t = t.withColumn("sw", F.col("w")).withColumn("swb", F.col("w") * F.col("beta"))
-    return genome.call_regions(t, min_probes, min_effect, by=("rep", "chr"), ties=("probe",))
+    def __init__(self, subject: list, designs: list[tuple[int, within.Design, np.ndarray | None]]):
+        n = len(subject)
+        _, self.code = np.unique(np.asarray(subject, dtype=str), return_inverse=True)
+        self.mean = np.zeros((int(self.code.max()) + 1, n))
+        self.mean[self.code, np.arange(n)] = 1 / np.bincount(self.code)[self.code]
+        usable = [(r, d, np.arange(n) if at is None else np.asarray(at)) for r, d, at in designs if d is not None and d.identified and d.df > 0]
+        self.reps = [r for r, _, _ in usable]
+        k = max((d.xw.shape[1] for _, d, _ in usable), default=1)
+        self.x, self.inverse, self.inside = np.zeros((n, len(usable), k)), np.zeros((len(usable), k, k)), np.zeros((n, len(usable)))
+        for j, (_, d, at) in enumerate(usable):
+            own = d.xw.shape[1]
+            self.x[at, j, :own], self.inverse[j, :own, :own], self.inside[at, j] = d.xw, d.inverse, 1.0
+        self.df, self.unit = np.array([d.df for _, d, _ in usable], float), np.array([d.unit for _, d, _ in usable])
+
+    def fit(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exposure's slopes, residual variances): one column a replicate."""
+        mw = m - (m @ self.mean.T)[:, self.code]
+        n, reps, k = self.x.shape
+        cross = (mw @ self.x.reshape(n, reps * k)).reshape(len(m), reps, k)
+        b = np.einsum("irk,rkl->irl", cross, self.inverse) if k > 1 else cross * self.inverse[None, :, :, 0]
+        rss = (mw * mw) @ self.inside - (cross * b).sum(axis=2)
+        return b[:, :, 0], np.maximum(rss, 0) / self.df
+
+    def priors(self, panel: DataFrame, values: str = "m") -> tuple[np.ndarray, np.ndarray]:
+        """(d0, s0^2) of every replicate from a pass that returns a few sums a partition and replicate; 0 and 0 where there are too few probes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((3, len(self.reps)))
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    s2 = self.fit(within.matrix_of(batch.column(0).slice(at, 1024)))[1]
+                    ok = np.isfinite(s2) & (s2 > 0)
+                    log = np.log(np.where(ok, s2, 1.0))
+                    total += np.stack([ok.sum(axis=0), log.sum(axis=0), (log * log).sum(axis=0)])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(self.reps)), pa.int32()), *(pa.array(t) for t in total)], names=["j", "n", "s", "q"])
+
+        d0, s0 = np.zeros(len(self.reps)), np.zeros(len(self.reps))
+        for r in panel.select(values).mapInArrow(run, "j int, n double, s double, q double").groupBy("j").agg(*(F.sum(c).alias(c) for c in "nsq")).collect():
+            if r["n"] >= 2:
+                mean = r["s"] / r["n"]
+                d0[r["j"]], s0[r["j"]] = within.prior_of(int(r["n"]), mean, (r["q"] - r["n"] * mean * mean) / (r["n"] - 1), self.df[r["j"]]) or (0.0, 0.0)
+        return d0, s0
+
+    def errors(self, s2: np.ndarray, priors: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """Standard errors from moderated variances (as they are without ``priors``)."""
+        if priors is not None:
+            d0, s0 = priors
+            endless = np.isinf(d0)
+            some = np.where(endless, 0.0, d0)
+            s2 = np.where(endless, s0, (some * s0 + self.df * s2) / (some + self.df))
+        return np.sqrt(s2 * self.unit)
+
+    def estimates(self, panel: DataFrame, shrink: bool = True, chunk: int = 8, values: str = "m") -> DataFrame:
+        """``chunk, probe, chr, pos, beta, se``: arrays of the slopes and errors of ``chunk`` replicates, a row a probe and chunk.
+
+        Two passes over the panel where variances are moderated: no fit is kept between them.
+        """
+        priors = self.priors(panel, values) if shrink and self.reps else None
+        reps = len(self.reps)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    beta, s2 = self.fit(within.matrix_of(part.column(3)))
+                    se = self.errors(s2, priors)
+                    for c in range(0, reps, chunk):
+                        lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32)), pa.array(own.ravel())) for own in (np.ascontiguousarray(x[:, c : c + chunk]) for x in (beta, se))]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, c // chunk, np.int32)), *part.columns[:3], *lists], names=["chunk", "probe", "chr", "pos", "beta", "se"])
+
+        types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.select("probe", "chr", "pos").schema)
+        return panel.select("probe", "chr", "pos", values).mapInArrow(run, f"chunk int, {types}, beta array<double>, se array<double>")
+
+    def regions(self, panel: DataFrame, lam0: float, decay: float, min_probes: int, min_effect: float, shrink: bool = True, chunk: int = 8) -> DataFrame:
+        """``rep, chr, start, end, effect, z`` of every replicate's regions, without cluster keys.
+
+        A group is a chromosome of ``chunk`` replicates: its positions travel and are sorted once for all of them.
+        """
+        kind, reps = dict(panel.dtypes)["chr"], list(self.reps)
+
+        def found(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["pos", "probe"], kind="stable")
+            pos, first = pdf["pos"].to_numpy(), int(pdf["chunk"].iloc[0]) * chunk
+            betas, ses = np.stack(pdf["beta"].to_numpy()), np.stack(pdf["se"].to_numpy())
+            out = []
+            for j in range(betas.shape[1]):
+                beta, w = betas[:, j], weights(ses[:, j])
+                theta = kernels.tv_denoise(beta, w, kernels.penalty(pos.astype(float), lam0, decay, w))
+                start, end, effect, z = kernels.segments(theta, beta, w, min_probes, min_effect)
+                out.append(pd.DataFrame({"rep": reps[first + j], "start": pos[start], "end": pos[end], "effect": effect, "z": z}))
+            out = pd.concat(out)
+            out.insert(1, "chr", pdf["chr"].iloc[0])
+            return out
+
+        return self.estimates(panel, shrink, chunk).groupBy("chr", "chunk").applyInPandas(found, f"rep int, chr {kind}, start long, end long, effect double, z double")
 
 
 def region_null(panel: DataFrame, sheet: list[tuple], n_perm: int, lam0: float, *, covariates=None, scheme: str = "within", seed: int = 1, decay: float = 1000.0, min_probes: int = 3, min_effect: float = 0.05, shrink: bool = True) -> DataFrame:
@@ -207,10 +270,8 @@ def region_null(panel: DataFrame, sheet: list[tuple], n_perm: int, lam0: float,
     subject = [s for s, _, _ in sheet]
     if n_perm == 0:
         return spark.createDataFrame([], "rep int, max_abs_z double")
-    reps = [(k, within.Design(permuted_exposures(sheet, k, seed, scheme == "within"), subject, covariates)) for k in range(n_perm)]
-    fits = replicate_fits(panel, reps, lambda r: r[1])
-    fits = moderated(fits) if shrink else fits.withColumn("se", F.sqrt(F.col("s2") * F.col("unit"))).select("rep", "probe", "chr", "pos", "beta", "se")
-    top = replicate_regions(fits, lam0, decay, min_probes, min_effect).groupBy("rep").agg(F.max(F.abs("z")).alias("m"))
+    reps = Replicates(subject, [(k, within.Design(permuted_exposures(sheet, k, seed, scheme == "within"), subject, covariates), None) for k in range(n_perm)])
+    top = reps.regions(panel, lam0, decay, min_probes, min_effect, shrink).groupBy("rep").agg(F.max(F.abs("z")).alias("m"))
     return spark.range(n_perm).select(F.col("id").cast("int").alias("rep")).join(top, "rep", "left").select("rep", F.coalesce("m", F.lit(0.0)).alias("max_abs_z"))
 
 
@@ -223,14 +284,13 @@ def stability(panel: DataFrame, sheet: list[tuple], regions: DataFrame, n_boot:
         return regions.withColumn("stability", F.lit(None).cast("double"))
     subjects = sorted({s for s, _, _ in sheet})
     k = max(2, math.floor(frac * len(subjects)))
-    reps, cols = [], {}
+    reps = []
     for b in range(n_boot):
         own = set(np.random.Generator(np.random.PCG64([seed, b])).choice(subjects, k, replace=False).tolist())
         at = np.array([i for i, s in enumerate(sheet) if s[0] in own])
-        cols[b] = at
-        reps.append((b, within.Design([sheet[i][1] for i in at], [sheet[i][0] for i in at], within.rows_of(covariates, at)) if k >= 3 else None))
-    fits = moderated(replicate_fits(panel, reps, lambda r: r[1], columns=lambda r: cols[r[0]]))
-    found = replicate_regions(fits, lam0, decay, min_probes, min_effect).select("chr", F.col("rep").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+        reps.append((b, within.Design([sheet[i][1] for i in at], [sheet[i][0] for i in at], within.rows_of(covariates, at)) if k >= 3 else None, at))
+    replicates = Replicates([s for s, _, _ in sheet], reps)
+    found = replicates.regions(panel, lam0, decay, min_probes, min_effect).select("chr", F.col("rep").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     mine = regions.select("chr", F.col(region_id).alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
     hits = genome.interval_overlap(mine, found).groupBy("a_id").agg(F.countDistinct("b_id").alias("__hits")).withColumnRenamed("a_id", region_id)
     return regions.join(hits, region_id, "left").withColumn("stability", F.coalesce(F.col("__hits"), F.lit(0)) / n_boot).drop("__hits")
@@ -245,34 +305,32 @@ def cv_lambda(panel: DataFrame, sheet: list[tuple], grid: tuple[float, ...] = (0
     spark = panel.sparkSession
     subjects = spark.createDataFrame([(str(s),) for s in sorted({s for s, _, _ in sheet})], "subject string")
     of = {r["subject"]: r["fold"] for r in folds(subjects, n_folds, seed).collect()}
-    reps, cols = [], {}
+    reps = []
     for f in sorted(set(of.values())):
         test = np.array([i for i, s in enumerate(sheet) if of[str(s[0])] == f])
         train = np.array([i for i, s in enumerate(sheet) if of[str(s[0])] != f])
         sizes = [len({sheet[i][0] for i in part}) for part in (test, train)]
         both = [within.Design([sheet[i][1] for i in part], [sheet[i][0] for i in part], within.rows_of(covariates, part)) for part in (test, train)] if sizes[0] >= 2 and sizes[1] >= 4 else []
         if both and all(d.identified and d.df > 0 for d in both):
-            for side, (part, d) in enumerate(zip((test, train), both)):
-                reps.append((2 * f + side, d))
-                cols[2 * f + side] = part
+            reps += [(2 * f + side, d, part) for side, (part, d) in enumerate(zip((test, train), both))]
     if not reps:
         raise ValueError("no fold can be fitted")
-    fits = moderated(replicate_fits(panel, reps, lambda r: r[1], columns=lambda r: cols[r[0]])).withColumn("fold", F.floor(F.col("rep") / 2).cast("int"))
+    replicates = Replicates([s for s, _, _ in sheet], reps)
     lams = [float(v) for v in grid]
 
     def errors(pdf: pd.DataFrame) -> pd.DataFrame:
         """Held-out error of one fold's chromosome under every smoothness: its fits come once."""
         pdf = pdf.sort_values(["pos", "probe"], kind="stable")
-        train, test = (pdf[pdf["rep"] % 2 == side] for side in (1, 0))
-        test = train[["probe"]].merge(test, on="probe", how="left")
-        w, wt = (weights(d["se"].to_numpy(float)) for d in (train, test))
+        betas, ses, pos = np.stack(pdf["beta"].to_numpy()), np.stack(pdf["se"].to_numpy()), pdf["pos"].to_numpy(float)
+        wt, w = weights(ses[:, 0]), weights(ses[:, 1])
         rows = []
         for v in lams:
-            theta = kernels.tv_denoise(train["beta"].to_numpy(float), w, kernels.penalty(train["pos"].to_numpy(float), v, decay, w))
-            rows.append((v, float(np.nansum(wt * (test["beta"].to_numpy(float) - theta) ** 2)), int((wt > 0).sum())))
+            theta = kernels.tv_denoise(betas[:, 1], w, kernels.penalty(pos, v, decay, w))
+            rows.append((v, float(np.nansum(wt * (betas[:, 0] - theta) ** 2)), int((wt > 0).sum())))
         return pd.DataFrame(rows, columns=["lam0", "wsse", "n"])
 
-    parts = fits.select("fold", "rep", "probe", "chr", "pos", "beta", "se").groupBy("fold", "chr").applyInPandas(errors, "lam0 double, wsse double, n long")
+    # a chunk is a fold: its test fit, then its training fit
+    parts = replicates.estimates(panel, chunk=2).groupBy("chunk", "chr").applyInPandas(errors, "lam0 double, wsse double, n long")
     g = parts.groupBy("lam0").agg(F.sum("wsse").alias("wsse"), F.sum("n").alias("n"))
     return g.withColumn("score", F.when(F.col("n") > 0, F.col("wsse") / F.col("n")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import kernels
 from panelforge.functions.session import settled
-from panelforge.operators import compare, genome, inference, pooled, quality_control, scan, within
+from panelforge.operators import genome, inference, pooled, quality_control, quantiles, scan, within
 
 
 def find_regions(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_gap: float = 1000, rho_min: float = 0.30, lam: float | tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0), cv_folds: int = 5, decay: float = 1000.0, min_probes: int = 3, min_effect: float = 0.05, n_perm: int = 0, scheme: str = "within", n_boot: int = 0, seed: int = 1, covariates=None) -> tuple[DataFrame, dict]:
@@ -20,32 +20,40 @@ def find_regions(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_g
     Fit and moderate, cluster residuals, choose the smoothness (a grid is
     cross-validated over whole subjects, a number is used as it is), smooth each
     chromosome, call regions inside clusters; then, if asked for, permutation FWER
-    (without cluster keys), stability, and each array's own effects.  ``covariates``
-    (samples by columns) stay in every fit; those that never vary within a subject go.
+    (without cluster keys), stability, and each array's own effects (by prefix sums).  ``covariates``
+    (samples by columns) stay in every fit; those that never vary within a subject go.  ``scheme``: the permutations are "within"
+    subjects, "naive" over all samples, or "both": then ``p_fwer_within`` and ``p_fwer_naive`` stand beside ``p_fwer``, which is the
+    former.  Chromosomes beyond a task's size are scanned in pieces.
     Rows come by rising p where there is one, then in genome order.
     """
     exposure, subject = [e for _, e, _ in sheet], [s for s, _, _ in sheet]
     design = within.Design(exposure, subject, covariates)
+    cuts = scan.cut_points(panel.select("chr", "pos"))
     fits = within.with_z(within.moderate(settled(within.fit_panel(panel, design)), design.df), design.unit)
     lam0 = lam if isinstance(lam, (int, float)) else inference.best_lambda(inference.cv_lambda(panel, sheet, tuple(lam), cv_folds, seed, decay, covariates))
-    clusters = genome.comethylation_clusters(within.residual_panel(panel, design), "resid", max_gap, rho_min, "chr", "pos", "probe").select("probe", "cluster")
+    clusters = genome.comethylation_clusters(within.residual_panel(panel, design), "resid", max_gap, rho_min, "chr", "pos", "probe", cuts=cuts).select("probe", "cluster")
     track = inference.tracks(fits.select("probe", "chr", "pos", "beta", "se"), lam0, decay).join(clusters, "probe")
     track = track.withColumn("sw", F.col("w")).withColumn("swb", F.col("w") * F.col("beta"))
-    regions = settled(genome.call_regions(track, min_probes, min_effect, cluster="cluster", ties=("probe",)).withColumn("region", F.concat_ws(":", "chr", "start", "end")))
+    regions = settled(genome.call_regions(track, min_probes, min_effect, cluster="cluster", ties=("probe",), cuts=cuts).withColumn("region", F.concat_ws(":", "chr", "start", "end")))
     record = {"lam0": lam0, "df": design.df, "n_subjects": design.subjects, "n_samples": len(sheet), "n_perm": n_perm, "n_boot": n_boot}
+    asked = dict(covariates=covariates, seed=seed, decay=decay, min_probes=min_probes, min_effect=min_effect)
     if n_perm or n_boot:
-        null = inference.region_null(panel, sheet, n_perm, lam0, covariates=covariates, scheme=scheme, seed=seed, decay=decay, min_probes=min_probes, min_effect=min_effect)
-        regions = inference.fwer(regions, null)
-        regions = inference.stability(panel, sheet, regions, n_boot, lam0, covariates=covariates, seed=seed, decay=decay, min_probes=min_probes, min_effect=min_effect)
+        for k, name in enumerate(("within", "naive") if scheme == "both" else (scheme,)):
+            null = settled(inference.region_null(panel, sheet, n_perm, lam0, scheme=name, **asked))
+            record[f"null_q95_{name}"] = quantiles.quantiles(null, "max_abs_z", [0.95])[0]
+            regions = inference.fwer(regions, null, name="p_fwer" if k == 0 else f"p_fwer_{name}")
+            if scheme == "both" and k == 0:
+                regions = regions.withColumns({"p_fwer_within": F.col("p_fwer"), "p_fwer_within_mcse": F.col("p_fwer_mcse")})
+        regions = inference.stability(panel, sheet, regions, n_boot, lam0, **asked)
     arrays = sorted({a for _, _, a in sheet})
     for array in arrays:
         at = [i for i, s in enumerate(sheet) if s[2] == array]
         own = within.Design([exposure[i] for i in at], [subject[i] for i in at], within.rows_of(covariates, at))
         if own.subjects >= 3 and own.identified and own.df > 0:
             part = within.take(panel, "m", at)
-            each = within.with_z(within.moderate(within.fit_panel(part, own), own.df), own.unit).select("chr", "pos", "beta", "se")
-            pooled = compare.region_effects(regions.select("chr", "region", "start", "end"), each, ()).select("region", F.col("effect").alias(f"effect_{array}"), F.col("se").alias(f"se_{array}"))
-            regions = regions.join(pooled, "region", "left")
+            each = within.with_z(within.moderate(within.fit_panel(part, own), own.df), own.unit).select("probe", "chr", "pos", "beta", "se")
+            pooled_ = genome.index_range_effects(regions.select("chr", "region", "probe_start", "probe_end"), each, ("probe",), cuts)
+            regions = regions.join(pooled_.select("region", F.col("effect").alias(f"effect_{array}"), F.col("se").alias(f"se_{array}")), "region", "left")
     pair = [f"effect_{a}" for a in arrays if f"effect_{a}" in regions.columns]
     if len(pair) == 2:
         regions = regions.withColumn("sign_concordant", F.signum(pair[0]) == F.signum(pair[1]))
