@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import scan
+from panelforge.operators import quantiles, scan
 
 BIN = 100_000
 
@@ -70,12 +70,15 @@ def fixed_collapse(df: DataFrame, max_gap: float = 500, least: int = 2, widest:
     return kept.agg(F.count("*").alias("n_clusters"), F.percentile("width", 0.5).alias("median_width"), F.percentile("n_probes", 0.5).alias("median_probes"))
 
 
-def spacing(df: DataFrame, max_gap: float = 300) -> DataFrame:
-    """Gap median and quartiles, share beyond ``max_gap``, clusters and the share of single-probe ones."""
-    g = with_gap(df).where("gap is not null").agg(
-        F.count("*").alias("n_gaps"), *(F.percentile("gap", q).alias(f"gap_q{round(q * 100)}") for q in (0.25, 0.5, 0.75)), (F.sum((F.col("gap") > max_gap).cast("long")) * 100.0 / F.count("*")).alias("pct_beyond")
-    )
-    c = cluster_table(gap_clusters(df, max_gap)).agg(F.count("*").alias("n_clusters"), (F.sum((F.col("n_probes") == 1).cast("long")) * 100.0 / F.count("*")).alias("pct_single"))
+def spacing(df: DataFrame, max_gap: float = 300, cuts: DataFrame | None = None) -> DataFrame:
+    """Gap median and quartiles, share beyond ``max_gap``, clusters and the share of single-probe ones: one row.
+
+    Quantiles are exact (:mod:`panelforge.operators.quantiles`): no task holds all gaps.
+    """
+    gaps = with_gap(df, cuts=cuts).where("gap is not null")
+    q = quantiles.quantiles(gaps, "gap", [0.25, 0.5, 0.75])
+    g = gaps.agg(F.count("*").alias("n_gaps"), *(F.lit(v).cast("double").alias(f"gap_q{k}") for v, k in zip(q, (25, 50, 75))), (F.sum((F.col("gap") > max_gap).cast("long")) * 100.0 / F.count("*")).alias("pct_beyond"))
+    c = cluster_table(gap_clusters(df, max_gap, cuts=cuts)).agg(F.count("*").alias("n_clusters"), (F.sum((F.col("n_probes") == 1).cast("long")) * 100.0 / F.count("*")).alias("pct_single"))
     return g.crossJoin(c)  # one row each
 
 

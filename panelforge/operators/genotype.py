@@ -17,17 +17,45 @@ def call(beta: Column, lo: float = 0.25, hi: float = 0.75) -> Column:
     return F.when(beta < lo, "AA").when(beta > hi, "BB").when(beta.isNotNull(), "AB")
 
 
+#: Calls that one block of probes holds.
+BLOCK_CALLS = 2_000_000
+
+
+def bit_planes(code: np.ndarray, row: np.ndarray, place: np.ndarray, rows: int, places: int, levels: int) -> np.ndarray:
+    """One plane a level: a bit a (row, place), 64 places a word."""
+    words = -(-places // 64)
+    planes = np.zeros((levels, rows, words), dtype=np.uint64)
+    np.bitwise_or.at(planes, (code, row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    return planes
+
+
 def pair_concordance(calls: DataFrame, probe: str = "probe", sample: str = "sample", value: str = "call") -> DataFrame:
     """``a, b, n, concordance`` of every pair of samples: share of shared probes with equal calls, nulls skipped.
 
-    Pairs of samples are the result and their number is the square of the sample
-    count by definition; calls are packed by probe first, so a probe is read once
-    and pairs are counted before the shuffle.
+    Probes are dealt into blocks; a block keeps one bit plane a call and sample, and a pair is counted by the bits that both
+    planes have.  So a pair is a row a block, not a row a probe: the result is the square of the samples, what is shuffled is that
+    times the blocks.  A sample that has a probe twice with different calls agrees with either.
     """
-    packed = calls.where(F.col(value).isNotNull()).groupBy(probe).agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("s"), F.col(value).alias("c")))).alias("v"))
-    a = packed.select("v", F.explode("v").alias("x"))
-    pairs = a.select("x", F.explode(F.filter("v", lambda y: y["s"] > F.col("x.s"))).alias("y"))
-    return pairs.groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count("*").alias("n"), F.avg((F.col("x.c") == F.col("y.c")).cast("double")).alias("concordance"))
+    known = calls.where(F.col(value).isNotNull() & F.col(sample).isNotNull() & F.col(probe).isNotNull()).select(F.col(probe).alias("p"), F.col(sample).alias("s"), F.col(value).alias("v"))
+    blocks = max(1, -(-known.count() // BLOCK_CALLS))
+    kind = dict(known.dtypes)["s"]
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        place, _ = pd.factorize(pdf["p"])
+        row, names = pd.factorize(pdf["s"], sort=True)
+        code, levels = pd.factorize(pdf["v"])
+        planes = bit_planes(code, row, place, len(names), int(place.max()) + 1, len(levels))
+        held = np.bitwise_or.reduce(planes, axis=0)
+        out = []
+        for i in range(len(names) - 1):
+            both = np.bitwise_count(held[i + 1 :] & held[i]).sum(axis=1, dtype=np.int64)
+            same = sum(np.bitwise_count(p[i + 1 :] & p[i]).sum(axis=1, dtype=np.int64) for p in planes)
+            out.append(pd.DataFrame({"a": names[i], "b": names[i + 1 :], "n": both, "same": same}))
+        return pd.concat(out) if out else pd.DataFrame({"a": names[:0], "b": names[:0], "n": [], "same": []})
+
+    pairs = known.groupBy(F.pmod(F.xxhash64("p"), F.lit(blocks))).applyInPandas(count, f"a {kind}, b {kind}, n long, same long")
+    g = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where("n > 0")
+    return g.select("a", "b", "n", (F.col("same") / F.col("n")).alias("concordance"))
 
 
 def minor_groups(groups: DataFrame, probe: str = "probe", grp: str = "grp") -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from panelforge.operators import genome, pooled, quantiles, regions, scan, within
+from panelforge.operators import blocks, genome, pooled, quantiles, regions, scan, within
 from panelforge.panel import Panel
 from panelforge.plans import stages
-from panelforge.plans.oracles import LONG, _r
+from panelforge.plans.oracles import GAPS, LONG, _r
 from panelforge.plans.queries import N_PERM, r6
 from panelforge.sources import adapters, tables
 
@@ -102,7 +102,28 @@ def single_chromosome_islands(spark, d):
     return c.groupBy(F.col("cluster").cast("long").alias("cluster")).agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n"), F.sum("q").alias("q"))
 
 
-QUERIES = {f.__name__: f for f in (pooled_slopes, array_slopes, bumphunter_raw, blockfinder_raw, joint_probe_slopes, covariate_residuals, consensus_rho, quantile_table, single_chromosome_islands)}
+def index_range_effects(spark, d):
+    """Regions of the line-item track as ranges of places, their effects over another table of the same places by prefix sums."""
+    t = genome.gap_clusters(adapters.track_lineitem(spark, d), 30)
+    t = t.withColumn("theta", (F.floor(F.col("pos") / 60) % 3).cast("double"))
+    reg = genome.call_regions(t, 2, 0.0, cluster="cluster").select("chr", "start", "probe_start", "probe_end")
+    fits = t.select("chr", "pos", (F.col("n") - F.lit(1.5)).alias("beta"), F.sqrt(F.lit(1.0) / F.col("sw")).alias("se"))
+    return genome.index_range_effects(reg, fits).select("chr", "start", r6("effect", "effect"), r6("se", "se"))
+
+
+def blocks_default(spark, d):
+    """Blocks with the reference's thresholds: every embedding gives four probes of 16 samples, a stretch of each chromosome rises."""
+    e = adapters.panel_embeddings(spark, d)
+    piece = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("m", k * 16 + 1, 16)))
+    p = e.select("chr", "pos", "probe", piece.alias("k", "m")).select((F.col("probe") * 4 + F.col("k")).alias("probe"), "chr", (F.col("pos") * 4 + F.col("k") * 200).alias("pos"), "m")
+    rising = F.transform("m", lambda x, i: x + 0.12 * (i % 4))
+    p = p.withColumn("m", F.when(F.col("pos") % 100_000 >= 60_000, rising).otherwise(F.col("m")))
+    sheet = adapters.sheet_rows()[:16]
+    b, _, _ = blocks.find_blocks(p, sheet, rho_min=0.0)
+    return b.select("chr", "start", "end", "width", "n_clusters", "direction", r6("posterior", "posterior"))
+
+
+QUERIES = {f.__name__: f for f in (pooled_slopes, array_slopes, bumphunter_raw, blockfinder_raw, joint_probe_slopes, covariate_residuals, consensus_rho, quantile_table, single_chromosome_islands, index_range_effects, blocks_default)}
 
 _SAMPLES = """smp AS (SELECT CAST(i AS INTEGER) AS sample, CAST(i % 4 AS DOUBLE) AS x, CAST((i * i) % 5 AS DOUBLE) AS c, CASE WHEN i < 40 THEN '450K' ELSE 'EPIC' END AS platform FROM range(64) t(i))"""
 
@@ -151,6 +172,10 @@ sol AS (SELECT *, (cc * xy - xc * cy) / (xx * cc - xc * xc) AS b, (xx * cy - xc
     k=f"(1 - sqrt((1 - {RHO}) / (1 + 3 * {RHO})))", q=f"sqrt(1 - {RHO})")
 
 ORACLES = {
+    "index_range_effects": f"""WITH {GAPS}, k AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY pos) - 1 AS i, (pos // 60) % 3 AS theta FROM clustered),
+      e AS (SELECT *, CASE WHEN theta <> lag(theta) OVER w OR cluster <> lag(cluster) OVER w OR i = 0 THEN 1 ELSE 0 END AS new FROM k WINDOW w AS (PARTITION BY chr ORDER BY pos)),
+      sg AS (SELECT *, sum(new) OVER (PARTITION BY chr ORDER BY pos ROWS UNBOUNDED PRECEDING) AS segment FROM e)
+      SELECT chr, min(pos) AS "start", {_r('sum(sw * (n - 1.5)) / sum(sw)', 'effect')}, {_r('sqrt(1.0 / sum(sw))', 'se')} FROM sg GROUP BY chr, segment HAVING count(*) >= 2 AND sum(sw) > 0""",
     "joint_probe_slopes": f"WITH {LONG}, {_SAMPLES}, {_FITS} SELECT fit, probe, {_r('b', 'beta')}, {_r('(yy - b * xy - g * cy) / df', 's2')} FROM sol",
     "covariate_residuals": f"""WITH {LONG}, {_SAMPLES}, cl AS (SELECT l.probe, l.sample, s.c - avg(s.c) OVER w AS c, l.value - avg(l.value) OVER w AS y FROM long l JOIN smp s ON s.sample = l.sample WINDOW w AS (PARTITION BY l.probe, l.platform)),
       sl AS (SELECT probe, sum(c * y) / sum(c * c) AS g FROM cl GROUP BY 1), r AS (SELECT cl.probe, sample, y - g * c AS e FROM cl JOIN sl ON sl.probe = cl.probe)
