@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import hashing, kernels
 from panelforge.functions.session import settled
-from panelforge.operators import genome, within
+from panelforge.operators import genome, scan, within
 
 
 def folds(subjects: DataFrame, n_folds: int, seed: int = 0, subject: str = "subject") -> DataFrame:
@@ -160,6 +160,64 @@ def tracks(fits: DataFrame, lam0: float, decay: float = 1000.0, by: tuple[str, .
     return fits.groupBy(*by).applyInPandas(run, types)
 
 
+#: Rows of a piece of a track, and how close both bounds must be.
+TRACK_ROWS, AGREE = 200_000, 1e-9
+
+
+def tracks_in_pieces(fits: DataFrame, lam0: float, decay: float = 1000.0, by: tuple[str, ...] = ("chr",), rows: int = TRACK_ROWS, cuts: DataFrame | None = None) -> DataFrame:
+    """``tracks`` of chromosomes of any size: the same values, many tasks a chromosome.
+
+    A piece is solved together with its neighbours under both extreme pulls from beyond; where the bounds agree they are
+    the whole chromosome's solution.  Pieces that are not settled like that are solved again between more neighbours, twice as many
+    each time, until they are or nothing lies beyond.  Segments are then averaged over the whole chromosome.
+    """
+    chrom = by[-1]
+    cuts = scan.cut_points(fits, rows, chrom) if cuts is None else cuts
+    if cuts is None:
+        return tracks(fits, lam0, decay, by)
+    w = F.when(F.col("se") > 0, 1 / (F.col("se") * F.col("se"))).otherwise(0.0)
+    d = scan.pieced(fits.withColumn("w", w), cuts, chrom)
+    scale = d.where("w > 0").groupBy(*by).agg((F.percentile("w", 0.5) * lam0).alias("__lam"))  # a row a replicate and chromosome
+    last = d.groupBy(*by).agg(F.max(scan.PIECE).alias("__pieces"))
+    few = last.join(scale, list(by), "left").withColumn("__lam", F.coalesce("__lam", F.lit(float(lam0))))
+    d = settled(d.join(F.broadcast(few), list(by)))
+    fields = [f for f in d.schema.fields]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pos", "probe"], kind="stable")
+        y, wt, pos, lam = pdf["beta"].to_numpy(float), pdf["w"].to_numpy(float), pdf["pos"].to_numpy(float), float(pdf["__lam"].iloc[0])
+        edges = lam * np.exp(-np.diff(pos) / decay)
+        ends = (lam if pdf[scan.PIECE].min() > 0 else 0.0, lam if pdf[scan.PIECE].max() < pdf["__pieces"].iloc[0] else 0.0)
+        lower, upper = kernels.tv_bracket(y, wt, edges, ends)
+        core = (pdf[scan.PIECE] == pdf["__core"]).to_numpy()
+        sure = bool((upper - lower <= AGREE * np.maximum(1.0, np.abs(upper)))[core].all())
+        out = pdf[core].drop(columns="__core")
+        return out.assign(theta=((lower + upper) / 2)[core], __sure=sure)
+
+    done, halo, open_ = None, 1, None
+    while True:
+        near = F.sequence(F.greatest(F.col(scan.PIECE) - halo, F.lit(0)), F.least(F.col(scan.PIECE) + halo, F.col("__pieces")))
+        spread = d.withColumn("__core", F.explode(near))
+        if open_ is not None:
+            spread = spread.join(F.broadcast(open_), [*by, "__core"], "left_semi")
+        found = settled(spread.groupBy(*by, "__core").applyInPandas(solve, f"{types}, theta double, __sure boolean"))
+        part = found.where("__sure").drop("__sure")
+        done = part if done is None else done.unionByName(part)
+        open_ = settled(found.where("not __sure").select(*by, F.col(scan.PIECE).alias("__core")).distinct())  # a row a piece at most
+        if open_.limit(1).count() == 0:
+            break
+        halo *= 2
+    plain = done.drop("__lam", "__pieces")
+    order = ("pos", "probe")
+    t = scan.with_previous(plain, {"__level": F.col("theta")}, by, order, False)
+    new = F.coalesce(F.abs(F.col("theta") - F.col("__level")) > 10 * AGREE, F.lit(True)).cast("int")
+    t = scan.with_running(t.withColumn("__new", new), {"__segment": F.col("__new")}, by, order, False)
+    level = t.groupBy(*by, "__segment").agg(F.sum("w").alias("__sw"), F.sum(F.col("w") * F.col("beta")).alias("__swb"), F.avg("theta").alias("__mean"))
+    t = t.join(level, [*by, "__segment"]).withColumn("theta", F.when(F.col("__sw") > 0, F.col("__swb") / F.col("__sw")).otherwise(F.col("__mean")))
+    return t.select(*fits.columns, "theta", "w")
+
+
 class Replicates:
     """Within-subject fits of many replicates that share the subjects: permuted exposures, or subsets of whole subjects.
 
@@ -219,12 +277,13 @@ class Replicates:
             s2 = np.where(endless, s0, (some * s0 + self.df * s2) / (some + self.df))
         return np.sqrt(s2 * self.unit)
 
-    def estimates(self, panel: DataFrame, shrink: bool = True, chunk: int = 8, values: str = "m") -> DataFrame:
+    def estimates(self, panel: DataFrame, shrink: bool = True, chunk: int = 8, values: str = "m", priors: tuple | None = None) -> DataFrame:
         """``chunk, probe, chr, pos, beta, se``: arrays of the slopes and errors of ``chunk`` replicates, a row a probe and chunk.
 
         Two passes over the panel where variances are moderated: no fit is kept between them.
         """
-        priors = self.priors(panel, values) if shrink and self.reps else None
+        if priors is None and shrink and self.reps:
+            priors = self.priors(panel, values)
         reps = len(self.reps)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,12 +299,26 @@ class Replicates:
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.select("probe", "chr", "pos").schema)
         return panel.select("probe", "chr", "pos", values).mapInArrow(run, f"chunk int, {types}, beta array<double>, se array<double>")
 
-    def regions(self, panel: DataFrame, lam0: float, decay: float, min_probes: int, min_effect: float, shrink: bool = True, chunk: int = 8) -> DataFrame:
+    def regions(self, panel: DataFrame, lam0: float, decay: float, min_probes: int, min_effect: float, shrink: bool = True, chunk: int = 8, rows: int = scan.ROWS) -> DataFrame:
         """``rep, chr, start, end, effect, z`` of every replicate's regions, without cluster keys.
 
         A group is a chromosome of ``chunk`` replicates: its positions travel and are sorted once for all of them.
+        Chromosomes of more than ``rows`` probes go through pieces, replicate by replicate.
         """
         kind, reps = dict(panel.dtypes)["chr"], list(self.reps)
+        cuts = scan.cut_points(panel.select("chr", "pos"), rows)
+        priors = self.priors(panel) if shrink and reps else None
+        large = None
+        if cuts is not None:
+            named = F.broadcast(cuts.select(F.col("__chr").alias("chr")))
+            each = self.estimates(panel.join(named, "chr", "left_semi"), shrink, chunk, priors=priors)
+            both = F.posexplode(F.arrays_zip("beta", "se")).alias("k", "v")
+            numbers = F.array(*map(F.lit, reps))
+            fits = each.select("chunk", "probe", "chr", "pos", both).select(F.get(numbers, F.col("chunk") * chunk + F.col("k")).cast("int").alias("rep"), "chr", "probe", "pos", "v.beta", "v.se")
+            t = tracks_in_pieces(fits, lam0, decay, ("rep", "chr"), rows, cuts)
+            t = t.withColumn("sw", F.col("w")).withColumn("swb", F.col("w") * F.col("beta"))
+            large = genome.call_regions(t, min_probes, min_effect, by=("rep", "chr"), ties=("probe",), cuts=cuts).select("rep", "chr", "start", "end", "effect", "z")
+            panel = panel.join(named, "chr", "left_anti")
 
         def found(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["pos", "probe"], kind="stable")
@@ -261,7 +334,8 @@ class Replicates:
             out.insert(1, "chr", pdf["chr"].iloc[0])
             return out
 
-        return self.estimates(panel, shrink, chunk).groupBy("chr", "chunk").applyInPandas(found, f"rep int, chr {kind}, start long, end long, effect double, z double")
+        small = self.estimates(panel, shrink, chunk, priors=priors).groupBy("chr", "chunk").applyInPandas(found, f"rep int, chr {kind}, start long, end long, effect double, z double")
+        return small if large is None else small.unionByName(large)
 
 
 def region_null(panel: DataFrame, sheet: list[tuple], n_perm: int, lam0: float, *, covariates=None, scheme: str = "within", seed: int = 1, decay: float = 1000.0, min_probes: int = 3, min_effect: float = 0.05, shrink: bool = True) -> DataFrame:

@@ -32,7 +32,7 @@ def find_regions(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_g
     fits = within.with_z(within.moderate(settled(within.fit_panel(panel, design)), design.df), design.unit)
     lam0 = lam if isinstance(lam, (int, float)) else inference.best_lambda(inference.cv_lambda(panel, sheet, tuple(lam), cv_folds, seed, decay, covariates))
     clusters = genome.comethylation_clusters(within.residual_panel(panel, design), "resid", max_gap, rho_min, "chr", "pos", "probe", cuts=cuts).select("probe", "cluster")
-    track = inference.tracks(fits.select("probe", "chr", "pos", "beta", "se"), lam0, decay).join(clusters, "probe")
+    track = inference.tracks_in_pieces(fits.select("probe", "chr", "pos", "beta", "se"), lam0, decay, rows=scan.ROWS).join(clusters, "probe")
     track = track.withColumn("sw", F.col("w")).withColumn("swb", F.col("w") * F.col("beta"))
     regions = settled(genome.call_regions(track, min_probes, min_effect, cluster="cluster", ties=("probe",), cuts=cuts).withColumn("region", F.concat_ws(":", "chr", "start", "end")))
     record = {"lam0": lam0, "df": design.df, "n_subjects": design.subjects, "n_samples": len(sheet), "n_perm": n_perm, "n_boot": n_boot}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.session import settled
-from panelforge.operators import compare, genome, inference, pooled, quality_control, within
+from panelforge.operators import compare, genome, inference, normalise, pooled, quality_control, within
 from panelforge.panel import Panel, design_matrix
 from panelforge.sources import tables
 
@@ -46,7 +46,7 @@ def harmonise(intensities: DataFrame, annotation: DataFrame, *, detp: DataFrame
     return panel, qc, audit
 
 
-def harmonise_arrays(arrays: dict[str, DataFrame], annotation: DataFrame, *, controls: dict[str, DataFrame] | None = None, out_of_band: dict[str, DataFrame] | None = None, normal: dict[str, DataFrame] | None = None, sheet: DataFrame | None = None, detp_frac: float = 0.05, detp_max: float = 0.01, least: float = 10.5, sex_cutoff: float = -2.0, drop_sex: bool = True, cross_reactive: DataFrame | None = None, offset: float = 100.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def harmonise_arrays(arrays: dict[str, DataFrame], annotation: DataFrame, *, controls: dict[str, DataFrame] | None = None, out_of_band: dict[str, DataFrame] | None = None, normal: dict[str, DataFrame] | None = None, sheet: DataFrame | None = None, detp_frac: float = 0.05, detp_max: float = 0.01, least: float = 10.5, sex_cutoff: float = -2.0, drop_sex: bool = True, cross_reactive: DataFrame | None = None, offset: float = 100.0, mixture: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(panel, sample QC, probe audit) of several arrays bound on the probes that all of them have.
 
     ``arrays``: name to ``sample, probe, meth, unmeth`` with ``detp``, or with ``channel`` where ``controls`` (name to
@@ -57,6 +57,7 @@ def harmonise_arrays(arrays: dict[str, DataFrame], annotation: DataFrame, *, con
     scans.  Scans are judged on all probes of their own array; those that fail, or cannot be judged, go before
     probes are judged; sex mismatches stay and are marked.  Panel rows hold the values ``m`` in the
     order of ``samples`` (names) and ``scanned`` (arrays); a probe that one array lacks goes, a value that a scan lacks is null.
+    ``mixture``: beta values of probes of ``Type`` II (a column of the annotation) are brought onto the scale of type I's.
     """
     sides = []
     for name, df in arrays.items():
@@ -82,6 +83,10 @@ def harmonise_arrays(arrays: dict[str, DataFrame], annotation: DataFrame, *, con
     m = kept.withColumn("m", quality_control.beta_to_m(F.col("signal_m") / (F.col("signal_m") + F.col("signal_u") + offset)))
     rows = _bound(m.select(*scan, "probe", "m"), order, scan)
     names = order.agg(F.array_sort(F.collect_list(F.struct("ordinal", "sample", "array"))).alias("o")).select(F.col("o.sample").alias("samples"), F.col("o.array").alias("scanned"))
+    if mixture:
+        kinds = annotation.select("probe", (F.col("Type") == "II").alias("second")).where("second is not null")
+        beta = rows.join(kinds, "probe").withColumn("m", F.transform("m", quality_control.m_to_beta))
+        rows = normalise.probe_types(beta, "second", "m").select("probe", F.transform("m", lambda x: F.when(x.isNotNull() & ~F.isnan(x), quality_control.beta_to_m(x))).alias("m"))
     panel = audit.where("kept").select("probe", "chr", "pos").join(rows, "probe").crossJoin(F.broadcast(names))  # one row: the scans' names
     return panel.select("probe", "chr", "pos", "samples", "scanned", "m"), qc, audit
 

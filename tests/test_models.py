@@ -233,3 +233,65 @@ def test_replicates_equal_their_own_designs():
         b, v = d.fit(m if cols is None else m[:, cols])
         assert np.allclose(beta[:, j], b, atol=1e-10) and np.allclose(s2[:, j], v, rtol=1e-9)
     assert genome.BIN > 0
+
+
+@pytest.mark.parametrize("lam0", [0.3, 40.0])
+def test_track_in_pieces_equals_the_whole_one(spark, lam0):
+    """Short reach: neighbours settle a piece; long reach: pieces must look further, to the ends at last."""
+    rng = np.random.default_rng(11)
+    n = 1500
+    pos = np.cumsum(rng.integers(1, 400, n))
+    beta = np.repeat(rng.normal(size=30), 50) + rng.normal(0, 0.3, n)
+    se = rng.uniform(0.1, 0.6, n)
+    se[::97] = 0.0
+    rows = [(i, 1 if i < 1300 else 2, int(pos[i]), float(beta[i]), float(se[i])) for i in range(n)]
+    fits = spark.createDataFrame(rows, "probe long, chr int, pos long, beta double, se double").repartition(3)
+    whole = inference.tracks(fits, lam0, 300.0).orderBy("probe").toPandas()
+    parts = inference.tracks_in_pieces(fits, lam0, 300.0, rows=60).orderBy("probe").toPandas()
+    assert np.allclose(whole.theta, parts.theta, atol=1e-8) and np.allclose(whole.w, parts.w)
+    assert set(whole.columns) == set(parts.columns)
+
+
+def test_track_brackets_hold_the_chain():
+    rng = np.random.default_rng(12)
+    y, w, lam = rng.normal(size=400), rng.uniform(0.5, 2, 400), rng.uniform(0.01, 0.6, 399)
+    x = kernels.tv_solve(y, w, lam)
+    lower, upper = kernels.tv_bracket(y[100:300], w[100:300], lam[100:299], (lam[99], lam[299]))
+    assert (lower <= x[100:300] + 1e-9).all() and (x[100:300] <= upper + 1e-9).all()
+    assert np.allclose(lower[60:140], upper[60:140])
+
+
+def test_replicates_of_large_chromosomes_go_through_pieces(spark):
+    m, sheet = simulated(13, 300)
+    subject = [s for s, _, _ in sheet]
+    data = panel(spark, m).withColumn("chr", F.when(F.col("probe") < 260, 1).otherwise(2))
+    reps = inference.Replicates(subject, [(k, within.Design(inference.permuted_exposures(sheet, k, 1, True), subject), None) for k in (3, 4, 7)])
+    rows = lambda d: sorted((r["rep"], r["chr"], r["start"], r["end"], round(r["z"], 6)) for r in d.collect())
+    whole = rows(reps.regions(data, 0.3, 1000.0, 2, 0.0, chunk=2))
+    assert whole == rows(reps.regions(data, 0.3, 1000.0, 2, 0.0, chunk=2, rows=70)) and {r[0] for r in whole} == {3, 4, 7}
+
+
+def planted_mixture(rng, n, a):
+    kind = rng.choice(3, n, p=[0.45, 0.1, 0.45])
+    return np.where(kind == 0, rng.beta(*a[0], n), np.where(kind == 1, rng.beta(*a[1], n), rng.beta(*a[2], n)))
+
+
+def test_second_kind_lies_on_the_scale_of_the_first(spark):
+    from panelforge.operators import normalise
+
+    rng = np.random.default_rng(14)
+    one, two = [(3, 60), (8, 8), (60, 3)], [(9, 60), (9, 9), (50, 9)]
+    first, second = (np.stack([planted_mixture(rng, n, a) for _ in range(3)], axis=1) for n, a in ((6000, one), (9000, two)))
+    first[0, 0], second[5, 1], second[6, 1] = np.nan, 0.0, 1.0
+    rows = [(k, bool(k >= 6000), [float(v) for v in r]) for k, r in enumerate(np.vstack([first, second]))]
+    df = spark.createDataFrame(rows, "probe long, second boolean, beta array<double>").repartition(5)
+    out = np.array([r.beta for r in normalise.probe_types(df, "second").orderBy("probe").collect()])
+    assert np.array_equal(out[:6000], first, equal_nan=True) and out[6005, 1] == 0.0 and out[6006, 1] == 1.0
+    q = np.array([0.05, 0.1, 0.2, 0.3, 0.7, 0.8, 0.9, 0.95])
+    for k in range(3):
+        want, before, after = (np.nanquantile(v, q) for v in (first[:, k], second[:, k], out[6000:, k]))
+        assert np.abs(after - want).max() < 0.02 < np.abs(before - want).max()
+    order = np.argsort(second[:, 0])
+    assert (np.diff(out[6000:, 0][order]) >= -1e-9).all()  # no value overtakes another
+    few = df.where("probe % 200 = 0")
+    assert sorted(map(str, normalise.probe_types(few, "second").collect())) == sorted(map(str, few.collect()))
