@@ -54,6 +54,8 @@ SKETCH_BITS = 22
 BLOOM_LEAST, BLOOM_MOST = 20, 28
 #: A token is hot if it has more than this share of all entries (1 / HOT_TOKENS) and more than HOT_ENTRIES.
 HOT_TOKENS, HOT_ENTRIES = 2000, 1000
+#: A token's cells up to this many are paired at once; those of more are dealt by bands of sizes first.
+CELLS = 256
 #: Prefix tokens that linked sets have in common.
 SHARED = 3
 
@@ -265,14 +267,20 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, width: int =
     spread = member.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     entries = cut(entries.join(spread, "gid"))
     cells = entries.groupBy("token", "n", "pos").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    torn = cells.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
+    torn = cells.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("many")).where("low <> high").select("token", "many")
     cells = cut(cells.join(torn, "token"))
-    # linked sizes are within the threshold of each other: a size's band or the one above, never all cells of a token
-    x, y = (cells.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "low", "high"))) for k in (1, 2))
-    x = x.withColumn("band", _band(F.col("n1"), threshold))
-    y = y.withColumn("band", F.explode(F.array(_band(F.col("n2"), threshold), _band(F.col("n2"), threshold) - 1)))
     apart = ~((F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2")))
-    cell_pairs = x.join(y, ["token", "band"]).where("n1 < n2 or n1 = n2 and pos1 <= pos2").where(apart).where(_possible(F.col("pos1"), F.col("n1"), F.col("pos2"), F.col("n2"), threshold)).select("token", "n1", "pos1", "n2", "pos2")
+
+    def paired(held: DataFrame, banded: bool) -> DataFrame:
+        """Pairs of cells of one token, all or those of sizes that the threshold lets link: a size's band and the one above."""
+        x, y = (held.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "low", "high"))) for k in (1, 2))
+        if banded:
+            x = x.withColumn("band", _band(F.col("n1"), threshold))
+            y = y.withColumn("band", F.explode(F.array(_band(F.col("n2"), threshold), _band(F.col("n2"), threshold) - 1)))
+        both = x.join(y, ["token", "band"] if banded else ["token"]).where("n1 < n2 or n1 = n2 and pos1 <= pos2").where(apart)
+        return both.where(_possible(F.col("pos1"), F.col("n1"), F.col("pos2"), F.col("n2"), threshold)).select("token", "n1", "pos1", "n2", "pos2")
+
+    cell_pairs = paired(cells.where(F.col("many") <= CELLS), False).unionByName(paired(cells.where(F.col("many") > CELLS), True))
     e1, e2 = (entries.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "gid", "low", "high"))) for k in (1, 2))
     group_pairs = cell_pairs.join(e1, ["token", "n1", "pos1"]).join(e2, ["token", "n2", "pos2"]).where(apart).where("n1 <> n2 or pos1 <> pos2 or gid1 < gid2").select(F.least("gid1", "gid2").alias("g"), F.greatest("gid1", "gid2").alias("h"))
     m1, m2 = (member.select(*(F.col(c).alias(f"{c}{k}") for c in ("gid", "sid", "component"))) for k in (1, 2))

@@ -530,9 +530,11 @@ def test_pipeline_equals_its_stages_one_by_one(spark, smoke, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, smoke).select("doc_id").distinct().collect()} == want
 
 
-def test_prefix_join_with_hot_tokens(spark, monkeypatch):
-    """Thresholds so low that shared tokens are hot: the links stay the same."""
+@pytest.mark.parametrize("cells", [1, 256])
+def test_prefix_join_with_hot_tokens(spark, monkeypatch, cells):
+    """Thresholds so low that shared tokens are hot, and cells joined by bands: the links stay the same."""
     monkeypatch.setattr(prefix_join, "HOT_ENTRIES", 2)
+    monkeypatch.setattr(prefix_join, "CELLS", cells)
     rnd = random.Random(31)
     words, passage = [f"w{k}" for k in range(200)], [f"p{k}" for k in range(30)]
     rows = []
