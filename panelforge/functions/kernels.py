@@ -9,23 +9,26 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
-def tv_solve(y: np.ndarray, w: np.ndarray, lam: np.ndarray) -> np.ndarray:
-    """argmin of 1/2 sum w (y - x)^2 + sum lam |x[i+1] - x[i]|, exactly.
+def tv_solve(y: np.ndarray, w: np.ndarray, lam: np.ndarray, pull: tuple[float, float] = (0.0, 0.0)) -> np.ndarray:
+    """argmin of 1/2 sum w (y - x)^2 + sum lam |x[i+1] - x[i]| - pull[0] x[0] - pull[1] x[-1], exactly.
 
     Dynamic programming over the derivative of the forward message, which is
     piecewise linear and non-decreasing (Johnson 2013), with one penalty for each
     edge.  Zero weights count as 1e-12 of the median weight.
     """
     n = len(y)
-    if n == 1:
-        return y.astype(float).copy()
     w = np.asarray(w, dtype=float)
     positive = w[w > 0]
     w = np.maximum(w, 1e-12 * (np.median(positive) if len(positive) else 1.0))
-    ys, ws, ls = np.asarray(y, float).tolist(), w.tolist(), np.asarray(lam, float).tolist()
+    drawn = w * np.asarray(y, float)
+    drawn[0] += pull[0]
+    drawn[-1] += pull[1]
+    if n == 1:
+        return drawn / w
+    wys, ws, ls = drawn.tolist(), w.tolist(), np.asarray(lam, float).tolist()
     low, high = [0.0] * (n - 1), [0.0] * (n - 1)
     knots: deque[tuple[float, float, float]] = deque()  # place, change of slope, change of intercept
-    slope, left, right = ws[0], -ws[0] * ys[0], -ws[0] * ys[0]
+    slope, left, right = ws[0], -wys[0], -wys[0]
     sl = sr = slope
     for k in range(n - 1):
         lk = ls[k]
@@ -40,7 +43,7 @@ def tv_solve(y: np.ndarray, w: np.ndarray, lam: np.ndarray) -> np.ndarray:
         high[k] = (lk - right) / sr
         knots.appendleft((low[k], cut_s, cut_i + lk))
         knots.append((high[k], -sr, lk - right))
-        wk, iy = ws[k + 1], -ws[k + 1] * ys[k + 1]
+        wk, iy = ws[k + 1], -wys[k + 1]
         sl, left, sr, right = wk, iy - lk, wk, iy + lk
     while knots and sl * knots[0][0] + left < 0:
         x, ds, di = knots.popleft()
@@ -53,6 +56,16 @@ def tv_solve(y: np.ndarray, w: np.ndarray, lam: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def tv_bracket(y: np.ndarray, w: np.ndarray, lam: np.ndarray, ends: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) bounds of the solution inside a longer chain, from a part of it.
+
+    What lies beyond an end can pull on it with at most that edge's penalty (``ends``), and a stronger pull upwards never lowers
+    any value; so the solutions under both extreme pulls hold the chain's own between them, and where they agree
+    they are it.
+    """
+    return tv_solve(y, w, lam, (-ends[0], -ends[1])), tv_solve(y, w, lam, ends)
+
+
 def debias(theta: np.ndarray, y: np.ndarray, w: np.ndarray, tol: float = 1e-9) -> np.ndarray:
     """Each constant segment's weighted mean of ``y``; a segment without weight keeps its mean level."""
     start = np.flatnonzero(np.append(True, np.abs(np.diff(theta)) > tol))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -15,3 +19,24 @@ def settled(df: DataFrame) -> DataFrame:
             return df.persist()
         sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+def mounted_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors have mounted, inside the session's checkpoint folder; a temporary one on a single machine.
+
+    ValueError where the checkpoint folder is in a store that cannot be mounted.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        return tempfile.mkdtemp(prefix=f"panelforge-{name}-")
+    path = "/" + named.removeprefix("file:").lstrip("/") if named.startswith("file:") else named
+    if "://" in path:
+        raise ValueError(f"{named} is not a mounted folder")
+    path = os.path.join(path, f"{name}-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path

@@ -178,59 +178,94 @@ def chip_permutation_p(groups: DataFrame, n_perm: int = 5000, seed: int = 1, pro
     return packed.mapInPandas(run, f"`{probe}` {kind}, p_chip double")
 
 
-SCENARIOS = (("variant_common", 0.30, True), ("variant_mid", 0.20, True), ("variant_rare", 0.12, True), ("variant_spread", 0.30, True), ("variant_spread_mid", 0.20, True), ("variant_spread_rare", 0.12, True), ("null_chip", 0.0, False), ("null_noise", 0.0, False), ("null_drift", 0.0, False))
+def group_audit(groups: DataFrame, maf: DataFrame, n_perm: int = 5000, seed: int = 1, probe: str = "probe", grp: str = "grp", subject: str = "subject", chip: str = "array", level: float = 0.05) -> DataFrame:
+    """The audit of value groups as genotypes, one row a probe: does the minor group behave like carriers of a variant?
 
-
-def audit_simulation(spark, reps: int = 150, n_perm: int = 1000, seed: int = 1, subjects: int = 38, visits: int = 3, chips: int = 12) -> DataFrame:
-    """Operating characteristics of the genotype audit: share of replicates flagged by each criterion in nine scenarios.
-
-    Replicates are rows of a range; each is simulated and audited in its task.
-    Criteria: constant within a subject, carrier share compatible with its
-    frequency, not explained by chip, and all of them.
+    ``flagged``: there are two groups or more and the least frequent has two samples or more.  For flagged probes: ``invariant``, no
+    subject is partly in it; ``p_freq``, two-sided binomial p of the number of its subjects under Hardy-Weinberg at the probe's
+    ``maf`` (squared where there are three groups or more), and ``freq_ok``; ``p_chip`` by permutation, and ``chip_ok``; ``called``, all
+    of them.  Nulls for the others.  ``maf``: probe, maf; a probe without one cannot be judged by frequency.
     """
+    minor = minor_groups(groups, probe, grp)
+    own = groups.join(minor, probe).withColumn("__in", (F.col(grp) == F.col("minor")).cast("long"))
+    each = own.groupBy(probe, "n_minor", "n_groups", subject).agg(F.sum("__in").alias("k"), F.count("*").alias("n"))
+    g = each.groupBy(probe, "n_minor", "n_groups").agg(F.count("*").alias("n_subjects"), F.sum((F.col("k") > 0).cast("long")).alias("minor_subjects"), F.sum(((F.col("k") > 0) & (F.col("k") < F.col("n"))).cast("long")).alias("straddlers"))
+    g = g.join(maf.select(probe, "maf"), probe, "left").join(chip_permutation_p(groups, n_perm, seed, probe, grp, chip), probe)
+    share = hwe_carriers(F.col("maf"), F.col("n_groups"))
+    k, n = F.col("minor_subjects"), F.col("n_subjects")
+    p = F.least(F.lit(1.0), 2 * F.least(carriers_tail(k, n, share), 1 - carriers_tail(k + 1, n, share)))
+    flagged = (F.col("n_groups") >= 2) & (F.col("n_minor") >= 2)
+    out = g.withColumn("flagged", flagged).withColumn("invariant", F.when(flagged, F.col("straddlers") == 0)).withColumn("p_freq", F.when(flagged & F.col("maf").isNotNull(), p)).withColumn("p_chip", F.when(flagged, F.col("p_chip")))
+    out = out.withColumn("freq_ok", F.col("p_freq") >= level).withColumn("chip_ok", F.col("p_chip") >= level)
+    called = F.when(flagged, F.col("invariant") & F.coalesce(F.col("freq_ok"), F.lit(False)) & F.col("chip_ok"))
+    return out.withColumn("called", called).select(probe, "n_groups", "n_minor", "n_subjects", "minor_subjects", "straddlers", "flagged", "invariant", "p_freq", "freq_ok", "p_chip", "chip_ok", "called")
+
+
+#: Fixed values of simulated probes: mean beta of AA, AB and BB, noise, the step that parts groups, what an artefact adds.
+MEANS, NOISE, STEP, ARTEFACT = (0.15, 0.50, 0.85), 0.03, 0.15, 0.3
+KINDS = ("variant", "no signal", "chip artefact", "subject artefact")
+
+
+def simulate_case(kind: str, maf: float, subject: np.ndarray, chip: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Beta values of one probe over the sheet's samples."""
+    subjects, chips = int(subject.max()) + 1, int(chip.max()) + 1
+    if kind == "variant":
+        alleles = (rng.random((subjects, 2)) < maf).sum(axis=1)
+        return np.clip(np.array(MEANS)[alleles[subject]] + rng.normal(0, NOISE, len(subject)), 0.01, 0.99)
+    value = rng.normal(0.5, 0.05, len(subject))
+    if kind == "chip artefact":
+        value = value + ARTEFACT * (chip == rng.integers(chips))
+    elif kind == "subject artefact":
+        value = value + ARTEFACT * (subject == rng.integers(subjects))
+    return np.clip(value, 0.01, 0.99)
+
+
+def audit_simulation(cases: DataFrame, sheet: list[tuple], n_perm: int = 1000, seed: int = 1) -> DataFrame:
+    """What the audit says of simulated probes: one for each row of ``cases`` (key, layout, kind, maf) on the samples of ``sheet`` (subject, chip).
+
+    ``layout``: ``observed`` keeps the sheet's chips, ``spread`` deals samples over chips anew.  ``kind``: one of KINDS.  Returns the
+    cases with ``flagged, invariant, freq_ok, chip_ok, called`` (null where not flagged).  Cases are simulated where
+    they are, seeded by their key; repeated keys give equal rows.
+    """
+    subject, chip = (np.unique(np.array([str(r[k]) for r in sheet]), return_inverse=True)[1] for k in (0, 1))
+    subjects, chips = int(subject.max()) + 1, int(chip.max()) + 1
+    full = np.bincount(subject)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i in batch["id"]:
-                s, rep = divmod(int(i), reps)
-                name, maf, true = SCENARIOS[s]
-                rng = np.random.Generator(np.random.PCG64([seed, s, rep]))
-                subj = np.repeat(np.arange(subjects), visits)
-                chip = rng.integers(0, chips, len(subj)) if "spread" in name else (subj * chips // subjects)
-                if true:
-                    g = (rng.random((subjects, 2)) < maf).sum(axis=1)[subj]
-                elif name == "null_chip":
-                    g = (chip == rng.integers(chips)).astype(int)
-                elif name == "null_noise":
-                    g = (rng.random(len(subj)) < 0.15).astype(int)
-                else:
-                    g = (np.arange(len(subj)) % visits == visits - 1).astype(int) * (rng.random(len(subj)) < 0.5)
-                beta = np.clip(0.1 + 0.4 * g + rng.normal(0, 0.03, len(subj)), 0, 1)
+            for key, layout, kind, maf in zip(batch["key"], batch["layout"], batch["kind"], batch["maf"]):
+                rng = np.random.Generator(np.random.PCG64([seed, int(key) % 2**63]))
+                own = rng.permutation(np.resize(np.arange(chips), len(chip))) if layout == "spread" else chip
+                beta = simulate_case(kind, maf, subject, own, rng)
                 order = np.argsort(beta, kind="stable")
                 code = np.empty(len(beta), int)
-                code[order] = np.cumsum(np.append(0, np.diff(beta[order]) > 0.15))
+                code[order] = np.cumsum(np.append(0, np.diff(beta[order]) > STEP))
                 count = np.bincount(code)
                 minor = code == int(np.argmin(count))
-                ok = len(count) >= 2 and minor.sum() >= 2
-                per = np.bincount(subj[minor], minlength=subjects)
-                invariant = ok and not ((per > 0) & (per < visits)).any()
-                carriers = int((per > 0).sum())
-                p = hwe_share(maf if true else 0.2, len(count))
-                tail = special.binomial_tail(carriers, subjects, p)
-                freq = ok and min(1.0, 2 * min(tail, 1 - special.binomial_tail(carriers + 1, subjects, p))) > 0.05
-                clean = False
-                if ok:
-                    own, sizes = np.bincount(chip[minor], minlength=chips), np.bincount(chip, minlength=chips)
-                    e = np.maximum(sizes * minor.sum() / len(minor), 1e-12)
-                    draws = rng.multivariate_hypergeometric(sizes, int(minor.sum()), size=n_perm)  # the minor label dealt anew over chips
-                    hits = (((draws - e) ** 2 / e).sum(axis=1) >= ((own - e) ** 2 / e).sum() - 1e-9).sum()
-                    clean = (hits + 1) / (n_perm + 1) > 0.05
-                rows.append((name, float(invariant), float(freq), float(clean), float(invariant and freq and clean)))
-            yield pd.DataFrame(rows, columns=["scenario", "invariant", "freq", "chip", "all"])
-
-    draws = spark.range(len(SCENARIOS) * reps).mapInPandas(run, "scenario string, invariant double, freq double, chip double, all double")
-    return draws.groupBy("scenario").agg(F.count("*").alias("replicates"), *(F.avg(c).alias(f"{c}_rate") for c in ("invariant", "freq", "chip", "all")))
+                if len(count) < 2 or minor.sum() < 2:
+                    rows.append((False, None, None, None, None))
+                    continue
+                per = np.bincount(subject[minor], minlength=subjects)
+                invariant, carriers, p = not ((per > 0) & (per < full)).any(), int((per > 0).sum()), hwe_share(maf, len(count))
+                two = min(1.0, 2 * min(special.binomial_tail(carriers, subjects, p), 1 - special.binomial_tail(carriers + 1, subjects, p)))
+                sizes = np.bincount(own, minlength=chips)
+                held = sizes > 0
+                e = sizes[held] * (minor.sum() / len(minor))
+                stat = lambda o: ((o - e) ** 2 / e + (o - e) ** 2 / (sizes[held] - e)).sum(axis=-1)  # noqa: B023, E731
+                draws = rng.multivariate_hypergeometric(sizes[held], int(minor.sum()), size=n_perm)  # the minor label dealt anew over chips
+                clean = (int((stat(draws) >= stat(np.bincount(own[minor], minlength=chips)[held]) - 1e-12).sum()) + 1) / (n_perm + 1) >= 0.05
+                rows.append((True, bool(invariant), bool(two >= 0.05), bool(clean), bool(invariant and two >= 0.05 and clean)))
+            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=["flagged", "invariant", "freq_ok", "chip_ok", "called"], dtype=object)], axis=1)
+
+    return cases.select(F.col("key").cast("long").alias("key"), "layout", "kind", F.col("maf").cast("double").alias("maf")).mapInPandas(run, "key long, layout string, kind string, maf double, flagged boolean, invariant boolean, freq_ok boolean, chip_ok boolean, called boolean")
+
+
+def audit_rates(audited: DataFrame) -> DataFrame:
+    """``layout, kind, maf, n`` and per cent: of cases ``flagged``, of flagged ones by each criterion, and of all cases ``all_four``."""
+    share = lambda c: F.round(100 * F.avg(F.when(F.col("flagged"), F.col(c).cast("double"))), 1)
+    each = {"invariant": "invariant", "freq_consistent": "freq_ok", "chip_separable": "chip_ok"}
+    return audited.groupBy("layout", "kind", "maf").agg(F.count("*").alias("n"), F.round(100 * F.avg(F.col("flagged").cast("double")), 1).alias("flagged"), *(share(c).alias(n) for n, c in each.items()), F.round(100 * F.avg(F.coalesce(F.col("called").cast("double"), F.lit(0.0))), 1).alias("all_four"))
 
 
 def hwe_share(maf: float, n_groups: int) -> float:

@@ -179,7 +179,7 @@ ORACLES = {
     "method_comparison": f"""WITH {STEPPED} SELECT 'gap' AS method, count(*) AS n, {_r('quantile_cont(width, 0.5)', 'median_width')}, CAST(sum(width) AS BIGINT) AS total_bp, {_r('quantile_cont(n_probes, 0.5)', 'median_probes')}, CAST(NULL AS BIGINT) AS n_fwer05 FROM clusters
       UNION ALL SELECT 'regions', count(*), round(quantile_cont(width, 0.5), 6), CAST(sum(width) AS BIGINT), round(quantile_cont(n_probes, 0.5), 6), CAST(sum(CASE WHEN abs(effect / se) > 10 THEN 1 ELSE 0 END) AS BIGINT) FROM regions""",
     "beta_to_m": f"WITH {BETA}, c AS (SELECT probe, sample, least(greatest(beta, 1e-6), 1 - 1e-6) AS b FROM geno) SELECT probe, sample, {_r('log2(b / (1 - b))', 'm')} FROM c",
-    "exposure_coding": f"SELECT o_orderstatus, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS DOUBLE) AS coded, {_r('avg(ln(1 + round(o_totalprice, 2)))', 'log1p_mean')}, {_r('avg(round(o_totalprice, 2) / 100)', 'scaled_mean')} FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1",
+    "exposure_coding": f"SELECT o_orderstatus, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) AS DOUBLE) AS coded, {_r('avg(ln(1 + round(o_totalprice, 2)))', 'log1p_mean')}, {_r('avg(round(o_totalprice, 2) / 100)', 'scaled_mean')} FROM orders GROUP BY 1",
     "sample_qc": f"""WITH g AS (SELECT l_suppkey AS sample, quantile_cont(log2(l_extendedprice + 1), 0.5) AS m, quantile_cont(log2(l_quantity * 1000), 0.5) AS u, avg(CASE WHEN l_tax > 0.07 THEN 1.0 ELSE 0 END) AS f FROM lineitem GROUP BY 1)
       SELECT sample, {_r('m', 'm_med')}, {_r('u', 'u_med')}, {_r('f', 'frac_failed')}, {_r('(m + u) / 2', 'qc_mean')}, (m + u) / 2 < 14.3 OR f > 0.15 AS sample_fail FROM g""",
     "probe_filter_audit": """WITH fl AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_tax / 4 > 0.0199), a AS (SELECT p_partkey AS probe, l_partkey IS NOT NULL AS fail_detp, p_size % 10 IN (0, 1) AS is_sex, p_name LIKE '%bolt%' AS is_crossreactive, coalesce(p_size > 25 AND p_size / 1000 >= 0.045, false) AS dropped_snp FROM part LEFT JOIN fl ON p_partkey = l_partkey)
@@ -209,7 +209,7 @@ ORACLES = {
       x AS (SELECT r.probe, r.grp, c.platform, coalesce(o, 0) AS o, CAST(r AS DOUBLE) * c / n AS e, n FROM r JOIN c ON r.probe = c.probe JOIN n ON r.probe = n.probe LEFT JOIN o ON o.probe = r.probe AND o.grp = r.grp AND o.platform = c.platform)
       SELECT probe, CAST(any_value(n) AS BIGINT) AS n, {_r('sum((o - e) * (o - e) / e)', 'chi2')}, (count(DISTINCT grp) - 1) * (count(DISTINCT platform) - 1) AS dof FROM x GROUP BY 1""",
     "hwe_expected": f"WITH a AS (SELECT p_partkey AS probe, p_size / 100.0 AS m FROM part) SELECT probe, {_r('2 * m - m * m', 'carriers')}, {_r('126 * (2 * m - m * m)', 'expected')} FROM a",
-    "f64_roundtrip": f"SELECT vec_id AS probe, {_r('list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))', 'total')}, CAST(len(embedding) AS INTEGER) AS samples FROM embeddings",
+    "f64_roundtrip": f"SELECT vec_id AS probe, row_number() OVER (ORDER BY vec_id) - 1 AS row, {_r('list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))', 'total')}, CAST(len(embedding) AS INTEGER) AS samples FROM embeddings",
     "strict_json": """SELECT '{"s_suppkey":' || s_suppkey || ',"v":' || CASE WHEN s_suppkey % 3 = 2 THEN '0.5' ELSE 'null' END || '}' AS json FROM supplier""",
     "event_sessions": f"""WITH g AS (SELECT user_id, epoch_us(ts) AS t, round(value, 2) AS value, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events), c AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
       SELECT user_id, min(t) AS start_us, max(t) AS end_us, count(*) AS n, {_r('sum(value)', 'total')} FROM c GROUP BY user_id, k""",
@@ -224,6 +224,15 @@ ORACLES = {
       SELECT probe, 'chr' || CAST(p_size % 24 AS VARCHAR) AS chr, CAST(count(*) AS INTEGER) AS samples, {_r("avg(log2(b / (1 - b)))", "mean_m")} FROM b JOIN part ON p_partkey = probe WHERE p_size % 24 < 22 GROUP BY 1, 2""",
     "harmonised_samples": f"""WITH {TWO_ARRAYS} SELECT sample, CASE WHEN sample % 2 = 0 THEN '450K' ELSE 'EPIC' END AS "array", {_r("qc_mean", "qc_mean")}, {_r("frac_failed", "frac_failed")}, sample_fail, sex AS predicted_sex,
       sex <> CASE WHEN s_nationkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex_mismatch FROM qc LEFT JOIN supplier ON s_suppkey = sample""",
+    "group_audit": f"""WITH {GROUPS}, c AS (SELECT probe, grp, count(*) AS n FROM grouped GROUP BY 1, 2),
+      m AS (SELECT probe, arg_min(grp, n * 1000 + grp) AS minor, min(n) AS n_minor, count(*) AS n_groups FROM c GROUP BY 1),
+      e AS (SELECT g.probe, subject, any_value(n_minor) AS n_minor, any_value(n_groups) AS n_groups, count(*) AS n, count(*) FILTER (grp = minor) AS k FROM grouped g JOIN m ON m.probe = g.probe GROUP BY 1, 2),
+      a AS (SELECT probe, any_value(n_groups) AS n_groups, any_value(n_minor) AS n_minor, count(*) AS n_subjects, count(*) FILTER (k > 0) AS ms, count(*) FILTER (k > 0 AND k < n) AS st FROM e GROUP BY 1),
+      h AS (SELECT *, CASE WHEN n_groups >= 3 THEN pow((probe % 45 + 1) / 100.0, 2) ELSE 2 * ((probe % 45 + 1) / 100.0) - pow((probe % 45 + 1) / 100.0, 2) END AS p FROM a),
+      t AS (SELECT h.probe, sum(CASE WHEN i >= ms THEN exp(lgamma(n_subjects + 1) - lgamma(i + 1) - lgamma(n_subjects - i + 1) + i * ln(p) + (n_subjects - i) * ln(1 - p)) ELSE 0 END) AS up,
+             sum(CASE WHEN i <= ms THEN exp(lgamma(n_subjects + 1) - lgamma(i + 1) - lgamma(n_subjects - i + 1) + i * ln(p) + (n_subjects - i) * ln(1 - p)) ELSE 0 END) AS down FROM h, range(0, 17) r(i) WHERE i <= n_subjects GROUP BY 1),
+      f AS (SELECT h.*, n_groups >= 2 AND n_minor >= 2 AS flagged, least(1.0, 2 * least(up, down)) AS pf FROM h JOIN t ON t.probe = h.probe)
+      SELECT probe, n_groups, n_minor, n_subjects, ms AS minor_subjects, st AS straddlers, flagged, CASE WHEN flagged THEN st = 0 END AS invariant, CASE WHEN flagged THEN {_r('pf', 'x').replace(' AS x', '')} END AS p_freq, CASE WHEN flagged THEN pf >= 0.05 END AS freq_ok FROM f""",
     "method_agreement": f"""WITH {LONG}, {_fit('long', 'probe, chr, pos, platform', 'value')}, f9 AS (SELECT probe, chr, pos, platform, round(beta, 9) AS beta, round(se, 9) AS se FROM fits),
       pg AS (SELECT probe, chr, pos, pos - lag(pos) OVER (PARTITION BY chr ORDER BY pos, probe) AS gap FROM panel), pc AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY pos, probe ROWS UNBOUNDED PRECEDING) AS c FROM pg),
       reg AS (SELECT chr, c, max(pos) - min(pos) + 1 AS width, count(*) AS n FROM pc GROUP BY 1, 2),

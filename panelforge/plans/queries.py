@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import hashing
-from panelforge.functions.session import settled
+from panelforge.functions.session import mounted_folder, settled
 from panelforge.operators import blocks, compare, genome, genotype, inference, quality_control, regions, within
 from panelforge.panel import Panel
 from panelforge.plans import stages
@@ -370,8 +368,8 @@ def beta_to_m(spark, d):
 
 
 def exposure_coding(spark, d):
-    o = tables.table(spark, d, "orders").where("o_orderstatus in ('F', 'O')")
-    c = quality_control.code_exposure(o, "o_orderstatus")
+    o = tables.table(spark, d, "orders").withColumn("state", F.when(F.col("o_orderstatus") == "F", "final").otherwise("open"))
+    c = quality_control.code_exposure(o, "state")
     return c.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("exposure").alias("coded"), r6(F.avg(quality_control.scale_exposure(F.round("o_totalprice", 2), "log1p")), "log1p_mean"), r6(F.avg(quality_control.scale_exposure(F.round("o_totalprice", 2), "scaled")), "scaled_mean"))
 
 
@@ -507,23 +505,32 @@ def chip_permutation_p(spark, d):
 
 
 def audit_simulation(spark, d):
-    a = genotype.audit_simulation(spark, n_perm=AUDIT_DRAWS)
-    return a.select("scenario", "replicates", *(r6(f"{c}_rate", f"{c}_rate") for c in ("invariant", "freq", "chip", "all")))
+    """The audit's rates on simulated probes, one for each part: its size says the kind, its key the layout and the frequency."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    kind = F.when(size % 4 == 1, "no signal").when(size % 8 == 2, "chip artefact").when(size % 8 == 6, "subject artefact").otherwise("variant")
+    cases = tables.table(spark, d, "part").select(key.alias("key"), kind.alias("kind"), F.when((kind == "variant") & (key % 2 == 1), "spread").otherwise("observed").alias("layout"), F.when(kind == "variant", (key % 3 + 1) / 10.0).otherwise(0.05).alias("maf"))
+    sheet = [(s, i // 8) for i, (s, _, _) in enumerate(_sheet())]  # chips of eight samples, two subjects each
+    return genotype.audit_rates(genotype.audit_simulation(cases, sheet, n_perm=AUDIT_DRAWS))
+
+
+def group_audit(spark, d):
+    """Value groups of every probe audited as genotypes, frequencies from its id; the permutation p is left to its own query."""
+    g = _groups(spark, d)
+    maf = g.select("probe").distinct().withColumn("maf", (F.col("probe") % 45 + 1) / 100.0)
+    a = genotype.group_audit(g, maf, n_perm=CHIP_DRAWS)
+    return a.select("probe", "n_groups", "n_minor", "n_subjects", "minor_subjects", "straddlers", "flagged", "invariant", r6("p_freq", "p_freq"), "freq_ok")
 
 
 # sources ----------------------------------------------------------------------------------------
 
 
 def f64_roundtrip(spark, d):
-    """The panel written as a column-major matrix and read back, a hash of each row's values."""
+    """The panel written as a column-major matrix by all tasks and read back: each row's place, name and values' sum."""
     p = adapters.panel_embeddings(spark, d)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelforge-f64-")  # the shared folder, where there is one
-    base = base.removeprefix("file:")
-    os.makedirs(base, exist_ok=True)
-    stem = os.path.join(base, f"mval-{uuid.uuid4().hex}")
-    matrix.write_f64(p, stem, row="probe", values="m", name=None)
+    stem = os.path.join(mounted_folder(spark, "mval"), "mval")
+    matrix.write_f64(p, stem, row="probe", values="m", name="probe")
     back = matrix.read_f64(spark, stem)
-    return back.select(F.col("row").alias("probe"), r6(F.aggregate("m", F.lit(0.0), lambda s, x: s + x), "total"), F.size("m").alias("samples"))
+    return back.select(F.col("name").cast("long").alias("probe"), "row", r6(F.aggregate("m", F.lit(0.0), lambda s, x: s + x), "total"), F.size("m").alias("samples"))
 
 
 def strict_json(spark, d):
@@ -593,5 +600,5 @@ QUERIES = {f.__name__: f for f in (
     within_transform, identification_df, within_fit_orders, within_fit_simple, within_fit_covariates, moderated_variance, gls_probe_model, adjacent_correlation, residual_correlation, documented_variants, comethylation_clusters, cluster_collapse, tv_track, cv_lambda,
     regions_end_to_end, permutation_null, naive_null, stability_selection, hmm_blocks, bumphunter_like, blockfinder_like, fold_assignment, subject_hash, permutation_within, permutation_naive, permutation_naive_all, subject_subsample, fwer_pvalues, fwer_borderline, bh_fdr,
     cross_array_agreement, correlation_ci, common_footing, method_comparison, beta_to_m, exposure_coding, sample_qc, probe_filter_audit, probe_intersection, manifest_concordance, annotate_left, dropped_probes, subject_semi, gene_filter, manifest_sets,
-    top_regions, genotype_calls, pair_concordance, gap_partition, gaphunter, minor_group_profile, variance_explained, group_chip_chi2, hwe_expected, hwe_tail, fisher_group_array, chip_permutation_p, audit_simulation, f64_roundtrip, strict_json, event_sessions, gap_histogram, first_rows, probe_model_summary, harmonised_panel, harmonised_arrays, harmonised_samples, method_agreement,
+    top_regions, genotype_calls, pair_concordance, gap_partition, gaphunter, minor_group_profile, variance_explained, group_chip_chi2, hwe_expected, hwe_tail, fisher_group_array, chip_permutation_p, audit_simulation, group_audit, f64_roundtrip, strict_json, event_sessions, gap_histogram, first_rows, probe_model_summary, harmonised_panel, harmonised_arrays, harmonised_samples, method_agreement,
 )}

@@ -295,3 +295,39 @@ def test_second_kind_lies_on_the_scale_of_the_first(spark):
     assert (np.diff(out[6000:, 0][order]) >= -1e-9).all()  # no value overtakes another
     few = df.where("probe % 200 = 0")
     assert sorted(map(str, normalise.probe_types(few, "second").collect())) == sorted(map(str, few.collect()))
+
+
+def test_matrix_sink_writes_from_all_tasks(spark, tmp_path, monkeypatch):
+    from panelforge.sources import matrix
+
+    m = np.random.default_rng(15).normal(size=(500, 7))
+    df = spark.createDataFrame([(k * 3, f"cg{k}", [float(v) for v in r]) for k, r in enumerate(m)], "row long, name string, m array<double>").repartition(6)
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(matrix, "NAMES", most)
+        stem = str(tmp_path / f"m{most}")
+        matrix.write_f64(df, stem, name="name", colnames=[f"s{k}" for k in range(7)])
+        assert np.array_equal(np.fromfile(f"{stem}.f64", "<f8").reshape(7, 500).T, m)
+        back = matrix.read_f64(spark, stem, block=64).orderBy("row").collect()
+        assert [r.name for r in back] == [f"cg{k}" for k in range(500)] and np.array_equal([r.m for r in back], m)
+    matrix.write_f64(df.limit(0), str(tmp_path / "none"))
+    assert matrix.header(str(tmp_path / "none"))["nrow"] == 0
+    with pytest.raises(ValueError):
+        matrix.write_f64(df.withColumn("m", F.slice("m", 1, (F.col("row") % 2 + 1).cast("int"))), str(tmp_path / "bad"))
+
+
+def test_group_audit_of_a_variant_and_of_artefacts(spark):
+    rng = np.random.default_rng(16)
+    subject, chip = np.repeat(np.arange(30), 4), np.tile(np.arange(4), 30)
+    genotype_ = (rng.random((30, 2)) < 0.25).sum(axis=1)
+    groups = {"variant": (genotype_[subject] > 0).astype(int), "chip": (chip == 2).astype(int), "flat": np.zeros(120, int), "one": (np.arange(120) == 7).astype(int)}
+    rows = [(p, int(i), int(g), int(subject[i]), int(chip[i])) for p, v in groups.items() for i, g in enumerate(v)]
+    from panelforge.operators import genotype
+
+    df = spark.createDataFrame(rows, "probe string, sample int, grp int, subject int, array int")
+    out = {r.probe: r for r in genotype.group_audit(df, spark.createDataFrame([("variant", 0.25), ("chip", 0.25)], "probe string, maf double"), n_perm=499).collect()}
+    assert out["variant"].called and out["variant"].invariant and out["variant"].freq_ok and out["variant"].chip_ok
+    assert out["chip"].flagged and not out["chip"].invariant and not out["chip"].chip_ok and not out["chip"].called
+    assert not out["flat"].flagged and not out["one"].flagged and out["one"].called is None
+    cases = spark.createDataFrame([(k, "spread", "variant", 0.2) for k in range(60)] + [(100 + k, "observed", "no signal", 0.05) for k in range(40)] + [(200 + k, "observed", "chip artefact", 0.05) for k in range(40)], "key long, layout string, kind string, maf double")
+    rates = {r.kind: r for r in genotype.audit_rates(genotype.audit_simulation(cases, list(zip(subject.tolist(), (subject // 2).tolist())), n_perm=199)).collect()}
+    assert rates["variant"].all_four > 75 and rates["no signal"].flagged < 10 and rates["chip artefact"].all_four < 10
