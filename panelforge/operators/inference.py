@@ -19,11 +19,18 @@ from panelforge.operators import genome, scan, within
 def folds(subjects: DataFrame, n_folds: int, seed: int = 0, subject: str = "subject") -> DataFrame:
     """``subject, fold``: subjects by (FNV-1a of "seed:id", id) in contiguous folds whose sizes differ by one at most.
 
-    Subjects number in the thousands at most (people, not rows); one window orders them.
+    Ranks are taken in ranges of the hash, and the ranges' counts (1,024 at most) say where each begins: no window holds all subjects.
     """
     s = subjects.select(F.col(subject).cast("string").alias("subject")).where("subject is not null").distinct()
-    w = Window.orderBy(hashing.fnv1a(F.concat(F.lit(f"{seed}:"), "subject")), "subject")
-    return s.select("subject", (F.ntile(n_folds).over(w) - 1).alias("fold"))
+    s = settled(s.withColumn("__h", hashing.fnv1a(F.concat(F.lit(f"{seed}:"), "subject"))).withColumn("__r", F.shiftright("__h", 22)))
+    sizes = s.groupBy("__r").agg(F.count("*").alias("__n"))
+    total = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("__r", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__b"), F.sum("__n").over(total).alias("__m"))
+    rank = F.row_number().over(Window.partitionBy("__r").orderBy("__h", "subject")) - 1 + F.col("__b")
+    small, more = F.floor(F.col("__m") / n_folds), F.col("__m") % n_folds  # the first ``more`` folds have one subject more
+    fold = F.when(rank < more * (small + 1), F.floor(rank / (small + 1))).otherwise(more + F.floor((rank - more * (small + 1)) / F.greatest(small, F.lit(1))))
+    return s.join(F.broadcast(base), "__r").select("subject", fold.cast("int").alias("fold"))
 
 
 def permute(df: DataFrame, rep: int | str, seed: int, within_subject: bool = True, sample: str = "sample", subject: str = "subject", exposure: str = "exposure", name: str = "permuted") -> DataFrame:

@@ -331,3 +331,18 @@ def test_group_audit_of_a_variant_and_of_artefacts(spark):
     cases = spark.createDataFrame([(k, "spread", "variant", 0.2) for k in range(60)] + [(100 + k, "observed", "no signal", 0.05) for k in range(40)] + [(200 + k, "observed", "chip artefact", 0.05) for k in range(40)], "key long, layout string, kind string, maf double")
     rates = {r.kind: r for r in genotype.audit_rates(genotype.audit_simulation(cases, list(zip(subject.tolist(), (subject // 2).tolist())), n_perm=199)).collect()}
     assert rates["variant"].all_four > 75 and rates["no signal"].flagged < 10 and rates["chip artefact"].all_four < 10
+
+
+def test_best_lambda_takes_the_first_of_equals(spark):
+    nan = float("nan")
+    grid = spark.createDataFrame([(0.5, 2.0), (0.1, nan), (1.0, 1.5), (0.2, 1.5), (0.05, None)], "lam0 double, score double")
+    assert inference.best_lambda(grid) == 0.2
+    with pytest.raises(ValueError):
+        inference.best_lambda(grid.where("score is null or isnan(score)"))
+
+
+def test_folds_differ_by_one_at_most(spark):
+    for n, k in ((17, 5), (3, 5), (40, 4)):
+        got = inference.folds(spark.range(n).select(F.concat(F.lit("s"), "id").alias("subject")), k, 3).collect()
+        sizes = sorted(np.bincount([r.fold for r in got]).tolist())
+        assert sum(sizes) == n and sizes[-1] - sizes[0] <= 1 and max(r.fold for r in got) == min(k, n) - 1
