@@ -134,8 +134,9 @@ def residual_panel(panel: DataFrame, design: Design, values: str = "m", project:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                r = design.residuals(matrix_of(batch.column(keep.index(values))), project)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(r), pa.list_(pa.float64()))], names=[*keep, name])
+                r = np.ascontiguousarray(design.residuals(matrix_of(batch.column(keep.index(values))), project))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, r.size + 1, r.shape[1], dtype=np.int32)), pa.array(r.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*keep, name])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.schema)
     return panel.mapInArrow(run, f"{types}, `{name}` array<double>")
