@@ -133,10 +133,8 @@ def dominance(points: DataFrame, queries: DataFrame, level: str, value: str, nam
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
 
     def own(qs, ps):
-        import pandas as pd
-
         if not len(qs):
-            return pd.DataFrame({c: [] for c in [*kept, "__r", "__within"]})
+            return qs.assign(__within=np.empty(0, dtype=np.int64))[[*kept, "__r", "__within"]]
         lv, vv = ps["__l"].to_numpy(), ps["__v"].to_numpy()
         out = np.zeros(len(qs), dtype=np.int64)
         ql, qv = qs[level].to_numpy(), qs[value].to_numpy(float)

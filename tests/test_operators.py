@@ -250,7 +250,7 @@ def test_regions_with_covariates_and_text_chromosomes(spark):
     assert abs(top["effect"] - 0.30) < 0.06 and top["chr"] == "X" and record["df"] == 120 - 30 - 2
     assert [r["p_fwer"] for r in rows] == sorted(r["p_fwer"] for r in rows)
     legacy = regions.bumphunter(panel(spark, m).withColumn("chr", F.lit("X")), sheet, cutoff=0.15, n_perm=9).collect()
-    assert {r["chr"] for r in legacy} == {"X"} and min(r["fwer_area"] for r in legacy) == pytest.approx(0.1)
+    assert {r["chr"] for r in legacy} == {"X"} and min(r["fwer_area"] for r in legacy) == 0.0  # no replicate of nine has such an area
 
 
 def test_nearest_stays_linear_on_one_chromosome(spark):
