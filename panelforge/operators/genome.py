@@ -49,10 +49,11 @@ def with_gap(df: DataFrame, chrom: str = "chr", pos: str = "pos", *ties: str, cu
 def islands(df: DataFrame, breaks: Column, chrom: str = "chr", pos: str = "pos", *ties: str, name: str = "island", cuts: DataFrame | None = None) -> DataFrame:
     """Number runs from 1 on each chromosome; a true or null ``breaks`` starts one.
 
-    ``breaks`` is of columns of ``df``: with ``cuts`` it must not look at other rows by a window.
+    ``breaks`` is of columns of ``df``: with ``cuts`` it must not look at other rows by a window.  Rows of one position (and ``ties``) are
+    one place: a break at any of them is one of all.
     """
     flagged = df.withColumn("__new", F.when(F.coalesce(breaks, F.lit(True)), 1).otherwise(0))
-    return scan.with_running(scan.pieced(flagged, cuts, chrom, pos), {name: F.col("__new")}, (chrom,), (pos, *ties), cuts is None).drop("__new", scan.PIECE)
+    return scan.with_running(scan.pieced(flagged, cuts, chrom, pos), {name: F.col("__new")}, (chrom,), (pos, *ties), cuts is None, peers=True).drop("__new", scan.PIECE)
 
 
 def gap_clusters(df: DataFrame, max_gap: float, chrom: str = "chr", pos: str = "pos", *ties: str, cuts: DataFrame | None = None) -> DataFrame:

@@ -64,9 +64,10 @@ def with_previous(df: DataFrame, values: dict[str, Column], by: tuple[str, ...],
     return out.drop("__own", "__before")
 
 
-def with_running(df: DataFrame, sums: dict[str, Column], by: tuple[str, ...], order: tuple[str, ...], whole: bool) -> DataFrame:
-    """``df`` with running sums (this row included) along its group."""
-    w = window(by, *order).rowsBetween(Window.unboundedPreceding, 0)
+def with_running(df: DataFrame, sums: dict[str, Column], by: tuple[str, ...], order: tuple[str, ...], whole: bool, peers: bool = False) -> DataFrame:
+    """``df`` with running sums (this row included) along its group; ``peers``: rows of one place in the order have one sum."""
+    w = window(by, *order)
+    w = w.rangeBetween(Window.unboundedPreceding, Window.currentRow) if peers else w.rowsBetween(Window.unboundedPreceding, 0)
     out = df
     for n, v in sums.items():
         out = out.withColumn(n, F.sum(v).over(w))

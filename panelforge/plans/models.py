@@ -184,9 +184,9 @@ ORACLES = {
     + "t AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(share AS DOUBLE) AS share, (SELECT list(CAST({c} AS DOUBLE) ORDER BY {c}) FROM {t} WHERE {c} IS NOT NULL) AS v FROM s" for n, t, c in (("price", "lineitem", "l_extendedprice"), ("value", "events", "value"), ("size", "part", "p_size")))
     + "), h AS (SELECT name, share, v, (len(v) - 1) * share AS h FROM t) "
     + f"SELECT name, share, {_r('v[CAST(floor(h) AS BIGINT) + 1] + (v[CAST(ceil(h) AS BIGINT) + 1] - v[CAST(floor(h) AS BIGINT) + 1]) * (h - floor(h))', 'v')} FROM h",
-    "single_chromosome_islands": """WITH li AS (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS pos, CAST(round(l_quantity) AS BIGINT) AS q FROM lineitem),
+    "single_chromosome_islands": """WITH li AS (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS pos, count(*) AS n, sum(CAST(round(l_quantity) AS BIGINT)) AS q FROM lineitem GROUP BY 1),
       g AS (SELECT *, pos - lag(pos) OVER (ORDER BY pos) AS gap FROM li), c AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 5 THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cluster FROM g)
-      SELECT CAST(cluster AS BIGINT) AS cluster, min(pos) AS "start", max(pos) AS "end", count(*) AS n, CAST(sum(q) AS BIGINT) AS q FROM c GROUP BY 1""",
+      SELECT CAST(cluster AS BIGINT) AS cluster, min(pos) AS "start", max(pos) AS "end", CAST(sum(n) AS BIGINT) AS n, CAST(sum(q) AS BIGINT) AS q FROM c GROUP BY 1""",
     "pooled_slopes": f"WITH {LONG}, {_dealt(0)}, {_TWO} SELECT probe, chr, pos, {_r('b', 'slope')} FROM sl",
     "array_slopes": f"WITH {LONG}, {_ARRAY} SELECT probe, platform, {_r('b', 'slope')} FROM own",
     "bumphunter_raw": f"""WITH {LONG}, {_dealt(N_PERM)}, {_TWO}, {_bumps(CUTOFF, 300, N_PERM)}, {_ARRAY_TWO},

@@ -154,3 +154,10 @@ def test_ragged_panels_are_refused(spark):
     df = spark.createDataFrame([(0, 1, 0, [1.0, 2.0, 3.0]), (1, 1, 10, [2.0, 4.0, 6.0, 1.0, 1.0])], "probe long, chr int, pos long, m array<double>").coalesce(1)
     with pytest.raises(Exception, match="one value a sample"):
         within.fit_panel(df, within.Design([0.0, 1.0, 2.0, 3.0], ["a", "a", "b", "b"])).collect()
+
+
+def test_rows_of_one_position_share_a_cluster(spark):
+    df = spark.range(600).select(F.lit(1).alias("chr"), (F.floor(F.col("id") / 3) * 7).alias("pos"), F.col("id").alias("probe")).repartition(5)
+    for cuts in (None, scan.cut_points(df, 100)):
+        got = genome.gap_clusters(df, 6, cuts=cuts).groupBy("pos").agg(F.countDistinct("cluster").alias("n"), F.min("cluster").alias("c")).collect()
+        assert len(got) == 200 and all(r.n == 1 and r.c == r.pos // 7 + 1 for r in got)
