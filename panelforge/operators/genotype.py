@@ -100,12 +100,6 @@ def profile(groups: DataFrame, probe: str = "probe", sample: str = "sample", grp
     return base.join(subj, probe).join(text, probe, "left").join(share, probe, "left")
 
 
-def _log_factorial(n: Column) -> Column:
-    """log(n!) of small whole numbers, as a sum of logarithms."""
-    steps = F.when(n >= 2, F.sequence(F.lit(2).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(steps, F.lit(0.0), lambda t, k: t + F.log(k))
-
-
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-sided Fisher p of 2 x 2 counts: the feasible tables no likelier than this one (to a part in 1e7).
 
@@ -130,13 +124,16 @@ def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def carriers_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k) of a binomial of n trials."""
-    n, k, p = n.cast("long"), k.cast("long"), p.cast("double")
-    whole = _log_factorial(n)
-    terms = F.when((k <= n) & (k >= 1), F.sequence(k, n)).otherwise(F.array().cast("array<bigint>"))
-    one = lambda i: F.exp(whole - _log_factorial(i) - _log_factorial(n - i) + i * F.log(p) + (n - i) * F.log1p(-p))
-    tail = F.aggregate(terms, F.lit(0.0), lambda t, i: t + one(i))
-    return F.when(k <= 0, 1.0).when(p <= 0, 0.0).when(p >= 1, F.when(k <= n, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), tail))
+    """P(X >= k) of a binomial of n trials; null where an argument is null.
+
+    A batch of rows is one continued fraction of arrays: its steps do not grow with the trials of a row.
+    """
+
+    @F.pandas_udf("double")
+    def tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series(special.binomial_tail_array(k, n, p))
+
+    return tail(k.cast("double"), n.cast("double"), p.cast("double"))
 
 
 def hwe_carriers(maf: Column, n_groups: Column | None = None) -> Column:

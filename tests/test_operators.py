@@ -1,6 +1,7 @@
 """Operators on simulated panels: recovery, invariants, guards, edge cases."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -285,6 +286,17 @@ def test_tails_and_fisher_equal_plain_sums(spark):
     assert np.allclose(special.t_two_sided_array(t, 11.0), [special.t_two_sided(float(v), 11.0) for v in t])
 
 
+def test_carriers_tail_of_many_rows(spark):
+    """100,000 rows of 126 trials: a sum of sums of logarithms took minutes of one task."""
+    df = spark.range(0, 100_000, 1, 1).select((F.col("id") % 129).alias("k"), ((F.col("id") % 50 + 1) / 60.0).alias("p"))
+    began = time.time()
+    out = df.withColumn("t", genotype.carriers_tail(F.col("k"), F.lit(126), F.col("p"))).groupBy("k", "p").agg(F.first("t").alias("t")).collect()
+    assert time.time() - began < 60
+    assert all(r.t == pytest.approx(special.binomial_tail(r.k, 126, r.p), rel=1e-9, abs=1e-300) for r in out)
+    edge = spark.createDataFrame([(3, None), (None, 0.5), (0, 0.0), (5, 0.0), (5, 1.0), (127, 1.0)], "k int, p double")
+    assert [r.t for r in edge.select(genotype.carriers_tail(F.col("k"), F.lit(126), F.col("p")).alias("t")).collect()] == [None, None, 1.0, 0.0, 1.0, 0.0]
+
+
 def test_variant_flags_sex_and_labels(spark):
     df = spark.createDataFrame([(1, "chr2", 5, None, None), (2, "chr1", 9, "rs1", None), (3, "chr1", 4, None, "rs2"), (4, "chr1", 1, None, None)], "probe int, chr string, pos int, Probe_rs string, SBE_rs string")
     assert [(r.probe, r.documented_snp) for r in quality_control.documented_first(quality_control.documented(df)).collect()] == [(3, True), (2, True), (4, False), (1, False)]
