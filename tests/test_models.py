@@ -145,6 +145,21 @@ def test_harmonised_rows_have_one_value_a_scan(spark):
         stages.harmonise(scan(["a", "b"]).union(scan(["a"])), ann)[0].collect()
 
 
+def test_harmonised_rows_of_many_samples_hold_what_is_there(spark):
+    """20,000 samples of 4 probes each: 4 of 20,000 places a row are filled, so only rows without places are small."""
+    n = 20_000
+    li = spark.range(n * 4).select(F.concat(F.lit("s"), F.lpad((F.col("id") % n).cast("string"), 5, "0")).alias("sample"), ((F.col("id") % n + F.floor(F.col("id") / n)) % n).alias("probe"), (8000.0 + F.col("id") % 100).alias("meth"), F.lit(8000.0).alias("unmeth"), F.lit(0.001).alias("detp"))
+    ann = spark.range(n).select(F.col("id").alias("probe"), F.lit("chr1").alias("chr"), F.col("id").alias("pos"))
+    p, _, _ = stages.harmonise(li, ann, bind=False)
+    row = p.agg(F.count("*"), F.sum(F.size("held")), F.max(F.size("held"))).first()
+    assert tuple(row) == (n, 4 * n, 4)
+    assert [x.ordinal for x in p.where("probe = 7").first().held] == [4, 5, 6, 7]
+    bound = stages.harmonise(li, ann)[0].where("probe in (0, 7, 19999)").collect()
+    assert {r.probe: [i for i, x in enumerate(r.m) if x is not None] for r in bound} == {0: [0, n - 3, n - 2, n - 1], 7: [4, 5, 6, 7], 19999: [n - 4, n - 3, n - 2, n - 1]} and all(len(r.m) == n for r in bound)
+    with pytest.raises(ValueError):
+        stages.harmonise_arrays({"450K": li}, ann, mixture=True, bind=False)
+
+
 def test_background_and_dyes(spark):
     """Two channels of planted background and brightness agree after correction."""
     rng = np.random.default_rng(4)
