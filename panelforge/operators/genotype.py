@@ -217,13 +217,34 @@ def simulate_case(kind: str, maf: float, subject: np.ndarray, chip: np.ndarray,
     return np.clip(value, 0.01, 0.99)
 
 
+#: Simulated cases of one task, draws between two looks at the hits.
+CASES, LOOK = 2000, 100
+
+
+def chip_separable(sizes: np.ndarray, minor: np.ndarray, n_perm: int, rng: np.random.Generator, level: float = 0.05) -> bool:
+    """Whether (hits + 1) / (n_perm + 1) reaches ``level``: hits are dealings of the minor label over chips whose chi-square reaches that of ``minor``.
+
+    Draws come in the order in which one call would give them, and end when the rest can no longer change the answer.
+    """
+    m, total = int(minor.sum()), int(sizes.sum())
+    e = sizes * (m / total)
+    stat = lambda o: ((o - e) ** 2 / e + (o - e) ** 2 / (sizes - e)).sum(axis=-1)
+    own, hits, left = stat(minor) - 1e-12, 0, n_perm
+    while (hits + 1) / (n_perm + 1) < level <= (hits + left + 1) / (n_perm + 1):
+        size = min(LOOK, left)
+        hits += int((stat(rng.multivariate_hypergeometric(sizes, m, size=size)) >= own).sum())
+        left -= size
+    return (hits + 1) / (n_perm + 1) >= level
+
+
 def audit_simulation(cases: DataFrame, sheet: list[tuple], n_perm: int = 1000, seed: int = 1) -> DataFrame:
     """What the audit says of simulated probes: one for each row of ``cases`` (key, layout, kind, maf) on the samples of ``sheet`` (subject, chip).
 
     ``layout``: ``observed`` keeps the sheet's chips, ``spread`` deals samples over chips anew.  ``kind``: one of KINDS.  Returns the
-    cases with ``flagged, invariant, freq_ok, chip_ok, called`` (null where not flagged).  Cases are simulated where
-    they are, seeded by their key; repeated keys give equal rows.
+    cases with ``flagged, invariant, freq_ok, chip_ok, called`` (null where not flagged).  Cases are seeded by their key, wherever
+    they are simulated (a case is a row of a few bytes and a millisecond of work, so they are dealt over tasks by number); repeated keys give equal rows.
     """
+    tasks = max(1, -(-cases.count() // CASES))
     subject, chip = (np.unique(np.array([str(r[k]) for r in sheet]), return_inverse=True)[1] for k in (0, 1))
     subjects, chips = int(subject.max()) + 1, int(chip.max()) + 1
     full = np.bincount(subject)
@@ -248,14 +269,11 @@ def audit_simulation(cases: DataFrame, sheet: list[tuple], n_perm: int = 1000, s
                 two = min(1.0, 2 * min(special.binomial_tail(carriers, subjects, p), 1 - special.binomial_tail(carriers + 1, subjects, p)))
                 sizes = np.bincount(own, minlength=chips)
                 held = sizes > 0
-                e = sizes[held] * (minor.sum() / len(minor))
-                stat = lambda o: ((o - e) ** 2 / e + (o - e) ** 2 / (sizes[held] - e)).sum(axis=-1)  # noqa: B023, E731
-                draws = rng.multivariate_hypergeometric(sizes[held], int(minor.sum()), size=n_perm)  # the minor label dealt anew over chips
-                clean = (int((stat(draws) >= stat(np.bincount(own[minor], minlength=chips)[held]) - 1e-12).sum()) + 1) / (n_perm + 1) >= 0.05
+                clean = chip_separable(sizes[held], np.bincount(own[minor], minlength=chips)[held], n_perm, rng)
                 rows.append((True, bool(invariant), bool(two >= 0.05), bool(clean), bool(invariant and two >= 0.05 and clean)))
             yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=["flagged", "invariant", "freq_ok", "chip_ok", "called"], dtype=object)], axis=1)
 
-    return cases.select(F.col("key").cast("long").alias("key"), "layout", "kind", F.col("maf").cast("double").alias("maf")).mapInPandas(run, "key long, layout string, kind string, maf double, flagged boolean, invariant boolean, freq_ok boolean, chip_ok boolean, called boolean")
+    return cases.select(F.col("key").cast("long").alias("key"), "layout", "kind", F.col("maf").cast("double").alias("maf")).repartition(tasks).mapInPandas(run, "key long, layout string, kind string, maf double, flagged boolean, invariant boolean, freq_ok boolean, chip_ok boolean, called boolean")
 
 
 def audit_rates(audited: DataFrame) -> DataFrame:

@@ -348,6 +348,24 @@ def test_group_audit_of_a_variant_and_of_artefacts(spark):
     assert rates["variant"].all_four > 75 and rates["no signal"].flagged < 10 and rates["chip artefact"].all_four < 10
 
 
+def test_audit_cases_are_dealt_over_tasks_with_the_same_draws(spark):
+    from panelforge.operators import genotype
+
+    cases = spark.range(0, 6000, 1, 1).select(F.col("id").alias("key"), F.lit("observed").alias("layout"), F.lit("no signal").alias("kind"), F.lit(0.05).alias("maf"))
+    out = genotype.audit_simulation(cases, [(i // 4, i // 8) for i in range(64)], n_perm=99)
+    tasks = {r.p for r in out.select(F.spark_partition_id().alias("p")).distinct().collect()}
+    assert len(tasks) == 3 and out.select("key").distinct().count() == 6000
+    rng = np.random.default_rng(8)
+    for k in range(60):
+        sizes = rng.integers(2, 9, 6)
+        minor = np.random.default_rng(k).multivariate_hypergeometric(sizes, 6) if k % 2 else np.minimum(sizes, [6, 0, 1, 0, 0, 0])
+        e = sizes * (minor.sum() / sizes.sum())
+        stat = lambda o: ((o - e) ** 2 / e + (o - e) ** 2 / (sizes - e)).sum(axis=-1)  # noqa: B023, E731
+        draws = np.random.default_rng(k).multivariate_hypergeometric(sizes, int(minor.sum()), size=1000)
+        plain = (int((stat(draws) >= stat(minor) - 1e-12).sum()) + 1) / 1001 >= 0.05
+        assert genotype.chip_separable(sizes, minor, 1000, np.random.default_rng(k)) == plain
+
+
 def test_best_lambda_takes_the_first_of_equals(spark):
     nan = float("nan")
     grid = spark.createDataFrame([(0.5, 2.0), (0.1, nan), (1.0, 1.5), (0.2, 1.5), (0.05, None)], "lam0 double, score double")
