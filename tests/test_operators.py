@@ -286,6 +286,19 @@ def test_tails_and_fisher_equal_plain_sums(spark):
     assert np.allclose(special.t_two_sided_array(t, 11.0), [special.t_two_sided(float(v), 11.0) for v in t])
 
 
+def test_lines_are_dealt_over_tasks_by_their_number(spark, smoke, monkeypatch):
+    """One partition of the shuffle's default would hold any number of lines; a chromosome stays in one task and is not moved again."""
+    from panelforge.operators import scan
+    from panelforge.sources import adapters
+
+    monkeypatch.setattr(scan, "DEALT", 100)
+    t = adapters.track_lineitem(spark, smoke)
+    lines = tables.table(spark, smoke, "lineitem").count()
+    assert t.rdd.getNumPartitions() == -(-lines // 100) > 4
+    held = genome.gap_clusters(t, 30).select("chr", F.spark_partition_id().alias("p")).distinct()
+    assert held.count() == held.select("chr").distinct().count() and held.agg(F.max("p")).first()[0] > 4
+
+
 def test_carriers_tail_of_many_rows(spark):
     """100,000 rows of 126 trials: a sum of sums of logarithms took minutes of one task."""
     df = spark.range(0, 100_000, 1, 1).select((F.col("id") % 129).alias("k"), ((F.col("id") % 50 + 1) / 60.0).alias("p"))
