@@ -379,7 +379,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: st
         return dict(zip(names, np.concatenate(out, axis=1)))
 
     origin = _origin(docs, lang_col, source_col)
-    return shared.append_columns(docs, shared.text_column(docs, text_col), values, {c: T.DoubleType() for c in names}, *origin)
+    return shared.append_columns(docs, text_col, values, {c: T.DoubleType() for c in names}, *origin)
 
 
 __all__ = ["Model", "co_train", "fit", "held_out", "score", "views"]

@@ -72,21 +72,30 @@ def fresh_of(columns: list[str], wanted: str) -> str:
 def append_columns(docs: DataFrame, text, values: Callable[..., dict[str, np.ndarray]], types: dict[str, T.DataType], *extra, keep_engines: bool = False) -> DataFrame:
     """``docs`` with new columns computed per Arrow batch from ``text`` (and ``extra`` columns).
 
+    ``text`` is a column, or the name of one of ``docs``: a string column is then read where it passes through, not sent to the worker
+    twice (a null in it stays one); any other is cast as by :func:`text_column`.
     ``values`` gets the arrays and returns one array for each name in ``types``.
     Columns of ``docs`` with these names are replaced, all others pass through
     untouched, whatever they are called.  A map over partitions: no shuffle.
     """
     docs = docs.drop(*types)
     n, names = len(docs.columns), list(types)
-    inputs = []
+    inputs, at = [], []
     for k, c in enumerate((text, *extra)):
+        if isinstance(c, str):
+            if dict(docs.dtypes).get(c) == "string" and docs.columns.count(c) == 1:
+                at.append(docs.columns.index(c))
+                continue
+            c = text_column(docs, c)
+        at.append(n + len(inputs))
         inputs.append(c.alias(fresh(docs, f"input_{k}")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not keep_engines:
+        if not keep_engines and ENGINES:
             ENGINES.clear()
+            tidy()  # before this stage takes its own
         for batch in batches:
-            out = values(*batch.columns[n:])
+            out = values(*(batch.column(k) for k in at))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(out[c] if isinstance(out[c], pa.Array) else pa.array(out[c]) for c in names)], names=[*batch.schema.names[:n], *names])
         tidy()
 

@@ -206,6 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.ENGINES.clear()
+        shared.tidy()
         for batch in batches:
             for a, b, buf, offs in textbytes.slices(batch.column(2)):
                 doc, f = features(buf, offs, bits)
@@ -248,4 +249,4 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
         out = [sigmoid(model.logits(buf, offs, table)) for _, _, buf, offs in textbytes.slices(text)]
         return {score_col: np.concatenate([np.empty(0), *out])}
 
-    return shared.append_columns(docs, shared.text_column(docs, text_col), values, {score_col: T.DoubleType()})
+    return shared.append_columns(docs, text_col, values, {score_col: T.DoubleType()})

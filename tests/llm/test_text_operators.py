@@ -11,8 +11,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelforge.llm import chunking, packing, registry, spans, textbytes, token_tree, transcode
+from panelforge.llm import chunking, packing, registry, shared, spans, textbytes, token_tree, transcode
 from panelforge.llm.bpe import WINDOW, Merges, StreamingDecoder, StreamingEncoder, TextEncoder
 from tests.llm.helpers import awkward, frame
 
@@ -318,3 +319,18 @@ def test_fingerprints_awkward_table(spark):
     one = chunking.fingerprint_documents(frame(spark, rows[:1])).first()
     assert one.near_next == 1.0
     assert zlib.crc32(b"") == 0
+
+
+def test_a_text_is_sent_to_the_worker_once(spark):
+    """A string column that passes through is read there; any other text is cast and sent beside it."""
+    docs = spark.createDataFrame([(1, "one"), (2, None), (3, "")], "doc_id long, text string")
+    types = {"n": T.IntegerType()}
+
+    def sizes(text):
+        return {"n": np.concatenate([np.empty(0, np.int32), *(np.diff(offs).astype(np.int32) for *_, offs in textbytes.slices(text))])}
+
+    out = shared.append_columns(docs, "text", sizes, types)
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "one", 3), (2, None, 0), (3, "", 0)]
+    assert "input_" not in out._jdf.queryExecution().analyzed().toString()
+    number = shared.append_columns(docs.select("doc_id", F.col("doc_id").alias("text")), "text", sizes, types)
+    assert [tuple(r) for r in number.orderBy("doc_id").collect()] == [(1, 1, 1), (2, 2, 1), (3, 3, 1)]
