@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import shared, sketch, textbytes
 from panelforge.llm.components import components
-from panelforge.llm.shared import cut
+from panelforge.llm.shared import cut, release
 
 THRESHOLD = 90  # per cent
 #: Words of a shingle.
@@ -56,6 +56,8 @@ BLOOM_LEAST, BLOOM_MOST = 20, 28
 HOT_TOKENS, HOT_ENTRIES = 2000, 1000
 #: A token's cells up to this many are paired at once; those of more are dealt by bands of sizes first.
 CELLS = 256
+#: The one band of all cells of a token that are paired at once; bands of sizes begin at -1.
+UNBANDED = -2
 #: Prefix tokens that linked sets have in common.
 SHARED = 3
 
@@ -198,8 +200,10 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: in
     x, y = (classes.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"sig{k}")) for k in "ab")
     pairs = pairs.distinct().join(x, "a").join(y, "b").where(_close(F.col("siga"), F.col("na"), F.col("sigb"), F.col("nb"), threshold))
     pairs = cut(pairs.select("a", "b"))
+    release(docs.sparkSession)
     ends = cut(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
     sets = cut(_sets(docs, ends, width))
+    release(docs.sparkSession)
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.where((100 + threshold) * common >= threshold * (F.size("x") + F.size("y"))).select("a", "b"))
@@ -249,8 +253,10 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, width: int =
     entries = prefixes.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     again = cut(entries.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1"))
     total = again.agg(F.sum("entries")).first()[0] or 0
+    release(docs.sparkSession)
     hot = cut(again.where(F.col("entries") > max(HOT_ENTRIES, total // HOT_TOKENS)).select("token"))
     entries = cut(_by_token(entries, again.select("token"), hot).select("token", "gid", "n", "pos"))
+    release(docs.sparkSession)
 
     # stars: each group's leader with the pivots of its tokens, each member with its leader
     pivots = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "gid")).alias("pivot"))
@@ -269,18 +275,16 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, width: int =
     cells = entries.groupBy("token", "n", "pos").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     torn = cells.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("many")).where("low <> high").select("token", "many")
     cells = cut(cells.join(torn, "token"))
+    release(docs.sparkSession)
     apart = ~((F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2")))
 
-    def paired(held: DataFrame, banded: bool) -> DataFrame:
-        """Pairs of cells of one token, all or those of sizes that the threshold lets link: a size's band and the one above."""
-        x, y = (held.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "low", "high"))) for k in (1, 2))
-        if banded:
-            x = x.withColumn("band", _band(F.col("n1"), threshold))
-            y = y.withColumn("band", F.explode(F.array(_band(F.col("n2"), threshold), _band(F.col("n2"), threshold) - 1)))
-        both = x.join(y, ["token", "band"] if banded else ["token"]).where("n1 < n2 or n1 = n2 and pos1 <= pos2").where(apart)
-        return both.where(_possible(F.col("pos1"), F.col("n1"), F.col("pos2"), F.col("n2"), threshold)).select("token", "n1", "pos1", "n2", "pos2")
-
-    cell_pairs = paired(cells.where(F.col("many") <= CELLS), False).unionByName(paired(cells.where(F.col("many") > CELLS), True))
+    # pairs of cells of one token, all or those of sizes that the threshold lets link: a size's band and the one above
+    x, y = (cells.select("token", "many", *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "low", "high"))) for k in (1, 2))
+    few = F.col("many") <= CELLS
+    x = x.withColumn("band", F.when(few, UNBANDED).otherwise(_band(F.col("n1"), threshold))).drop("many")
+    y = y.withColumn("band", F.explode(F.when(few, F.array(F.lit(UNBANDED))).otherwise(F.array(_band(F.col("n2"), threshold), _band(F.col("n2"), threshold) - 1)))).drop("many")
+    cell_pairs = x.join(y, ["token", "band"]).where("n1 < n2 or n1 = n2 and pos1 <= pos2").where(apart)
+    cell_pairs = cell_pairs.where(_possible(F.col("pos1"), F.col("n1"), F.col("pos2"), F.col("n2"), threshold)).select("token", "n1", "pos1", "n2", "pos2")
     e1, e2 = (entries.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "gid", "low", "high"))) for k in (1, 2))
     group_pairs = cell_pairs.join(e1, ["token", "n1", "pos1"]).join(e2, ["token", "n2", "pos2"]).where(apart).where("n1 <> n2 or pos1 <> pos2 or gid1 < gid2").select(F.least("gid1", "gid2").alias("g"), F.greatest("gid1", "gid2").alias("h"))
     m1, m2 = (member.select(*(F.col(c).alias(f"{c}{k}") for c in ("gid", "sid", "component"))) for k in (1, 2))

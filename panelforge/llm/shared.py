@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -46,6 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark clear away shuffles and checkpoints that nothing refers to any more.
+
+    Its cleaner learns of them when the driver collects garbage; a driver with memory to spare may leave it for half an hour
+    (``spark.cleaner.periodicGC.interval``), and a long chain of joins then keeps all its shuffles on disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,6 +4,7 @@ import glob
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelforge.llm import components, language_model, media, prefix_join, quality, registry, toxicity, warc
+from panelforge.llm import components, language_model, media, prefix_join, quality, registry, shared, toxicity, warc
 from tests.llm.helpers import awkward, frame
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -97,6 +98,26 @@ def test_components_of_paths_and_loops(spark):
     assert components.components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def test_components_of_stars_take_no_round_and_rounds_leave_no_shuffles(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(components, "cut", lambda df, keep=components.cut: cuts.append(1) or keep(df))
+    stars = [(k - k % 5, k) for k in range(100) if k % 5]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(stars + [(b, a) for a, b in stars], "a int, b int")).collect()}
+    assert got == {k: k - k % 5 for k in range(100)} and len(cuts) == 1  # the distinct edges alone
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    path = spark.createDataFrame([(k, k + 1) for k in range(64)], "a int, b int").repartition(8)
+    shared.release(spark)
+    time.sleep(2)
+    before, cuts[:] = disk.getAllFiles().size(), []
+    found = components.components(path)
+    until = time.time() + 20  # the cleaner is a thread of its own
+    while len(cuts) > 2 and disk.getAllFiles().size() > before + 40 and time.time() < until:
+        time.sleep(0.2)
+    assert len(cuts) > 2 and disk.getAllFiles().size() <= before + 40  # of the last look at the edges; a round writes many more
+    assert {r.component for r in found.collect()} == {0}
+
+
 def labelled(seed=5, n=500):
     """Documents with a toxic word or a broken layout now and then, and their labels."""
     rnd = random.Random(seed)
