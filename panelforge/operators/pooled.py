@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import hashing
@@ -114,22 +114,40 @@ def residual_panel(panel: DataFrame, basis: np.ndarray, values: str = "m", keep:
     return panel.select(*keep, values).mapInArrow(run, f"{types}, `{values}` array<double>")
 
 
+#: Points, and queries, of one range of values that a task holds.
+RANGE_ROWS = 250_000
+
+
+def value_bounds(points: DataFrame, queries: DataFrame, value: str, parts: int) -> list[float]:
+    """Rising bounds of at least ``parts`` ranges of the queries' values, and of as many as keep a range at about RANGE_ROWS points and
+    queries however many there are (rows of one value stay together)."""
+    found: set[float] = set()
+    for df, least in ((points, 1), (queries, parts)):
+        v = df.select(F.col(value).cast("double").alias("v"))
+        n = max(least, -(-v.count() // RANGE_ROWS))
+        if n > 1:
+            found.update(v.agg(F.percentile_approx("v", [k / n for k in range(1, n)], max(10_000, 10 * n)).alias("q")).first()["q"] or [])
+    return sorted(found)
+
+
 def dominance(points: DataFrame, queries: DataFrame, level: str, value: str, name: str = "hits", parts: int = 64) -> DataFrame:
     """``queries`` with ``name``: how many points have at least their level and at least their value.
 
     Two-dimensional dominance counts without comparing all pairs: points and queries are dealt into ranges of
-    the value; a range's points are compared only with its own queries, level by level in
-    sorted arrays, and whole ranges above are added from counts by (range, level), suffix sums over both.
+    the value, more of them where there are more rows; a range's points are compared only with its own queries, level by level in
+    sorted arrays, and whole ranges above are added from counts by (range, level): running sums along the ranges.
     """
     kept = queries.columns
-    bounds = queries.agg(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)], 10_000).alias("q")).first()["q"]
-    rng = hashing.rising_range(F.col(value).cast("double"), sorted(set(bounds or [])))
-    p = points.select(F.col(level).cast("long").alias("__l"), F.col(value).cast("double").alias("__v")).where("__v is not null").withColumn("__r", hashing.rising_range(F.col("__v"), sorted(set(bounds or []))))
-    q = queries.withColumn("__r", rng)
-    counts = p.groupBy("__r", "__l").agg(F.count("*").alias("__n"))
-    # ranges of the values by levels: small; every level that a query has, in every range
-    grid = q.select("__r", F.col(level).cast("long").alias("__l")).distinct().join(counts.select(F.col("__r").alias("__pr"), F.col("__l").alias("__pl"), "__n"), (F.col("__pr") > F.col("__r")) & (F.col("__pl") >= F.col("__l")))
-    above = grid.groupBy("__r", "__l").agg(F.sum("__n").alias("__above"))
+    bounds = value_bounds(points, queries, value, parts)
+    p = points.select(F.col(level).cast("long").alias("__l"), F.col(value).cast("double").alias("__v")).where("__v is not null").withColumn("__r", hashing.rising_range(F.col("__v"), bounds))
+    q = queries.withColumn("__r", hashing.rising_range(F.col(value).cast("double"), bounds))
+    asked = q.select("__r", F.col(level).cast("long").alias("__l")).distinct()
+    counts = p.groupBy("__r", F.col("__l").alias("__pl")).agg(F.count("*").alias("__n"))
+    # ranges by levels that a query has: every range's points of at least a level, then those of the ranges above
+    each = counts.join(F.broadcast(asked.select("__l").distinct()), F.col("__pl") >= F.col("__l")).select("__r", "__l", "__n")
+    grid = each.unionByName(asked.withColumn("__n", F.lit(0).cast("long"))).groupBy("__r", "__l").agg(F.sum("__n").alias("__n"))
+    higher = Window.partitionBy("__l").orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
+    above = grid.select("__r", "__l", F.sum("__n").over(higher).alias("__above"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
 
     def own(qs, ps):
@@ -144,7 +162,7 @@ def dominance(points: DataFrame, queries: DataFrame, level: str, value: str, nam
         return qs.assign(__within=out)[[*kept, "__r", "__within"]]
 
     near = q.groupBy("__r").cogroup(p.groupBy("__r")).applyInPandas(own, f"{fields}, `__r` int, `__within` long")
-    joined = near.withColumn("__l", F.col(level).cast("long")).join(F.broadcast(above), ["__r", "__l"], "left")
+    joined = near.withColumn("__l", F.col(level).cast("long")).join(above, ["__r", "__l"], "left")
     return joined.withColumn(name, F.col("__within") + F.coalesce("__above", F.lit(0))).select(*kept, name)
 
 

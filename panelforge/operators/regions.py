@@ -137,9 +137,10 @@ def judged(bumps: DataFrame, n_perm: int) -> DataFrame:
     if n_perm == 0:
         return seen.withColumns({n: F.lit(None).cast("double") for n in names})
     total = null.count()
-    seen = pooled.joint_fwer(seen, null, n_perm).withColumn("__high", F.abs("value")).withColumn("__one", F.lit(0))
+    # what is read several times below is computed once
+    seen = settled(pooled.joint_fwer(seen, null, n_perm)).withColumn("__high", F.abs("value")).withColumn("__one", F.lit(0))
     tall = null.withColumn("__high", F.abs("value")).withColumn("__one", F.lit(0))
-    seen = pooled.dominance(tall, seen, "l", "__high", "__both")
+    seen = settled(pooled.dominance(tall, seen, "l", "__high", "__both"))
     seen = pooled.dominance(tall, seen, "__one", "area", "__area")
     return seen.withColumn("p_value", F.col("__both") / F.lit(max(total, 1))).withColumn("p_value_area", F.col("__area") / F.lit(max(total, 1))).drop("__high", "__one", "__both", "__area")
 
@@ -169,7 +170,7 @@ def bumphunter(panel: DataFrame, sheet: list[tuple[int, float, str]], *, covaria
     if not slopes.known[0] or slopes.df <= 0:
         raise ValueError("the exposure is not identified beside the other columns")
     bumps = settled(replicate_bumps(pooled.fit_panel(panel, slopes), cutoff, max_gap, smooth, span, least, in_span))
-    out = judged(bumps, n_perm)
+    out = settled(judged(bumps, n_perm))
     per_array = array_slopes(panel, sheet, covariates, 6)
     if len(per_array) == 2:
         for array, fits in per_array.items():

@@ -108,6 +108,19 @@ def test_dominance_equals_all_pairs(spark):
     assert pooled.dominance(points.limit(0), queries, "l", "v").agg(F.sum("hits")).first()[0] == 0
 
 
+def test_dominance_ranges_grow_in_number_with_the_points(spark, monkeypatch):
+    """Most points lie below all queries: ranges of the queries' values alone put them into one task."""
+    monkeypatch.setattr(pooled, "RANGE_ROWS", 50)
+    points = [(k % 3 + 1, k / 1000) for k in range(2000)]
+    asked = [(k % 3 + 1, 1.9 + k / 100) for k in range(20)]
+    p, q = spark.createDataFrame(points, "l long, v double"), spark.createDataFrame(asked, "l long, v double")
+    dealt = []
+    monkeypatch.setattr(pooled.hashing, "rising_range", lambda c, b, keep=pooled.hashing.rising_range: dealt.append(b) or keep(c, b))
+    got = sorted((r["l"], r["v"], r["hits"]) for r in pooled.dominance(p, q, "l", "v", parts=7).collect())
+    assert got == sorted((l, v, sum(a >= l and x >= v for a, x in points)) for l, v in asked)
+    assert dealt and all(np.bincount(np.searchsorted(b, [v for _, v in points])).max() <= 100 for b in dealt)
+
+
 def test_scans_in_pieces_equal_whole_ones(spark):
     rng = np.random.default_rng(7)
     rows = [(k, int(c), int(p), rng.normal(size=12).tolist(), float(t), 1.0, float(b)) for k, (c, p, t, b) in enumerate(zip(rng.choice([1, 1, 1, 1, 2, 3], 1500), rng.integers(0, 20_000, 1500), rng.integers(0, 2, 1500), rng.normal(size=1500)))]
