@@ -185,16 +185,18 @@ def call_regions(df: DataFrame, min_probes: int = 3, min_effect: float = 0.05, t
     return g.where(F.abs("effect") >= min_effect).select(*by, "start", "end", (F.col("end") - F.col("start") + 1).alias("width"), "n_probes", "effect", "se", (F.col("effect") / F.col("se")).alias("z"), "theta", "probe_start", "probe_end")
 
 
-def index_range_effects(regions: DataFrame, fits: DataFrame, ties: tuple[str, ...] = (), cuts: DataFrame | None = None, chrom: str = "chr", pos: str = "pos") -> DataFrame:
+def index_range_effects(regions: DataFrame, fits: DataFrame, ties: tuple[str, ...] = (), cuts: DataFrame | None = None, chrom: str = "chr", pos: str = "pos", rows: int | None = None) -> DataFrame:
     """``regions`` (chr, ``probe_start``, ``probe_end``: places of probes on their chromosome, from 0) with ``effect, se`` over ``fits``.
 
     ``fits``: chr, pos, beta, se of the same probes in the same order.  Weights and weighted slopes are summed up along each
-    chromosome, so a region is two lookups however many probes it has.  Null where no probe has weight.
+    chromosome, so a region is two lookups however many probes it has.  Null where no probe has weight.  Both lookups are over as many
+    tasks as ``rows``, the number of ``fits`` or a bound of it (counted where it is not given), asks for: a join's own shuffle would hold more in a task as the table grows.
     """
     w = F.when(F.col("se") > 0, 1 / (F.col("se") * F.col("se"))).otherwise(0.0)
     d = scan.pieced(fits.withColumn("__w", w).withColumn("__wb", F.col("__w") * F.coalesce(F.col("beta"), F.lit(0.0))), cuts, chrom, pos)
     d = scan.with_running(d, {"__k": F.lit(1), "__sw": F.col("__w"), "__swb": F.col("__wb")}, (chrom,), (pos, *ties), cuts is None)
     sums = d.select(F.col(chrom).alias("c"), (F.col("__k") - 1).alias("at"), F.col("__sw").alias("w"), F.col("__swb").alias("wb"))
+    sums = scan.dealt(sums, fits.count() if rows is None else rows, "c", "at")
     last, before = (sums.select(*(F.col(c).alias(f"__{k}_{c}") for c in sums.columns)) for k in ("last", "before"))
     out = regions.join(last, (F.col(chrom) == F.col("__last_c")) & (F.col("probe_end") == F.col("__last_at")))
     out = out.join(before, (F.col(chrom) == F.col("__before_c")) & (F.col("probe_start") - 1 == F.col("__before_at")), "left")

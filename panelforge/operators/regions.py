@@ -46,13 +46,14 @@ def find_regions(panel: DataFrame, sheet: list[tuple[int, float, str]], *, max_g
                 regions = regions.withColumns({"p_fwer_within": F.col("p_fwer"), "p_fwer_within_mcse": F.col("p_fwer_mcse")})
         regions = inference.stability(panel, sheet, regions, n_boot, lam0, **asked)
     arrays = sorted({a for _, _, a in sheet})
+    probes = fits.count()
     for array in arrays:
         at = [i for i, s in enumerate(sheet) if s[2] == array]
         own = within.Design([exposure[i] for i in at], [subject[i] for i in at], within.rows_of(covariates, at))
         if own.subjects >= 3 and own.identified and own.df > 0:
             part = within.take(panel, "m", at)
             each = within.with_z(within.moderate(within.fit_panel(part, own), own.df), own.unit).select("probe", "chr", "pos", "beta", "se")
-            pooled_ = genome.index_range_effects(regions.select("chr", "region", "probe_start", "probe_end"), each, ("probe",), cuts)
+            pooled_ = genome.index_range_effects(regions.select("chr", "region", "probe_start", "probe_end"), each, ("probe",), cuts, rows=probes)
             regions = regions.join(pooled_.select("region", F.col("effect").alias(f"effect_{array}"), F.col("se").alias(f"se_{array}")), "region", "left")
     pair = [f"effect_{a}" for a in arrays if f"effect_{a}" in regions.columns]
     if len(pair) == 2:

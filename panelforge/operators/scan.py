@@ -18,13 +18,13 @@ DEALT = 200_000
 PIECE = "__piece"
 
 
-def dealt(df: DataFrame, rows: int, chrom: str = "chr") -> DataFrame:
-    """``df`` (``rows`` rows) dealt by chromosome over so many tasks that one holds about ``DEALT`` rows however large the table is.
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` (``rows`` rows) dealt by the columns ``by`` over so many tasks that one holds about ``DEALT`` rows however large the table is.
 
     Left to the size of shuffled bytes, a task's rows grow with the table: sorts, windows and sums of a chain of scans are all held by one task.
     """
     few = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(few, -(-rows // DEALT)), chrom)
+    return df.repartition(max(few, -(-rows // DEALT)), *by)
 
 
 def cut_points(df: DataFrame, rows: int = ROWS, chrom: str = "chr", pos: str = "pos") -> DataFrame | None:

@@ -108,7 +108,7 @@ def index_range_effects(spark, d):
     t = t.withColumn("theta", (F.floor(F.col("pos") / 60) % 3).cast("double"))
     reg = genome.call_regions(t, 2, 0.0, cluster="cluster").select("chr", "start", "probe_start", "probe_end")
     fits = t.select("chr", "pos", (F.col("n") - F.lit(1.5)).alias("beta"), F.sqrt(F.lit(1.0) / F.col("sw")).alias("se"))
-    return genome.index_range_effects(reg, fits).select("chr", "start", r6("effect", "effect"), r6("se", "se"))
+    return genome.index_range_effects(reg, fits, rows=tables.table(spark, d, "lineitem").count()).select("chr", "start", r6("effect", "effect"), r6("se", "se"))
 
 
 def blocks_default(spark, d):

@@ -56,7 +56,7 @@ def track_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     q, d = F.round("l_quantity").cast("long"), F.round(F.col("l_discount") * 100).cast("long") - 5
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("long")
-    rows = scan.dealt(l.select(F.col("l_partkey").alias("chr"), day.alias("pos"), q.alias("q"), (q * d).alias("qd")), l.count())
+    rows = scan.dealt(l.select(F.col("l_partkey").alias("chr"), day.alias("pos"), q.alias("q"), (q * d).alias("qd")), l.count(), "chr")
     return rows.groupBy("chr", "pos").agg(F.count("*").alias("n"), F.sum("q").alias("sw"), F.sum("qd").alias("swb"))
 
 

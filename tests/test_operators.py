@@ -299,6 +299,28 @@ def test_lines_are_dealt_over_tasks_by_their_number(spark, smoke, monkeypatch):
     assert held.count() == held.select("chr").distinct().count() and held.agg(F.max("p")).first()[0] > 4
 
 
+def test_lookups_of_ranges_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    """The joins of regions with prefix sums had the shuffle's default of tasks, so a task held more rows in a larger table."""
+    from panelforge.operators import scan
+
+    monkeypatch.setattr(scan, "DEALT", 100)
+    fits = spark.range(3000).select((F.col("id") % 3).alias("chr"), F.floor(F.col("id") / 3).alias("pos"), (F.col("id") % 7 - 3.0).alias("beta"), F.lit(1.0).alias("se"))
+    reg = spark.range(600).select((F.col("id") % 3).alias("chr"), (F.floor(F.col("id") / 3) * 5).alias("probe_start"), (F.floor(F.col("id") / 3) * 5 + 4).alias("probe_end"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for known in ({}, {"rows": 3000}):
+            out = genome.index_range_effects(reg, fits, **known)
+            held = out.groupBy(F.spark_partition_id()).count().collect()
+            assert len(held) > 20 and max(r["count"] for r in held) < 60
+            got = {(r["chr"], r["probe_start"]): (r["effect"], r["se"]) for r in out.collect()}
+            assert len(got) == 600
+            for (c, s), (effect, se) in got.items():
+                own = [(k * 3 + c) % 7 - 3.0 for k in range(s, s + 5)]
+                assert abs(effect - sum(own) / 5) < 1e-9 and abs(se - 5**-0.5) < 1e-12
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_carriers_tail_of_many_rows(spark):
     """100,000 rows of 126 trials: a sum of sums of logarithms took minutes of one task."""
     df = spark.range(0, 100_000, 1, 1).select((F.col("id") % 129).alias("k"), ((F.col("id") % 50 + 1) / 60.0).alias("p"))
