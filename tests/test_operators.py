@@ -299,6 +299,19 @@ def test_lines_are_dealt_over_tasks_by_their_number(spark, smoke, monkeypatch):
     assert held.count() == held.select("chr").distinct().count() and held.agg(F.max("p")).first()[0] > 4
 
 
+@pytest.mark.parametrize("name", ["method_comparison"])
+def test_track_queries_move_lines_once_over_tasks_by_their_number(spark, smoke, monkeypatch, name):
+    """Sums, windows and sorts of the whole query follow the dealing; by a shuffle of Spark's own, tasks would hold more in a larger table."""
+    from panelforge.operators import scan
+    from panelforge.plans import catalog
+
+    monkeypatch.setattr(scan, "DEALT", 100)
+    lines = tables.table(spark, smoke, "lineitem").count()
+    plan = catalog.QUERIES[name](spark, smoke)._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moves and all(f", {-(-lines // 100)}), REPARTITION_BY_NUM" in line for line in moves)
+
+
 def test_lookups_of_ranges_are_dealt_by_the_number_of_rows(spark, monkeypatch):
     """The joins of regions with prefix sums had the shuffle's default of tasks, so a task held more rows in a larger table."""
     from panelforge.operators import scan
