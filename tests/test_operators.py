@@ -299,7 +299,7 @@ def test_lines_are_dealt_over_tasks_by_their_number(spark, smoke, monkeypatch):
     assert held.count() == held.select("chr").distinct().count() and held.agg(F.max("p")).first()[0] > 4
 
 
-@pytest.mark.parametrize("name", ["method_comparison", "top_regions"])
+@pytest.mark.parametrize("name", ["method_comparison", "top_regions", "block_runs"])
 def test_track_queries_move_lines_once_over_tasks_by_their_number(spark, smoke, monkeypatch, name):
     """Sums, windows and sorts of the whole query follow the dealing; by a shuffle of Spark's own, tasks would hold more in a larger table."""
     from panelforge.operators import scan
